@@ -350,3 +350,255 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int)
     """Top k rows per key; Spark limits each partition to k before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+
+
+def frozen_stats(scored: DataFrame, cohort: Sequence[str], slots: int) -> DataFrame:
+    """The calibration numbers of each cohort, one row per cohort."""
+    names = [f"{c}{i}" for c in "mad" for i in range(slots)] + ["raw_mean", "raw_sd", "peer_count"]
+    return scored.groupBy(*cohort).agg(*[F.max(c).alias(c) for c in names])
+
+
+def score_subjects(rows: DataFrame, scored_peers: DataFrame, cohort: Sequence[str], slots: int) -> DataFrame:
+    """Scores of subjects against frozen cohorts they need not belong to; null if a feature lacks."""
+    stats = frozen_stats(scored_peers, cohort, slots)
+    n = range(slots)
+    joined = rows.join(stats, list(cohort)).selectExpr(
+        "*", *[f"IF(n{i} > 0, n{i} / (n{i} + k{i}) * v{i} + (1 - n{i} / (n{i} + k{i})) * m{i}, NULL) AS s{i}" for i in n]
+    )
+    term = (
+        "CASE WHEN w{i} = 0 THEN 0D WHEN d{i} > {e} THEN w{i} * (s{i} - a{i}) / d{i} "
+        "WHEN abs(s{i} - a{i}) <= {e} THEN 0D END"
+    )
+    raw = " + ".join(term.format(i=i, e=EPSILON) for i in n)
+    return joined.selectExpr("*", f"{raw} AS raw").selectExpr(
+        "*", f"CASE WHEN raw_sd > {EPSILON} THEN (raw - raw_mean) / raw_sd WHEN abs(raw - raw_mean) <= {EPSILON} THEN 0D END AS z"
+    )
+
+
+def assigned_positions(
+    rows: DataFrame, references: DataFrame, subject: Sequence[str], position: str, model: Model
+) -> DataFrame:
+    """Every subject scored in every position against that position's natural players.
+
+    A reference joins a subject's cohort if it is observed in each feature the subject uses. Cohorts
+    depend on the subject's weight mask only, so they are built once per distinct mask: the
+    references meet the masks of their ability, never the subjects.
+    """
+    slots = range(model.slots)
+    weights = [f"w{i}" for i in slots]
+    masks = rows.where("eligible").select("ability", "signature", *weights).distinct()
+    compatible = " AND ".join(f"(w{i} = 0 OR (v{i} IS NOT NULL AND NOT isnan(v{i}) AND n{i} > 0))" for i in slots)
+    pool = references.drop("signature", "eligible", *weights).join(masks, "ability").where(compatible)
+    pool = pool.withColumn("eligible", F.lit(True))
+    cohort = [position, "ability", "signature"]
+    peers = calibrate(pool, cohort, model.slots, model.minimum_peers)
+    positions = references.select(position).distinct()
+    # Positions are a fixed registry; the subject side stays partitioned.
+    asked = rows.where("eligible").drop(position).crossJoin(F.broadcast(positions))
+    return score_subjects(asked, peers, cohort, model.slots).where(F.col("z").isNotNull())
+
+
+def overall_of(scores: DataFrame, subject: Sequence[str], abilities: int) -> DataFrame:
+    """Weighted sum of ability z for subjects scored in every ability."""
+    return (
+        scores.groupBy(*subject)
+        .agg(
+            F.count("z").alias("_n"),
+            F.sum(F.round(F.col("overall_weight") * F.col("z"), 12)).alias("_raw"),
+            F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "ability", "signature"))), ";"), 256).alias("cohort"),
+        )
+        .where(F.col("_n") == abilities)
+        .withColumn("overall_raw", F.round("_raw", 11))
+        .drop("_raw", "_n")
+    )
+
+
+def feature_rows(df: DataFrame, features: Sequence[Feature], keep: Sequence[str]) -> DataFrame:
+    """Long features of source aggregates; an aggregate with a contradiction is flagged whole."""
+    contradictions = []
+    for f in features:
+        a, b = f.numerator, f.denominator
+        if b != "minutes":
+            contradictions.append(f"({b} = 0 AND {a} <> 0)")
+        if f.unit in ("%", "ratio"):
+            contradictions.append(f"({a} > {b})")
+    rejected = f"coalesce({' OR '.join(contradictions) or 'false'}, false)"
+    flagged = df.withColumn("rejected", F.expr(rejected))
+    return long_features(flagged, features, [*keep, "rejected"], "missing_measurement")
+
+
+def complete_pairs(won: str, lost: str, attempted: str) -> tuple[str, str]:
+    """SQL for (lost, attempted), each completed from the other two where it is missing."""
+    return (
+        f"coalesce({lost}, {attempted} - {won})",
+        f"coalesce({attempted}, {won} + {lost})",
+    )
+
+
+def provider_measurement(
+    bundles: DataFrame, key: str, inputs: Sequence[str], unit: str, keep: Sequence[str], kind: str = "ratio", signed: bool = False
+) -> DataFrame:
+    """One measurement from inputs of a single bundle.
+
+    ``kind``: ``ratio`` divides the first input by the second or by minutes; ``share`` keeps the
+    provider's percentage with saves + conceded as exposure; ``given`` keeps it with its second
+    input as exposure.
+    """
+    a = f"cast({inputs[0]} AS double)"
+    if kind == "share":
+        b = f"cast(coalesce({inputs[1]}, 0) + coalesce({inputs[2]}, 0) AS double)"
+    else:
+        b = f"cast({inputs[1] if len(inputs) > 1 else 'minutes'} AS double)"
+    factor = 100 if unit == "%" else 90
+    value = a if kind in ("share", "given") else f"IF({b} > 0, {a} / {b} * {factor}, NULL)"
+    present = " AND ".join(f"{i} IS NOT NULL" for i in [*inputs, "minutes"])
+    if kind == "share":
+        present += f" AND {b} > 0"
+    bad = ["isnan(raw_value)", "abs(raw_value) = double('Infinity')"]
+    if unit == "%":
+        bad.append("raw_value < 0 OR raw_value > 100")
+    if not signed:
+        bad.append("raw_value < 0")
+    absent = "not_applicable_zero_attempts" if unit == "%" else "zero_exposure"
+    return (
+        bundles.where(present)
+        .selectExpr(*keep, f"'{key}' AS key", f"'{unit}' AS unit", f"{value} AS raw_value", f"{a} AS numerator", f"{b} AS denominator")
+        .selectExpr(
+            *keep,
+            "key",
+            "unit",
+            f"IF({' OR '.join(bad)}, NULL, raw_value) AS value",
+            "numerator",
+            "denominator",
+            f"CASE WHEN raw_value IS NULL THEN '{absent}' WHEN {' OR '.join(bad)} THEN 'invalid' ELSE 'observed' END AS status",
+        )
+    )
+
+
+def bundle_build(obs: DataFrame, keys: Sequence[str], fields: Sequence[str], minutes_field: str) -> DataFrame:
+    """Numeric observations of one (row, provider, sample) side by side.
+
+    The fields are the configured inputs; ``minutes_field`` (SQL over ``provider``) names the
+    exposure column of each provider.
+    """
+    wide = obs.where(finite(F.col("value"))).groupBy(*keys).agg(
+        *[F.expr(f"max(CASE WHEN field = '{f}' THEN value END) AS {f}") for f in fields]
+    )
+    pick = " ".join(f"WHEN '{f}' THEN {f}" for f in fields)
+    return wide.withColumn("minutes", F.expr(f"CASE ({minutes_field}) {pick} END"))
+
+
+def attach_features(
+    entities: DataFrame, candidates: DataFrame, subject: str, keys: Sequence[str], priority: Sequence[str], exposure: str
+) -> DataFrame:
+    """The best candidate of every (entity, feature); a feature nobody reports is a declared zero.
+
+    ``candidates``: (subject, key, provider, window_minutes, value, numerator, denominator, status, id).
+    A window that misses the season's exposure by more than max(45, 2%) is only partial.
+    """
+    spark = entities.sparkSession
+    checked = (
+        candidates.join(entities.select(subject, F.col(exposure).alias("_season")), subject)
+        .withColumn(
+            "status",
+            F.expr(
+                "IF(window_minutes IS NOT NULL AND abs(window_minutes - _season) > greatest(45D, 0.02 * _season), 'partial_window', status)"
+            ),
+        )
+        .drop("_season")
+    )
+    best = priority_pick(checked, [subject, "key"], priority, "id", supported(F.col("status")))
+    grid = entities.select(subject).crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in keys], "key string")))
+    return grid.join(best, [subject, "key"], "left").selectExpr(
+        subject,
+        "key",
+        "IF(status IS NULL, 0D, value) AS value",
+        "numerator",
+        "denominator",
+        f"coalesce(status, '{UNRECORDED}') AS status",
+        "coalesce(provider, 'none') AS provider",
+        "coalesce(alternatives, 0) AS alternatives",
+    )
+
+
+def unrated_view(features: DataFrame, overall: DataFrame, subject: str) -> DataFrame:
+    """Measurements of entities without a rating: every value kept, every score null."""
+    null = F.lit(None).cast("double")
+    return features.join(overall.select(subject).distinct(), subject, "left_anti").select(
+        "*", null.alias("z"), null.alias("rating"), null.alias("percentile")
+    )
+
+
+def skill_composite(long: DataFrame, subject: str, cohort: Sequence[str], emphasised: Sequence[str], multiplier: float) -> DataFrame:
+    """Emphasised skills weigh ``multiplier``, others 1, over the skills an entity has.
+
+    Needs 70% of all skills and half of the emphasised ones; composites are re-standardised among
+    the entities measured in the same skills.
+    """
+    cohort = list(cohort)
+    stats = long.where("value IS NOT NULL").groupBy(*cohort, "key").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+    names = ", ".join(f"'{k}'" for k in emphasised)
+    z = long.join(stats, [*cohort, "key"]).selectExpr(
+        "*",
+        f"IF(_s > {EPSILON}, (value - _m) / _s, IF(value IS NULL, NULL, 0D)) * IF(direction < 0, -1, 1) AS fz",
+        f"IF(key IN ({names}), {float(multiplier)}D, 1D) AS weight",
+        f"key IN ({names}) AS emphasised",
+    )
+    per = z.groupBy(subject, *cohort).agg(
+        F.expr("100D * count(fz) / count(*) AS coverage"),
+        F.expr("100D * count_if(emphasised AND fz IS NOT NULL) / count_if(emphasised) AS role_coverage"),
+        F.expr("sum(IF(fz IS NULL, 0D, weight)) AS total_weight"),
+        F.expr("sum(weight * fz) / sum(IF(fz IS NULL, 0D, weight)) AS raw"),
+        # At most one short entry per skill.
+        F.expr("array_join(sort_array(collect_list(IF(fz IS NULL, NULL, key))), ',') AS mask"),
+    )
+    group = [*cohort, "mask"]
+    enough = per.where("coverage >= 70 AND role_coverage >= 50 AND total_weight > 0")
+    spread = enough.groupBy(*group).agg(F.avg("raw").alias("_m"), F.stddev_pop("raw").alias("_s"), F.count("*").alias("_n"))
+    return (
+        per.join(spread, group, "left")
+        .withColumn(
+            "z",
+            F.when(
+                F.expr("coverage >= 70 AND role_coverage >= 50 AND total_weight > 0"),
+                subject_z(F.col("raw"), F.col("_m"), F.col("_s"), F.col("_n")),
+            ),
+        )
+        .withColumn("rating", rating(F.col("z")))
+        .drop("_m", "_s", "_n", "mask")
+    )
+
+
+def archetype_scores(scores: DataFrame, subject: Sequence[str], archetypes: DataFrame, cohort: Sequence[str], minimum: int) -> DataFrame:
+    """The same abilities under several weight vectors, each re-standardised on its own peers.
+
+    ``archetypes``: (archetype, ability, weight), a fixed registry. ``scores`` needs one z per
+    (subject, ability) and a cohort shared by all abilities of a subject.
+    """
+    cohort = ["archetype", *cohort]
+    abilities = archetypes.select("ability").distinct().count()
+    composite = (
+        scores.join(F.broadcast(archetypes), "ability")
+        .groupBy(*subject, *[c for c in cohort if c not in subject])
+        .agg(F.count("z").alias("_n"), F.sum(F.round(F.col("weight") * F.col("z"), 12)).alias("raw"))
+        .where(F.col("_n") == abilities)
+        .drop("_n")
+    )
+    stats = composite.groupBy(*cohort).agg(F.avg("raw").alias("_m"), F.stddev_pop("raw").alias("_s"), F.count("*").alias("peers"))
+    return (
+        composite.join(stats, cohort)
+        .where(F.col("peers") >= minimum)
+        .withColumn("z", F.round(member_z(F.col("raw"), F.col("_m"), F.col("_s")), 10))
+        .withColumn("rating", rating(F.col("z")))
+        .drop("_m", "_s")
+    )
+
+
+def map_positions(df: DataFrame, column: str, mapping: dict[str, str], out: str = "position") -> DataFrame:
+    """Source labels to registry ids; an unknown label stays itself."""
+    table = df.sparkSession.createDataFrame(list(mapping.items()), "_label string, _id string")
+    return (
+        df.join(F.broadcast(table), F.col(column) == F.col("_label"), "left")
+        .withColumn(out, F.coalesce("_id", column))
+        .drop("_label", "_id")
+    )

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ("rating", "aggregates")
+MODULES = ("rating", "aggregates", "standardize")
 
 
 def _load() -> None:

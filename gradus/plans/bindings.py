@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Ability, Feature, Model
+from ..operators import standardize as S
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -214,3 +215,12 @@ b5 AS (SELECT l_orderkey AS match, o_orderdate AS match_date, o_orderstatus AS m
        l_partkey AS team, l_linenumber AS slot, l_quantity AS minutes, l_extendedprice AS price, l_discount AS xg,
        l_tax AS tax, l_returnflag AS flag, l_linestatus AS status, l_shipdate AS retrieved
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+ROLE_Z = """u AS (SELECT user_id, event_type AS role, sum(value) AS v FROM events GROUP BY 1, 2),
+rz AS (SELECT user_id, role, round((v - avg(v) OVER c) / stddev_pop(v) OVER c, 6) AS z FROM u WINDOW c AS (PARTITION BY role))"""
+
+
+def role_z(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's z in every event type."""
+    u = load(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("role")).agg(F.sum("value").alias("v"))
+    return S.zscores(u, ["role"], "v").select("user_id", "role", F.round("z", 6).alias("z"))

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ROLE_WEIGHTS, Feature
 from ..functions.status import rating
 from ..operators import rating as R
 from ..operators import standardize as S
-from ..operators.ordered import finite
 from .bindings import (
     ABILITIES,
+    APPEARANCES_SQL,
     ENTITIES_SQL,
     FEATURES,
+    NAMED_SQL,
+    PRIORITY,
+    ROLE_Z,
+    appearances,
     entities,
     features_sql,
     load,
     model,
+    named,
     registry_sql,
+    role_z,
 )
 from .registry import query
 
-WITH_B1 = f"WITH {ENTITIES_SQL}"
 
 
 def rate_entities(spark: SparkSession, sf: str, min_peers: int = 30) -> DataFrame:
@@ -87,3 +93,380 @@ WINDOW d AS (PARTITION BY role, cohort ORDER BY overall_z DESC), v AS (PARTITION
 @query("score_catalogue", RATED_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return rate_entities(spark, sf)
+
+
+def ability_scores(spark: SparkSession, sf: str) -> DataFrame:
+    m = model()
+    rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role"], "minutes")
+    return R.calibrate(rows, ["role", "ability", "signature"], m.slots, m.minimum_peers)
+
+
+LONG = ["player", "role", "league", "minutes"]
+
+
+@query("derive_features", f"WITH {ENTITIES_SQL}, {features_sql()} SELECT player, key, round(value, 6) AS value FROM feats")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    wide = R.derive_features(entities(spark, sf), FEATURES, ["player"])
+    out = wide.unpivot(["player"], [f.key for f in FEATURES], "key", "value")
+    return out.withColumn("value", F.round("value", 6))
+
+
+PAIR_FEATURES = (
+    Feature("sot_pct", "on_target", "shots", "%"),
+    Feature("goals_per_match", "np_goals", "matches", "ratio"),
+    Feature("aerial_pct", "np_goals", "attempted", "%"),
+    Feature("tax90", "tax"),
+)
+
+
+@query(
+    "feature_rows",
+    f"""WITH {ENTITIES_SQL}, c AS (SELECT *, CASE WHEN foot IS NULL THEN NULL ELSE shots - np_goals END AS lost FROM b1),
+d AS (SELECT *, np_goals + lost AS attempted FROM c),
+x AS (SELECT *, coalesce(on_target > shots OR np_goals > matches OR np_goals > attempted, FALSE) AS rejected FROM d)
+SELECT player, rejected, 'sot_pct' AS key, '%' AS unit, round(100.0 * on_target / shots, 6) AS value, on_target::DOUBLE AS numerator, shots::DOUBLE AS denominator, 'observed' AS status FROM x
+UNION ALL SELECT player, rejected, 'goals_per_match', 'ratio', round(np_goals / matches, 6), np_goals, matches, 'observed' FROM x
+UNION ALL SELECT player, rejected, 'aerial_pct', '%', round(100.0 * np_goals / attempted, 6), np_goals, attempted, CASE WHEN attempted IS NULL THEN 'missing_measurement' ELSE 'observed' END FROM x
+UNION ALL SELECT player, rejected, 'tax90', 'per90', round(90.0 * tax / minutes, 6), tax, minutes, CASE WHEN tax IS NULL THEN 'missing_measurement' ELSE 'observed' END FROM x""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    lost, attempted = R.complete_pairs("np_goals", "lost", "attempted")
+    df = (
+        entities(spark, sf)
+        .withColumn("lost", F.expr("IF(foot IS NULL, NULL, shots - np_goals)"))
+        .withColumn("attempted", F.lit(None).cast("long"))
+        .withColumn("attempted", F.expr(attempted))
+        .withColumn("lost", F.expr(lost))
+    )
+    return R.feature_rows(df, PAIR_FEATURES, ["player"]).withColumn("value", F.round("value", 6))
+
+
+@query("measurement_status", f"WITH {ENTITIES_SQL}, {features_sql()} SELECT player, key, status FROM feats")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return R.long_features(entities(spark, sf), FEATURES, ["player"]).select("player", "key", "status")
+
+
+BUNDLE_SQL = f"""
+WITH {APPEARANCES_SQL}, obs AS (SELECT player AS row, flag AS provider, status AS sample,
+  sum(minutes) AS mins, sum(price) AS saves, round(sum(xg), 2) AS goals, round(sum(tax), 2) AS conceded, count(*) AS attempts FROM b5 GROUP BY 1, 2, 3),
+bundle AS (SELECT row, provider, sample, goals, conceded, attempts::DOUBLE AS attempts, CASE WHEN provider = 'N' THEN NULL ELSE conceded END AS keep,
+  CASE provider WHEN 'R' THEN mins WHEN 'A' THEN attempts * 2 ELSE mins / 2 END AS minutes FROM obs)"""
+
+
+def bundles(spark: SparkSession, sf: str) -> DataFrame:
+    """Supplier totals by return flag (the source) and line status (the sample), as observations."""
+    totals = (
+        appearances(spark, sf)
+        .groupBy(F.col("player").alias("row"), F.col("flag").alias("provider"), F.col("status").alias("sample"))
+        .agg(
+            F.sum("minutes").alias("mins"),
+            F.round(F.sum("xg"), 2).alias("goals"),
+            F.round(F.sum("tax"), 2).alias("conceded"),
+            F.count("*").cast("double").alias("attempts"),
+        )
+    )
+    obs = totals.selectExpr(
+        "row",
+        "provider",
+        "sample",
+        "stack(6, 'mins', mins, 'goals', goals, 'conceded', conceded, 'attempts', attempts, 'keep', IF(provider = 'N', NULL, conceded), "
+        "'scaled', CASE provider WHEN 'A' THEN attempts * 2 ELSE mins / 2 END) AS (field, value)",
+    )
+    return R.bundle_build(
+        obs,
+        ["row", "provider", "sample"],
+        ["mins", "goals", "conceded", "attempts", "keep", "scaled"],
+        "IF(provider = 'R', 'mins', 'scaled')",
+    )
+
+
+@query("bundle_build", BUNDLE_SQL + " SELECT row, provider, sample, goals, conceded, attempts, keep, minutes FROM bundle")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return bundles(spark, sf).select("row", "provider", "sample", "goals", "conceded", "attempts", "keep", "minutes")
+
+
+@query(
+    "provider_local_measurement",
+    BUNDLE_SQL
+    + """, m AS (SELECT row, provider, sample, 'goal90' AS key, goals / minutes * 90 AS v, goals AS a, minutes AS b, 'per90' AS unit FROM bundle
+UNION ALL SELECT row, provider, sample, 'keep_pct', keep / goals * 100, keep, goals, '%' FROM bundle WHERE keep IS NOT NULL
+UNION ALL SELECT row, provider, sample, 'save_pct', goals, goals, conceded + attempts, '%' FROM bundle
+UNION ALL SELECT row, provider, sample, 'dist_pct', goals, goals, attempts, '%' FROM bundle)
+SELECT row, provider, sample, key, unit, CASE WHEN unit = '%' AND (v < 0 OR v > 100) THEN NULL ELSE round(v, 6) END AS value,
+  a AS numerator, round(b, 4) AS denominator, CASE WHEN unit = '%' AND (v < 0 OR v > 100) THEN 'invalid' ELSE 'observed' END AS status FROM m""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    b, keep = bundles(spark, sf), ["row", "provider", "sample"]
+    out = (
+        R.provider_measurement(b, "goal90", ["goals"], "per90", keep)
+        .unionByName(R.provider_measurement(b, "keep_pct", ["keep", "goals"], "%", keep))
+        .unionByName(R.provider_measurement(b, "save_pct", ["goals", "conceded", "attempts"], "%", keep, "share"))
+        .unionByName(R.provider_measurement(b, "dist_pct", ["goals", "attempts"], "%", keep, "given"))
+    )
+    return out.withColumn("value", F.round("value", 6)).withColumn("denominator", F.round("denominator", 4))
+
+
+@query(
+    "attach_features",
+    """WITH season AS (SELECT o_custkey AS player, count(*) * 30.0 AS minutes FROM orders GROUP BY 1),
+c AS (SELECT o_custkey AS player, o_orderstatus AS key, o_orderpriority AS provider, o_orderkey AS id, o_totalprice AS value,
+  CASE WHEN o_orderstatus = 'P' AND abs(o_totalprice / 1000 - minutes) > greatest(45, 0.02 * minutes) THEN 'partial_window' ELSE 'observed' END AS status
+  FROM orders JOIN season ON player = o_custkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY player, key ORDER BY status <> 'observed', provider, id) AS n, count(*) OVER (PARTITION BY player, key) - 1 AS alternatives FROM c),
+keys(key) AS (VALUES ('F'), ('O'), ('P'), ('X'))
+SELECT s.player, k.key, CASE WHEN status IS NULL THEN 0 ELSE value END AS value, coalesce(status, 'unrecorded_zero') AS status,
+  coalesce(provider, 'none') AS provider, coalesce(alternatives, 0) AS alternatives
+FROM season s CROSS JOIN keys k LEFT JOIN r ON r.player = s.player AND r.key = k.key AND n = 1""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    orders = load(spark, sf, "orders")
+    season = orders.groupBy(F.col("o_custkey").alias("player")).agg((F.count("*") * 30.0).alias("minutes"))
+    candidates = orders.selectExpr(
+        "o_custkey AS player",
+        "o_orderstatus AS key",
+        "o_orderpriority AS provider",
+        "o_orderkey AS id",
+        "IF(o_orderstatus = 'P', o_totalprice / 1000, NULL) AS window_minutes",
+        "o_totalprice AS value",
+        "o_totalprice AS numerator",
+        "1D AS denominator",
+        "'observed' AS status",
+    )
+    out = R.attach_features(season, candidates, "player", ["F", "O", "P", "X"], PRIORITY, "minutes")
+    return out.drop("numerator", "denominator")
+
+
+ACTIVE_SQL = SCORES_SQL.replace("{min_peers}", "30")
+
+
+@query("effective_weights", ACTIVE_SQL + "SELECT player, ability, key, round(w, 9) AS active_weight FROM active")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    registry = spark.createDataFrame(
+        [(a.name, k, float(w)) for a in ABILITIES for k, w in a.weights.items()], "ability string, key string, weight double"
+    )
+    long = R.long_features(entities(spark, sf), FEATURES, ["player"]).select("player", "key", "status")
+    out = R.effective_weights(long.join(F.broadcast(registry), "key"), ["player", "ability"])
+    return out.select("player", "ability", "key", F.round("active_weight", 9).alias("active_weight"))
+
+
+@query(
+    "cohort_signature",
+    ACTIVE_SQL + "SELECT player, role, ability, peers AS peer_count, peers >= 30 AS usable_cohort FROM sized",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    m = model()
+    rows = R.ability_rows(entities(spark, sf), m, ["player", "role"], "minutes").where("eligible")
+    sizes = rows.groupBy("role", "ability", "signature").agg(F.count("*").alias("peer_count"))
+    return rows.join(sizes, ["role", "ability", "signature"]).select(
+        "player", "role", "ability", "peer_count", (F.col("peer_count") >= m.minimum_peers).alias("usable_cohort")
+    )
+
+
+@query("calibrate_ability", ACTIVE_SQL + "SELECT player, role, ability, round(raw, 6) AS raw, round(z, 6) AS z, peers AS peer_count FROM ability")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return ability_scores(spark, sf).select(
+        "player", "role", "ability", F.round("raw", 6).alias("raw"), F.round("z", 6).alias("z"), "peer_count"
+    )
+
+
+@query("calibrate_composite", ACTIVE_SQL + "SELECT player, round(overall_raw, 6) AS overall_raw, round(overall_z, 6) AS overall_z, population AS peers FROM overall WHERE population >= 30")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    overall = R.compose(ability_scores(spark, sf), ["player", "role"], "role", len(ABILITIES), 30)
+    return overall.select("player", F.round("overall_raw", 6).alias("overall_raw"), F.round("overall_z", 6).alias("overall_z"), "peers")
+
+
+# A subject below the exposure floor is scored against the frozen peers of its mask.
+SUBJECT_SQL = ACTIVE_SQL + """, fstats AS (SELECT role, ability, sig, key, max(mean) AS mean, avg(st) AS a, stddev_pop(st) AS d FROM shrunk GROUP BY 1, 2, 3, 4),
+cstats AS (SELECT role, ability, sig, avg(raw) AS m, stddev_pop(raw) AS s, count(*) AS peers FROM comp GROUP BY 1, 2, 3),
+wanted AS (SELECT player, role, ability, string_agg(CASE WHEN w > 0 AND dir <> 0 THEN key || ':' || CAST(round(w, 9) AS VARCHAR) END, ';' ORDER BY key) AS sig
+  FROM active GROUP BY 1, 2, 3),
+subj AS (SELECT q.player, q.role, q.ability, q.sig, sum(w * dir * ((den / (den + k) * value + (1 - den / (den + k)) * mean) - a) / d) AS raw, count(value) = count(*) AS full_row
+  FROM wanted q JOIN active t USING (player, role, ability) JOIN fstats f ON f.role = q.role AND f.ability = q.ability AND f.sig = q.sig AND f.key = t.key
+  WHERE t.w > 0 AND t.dir <> 0 GROUP BY 1, 2, 3, 4)
+SELECT player, role, ability, round((raw - m) / s, 6) AS z, round(greatest(1.0, 50 + 15 * (raw - m) / s), 6) AS rating, peers AS peer_count
+FROM subj JOIN cstats USING (role, ability, sig) WHERE full_row AND s > 1e-12"""
+
+
+@query("evaluate_role", SUBJECT_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    m = model()
+    rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role"], "minutes").persist()
+    cohort = ["role", "ability", "signature"]
+    peers = R.calibrate(rows, cohort, m.slots, m.minimum_peers)
+    out = R.score_subjects(rows, peers, cohort, m.slots).where("z IS NOT NULL")
+    return out.select(
+        "player", "role", "ability", F.round("z", 6).alias("z"), F.round(rating(F.col("z")), 6).alias("rating"), "peer_count"
+    )
+
+
+@query(
+    "unrated_view",
+    ACTIVE_SQL + """SELECT player, key, round(value, 6) AS value, status, CAST(NULL AS DOUBLE) AS rating FROM feats
+WHERE player NOT IN (SELECT player FROM overall WHERE population >= 30)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    overall = R.compose(ability_scores(spark, sf), ["player", "role"], "role", len(ABILITIES), 30)
+    long = R.long_features(entities(spark, sf), FEATURES, ["player"])
+    return R.unrated_view(long, overall, "player").select("player", "key", F.round("value", 6).alias("value"), "status", "rating")
+
+
+def archetypes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [(name, a.name, w) for name, weights in ROLE_WEIGHTS.items() for a, w in zip(ABILITIES, weights)],
+        "archetype string, ability string, weight double",
+    )
+
+
+ARCHETYPE_VALUES = ", ".join(
+    f"('{name}', '{a.name}', CAST({w} AS DOUBLE))" for name, weights in ROLE_WEIGHTS.items() for a, w in zip(ABILITIES, weights)
+)
+
+
+@query(
+    "role_archetype_scores",
+    ACTIVE_SQL
+    + f""", arch(archetype, ability, weight) AS (VALUES {ARCHETYPE_VALUES}),
+c AS (SELECT player, role, archetype, sum(weight * z) AS raw FROM ability JOIN arch USING (ability) GROUP BY 1, 2, 3 HAVING count(*) = 6),
+k AS (SELECT c.*, league = 'AFRICA' AS masked FROM c JOIN (SELECT DISTINCT player, league FROM feats) USING (player)),
+s AS (SELECT *, count(*) OVER w AS peers, (raw - avg(raw) OVER w) / stddev_pop(raw) OVER w AS z FROM k WINDOW w AS (PARTITION BY role, archetype, masked))
+SELECT player, role, archetype, round(z, 6) AS z, round(greatest(1.0, 50 + 15 * z), 6) AS rating, peers FROM s WHERE peers >= 30""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    # The excluded-feature mask of all abilities together is part of the cohort.
+    scores = ability_scores(spark, sf).persist()
+    mask = scores.groupBy("player").agg(F.max(F.col("excluded") > 0).alias("masked"))
+    out = R.archetype_scores(scores.join(mask, "player"), ["player"], archetypes(spark), ["role", "masked"], 30)
+    return out.select("player", "role", "archetype", F.round("z", 6).alias("z"), F.round("rating", 6).alias("rating"), "peers")
+
+
+@query(
+    "hybrid_score",
+    f"""WITH {ROLE_Z}, j AS (SELECT a.user_id, 0.5 * a.z + 0.5 * b.z AS raw FROM rz a JOIN rz b ON a.user_id = b.user_id AND a.role = 'click' AND b.role = 'purchase')
+SELECT user_id, round(raw, 6) AS raw, round((raw - (SELECT avg(raw) FROM j)) / (SELECT stddev_pop(raw) FROM j), 5) AS z, (SELECT count(*) FROM j) AS joint_peers FROM j""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    z = role_z(spark, sf).persist()
+    pick = lambda r: z.where(F.col("role") == r).withColumn("scope", F.lit(1))
+    out = R.hybrid([(pick("click"), 0.5), (pick("purchase"), 0.5)], "user_id", ["scope"])
+    return out.select("user_id", F.round("raw", 6).alias("raw"), F.round("z", 5).alias("z"), "joint_peers")
+
+
+@query(
+    "versatility",
+    f"""WITH {ROLE_Z}, v AS (SELECT * FROM rz WHERE role <> 'error'),
+p AS (SELECT user_id, role AS primary_role, z AS zp FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY z DESC, role) AS r FROM v) WHERE r = 1)
+SELECT v.user_id, primary_role, round(avg((z >= 0)::INT), 6) AS breadth, round(avg(least(1.0, greatest(0.0, (z + 1) / 3))), 6) AS secondary_quality,
+  round(avg(greatest(0.0, 1 - abs(zp - z) / 3)), 6) AS consistency,
+  round(100 * (0.4 * avg((z >= 0)::INT) + 0.4 * avg(least(1.0, greatest(0.0, (z + 1) / 3))) + 0.2 * avg(greatest(0.0, 1 - abs(zp - z) / 3))), 5) AS versatility
+FROM v JOIN p ON v.user_id = p.user_id AND v.role <> p.primary_role GROUP BY 1, 2""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    z = role_z(spark, sf).withColumn("ord", F.col("role")).persist()
+    out = R.versatility(z, "user_id", "ord", ("error",))
+    return out.select(
+        "user_id",
+        "primary_role",
+        *[F.round(c, 6).alias(c) for c in ("breadth", "secondary_quality", "consistency")],
+        F.round("versatility", 5).alias("versatility"),
+    )
+
+
+@query(
+    "assigned_position_scores",
+    ACTIVE_SQL
+    + """, masks AS (SELECT DISTINCT f.ability, f.sig, a.key, a.w, a.dir, a.k FROM flags f JOIN active a USING (player, role, ability) WHERE eligible AND w > 0 AND dir <> 0),
+need AS (SELECT ability, sig, count(*) AS n FROM masks GROUP BY 1, 2),
+pool AS (SELECT m.*, f.role AS position, f.player AS ref, f.value, f.den FROM masks m JOIN feats f ON f.key = m.key AND f.minutes >= 900 AND f.status = 'observed' AND f.den > 0),
+okay AS (SELECT ability, sig, position, ref FROM pool JOIN need USING (ability, sig) GROUP BY 1, 2, 3, 4 HAVING count(*) = max(n)),
+size AS (SELECT ability, sig, position, count(*) AS peers FROM okay GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+m1 AS (SELECT pool.*, peers, avg(value) OVER (PARTITION BY ability, sig, position, key) AS mean FROM pool JOIN okay USING (ability, sig, position, ref) JOIN size USING (ability, sig, position)),
+m2 AS (SELECT *, den / (den + k) * value + (1 - den / (den + k)) * mean AS st FROM m1),
+fs AS (SELECT ability, sig, position, key, max(mean) AS mean, avg(st) AS a, stddev_pop(st) AS d FROM m2 GROUP BY 1, 2, 3, 4),
+rr AS (SELECT ability, sig, position, ref, max(peers) AS peers, sum(w * dir * (st - a) / d) AS raw FROM m2 JOIN fs USING (ability, sig, position, key) GROUP BY 1, 2, 3, 4),
+cs AS (SELECT ability, sig, position, max(peers) AS peers, avg(raw) AS m, stddev_pop(raw) AS s FROM rr GROUP BY 1, 2, 3 HAVING stddev_pop(raw) > 1e-12),
+sub AS (SELECT f.player, f.ability, f.sig, fs.position, sum(t.w * t.dir * ((t.den / (t.den + t.k) * t.value + (1 - t.den / (t.den + t.k)) * fs.mean) - a) / d) AS raw
+  FROM flags f JOIN active t USING (player, role, ability) JOIN fs ON fs.ability = f.ability AND fs.sig = f.sig AND fs.key = t.key WHERE f.eligible AND t.w > 0 AND t.dir <> 0 GROUP BY 1, 2, 3, 4)
+SELECT player, position, sub.ability, round((raw - m) / s, 6) AS z, peers AS peer_count FROM sub JOIN cs USING (ability, sig, position)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    m = model()
+    rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role", "minutes"], "minutes").persist()
+    references = rows.where("minutes >= 900").withColumnRenamed("role", "position")
+    out = R.assigned_positions(rows.withColumnRenamed("role", "position"), references, ["player"], "position", m)
+    return out.select("player", "position", "ability", F.round("z", 6).alias("z"), "peer_count")
+
+
+@query(
+    "canonical_reference",
+    f"""WITH {NAMED_SQL} SELECT name, league, row, provider FROM (SELECT *, row_number() OVER (PARTITION BY name, league ORDER BY provider <> 'PROMO', row) AS r FROM b3) WHERE r = 1""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    df = named(spark, sf).withColumn("preferred", (F.col("provider") == "PROMO").cast("int"))
+    out = S.best_row(df.select("name", "league", "row", "provider", "preferred"), ["name", "league"], [("preferred", True), ("row", False)])
+    return out.drop("preferred")
+
+
+@query(
+    "skill_composite",
+    f"""WITH {ENTITIES_SQL}, {features_sql()},
+z AS (SELECT *, CASE WHEN stddev_pop(value) OVER c > 1e-12 THEN (value - avg(value) OVER c) / stddev_pop(value) OVER c ELSE CASE WHEN value IS NULL THEN NULL ELSE 0 END END
+  * CASE WHEN dir < 0 THEN -1 ELSE 1 END AS fz, CASE WHEN key IN ('goals90', 'tax90', 'xg90') THEN 2.0 ELSE 1.0 END AS wt FROM feats WINDOW c AS (PARTITION BY role, key)),
+p AS (SELECT player, role, 100.0 * count(fz) / count(*) AS coverage, 100.0 * count(fz) FILTER (wt = 2) / count(*) FILTER (wt = 2) AS role_coverage,
+  sum(wt) FILTER (fz IS NOT NULL) AS total_weight, sum(wt * fz) / sum(wt) FILTER (fz IS NOT NULL) AS raw, count(fz) AS mask FROM z GROUP BY 1, 2)
+SELECT player, role, coverage, round(role_coverage, 6) AS role_coverage, total_weight, round(raw, 6) AS raw,
+  round((raw - avg(raw) OVER g) / stddev_pop(raw) OVER g, 6) AS z FROM p WINDOW g AS (PARTITION BY role, mask)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    directions = spark.createDataFrame([(f.key, f.direction) for f in FEATURES], "key string, direction int")
+    long = R.long_features(entities(spark, sf), FEATURES, ["player", "role"]).join(F.broadcast(directions), "key")
+    out = R.skill_composite(long, "player", ["role"], ["goals90", "tax90", "xg90"], 2.0)
+    return out.select(
+        "player", "role", "coverage", F.round("role_coverage", 6).alias("role_coverage"), "total_weight",
+        F.round("raw", 6).alias("raw"), F.round("z", 6).alias("z"),
+    )
+
+
+@query(
+    "position_map",
+    """SELECT p_partkey, p_type, CASE p_type WHEN 'ECONOMY' THEN 'CB' WHEN 'PROMO' THEN 'ST' ELSE p_type END AS position FROM part""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return R.map_positions(load(spark, sf, "part").select("p_partkey", "p_type"), "p_type", {"ECONOMY": "CB", "PROMO": "ST"})
+
+
+@query(
+    "ability_profile",
+    ACTIVE_SQL
+    + """SELECT player, role, ability, round(z, 6) AS z, round(greatest(1.0, 50 + 15 * z), 6) AS rating, overall_weight, peers AS peer_count,
+  round(100.0 * (peers - rank() OVER d - count(*) OVER v + 1 + 0.5 * count(*) OVER v) / peers, 6) AS percentile, round(q50, 6) AS median_z
+FROM (SELECT *, quantile_cont(z, 0.5) OVER (PARTITION BY role, ability, sig) AS q50 FROM (SELECT * REPLACE (round(z, 10) AS z) FROM ability))
+WINDOW d AS (PARTITION BY role, ability, sig ORDER BY z DESC), v AS (PARTITION BY role, ability, sig, z)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    key = ["role", "ability", "signature"]
+    scores = (
+        ability_scores(spark, sf)
+        .select("player", *key, "overall_weight", "peer_count", F.round("z", 10).alias("z"))
+        .persist()
+    )
+    median = S.quantiles(S.value_counts(scores, key, "z"), key, "z", [0.5]).select(*key, F.col("quantile").alias("median_z"))
+    out = S.ranks(scores, key, "z").join(median, key)
+    return out.select(
+        "player", "role", "ability", F.round("z", 6).alias("z"), F.round(rating(F.col("z")), 6).alias("rating"),
+        "overall_weight", "peer_count", F.round("percentile", 6).alias("percentile"), F.round("median_z", 6).alias("median_z"),
+    )
+
+
+@query(
+    "combined_profile",
+    f"""WITH {NAMED_SQL}, c AS (SELECT name, league, unnest(['size', 'price']) AS key, unnest([size::DOUBLE, price]) AS value, provider, row FROM b3),
+r AS (SELECT *, row_number() OVER (PARTITION BY name, league, key ORDER BY value < 10, provider, row) AS n, count(*) OVER (PARTITION BY name, league, key) - 1 AS alternatives FROM c)
+SELECT name, league, key, value, provider, row, alternatives FROM r WHERE n = 1""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    candidates = named(spark, sf).selectExpr(
+        "name", "league", "provider", "row", "stack(2, 'size', cast(size AS double), 'price', price) AS (key, value)"
+    )
+    priority = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+    out = R.priority_pick(candidates, ["name", "league", "key"], priority, "row", F.col("value") >= 10)
+    return out.select("name", "league", "key", "value", "provider", "row", "alternatives")
