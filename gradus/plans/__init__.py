@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ("rating", "aggregates", "standardize")
+MODULES = ("rating", "aggregates", "standardize", "quality")
 
 
 def _load() -> None:
