@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ("rating", "aggregates", "standardize", "quality")
+MODULES = ("rating", "aggregates", "standardize", "quality", "identity")
 
 
 def _load() -> None:
