@@ -4,8 +4,7 @@ A plain window sorts a whole group in one task. Here a group is first reduced to
 values, each value falls in an order-preserving cell, only the small per-cell totals are
 accumulated per group, and the remaining work is one window per (group, cell). A group holding
 a third of the data is therefore spread over as many tasks as it has cells. Everything is
-exact, and the cells depend on exact minima and maxima only, so a recomputed task
-always yields the same cell for a row.
+exact, and a cell depends on its value alone, so a recomputed task always yields the same one.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1024
+CELLS_PER_OCTAVE = 4096
 
 
 def finite(column: Column) -> Column:
@@ -24,17 +23,13 @@ def finite(column: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
-def order_cell(value: Column, low: Column, high: Column) -> Column:
-    """A coarse number that never decreases when ``value`` grows.
+def order_cell(value: str) -> str:
+    """SQL of a coarse number that never decreases when the value grows.
 
-    Equal-width cells spread narrow ranges, magnitude cells spread heavy tails.
+    Cells are a sixtieth of a percent wide, so also a narrow range of large numbers has many.
     """
-    v, lo, hi = (c.cast("double") for c in (value, low, high))
-    width = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * CELLS)).otherwise(F.lit(0))
-    magnitude = F.when(v == 0, F.lit(0)).otherwise(
-        F.signum(v).cast("long") * (F.floor(F.log2(F.abs(v)) * 16) + F.lit(20000))
-    )
-    return (width * F.lit(131072) + magnitude + F.lit(65536)).cast("long")
+    size = f"(floor(log2(abs({value})) * {CELLS_PER_OCTAVE}) + {CELLS_PER_OCTAVE * 1100})"
+    return f"cast(CASE WHEN {value} = 0 THEN 0 WHEN {value} > 0 THEN {size} ELSE -{size} END AS bigint)"
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, out: str = "n") -> DataFrame:
@@ -47,23 +42,18 @@ def cumulative(counts: DataFrame, keys: Sequence[str], value: str, weight: str =
     ``counts`` holds one row per (keys, value); keys must not be null.
     """
     keys = list(keys)
-    counts = counts.persist()  # read for the span, the cells and the values
-    span = counts.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(weight).alias("total")
-    )
-    celled = counts.join(span, keys).withColumn(
-        "_cell", order_cell(F.col(value), F.col("_lo"), F.col("_hi"))
-    )
-    across = Window.partitionBy(*keys).orderBy("_cell")
+    counts = counts.persist()  # read for the cells and for the values
+    celled = counts.withColumn("_cell", F.expr(order_cell(f"double(`{value}`)")))
+    by = Window.partitionBy(*keys)
+    across = by.orderBy("_cell")
     cells = (
         celled.groupBy(*keys, "_cell")
         .agg(F.sum(weight).alias("_w"), F.min(value).alias("_first"), F.max(value).alias("_last"))
         .select(
             *keys,
             "_cell",
-            F.coalesce(
-                F.sum("_w").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_before"),
+            F.coalesce(F.sum("_w").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+            F.sum("_w").over(by).alias("total"),
             F.lag("_last").over(across).alias("_prev"),
             F.lead("_first").over(across).alias("_next"),
         )

@@ -54,25 +54,20 @@ def zscores(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") -> D
 
 
 def percentile_ranks(
-    subjects: DataFrame, peers: DataFrame, keys: Sequence[str], value: str, direction: int = 1, out: str = "percentile"
+    df: DataFrame, keys: Sequence[str], value: str, peer: str = "true", direction: int = 1, out: str = "percentile"
 ) -> DataFrame:
-    """Mid-rank percentile of each subject among the peers of its cohort.
+    """Mid-rank percentile of each row among the rows of its cohort that satisfy ``peer`` (SQL).
 
-    Subjects and peers are counted per distinct value first, so neither side is sorted whole.
+    A row outside the peers is ranked against them but never counted. Rows are counted per
+    distinct value first, so no cohort is sorted whole.
     """
     keys = list(keys)
-    counts = (
-        value_counts(peers, keys, value)
-        .unionByName(value_counts(subjects, keys, value).withColumn("n", F.lit(0).cast("long")))
-        .groupBy(*keys, value)
-        .agg(F.sum("n").alias("n"))
+    counts = df.where(finite(F.col(value))).groupBy(*keys, value).agg(F.expr(f"count_if({peer}) AS n"))
+    p = "100D * (below + 0.5D * n) / total"
+    scored = cumulative(counts, keys, value).selectExpr(
+        *keys, value, f"IF(total > 0, {'100D - ' if direction < 0 else ''}{p}, NULL) AS {out}"
     )
-    ranked = cumulative(counts, keys, value)
-    p = F.lit(100.0) * (F.col("below") + F.lit(0.5) * F.col("n")) / F.col("total")
-    if direction < 0:
-        p = F.lit(100.0) - p
-    scored = ranked.select(*keys, value, F.when(F.col("total") > 0, p).alias(out))
-    return subjects.join(scored, [*keys, value], "left")
+    return df.join(scored, [*keys, value], "left")
 
 
 def ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -42,7 +42,7 @@ FROM e JOIN p ON e.role = p.role GROUP BY 1, 2""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     e = rates(spark, sf).select("player", "role", "minutes", "v").persist()
-    out = S.percentile_ranks(e, e.where("minutes >= 900"), ["role"], "v", direction=-1)
+    out = S.percentile_ranks(e, ["role"], "v", "minutes >= 900", direction=-1)
     return out.select("player", "role", F.round("percentile", 6).alias("percentile"))
 
 
