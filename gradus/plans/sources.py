@@ -23,12 +23,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "snapshots")
     events = load(spark, sf, "events").selectExpr(
-        "event_type AS endpoint", "year(ts) AS season", "ts AS retrieved_at", "named_struct('id', event_id, 'value', value) AS payload"
+        "event_type AS endpoint", "year(ts) AS season", "string(ts) AS retrieved_at", "named_struct('id', event_id, 'value', value) AS payload"
     )
-    events.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").partitionBy("endpoint").json(folder)
-    schema = "endpoint string, season int, retrieved_at timestamp, payload struct<id: bigint, value: double>"
+    events.write.partitionBy("endpoint").json(folder)
+    schema = "endpoint string, season int, retrieved_at string, payload struct<id: bigint, value: double>"
     snapshots = files.scan_snapshots(spark, folder, schema, 2024).where("endpoint <> 'error'")
-    return snapshots.selectExpr("payload.id AS event_id", "endpoint AS event_type", "round(payload.value, 2) AS value", "retrieved_at")
+    return snapshots.selectExpr("payload.id AS event_id", "endpoint AS event_type", "round(payload.value, 2) AS value", "timestamp(retrieved_at) AS retrieved_at")
 
 
 @query(
