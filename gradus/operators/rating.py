@@ -78,18 +78,18 @@ def ability_rows(
     """One row per (entity, ability): slots of value/exposure/prior/weight, eligibility, signature.
 
     The signature is the set of scored features with their active weights and measurement
-    version (a SQL expression): only entities measured alike are ever compared.
+    version (SQL, ``{key}`` stands for the feature): only entities measured alike are compared.
     """
     measured = df.selectExpr(
         *keep,
         f"{exposure} AS _exposure",
-        f"({version}) AS _version",
         f"({extra_ok}) AS _ok",
         *[
             f"CASE WHEN {f.denominator} > 0 THEN CAST({f.numerator} AS DOUBLE) / {f.denominator} * {f.scale}D END AS v_{f.key}"
             for f in model.features
         ],
         *[f"CAST({f.denominator} AS DOUBLE) AS n_{f.key}" for f in model.features],
+        *[f"({version.format(key=f.key)}) AS p_{f.key}" for f in model.features],
         *[
             f"CASE WHEN {f.numerator} IS NULL OR {f.denominator} IS NULL THEN 'u' WHEN {f.denominator} > 0 THEN 'o' ELSE 'z' END AS s_{f.key}"
             for f in model.features
@@ -127,7 +127,7 @@ def ability_rows(
         ) or "false"
         used = " OR ".join(f"({on})" for _, _, _, on in scored) or "false"
         marks = ", ".join(
-            f"IF({on}, concat('{k}@', round({active}, 12), '|', _version), NULL)" for k, _, active, on in scored
+            f"IF({on}, concat('{k}@', round({active}, 12), '|', p_{k}), NULL)" for k, _, active, on in scored
         )
         available = " + ".join(f"IF(s_{k} = 'o', 1, 0)" for k in a.weights)
         excluded = " + ".join(f"IF(s_{k} = 'u', 1, 0)" for k in a.weights)
@@ -376,9 +376,9 @@ def score_subjects(rows: DataFrame, scored_peers: DataFrame, cohort: Sequence[st
 
 
 def assigned_positions(
-    rows: DataFrame, references: DataFrame, subject: Sequence[str], position: str, model: Model
-) -> DataFrame:
-    """Every subject scored in every position against that position's natural players.
+    rows: DataFrame, references: DataFrame, position: str, model: Model
+) -> tuple[DataFrame, DataFrame]:
+    """(subject scores, reference scores): every subject in every position against its natural players.
 
     A reference joins a subject's cohort if it is observed in each feature the subject uses. Cohorts
     depend on the subject's weight mask only, so they are built once per distinct mask: the
@@ -386,16 +386,47 @@ def assigned_positions(
     """
     slots = range(model.slots)
     weights = [f"w{i}" for i in slots]
-    masks = rows.where("eligible").select("ability", "signature", *weights).distinct()
+    masks = cut(rows.where("eligible").select("ability", "signature", *weights).distinct())
     compatible = " AND ".join(f"(w{i} = 0 OR (v{i} IS NOT NULL AND NOT isnan(v{i}) AND n{i} > 0))" for i in slots)
     pool = references.drop("signature", "eligible", *weights).join(masks, "ability").where(compatible)
-    pool = pool.withColumn("eligible", F.lit(True))
     cohort = [position, "ability", "signature"]
-    peers = calibrate(pool, cohort, model.slots, model.minimum_peers)
+    peers = calibrate(pool.withColumn("eligible", F.lit(True)), cohort, model.slots, model.minimum_peers)
     positions = references.select(position).distinct()
     # Positions are a fixed registry; the subject side stays partitioned.
     asked = rows.where("eligible").drop(position).crossJoin(F.broadcast(positions))
-    return score_subjects(asked, peers, cohort, model.slots).where(F.col("z").isNotNull())
+    return score_subjects(asked, peers, cohort, model.slots).where(F.col("z").isNotNull()), peers
+
+
+def assigned_overall(
+    scores: DataFrame, peers: DataFrame, rows: DataFrame, subject: str, position: str, model: Model
+) -> DataFrame:
+    """Overall score of subjects in every position against the references common to all abilities."""
+    count = len(model.abilities)
+    cohort = F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "ability", "signature"))), ";"), 256)
+    # One short entry per ability.
+    tuples = rows.where("eligible").groupBy(subject).agg(cohort.alias("cohort"), F.count("*").alias("n")).where(F.col("n") == count)
+    wanted = cut(
+        tuples.select(subject, "cohort").join(rows.where("eligible"), subject).select("cohort", "ability", "signature").distinct()
+    )
+    key = [position, "cohort"]
+    reference = (
+        peers.select(F.col(subject).alias("_ref"), position, "ability", "signature", "overall_weight", "z")
+        .join(wanted, ["ability", "signature"])
+        .groupBy(*key, "_ref")
+        .agg(F.count("*").alias("n"), F.sum(F.round(F.col("overall_weight") * F.col("z"), 12)).alias("raw"))
+        .where(F.col("n") == count)
+    )
+    stats = cut(
+        reference.groupBy(*key).agg(F.avg("raw").alias("_m"), F.stddev_pop("raw").alias("_s"), F.count("*").alias("common_peers"))
+    )
+    return (
+        overall_of(scores, [subject, position], count)
+        .join(stats, key)
+        .where(f"common_peers >= {model.minimum_peers} AND _s > {EPSILON}")
+        .withColumn("overall_z", F.round((F.col("overall_raw") - F.col("_m")) / F.col("_s"), 10))
+        .withColumn("overall", rating(F.col("overall_z")))
+        .drop("_m", "_s")
+    )
 
 
 def overall_of(scores: DataFrame, subject: Sequence[str], abilities: int) -> DataFrame:

@@ -29,7 +29,9 @@ def _prepared(features: Sequence[str]) -> list:
     ]
 
 
-def train_models(folds: DataFrame, features: Sequence[str], label: str, seed: int = 42):
+def train_models(
+    folds: DataFrame, features: Sequence[str], label: str, trees: int = 120, step: float = 0.05, epochs: int = 80, seed: int = 42
+):
     """Logistic regression, boosted trees and a small network, fitted on the training fold only.
 
     Returns (scores per model and fold, chosen model name, fitted models).
@@ -38,8 +40,8 @@ def train_models(folds: DataFrame, features: Sequence[str], label: str, seed: in
     train = data.where("fold = 'train'").persist()
     estimators = {
         "logistic": LogisticRegression(),
-        "boosted_trees": GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.1, seed=seed),
-        "network": MultilayerPerceptronClassifier(layers=[len(features), 16, 8, 2], maxIter=80, seed=seed),
+        "boosted_trees": GBTClassifier(maxIter=trees, maxDepth=4, stepSize=step, seed=seed),
+        "network": MultilayerPerceptronClassifier(layers=[len(features), 16, 8, 2], maxIter=epochs, seed=seed),
     }
     scored, fitted = None, {}
     for name, estimator in estimators.items():

@@ -144,12 +144,14 @@ def robust_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
     """One row per key, chosen by (column, descending) pairs; a partial max, not a sorted window.
 
-    Descending sorts need numeric columns; a final ascending tie-break may be of any type.
+    In a mixed order the descending columns must be numeric.
     """
     keys = list(keys)
-    parts = [(-F.col(c) if desc else F.col(c)).alias(f"_{i}") for i, (c, desc) in enumerate(order)]
+    down = all(desc for _, desc in order)
+    parts = [(-F.col(c) if desc and not down else F.col(c)).alias(f"_{i}") for i, (c, desc) in enumerate(order)]
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*parts)).alias("_row"))
+    pick = F.max_by if down else F.min_by
+    picked = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*parts)).alias("_row"))
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 

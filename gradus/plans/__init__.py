@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import registry
 
-MODULES = ("rating", "aggregates", "standardize", "quality", "identity", "master", "recruit", "sources", "research")
+MODULES = ("rating", "aggregates", "standardize", "quality", "identity", "master", "recruit", "sources", "research", "catalogue")
 
 
 def _load() -> None:

@@ -124,10 +124,10 @@ def model(minimum_peers: int = 30, minimum_exposure: float = 900) -> Model:
     return Model(FEATURES, ABILITIES, minimum_exposure, minimum_peers)
 
 
-def features_sql() -> str:
-    """Long features of the entities: one row per (player, key)."""
+def features_sql(provider: str = "'one'", special: dict[str, str] | None = None) -> str:
+    """Long features of the entities: one row per (player, key); ``special`` names other providers by key."""
     rows = [
-        f"SELECT player, role, league, minutes, '{f.key}' AS key, CAST({f.numerator} AS DOUBLE) AS num, "
+        f"SELECT player, role, league, minutes, {(special or {}).get(f.key, provider)} AS provider, '{f.key}' AS key, CAST({f.numerator} AS DOUBLE) AS num, "
         f"CAST({f.denominator} AS DOUBLE) AS den, CAST({f.scale} AS DOUBLE) AS scale, CAST({f.prior} AS DOUBLE) AS k, "
         f"{f.direction} AS dir, '{f.denominator}' AS den_key FROM b1"
         for f in FEATURES

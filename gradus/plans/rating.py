@@ -371,10 +371,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "assigned_position_scores",
-    ACTIVE_SQL
-    + """, masks AS (SELECT DISTINCT f.ability, f.sig, a.key, a.w, a.dir, a.k FROM flags f JOIN active a USING (player, role, ability) WHERE eligible AND w > 0 AND dir <> 0),
+ASSIGNED_SQL = ACTIVE_SQL + """, masks AS (SELECT DISTINCT f.ability, f.sig, a.key, a.w, a.dir, a.k FROM flags f JOIN active a USING (player, role, ability) WHERE eligible AND w > 0 AND dir <> 0),
 need AS (SELECT ability, sig, count(*) AS n FROM masks GROUP BY 1, 2),
 pool AS (SELECT m.*, f.role AS position, f.player AS ref, f.value, f.den FROM masks m JOIN feats f ON f.key = m.key AND f.minutes >= 900 AND f.status = 'observed' AND f.den > 0),
 okay AS (SELECT ability, sig, position, ref FROM pool JOIN need USING (ability, sig) GROUP BY 1, 2, 3, 4 HAVING count(*) = max(n)),
@@ -385,17 +382,44 @@ fs AS (SELECT ability, sig, position, key, max(mean) AS mean, avg(st) AS a, stdd
 rr AS (SELECT ability, sig, position, ref, max(peers) AS peers, sum(w * dir * (st - a) / d) AS raw FROM m2 JOIN fs USING (ability, sig, position, key) GROUP BY 1, 2, 3, 4),
 cs AS (SELECT ability, sig, position, max(peers) AS peers, avg(raw) AS m, stddev_pop(raw) AS s FROM rr GROUP BY 1, 2, 3 HAVING stddev_pop(raw) > 1e-12),
 sub AS (SELECT f.player, f.ability, f.sig, fs.position, sum(t.w * t.dir * ((t.den / (t.den + t.k) * t.value + (1 - t.den / (t.den + t.k)) * fs.mean) - a) / d) AS raw
-  FROM flags f JOIN active t USING (player, role, ability) JOIN fs ON fs.ability = f.ability AND fs.sig = f.sig AND fs.key = t.key WHERE f.eligible AND t.w > 0 AND t.dir <> 0 GROUP BY 1, 2, 3, 4)
+  FROM flags f JOIN active t USING (player, role, ability) JOIN fs ON fs.ability = f.ability AND fs.sig = f.sig AND fs.key = t.key WHERE f.eligible AND t.w > 0 AND t.dir <> 0 GROUP BY 1, 2, 3, 4)"""
+
+
+@query(
+    "assigned_position_scores",
+    ASSIGNED_SQL
+    + """
 SELECT player, position, sub.ability, round((raw - m) / s, 6) AS z, peers AS peer_count FROM sub JOIN cs USING (ability, sig, position)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     m = model()
     rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role", "minutes"], "minutes").persist()
     references = rows.where("minutes >= 900").withColumnRenamed("role", "position")
-    out = R.assigned_positions(rows.withColumnRenamed("role", "position"), references, ["player"], "position", m)
+    out, _ = R.assigned_positions(rows.withColumnRenamed("role", "position"), references, "position", m)
     return out.select("player", "position", "ability", F.round("z", 6).alias("z"), "peer_count")
 
 
+@query(
+    "common_cohort_assigned",
+    ASSIGNED_SQL
+    + """, rz AS (SELECT rr.ability, rr.sig, rr.position, ref, (raw - m) / s AS z FROM rr JOIN cs USING (ability, sig, position)),
+sz AS (SELECT player, sub.position, sub.ability, (raw - m) / s AS z FROM sub JOIN cs USING (ability, sig, position)),
+tup AS (SELECT player, string_agg(ability || sig, '/' ORDER BY ability) AS cohort FROM flags WHERE eligible GROUP BY 1 HAVING count(*) = 6),
+tset AS (SELECT DISTINCT cohort, ability, sig FROM tup JOIN flags USING (player) WHERE eligible),
+ow AS (SELECT DISTINCT ability, overall_weight FROM registry),
+po AS (SELECT position, cohort, ref, sum(overall_weight * z) AS raw FROM rz JOIN tset USING (ability, sig) JOIN ow USING (ability) GROUP BY 1, 2, 3 HAVING count(*) = 6),
+ps AS (SELECT position, cohort, avg(raw) AS m, stddev_pop(raw) AS s, count(*) AS common_peers FROM po GROUP BY 1, 2 HAVING count(*) >= 30 AND stddev_pop(raw) > 1e-12),
+so AS (SELECT player, position, cohort, sum(overall_weight * z) AS raw FROM sz JOIN tup USING (player) JOIN ow USING (ability) GROUP BY 1, 2, 3 HAVING count(*) = 6)
+SELECT player, position, round((raw - m) / s, 6) AS overall_z, round(greatest(1.0, 50 + 15 * (raw - m) / s), 5) AS overall, common_peers FROM so JOIN ps USING (position, cohort)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    m = model()
+    rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role", "minutes"], "minutes").withColumnRenamed("role", "position").persist()
+    scores, peers = R.assigned_positions(rows, rows.where("minutes >= 900"), "position", m)
+    out = R.assigned_overall(scores, peers.persist(), rows, "player", "position", m)
+    return out.select("player", "position", F.round("overall_z", 6).alias("overall_z"), F.round("overall", 5).alias("overall"), "common_peers")
+
+
 @query(
     "canonical_reference",
     f"""WITH {NAMED_SQL} SELECT name, league, row, provider FROM (SELECT *, row_number() OVER (PARTITION BY name, league ORDER BY provider <> 'PROMO', row) AS r FROM b3) WHERE r = 1""",
