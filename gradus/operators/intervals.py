@@ -39,9 +39,14 @@ def disjoint_days(df: DataFrame, keys: Sequence[str], start: str = "start", end:
     )
 
 
-def by_month(pieces: DataFrame) -> DataFrame:
-    """Cut pieces at month ends, so equal months can be joined by equality."""
-    return (
+def by_month(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cut disjoint pieces at month ends and join those that touch within a month.
+
+    Equal months can then be joined by equality. A (key, month) has at most 31 pieces, so its
+    window is small however many intervals the key has.
+    """
+    group = [*keys, "month"]
+    cut = (
         pieces.withColumn(
             "month",
             F.explode(F.sequence(F.trunc("start", "month"), F.trunc(F.date_sub("end", 1), "month"), F.expr("interval 1 month"))),
@@ -49,6 +54,14 @@ def by_month(pieces: DataFrame) -> DataFrame:
         .withColumn("start", F.greatest("start", "month"))
         .withColumn("end", F.least("end", F.add_months("month", 1)))
     )
+    w = Window.partitionBy(*group).orderBy("start")
+    return (
+        cut.withColumn("_new", F.coalesce((F.col("start") > F.lag("end").over(w)).cast("int"), F.lit(1)))
+        .withColumn("_island", F.sum("_new").over(w))
+        .groupBy(*group, "_island")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .drop("_island")
+    )
 
 
 def shared_days(tenures: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -56,7 +69,8 @@ def shared_days(tenures: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``tenures``: (player, club, start, end) half-open dates; ``pairs``: (player_a, player_b).
     """
-    pieces = by_month(disjoint_days(tenures, ["player", "club"]))
+    key = ["player", "club"]
+    pieces = by_month(disjoint_days(tenures, key), key)
     a = pieces.selectExpr("player AS player_a", "club", "month", "start AS s1", "end AS e1")
     b = pieces.selectExpr("player AS player_b", "club", "month", "start AS s2", "end AS e2")
     wanted = pairs.select("player_a", "player_b").distinct()

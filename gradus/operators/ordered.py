@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS_PER_OCTAVE = 4096
+CELLS_PER_OCTAVE = 1024
 
 
 def finite(column: Column) -> Column:
@@ -26,7 +26,7 @@ def finite(column: Column) -> Column:
 def order_cell(value: str) -> str:
     """SQL of a coarse number that never decreases when the value grows.
 
-    Cells are a sixtieth of a percent wide, so also a narrow range of large numbers has many.
+    Cells are less than a thousandth wide, so also a narrow range of large numbers has many.
     """
     size = f"(floor(log2(abs({value})) * {CELLS_PER_OCTAVE}) + {CELLS_PER_OCTAVE * 1100})"
     return f"cast(CASE WHEN {value} = 0 THEN 0 WHEN {value} > 0 THEN {size} ELSE -{size} END AS bigint)"
@@ -36,12 +36,11 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, out: str = "n")
     return df.where(finite(F.col(value))).groupBy(*keys, value).agg(F.count("*").alias(out))
 
 
-def cumulative(counts: DataFrame, keys: Sequence[str], value: str, weight: str = "n") -> DataFrame:
-    """Add ``below`` (weight at smaller values), ``total``, ``previous`` and ``following``.
+def _cells(counts: DataFrame, keys: list[str], value: str, weight: str) -> tuple[DataFrame, DataFrame]:
+    """(values with their cell, one row per cell with the weight before it and in its group).
 
-    ``counts`` holds one row per (keys, value); keys must not be null.
+    The windows over a group see its cells only, whose number does not grow with the data.
     """
-    keys = list(keys)
     counts = counts.persist()  # read for the cells and for the values
     celled = counts.withColumn("_cell", F.expr(order_cell(f"double(`{value}`)")))
     by = Window.partitionBy(*keys)
@@ -52,12 +51,23 @@ def cumulative(counts: DataFrame, keys: Sequence[str], value: str, weight: str =
         .select(
             *keys,
             "_cell",
+            "_w",
             F.coalesce(F.sum("_w").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
             F.sum("_w").over(by).alias("total"),
             F.lag("_last").over(across).alias("_prev"),
             F.lead("_first").over(across).alias("_next"),
         )
     )
+    return celled, cells
+
+
+def cumulative(counts: DataFrame, keys: Sequence[str], value: str, weight: str = "n") -> DataFrame:
+    """Add ``below`` (weight at smaller values), ``total``, ``previous`` and ``following``.
+
+    ``counts`` holds one row per (keys, value); keys must not be null.
+    """
+    keys = list(keys)
+    celled, cells = _cells(counts, keys, value, weight)
     inside = Window.partitionBy(*keys, "_cell").orderBy(value)
     return (
         celled.withColumn(
@@ -78,19 +88,34 @@ def cumulative(counts: DataFrame, keys: Sequence[str], value: str, weight: str =
 
 
 def quantiles(counts: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
-    """Linearly interpolated quantiles per group as rows (keys, probability, quantile)."""
-    ranked = cumulative(counts, keys, value)
-    # The probabilities are a fixed parameter list, so the array stays small.
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
-
-    def touches(p: Column) -> Column:
-        at = p * (F.col("total") - 1)
-        inside = lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n"))
-        return inside(F.floor(at)) | inside(F.ceil(at))
+    """Linearly interpolated quantiles per group as rows (keys, probability, quantile).
 
-    hits = ranked.select(
-        *keys, value, "below", "n", "total", F.explode(F.filter(probs, touches)).alias("probability")
-    ).withColumn("_at", F.col("probability") * (F.col("total") - 1))
+    Whole cells tell which of them hold a wanted rank; only the values of those are looked at.
+    """
+    keys = list(keys)
+    celled, cells = _cells(counts, keys, value, "n")
+    # The probabilities are a fixed parameter list, so the array stays small.
+    probs = F.expr("array(" + ", ".join(f"{float(p)!r}D" for p in probabilities) + ")")
+
+    def touching(wanted: Column, start: Column, width: Column) -> Column:
+        def touches(p: Column) -> Column:
+            at = p * (F.col("total") - 1)
+            return ((F.floor(at) >= start) & (F.floor(at) < start + width)) | (
+                (F.ceil(at) >= start) & (F.ceil(at) < start + width)
+            )
+
+        return F.filter(wanted, touches)
+
+    useful = cells.select(
+        *keys, "_cell", "_before", "total", touching(probs, F.col("_before"), F.col("_w")).alias("_wanted")
+    ).where(F.size("_wanted") > 0)
+    inside = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    hits = (
+        celled.join(useful, [*keys, "_cell"])
+        .withColumn("below", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        .select(*keys, value, "below", "n", "total", F.explode(touching(F.col("_wanted"), F.col("below"), F.col("n"))).alias("probability"))
+        .withColumn("_at", F.col("probability") * (F.col("total") - 1))
+    )
     hit = lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n"))
     return (
         hits.groupBy(*keys, "probability")

@@ -282,7 +282,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return Q.search(c, "c_name", "#00000", {"c_mktsegment": "BUILDING"}, "c_acctbal", 500, 9000).select("c_custkey", "c_name", "c_acctbal")
 
 
-ROLE_CASE = " ".join(f"WHEN regexp_matches(t, '{Q.role_regex(p, w)}') THEN '{r}'" for r, p, w in Q.ROLE_PATTERNS)
+EDGE = "[^\\p{L}\\p{N}_]"
+ROLE_CASE = " ".join(
+    "WHEN regexp_matches(t, '" + "|".join([*[x for x, _ in p], *[f"(^|{EDGE}){x}({EDGE}|$)" for x in w]]) + f"') THEN '{r}'"
+    for r, p, w in Q.ROLE_PATTERNS
+)
 
 
 @query(

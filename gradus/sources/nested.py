@@ -24,23 +24,20 @@ def flatten_json(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     """
     spark = df.sparkSession
     key = list(key)
-    level = df.select(*key, F.lit("").alias("path"), F.parse_json(text).alias("v"))
+    level = df.select(*key, F.lit("").alias("path"), F.parse_json(text).alias("v"), F.lit(False).alias("done"))
     schema = level.agg(F.schema_of_variant_agg("v").alias("s")).first()["s"] or ""
     names = ", ".join(f"t.{k}" for k in key)
-    found = None
-    for step in range(_depth(schema) + 1):
-        marked = level.withColumn("container", F.expr("schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)'"))
-        leaves = marked.where("NOT container").select(*key, "path", F.expr("cast(v AS string) AS value"))
-        found = leaves if found is None else found.unionByName(leaves)
-        if step == _depth(schema):
-            break
+    for _ in range(_depth(schema)):
+        # A scalar yields one row without a position and stays; an empty container goes.
         level = spark.sql(
-            f"""SELECT {names}, CASE WHEN e.key IS NOT NULL THEN concat(t.path, IF(t.path = '', '', '.'), e.key)
-              WHEN try_variant_get(t.v, '$[3]') IS NOT NULL THEN concat(t.path, '[]') ELSE concat(t.path, '[', e.pos, ']') END AS path, e.value AS v
-            FROM {{docs}} t, LATERAL variant_explode(t.v) e""",
-            docs=marked.where("container"),
+            f"""SELECT {names}, CASE WHEN e.pos IS NULL THEN t.path WHEN e.key IS NOT NULL THEN concat(t.path, IF(t.path = '', '', '.'), e.key)
+              WHEN try_variant_get(t.v, '$[3]') IS NOT NULL THEN concat(t.path, '[]') ELSE concat(t.path, '[', e.pos, ']') END AS path,
+              IF(e.pos IS NULL, t.v, e.value) AS v, e.pos IS NULL AS done
+            FROM {{docs}} t, LATERAL variant_explode_outer(t.v) e
+            WHERE t.done OR e.pos IS NOT NULL OR NOT schema_of_variant(t.v) RLIKE '^(OBJECT|ARRAY)'""",
+            docs=level,
         )
-    return found
+    return level.where("done OR NOT schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)'").selectExpr(*key, "path", "cast(v AS string) AS value")
 
 
 def stat_groups(df: DataFrame, key: Sequence[str], groups: str, known: Sequence[str]) -> DataFrame:
