@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import beside, each
+
 
 def league_season_coverage(stints: DataFrame, floor: float = 450) -> DataFrame:
     return stints.groupBy("league", "season").agg(
@@ -163,7 +165,7 @@ def provider_coverage(long: DataFrame) -> DataFrame:
     )
 
 
-def field_inventory(obs: DataFrame, expected: DataFrame) -> DataFrame:
+def field_inventory(obs: DataFrame, expected: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Distinct ids per field and state.
 
     ``obs``: (league, id, field, sample, status, value), one row per sample;
@@ -179,10 +181,8 @@ def field_inventory(obs: DataFrame, expected: DataFrame) -> DataFrame:
         F.expr("count_if(status = 'missing') AS n_missing"),
         F.expr("count_if(status = 'numeric' AND value = 0) AS n_zero"),
     )
-    # Every expected person counts for every field, also without any row.
-    fields = obs.select("field").distinct()
-    grid = expected.crossJoin(F.broadcast(fields))  # fields: the column list of a source
-    full = grid.join(person, ["field", "league", "id"], "left").selectExpr(
+    # Every expected person counts for every field of the source, also without any row.
+    full = each(expected, "field", fields).join(person, ["field", "league", "id"], "left").selectExpr(
         "field",
         "id",
         "coalesce(n_numeric, 0) > 0 AS is_numeric",
@@ -231,12 +231,10 @@ def source_combinations(
         .agg(F.count("*").alias("hit"))
         .join(sizes, "league")
     )
-    passing = (
-        hits.groupBy("provider", "key", "family")
-        .agg(F.expr(f"count_if(100 * hit >= {percent} * benchmark) AS passed"))
-        .crossJoin(leagues)
-        .selectExpr("provider", "family", "passed = leagues AS passes")
+    passing = hits.groupBy("provider", "key", "family").agg(
+        F.expr(f"count_if(100 * hit >= {percent} * benchmark) AS passed")
     )
+    passing = beside(passing, leagues).selectExpr("provider", "family", "passed = leagues AS passes")
     spark = variants.sparkSession
     names = sorted(providers)
     subsets = [
@@ -304,14 +302,13 @@ def catalogue_metadata(df: DataFrame) -> DataFrame:
 
 def squad_coverage(assigned: DataFrame, requirements: Mapping[str, int], budget: float) -> DataFrame:
     """Assigned per role against requirements; the total fee is unknown if one fee is."""
-    spark = assigned.sparkSession
-    needs = spark.createDataFrame(list(requirements.items()), "role string, required int")
+    needs = ", ".join(f"named_struct('role', '{r}', 'required', {n})" for r, n in requirements.items())
     teams = assigned.groupBy("team").agg(
         F.expr("CASE WHEN count(fee) = count(*) THEN sum(fee) END AS total_fee")
     )
     counts = assigned.groupBy("team", "role").agg(F.count("*").alias("assigned"))
     return (
-        teams.crossJoin(F.broadcast(needs))  # requirements: one row per role
+        teams.selectExpr("*", f"inline(array({needs}))")
         .join(counts, ["team", "role"], "left")
         .selectExpr(
             "team",

@@ -78,11 +78,17 @@ def shared_days(tenures: DataFrame, pairs: DataFrame) -> DataFrame:
         wanted.join(a, "player_a")
         .join(b, ["player_b", "club", "month"])
         .where("greatest(s1, s2) < least(e1, e2)")
-        .selectExpr("player_a", "player_b", "greatest(s1, s2) AS start", "least(e1, e2) AS end")
+        .selectExpr("player_a", "player_b", "month", "greatest(s1, s2) AS start", "least(e1, e2) AS end")
+        .groupBy("player_a", "player_b", "month", "start")
+        .agg(F.max("end").alias("end"))
     )
-    # Two clubs at the same time still are one day.
-    days = disjoint_days(common, ["player_a", "player_b"]).groupBy("player_a", "player_b").agg(
-        F.sum(F.datediff("end", "start")).alias("days")
+    # Two clubs at the same time still are one day; within a month a pair has few intersections.
+    w = Window.partitionBy("player_a", "player_b", "month").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    days = (
+        common.withColumn("start", F.greatest("start", F.max("end").over(w)))
+        .where("start < end")
+        .groupBy("player_a", "player_b")
+        .agg(F.sum(F.datediff("end", "start")).alias("days"))
     )
     return wanted.join(days, ["player_a", "player_b"], "left").withColumn("days", F.coalesce("days", F.lit(0)).cast("long"))
 

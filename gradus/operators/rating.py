@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import NOT_APPLICABLE, OBSERVED, UNRECORDED, Feature, Model
 from ..functions.status import feature_value, measurement_status, rating
-from ..session import cut
+from ..session import cut, each
 from .ordered import finite
 from .standardize import EPSILON, best_row, member_z, ranks, shrink, subject_z
 
@@ -376,7 +376,7 @@ def score_subjects(rows: DataFrame, scored_peers: DataFrame, cohort: Sequence[st
 
 
 def assigned_positions(
-    rows: DataFrame, references: DataFrame, position: str, model: Model
+    rows: DataFrame, references: DataFrame, position: str, positions: Sequence[str], model: Model
 ) -> tuple[DataFrame, DataFrame]:
     """(subject scores, reference scores): every subject in every position against its natural players.
 
@@ -391,9 +391,7 @@ def assigned_positions(
     pool = references.drop("signature", "eligible", *weights).join(masks, "ability").where(compatible)
     cohort = [position, "ability", "signature"]
     peers = calibrate(pool.withColumn("eligible", F.lit(True)), cohort, model.slots, model.minimum_peers)
-    positions = references.select(position).distinct()
-    # Positions are a fixed registry; the subject side stays partitioned.
-    asked = rows.where("eligible").drop(position).crossJoin(F.broadcast(positions))
+    asked = each(rows.where("eligible").drop(position), position, positions)
     return score_subjects(asked, peers, cohort, model.slots).where(F.col("z").isNotNull()), peers
 
 
@@ -527,7 +525,6 @@ def attach_features(
     ``candidates``: (subject, key, provider, window_minutes, value, numerator, denominator, status, id).
     A window that misses the season's exposure by more than max(45, 2%) is only partial.
     """
-    spark = entities.sparkSession
     checked = (
         candidates.join(entities.select(subject, F.col(exposure).alias("_season")), subject)
         .withColumn(
@@ -539,7 +536,7 @@ def attach_features(
         .drop("_season")
     )
     best = priority_pick(checked, [subject, "key"], priority, "id", supported(F.col("status")))
-    grid = entities.select(subject).crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in keys], "key string")))
+    grid = each(entities.select(subject), "key", keys)
     return grid.join(best, [subject, "key"], "left").selectExpr(
         subject,
         "key",
@@ -609,7 +606,7 @@ def archetype_scores(scores: DataFrame, subject: Sequence[str], archetypes: Data
     cohort = ["archetype", *cohort]
     abilities = archetypes.select("ability").distinct().count()
     composite = (
-        scores.join(F.broadcast(archetypes), "ability")
+        scores.join(archetypes, "ability")
         .groupBy(*subject, *[c for c in cohort if c not in subject])
         .agg(F.count("z").alias("_n"), F.sum(F.round(F.col("weight") * F.col("z"), 12)).alias("raw"))
         .where(F.col("_n") == abilities)

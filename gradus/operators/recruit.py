@@ -113,7 +113,7 @@ def role_profiles(metrics: DataFrame, specs: Mapping[str, RoleSpec]) -> DataFram
     spec = spec_frame(metrics.sparkSession, specs)
     cohort = ["role", "league"]
     return percentile_ranks(
-        posterior_means(metrics.join(F.broadcast(spec), ["role", "metric"]), cohort)
+        posterior_means(metrics.join(spec, ["role", "metric"]), cohort)
         .withColumn("posterior", F.round("posterior", 10))
         .select("player", "role", "league", "minutes", "metric", "posterior", "is_style", "direction", "role_metrics"),
         [*cohort, "metric"],
@@ -170,7 +170,7 @@ def brief_targets(briefs: DataFrame, profiles: DataFrame, stats: DataFrame) -> D
     """Each brief's target: its replacement's values, else the role's 65th percentiles."""
     own = (
         profiles.select("player", "role", "metric", "posterior")
-        .join(F.broadcast(briefs.where("replacement IS NOT NULL").select("brief", "role", F.col("replacement").alias("player"))), ["role", "player"])
+        .join(briefs.where("replacement IS NOT NULL").select("brief", "role", F.col("replacement").alias("player")), ["role", "player"])
         .select("brief", "role", "metric", F.col("posterior").alias("target"))
     )
     default = briefs.where("replacement IS NULL").select("brief", "role").join(stats, "role").select("brief", "role", "metric", "target")
@@ -182,7 +182,7 @@ def replacement_changes(profiles: DataFrame, briefs: DataFrame, targets: DataFra
     wanted = briefs.where("replacement IS NOT NULL").select("brief", "replacement").join(targets, "brief")
     return (
         profiles.select("player", "role", "metric", "posterior", "direction")
-        .join(F.broadcast(wanted), ["role", "metric"])  # replaced entities x metrics
+        .join(wanted, ["role", "metric"])
         .where("player <> replacement")
         .selectExpr(
             "brief",
@@ -223,7 +223,7 @@ def components(
         "brief", "role", "min_minutes", "min_age", "max_age", F.col("foot").alias("want_foot"), "attribute", "allow_unknown", "replacement"
     )
     candidates = (
-        stints.join(F.broadcast(asked), "role")  # a short list of briefs
+        stints.join(asked, "role")
         .where(
             "minutes >= min_minutes AND NOT coalesce(player = replacement, false) AND coalesce(age BETWEEN min_age AND max_age, true) "
             "AND (want_foot IS NULL OR coalesce(foot IN (want_foot, 'both'), true)) "
@@ -263,7 +263,7 @@ def recommend(parts: DataFrame, briefs: DataFrame) -> DataFrame:
     weights = briefs.select("brief", "max_results", *[f"w_{c}" for c in COMPONENTS])
     total = " + ".join(f"IF(w_{c} > 0 AND {c} IS NOT NULL, w_{c} * {c}, 0D)" for c in COMPONENTS)
     weight = " + ".join(f"IF(w_{c} > 0 AND {c} IS NOT NULL, w_{c}, 0D)" for c in COMPONENTS)
-    ranked = parts.join(F.broadcast(weights), "brief").selectExpr(
+    ranked = parts.join(weights, "brief").selectExpr(
         "brief",
         "player",
         "max_results",

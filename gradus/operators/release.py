@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import beside
 from .quality import validate
 
 
@@ -110,9 +111,7 @@ def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
     same = left.columns == right.columns
     diff = differences(left, right).agg(F.coalesce(F.sum(F.abs("surplus")), F.lit(0)).alias("differing_rows"))
     return (
-        left.agg(F.count("*").alias("left_rows"))
-        .crossJoin(right.agg(F.count("*").alias("right_rows")))
-        .crossJoin(diff)
+        beside(beside(left.agg(F.count("*").alias("left_rows")), right.agg(F.count("*").alias("right_rows"))), diff)
         .withColumn("same_header", F.lit(same))
         .withColumn("agrees", F.expr("left_rows = right_rows AND differing_rows = 0 AND same_header"))
     )
@@ -135,7 +134,7 @@ def release_violations(stints: DataFrame, teams: DataFrame, metrics: DataFrame,
             F.count_if(F.col("r") == roles).alias("covered")
         )
     )
-    one = shape.crossJoin(unknown).crossJoin(bare).crossJoin(synthetic).crossJoin(thin)
+    one = beside(beside(beside(beside(shape, unknown), bare), synthetic), thin)
     return validate(
         one,
         {

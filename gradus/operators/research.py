@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import beside
 from .ordered import cumulative
 
 MARGIN = 0.002  # a model replaces the logistic one only if its Brier score is better by this
@@ -171,16 +172,17 @@ def held_out_value(actions: DataFrame, date: str, share: float = 0.8) -> DataFra
     """
     from pyspark.sql import Window
 
-    dates = actions.select(F.col(date).alias("_d")).distinct()
+    dates = actions.select(F.to_date(date).alias("_d")).distinct()
     w = Window.orderBy("_d")  # distinct calendar days only
     cut_date = (
         dates.select("_d", F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"))
         .where(f"i = greatest(1, cast(floor(n * {share}) AS int))")
         .first()["_d"]
     )
-    train, test = actions.where(F.col(date) <= F.lit(cut_date)), actions.where(F.col(date) > F.lit(cut_date))
+    train, test = actions.where(F.to_date(date) <= F.lit(cut_date)), actions.where(F.to_date(date) > F.lit(cut_date))
     values = action_values(test, threat_surface(train)).agg(F.count("*").alias("scored_actions"), F.avg("value").alias("mean_value"))
-    return train.agg(F.count("*").alias("train_actions")).crossJoin(test.agg(F.count("*").alias("test_actions"))).crossJoin(values)
+    counts = beside(train.agg(F.count("*").alias("train_actions")), test.agg(F.count("*").alias("test_actions")))
+    return beside(counts, values)
 
 
 def normalise_source(df: DataFrame, key: str, columns: Sequence[str], minutes: str = "minutes") -> tuple[DataFrame, DataFrame]:

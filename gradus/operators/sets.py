@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import beside
 from .aggregates import duplicate_keys
 
 
@@ -51,7 +52,7 @@ def joint_members(left: DataFrame, right: DataFrame, keys: Sequence[str], minimu
     """Identities present on both sides, if there are enough of them."""
     both = left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys))
     size = both.agg(F.count("*").alias("joint_peers"))
-    return both.crossJoin(F.broadcast(size)).where(F.col("joint_peers") >= minimum)  # one row
+    return beside(both, size).where(F.col("joint_peers") >= minimum)
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, name: str) -> DataFrame:
@@ -67,6 +68,4 @@ def canonical_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def page(df: DataFrame, value: str, ties: Sequence[str], offset: int, limit: int) -> DataFrame:
     """One page, best first and missing values last, with the total number of matches."""
     total = df.agg(F.count("*").alias("total"))
-    return (
-        df.orderBy(F.col(value).desc_nulls_last(), *ties).offset(offset).limit(limit).crossJoin(F.broadcast(total))
-    )
+    return beside(df.orderBy(F.col(value).desc_nulls_last(), *ties).offset(offset).limit(limit), total)

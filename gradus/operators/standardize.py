@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import beside
 from .ordered import cumulative, finite, quantiles, value_counts
 
 EPSILON = 1e-12
@@ -158,10 +159,10 @@ def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool
 def chronological_folds(df: DataFrame, match: str, date: str, label: str) -> DataFrame:
     """Whole-date 60/20/20 folds by distinct date index.
 
-    The calendar of distinct dates is the only thing ordered in one place; it grows with the
+    The calendar of distinct days is the only thing ordered in one place; it grows with the
     days observed, not with the events.
     """
-    dates = df.select(F.col(date).alias("_d")).distinct()
+    dates = df.select(F.to_date(date).alias("_d")).distinct()
     index = Window.orderBy("_d")
     numbered = dates.select("_d", F.row_number().over(index).alias("_i"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("_n"))
     cuts = numbered.agg(
@@ -169,11 +170,11 @@ def chronological_folds(df: DataFrame, match: str, date: str, label: str) -> Dat
         F.max(F.when(F.col("_i") == F.greatest(F.lit(2), F.floor(F.col("_n") * 0.8).cast("int")), F.col("_d"))).alias("_valid"),
     )
     return (
-        df.crossJoin(F.broadcast(cuts))  # one row
+        beside(df, cuts)
         .withColumn(
             "fold",
-            F.when(F.col(date) <= F.col("_train"), "train")
-            .when(F.col(date) <= F.col("_valid"), "validation")
+            F.when(F.to_date(date) <= F.col("_train"), "train")
+            .when(F.to_date(date) <= F.col("_valid"), "validation")
             .otherwise("test"),
         )
         .drop("_train", "_valid")
@@ -201,4 +202,4 @@ def fold_problems(df: DataFrame, match: str, date: str, label: str) -> DataFrame
             F.when(F.col("complete") < 3, "a fold lacks a class"),
         )
     )
-    return shape.crossJoin(lacking).select(F.explode(reasons).alias("reason"))
+    return beside(shape, lacking).select(F.explode(reasons).alias("reason"))

@@ -213,7 +213,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         f"{STATE_SQL} AS status", "o_totalprice AS value",
     )
     expected = obs.groupBy("league", "id").agg(F.expr("cast(ceil(count(*) / 3.0) AS bigint) AS samples"))
-    return A.field_inventory(obs, expected)
+    return A.field_inventory(obs, expected, ["F", "O", "P"])
 
 
 @query(

@@ -165,6 +165,9 @@ CELLS_SQL = """
 b2 AS (SELECT o_custkey AS master_row, o_orderstatus AS column_id, o_orderpriority AS provider,
        o_totalprice AS value, o_orderkey AS sample FROM orders)"""
 
+# The positions of the bound entities.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
 # Source priority of the bound cells, best first.
 PRIORITY = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 

@@ -17,6 +17,7 @@ from .bindings import (
     NAMED_SQL,
     PRIORITY,
     ROLE_Z,
+    SEGMENTS,
     appearances,
     entities,
     features_sql,
@@ -395,7 +396,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     m = model()
     rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role", "minutes"], "minutes").persist()
     references = rows.where("minutes >= 900").withColumnRenamed("role", "position")
-    out, _ = R.assigned_positions(rows.withColumnRenamed("role", "position"), references, "position", m)
+    out, _ = R.assigned_positions(rows.withColumnRenamed("role", "position"), references, "position", SEGMENTS, m)
     return out.select("player", "position", "ability", F.round("z", 6).alias("z"), "peer_count")
 
 
@@ -415,7 +416,7 @@ SELECT player, position, round((raw - m) / s, 6) AS overall_z, round(greatest(1.
 def _(spark: SparkSession, sf: str) -> DataFrame:
     m = model()
     rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role", "minutes"], "minutes").withColumnRenamed("role", "position").persist()
-    scores, peers = R.assigned_positions(rows, rows.where("minutes >= 900"), "position", m)
+    scores, peers = R.assigned_positions(rows, rows.where("minutes >= 900"), "position", SEGMENTS, m)
     out = R.assigned_overall(scores, peers.persist(), rows, "player", "position", m)
     return out.select("player", "position", F.round("overall_z", 6).alias("overall_z"), F.round("overall", 5).alias("overall"), "common_peers")
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import RoleSpec
 from ..operators import recruit as C
-from .bindings import APPEARANCES_SQL, ENTITIES_SQL, appearances, entities, load
+from .bindings import APPEARANCES_SQL, ENTITIES_SQL, SEGMENTS, appearances, entities, load
 from .registry import query
 
-ROLES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+ROLES = SEGMENTS
 SPEC = RoleSpec(("sot", "gps", "shots90", "goals90", "tax90"), {"goals90": 1, "gps": 1, "open90": -1})
 SPECS = {r: SPEC for r in ROLES}
 

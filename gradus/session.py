@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # SQL settings every plan here is written for; all can be set on a live session.
 SQL_CONF = {
@@ -59,6 +61,16 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Columns of a global aggregate next to every row. Such a frame has exactly one row."""
+    return df.crossJoin(F.broadcast(one_row))
+
+
+def each(df: DataFrame, column: str, values: Sequence) -> DataFrame:
+    """Every row once per value of a fixed parameter list, without a join."""
+    return df.withColumn(column, F.explode(F.array(*[F.lit(v) for v in values])))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage, so a lost executor never restarts the loop."""
     shared_folder(df.sparkSession)

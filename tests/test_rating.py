@@ -101,7 +101,7 @@ def test_flat_composite_is_withheld_unless_kept(spark):
 def test_assigned_reference_need_not_share_the_mask(spark):
     rows = cohort() + [(99, "CB", 1000.0, None, 5.0, 30.0, 4.0, 3.0)]
     all_rows = R.ability_rows(spark.createDataFrame(rows, SCHEMA), MODEL, ["player", "position", "minutes"], "minutes").persist()
-    scores, peers = R.assigned_positions(all_rows, all_rows.where("position = 'ST'"), "position", MODEL)
+    scores, peers = R.assigned_positions(all_rows, all_rows.where("position = 'ST'"), "position", ["ST"], MODEL)
     got = {r["ability"]: r for r in scores.where("player = 99").collect()}
     assert got["A"]["peer_count"] == 40 and got["A"]["position"] == "ST"
     total = R.assigned_overall(scores, peers, all_rows, "player", "position", MODEL).where("player = 99").collect()

@@ -74,7 +74,7 @@ def test_incomplete_league_makes_a_person_incomplete(spark):
         "field string, league string, id int, sample string, status string, value double",
     )
     expected = spark.createDataFrame([("E", 1, 1), ("S", 1, 2), ("E", 2, 1)], "league string, id int, samples int")
-    r = A.field_inventory(obs, expected).first()
+    r = A.field_inventory(obs, expected, ["f"]).first()
     assert (r["players"], r["numeric"], r["complete_supported"], r["complete_numeric"], r["na"]) == (2, 1, 1, 0, 1)
 
 
