@@ -225,13 +225,14 @@ def components(edges: DataFrame, row: str, group: Sequence[str]) -> DataFrame:
     while True:
         lows = links.join(labels, row).groupBy(*group).agg(F.min("label").alias("low"))
         spread = links.join(lows, group).groupBy(row).agg(F.min("low").alias("label"))
-        # The last round's labels serve the jump: they are stored, so nothing is computed twice.
-        target = labels.select(F.col(row).alias("_row"), F.col("label").alias("_jump"))
+        spread = spread.persist()  # read for the labels and for the jump
+        target = spread.select(F.col(row).alias("_row"), F.col("label").alias("_jump"))
         jumped = (
             spread.join(target, F.col("label") == F.col("_row"), "left")
             .select(row, F.least("label", "_jump").alias("label"))
         )
         new = cut(jumped)
+        spread.unpersist()
         changed = new.join(labels.withColumnRenamed("label", "_old"), row).where("label <> _old").limit(1).count()
         labels = new
         if not changed:

@@ -376,10 +376,12 @@ def score_subjects(rows: DataFrame, scored_peers: DataFrame, cohort: Sequence[st
 
 
 def assigned_positions(
-    rows: DataFrame, references: DataFrame, position: str, positions: Sequence[str], model: Model
+    rows: DataFrame, references: DataFrame, position: str, positions: Sequence[str], model: Model, keeper: str = "GK"
 ) -> tuple[DataFrame, DataFrame]:
     """(subject scores, reference scores): every subject in every position against its natural players.
 
+    Keepers are asked about the keeper position only, all others about every other one.
+
     A reference joins a subject's cohort if it is observed in each feature the subject uses. Cohorts
     depend on the subject's weight mask only, so they are built once per distinct mask: the
     references meet the masks of their ability, never the subjects.
@@ -391,7 +393,12 @@ def assigned_positions(
     pool = references.drop("signature", "eligible", *weights).join(masks, "ability").where(compatible)
     cohort = [position, "ability", "signature"]
     peers = calibrate(pool.withColumn("eligible", F.lit(True)), cohort, model.slots, model.minimum_peers)
-    asked = each(rows.where("eligible").drop(position), position, positions)
+    asked = (
+        each(rows.where("eligible"), "_asked", positions)
+        .where((F.col("_asked") == keeper) == (F.col(position) == keeper))
+        .withColumn(position, F.col("_asked"))
+        .drop("_asked")
+    )
     return score_subjects(asked, peers, cohort, model.slots).where(F.col("z").isNotNull()), peers
 
 

@@ -55,18 +55,24 @@ def zscores(df: DataFrame, keys: Sequence[str], value: str, out: str = "z") -> D
 
 
 def percentile_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, peer: str = "true", direction: int = 1, out: str = "percentile"
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    peer: str = "true",
+    direction: int = 1,
+    out: str = "percentile",
+    rank: str | None = None,
 ) -> DataFrame:
     """Mid-rank percentile of each row among the rows of its cohort that satisfy ``peer`` (SQL).
 
-    A row outside the peers is ranked against them but never counted. Rows are counted per
-    distinct value first, so no cohort is sorted whole.
+    A row outside the peers is ranked against them but never counted; ``rank`` names a column
+    for its competition rank. Rows are counted per distinct value, so no cohort is sorted whole.
     """
     keys = list(keys)
     counts = df.where(finite(F.col(value))).groupBy(*keys, value).agg(F.expr(f"count_if({peer}) AS n"))
     p = "100D * (below + 0.5D * n) / total"
     scored = cumulative(counts, keys, value).selectExpr(
-        *keys, value, f"IF(total > 0, {'100D - ' if direction < 0 else ''}{p}, NULL) AS {out}"
+        *keys, value, f"IF(total > 0, {'100D - ' if direction < 0 else ''}{p}, NULL) AS {out}", *([f"total - below - n + 1 AS {rank}"] if rank else [])
     )
     return df.join(scored, [*keys, value], "left")
 

@@ -356,3 +356,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
     expected = orders.groupBy(F.col("o_orderpriority").alias("league")).agg(F.count("*").alias("expected"))
     return Q.fixture_inventory(fixtures, expected, 1997)
+
+
+@query(
+    "first_fixtures",
+    """SELECT league, fixture, played, position FROM (SELECT o_orderpriority AS league, o_orderkey AS fixture, o_orderdate AS played,
+  row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS position FROM orders) WHERE position <= 10""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    fixtures = load(spark, sf, "orders").selectExpr("o_orderpriority AS league", "o_orderkey AS fixture", "o_orderdate AS played")
+    return Q.first_fixtures(fixtures, 10)

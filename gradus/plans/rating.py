@@ -284,8 +284,11 @@ wanted AS (SELECT player, role, ability, string_agg(CASE WHEN w > 0 AND dir <> 0
 subj AS (SELECT q.player, q.role, q.ability, q.sig, sum(w * dir * ((den / (den + k) * value + (1 - den / (den + k)) * mean) - a) / d) AS raw, count(value) = count(*) AS full_row
   FROM wanted q JOIN active t USING (player, role, ability) JOIN fstats f ON f.role = q.role AND f.ability = q.ability AND f.sig = q.sig AND f.key = t.key
   WHERE t.w > 0 AND t.dir <> 0 GROUP BY 1, 2, 3, 4)
-SELECT player, role, ability, round((raw - m) / s, 6) AS z, round(greatest(1.0, 50 + 15 * (raw - m) / s), 6) AS rating, peers AS peer_count
-FROM subj JOIN cstats USING (role, ability, sig) WHERE full_row AND s > 1e-12"""
+, fin AS (SELECT player, role, ability, sig, round((raw - m) / s, 10) AS z, peers, coalesce(eligible, FALSE)::INT AS e
+  FROM subj JOIN cstats USING (role, ability, sig) JOIN flags USING (player, role, ability, sig) WHERE full_row AND s > 1e-12)
+SELECT player, role, ability, round(z, 6) AS z, round(greatest(1.0, 50 + 15 * z), 6) AS rating, peers AS peer_count,
+  round(100.0 * (sum(e) OVER (PARTITION BY role, ability, sig ORDER BY z) - 0.5 * sum(e) OVER (PARTITION BY role, ability, sig, z)) / peers, 6) AS percentile,
+  CAST(peers - sum(e) OVER (PARTITION BY role, ability, sig ORDER BY z) + 1 AS BIGINT) AS rank FROM fin"""
 
 
 @query("evaluate_role", SUBJECT_SQL)
@@ -294,9 +297,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role"], "minutes").persist()
     cohort = ["role", "ability", "signature"]
     peers = R.calibrate(rows, cohort, m.slots, m.minimum_peers)
-    out = R.score_subjects(rows, peers, cohort, m.slots).where("z IS NOT NULL")
+    out = (
+        R.score_subjects(rows, peers, cohort, m.slots)
+        .where("z IS NOT NULL")
+        .select("player", *cohort, "eligible", "peer_count", F.round("z", 10).alias("z"))
+        .persist()
+    )
+    out = S.percentile_ranks(out, cohort, "z", "eligible", rank="rank")
     return out.select(
-        "player", "role", "ability", F.round("z", 6).alias("z"), F.round(rating(F.col("z")), 6).alias("rating"), "peer_count"
+        "player", "role", "ability", F.round("z", 6).alias("z"), F.round(rating(F.col("z")), 6).alias("rating"), "peer_count",
+        F.round("percentile", 6).alias("percentile"), "rank",
     )
 
 

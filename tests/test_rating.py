@@ -114,6 +114,14 @@ def test_keepers_below_thirty_give_no_rating(spark):
     assert {r["position"] for r in overall.collect()} == {"CM"}
 
 
+def test_keepers_are_only_asked_about_the_keeper_position(spark):
+    rows = cohort(40, "GK") + [(100 + r[0], *r[1:]) for r in cohort(40, "CM")]
+    all_rows = R.ability_rows(spark.createDataFrame(rows, SCHEMA), MODEL, ["player", "position"], "minutes").persist()
+    scores, _ = R.assigned_positions(all_rows, all_rows, "position", ["GK", "CM"], MODEL)
+    asked = {(r["player"] >= 100, r["position"]) for r in scores.collect()}
+    assert asked == {(False, "GK"), (True, "CM")}
+
+
 def test_versatility_and_hybrid(spark):
     z = spark.createDataFrame([(1, "poacher", 1.0, 1), (1, "false-nine", 0.0, 2), (1, "target", -2.0, 3), (2, "poacher", 1.0, 1)], "id int, role string, z double, ord int")
     r = R.versatility(z, "id", "ord").collect()
