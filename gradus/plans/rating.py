@@ -353,7 +353,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "hybrid_score",
     f"""WITH {ROLE_Z}, j AS (SELECT a.user_id, 0.5 * a.z + 0.5 * b.z AS raw FROM rz a JOIN rz b ON a.user_id = b.user_id AND a.role = 'click' AND b.role = 'purchase')
-SELECT user_id, round(raw, 6) AS raw, round((raw - (SELECT avg(raw) FROM j)) / (SELECT stddev_pop(raw) FROM j), 5) AS z, (SELECT count(*) FROM j) AS joint_peers FROM j""",
+SELECT user_id, round(raw, 6) AS raw, round((raw - (SELECT avg(raw) FROM j)) / (SELECT stddev_pop(raw) FROM j), 5) AS z, (SELECT count(*) FROM j) AS joint_peers FROM j
+WHERE (SELECT count(*) FROM j) >= 30""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     z = role_z(spark, sf).persist()
