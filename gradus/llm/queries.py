@@ -28,3 +28,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
     return token_counts(load(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"))
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(load(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
