@@ -35,3 +35,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(load(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
+@query("op5_token_id_files")
+def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..session import new_folder
+    from .token_files import read_ids, write_ids
+
+    docs, folder = load(spark, sf_dir, "documents"), new_folder(spark, "token-ids")
+    write_ids(docs, folder, public_path("word_bpe_49k.json"), byte_level=False, end_id=1)
+    return read_ids(spark, folder)
