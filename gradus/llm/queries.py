@@ -45,3 +45,10 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = load(spark, sf_dir, "documents"), new_folder(spark, "token-ids")
     write_ids(docs, folder, public_path("word_bpe_49k.json"), byte_level=False, end_id=1)
     return read_ids(spark, folder)
+
+
+@query("op7_secret_scans")
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digests, find_secrets
+
+    return digests(find_secrets(load(spark, sf_dir, "documents")))

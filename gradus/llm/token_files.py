@@ -35,8 +35,9 @@ _BLOCK = struct.Struct("<IHHBxxx")
 
 def packed_bits(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of values, each packed at ``width`` bits, least significant bit first."""
-    bits = ((values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+    n, size = values.shape
+    bits = np.unpackbits(values.astype("<u4").view(np.uint8), axis=1, bitorder="little").reshape(n, size, 32)
+    return np.packbits(bits[:, :, :width].reshape(n, -1), axis=1, bitorder="little")
 
 
 def unpacked_bits(rows: np.ndarray, width: int, n: int) -> np.ndarray:
