@@ -52,3 +52,37 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digests, find_secrets
 
     return digests(find_secrets(load(spark, sf_dir, "documents")))
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op8_decontamination",
+    sql=f"""
+    WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+    item_window AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS words
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM item WHERE len(w) > 0)
+    ),
+    doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+    size AS (SELECT DISTINCT n FROM item_window),
+    doc_window AS (
+        SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS words
+        FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM doc JOIN size ON len(w) >= n)
+    ),
+    hit AS (SELECT r, i, d.n, item_id FROM doc_window d JOIN item_window USING (n, words)),
+    place AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY r),
+    named AS (
+        SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY r
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc LEFT JOIN place USING (r) LEFT JOIN named USING (r)
+    """,
+)
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import decontaminate
+
+    return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans", "items")
