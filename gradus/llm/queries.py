@@ -86,3 +86,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate
 
     return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans", "items")
+
+
+@query("op10_ngram_jaccard")
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
