@@ -93,3 +93,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_duplicates
 
     return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import remainder
+    from .toxicity import toxicity
+
+    scored = toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
