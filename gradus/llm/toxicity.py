@@ -8,8 +8,8 @@ Characters that are no letters are passed over and runs of single letters are re
 The machine is trained on labelled sentences as bags of words (multiple instances): a toxic text must hold one
 word on the positive side, a clean text none. Counts of words by label cover all labelled training rows; from
 them and from the words that decide each text in the rounds that follow come bounded lists of weighted examples
-(``POSITIVE``, ``NEGATIVE``). A text's margin is that of its worst sentence, and a logistic curve fitted to all
-training texts turns it into a score.
+(``POSITIVE``, ``NEGATIVE``). A logistic curve of a text's two worst margins, fitted to
+all training texts, is its score.
 """
 
 from __future__ import annotations
@@ -28,12 +28,15 @@ DECAY = 0.6
 SPAN = 6
 #: Letters of a word looked at together; longer words are read in windows that overlap by half.
 LETTERS = 24
-LANDMARKS = 192
+LANDMARKS = 320
 POSITIVE = 600
 #: Words whose counts may decide a text in the first round.
 TELLING = 20_000
 NEGATIVE = 6000
 ROUNDS = 2
+#: Words of a text that become examples, and how much likelier in toxic texts a positive one must be.
+TOP = 3
+LEAN = 3.0
 KEPT = 1_000_000
 
 _CODES = 1 << 18
@@ -43,8 +46,7 @@ _STEPS = [(j, k) for j in range(1, SPAN) for k in range(j + 1, SPAN)]
 class Model(NamedTuple):
     weight: np.ndarray  # by code of three letters
     bias: float
-    slope: float  # score = 1 / (1 + exp(-(slope * margin + shift)))
-    shift: float
+    curve: tuple[float, float, float]  # of the worst margin, of the one after it, and the shift
 
 
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +141,7 @@ def landmarks(positive: list[str], negative: list[str], most: int = LANDMARKS) -
     return list(dict.fromkeys(out))
 
 
-def fit(positive: dict[str, float], negative: dict[str, float], cost: float = 3000.0) -> tuple[np.ndarray, float]:
+def fit(positive: dict[str, float], negative: dict[str, float], cost: float = 30000.0) -> tuple[np.ndarray, float]:
     """Weights by letter code and the bias of a squared-hinge machine over Nystroem features, by Newton steps."""
     marks = landmarks(sorted(positive, key=lambda w: (-positive[w], w)), sorted(negative, key=lambda w: (-negative[w], w)))
     words = [*positive, *negative]
@@ -183,8 +185,8 @@ class Scorer:
     def _new(self) -> None:
         self.table, self.margin = Table(), np.empty(1024)
 
-    def worst(self, texts: list) -> tuple[np.ndarray, list[str | None]]:
-        """Each text's margin and the word it comes from (None: no words)."""
+    def worst(self, texts: list, top: int = 0) -> tuple[np.ndarray, list[list[tuple[str, float]]]]:
+        """The margins of each text's two worst words, and its ``top`` distinct words of the greatest margins."""
         if self.table.size > KEPT:
             self._new()
         packed = Packed(texts, lower=True)
@@ -203,18 +205,27 @@ class Scorer:
             self.table.add(new)
             slots[miss] = self.table.find(keys[miss])
         value = self.margin[slots]
-        out = np.full(len(texts), self.bias)
-        names: list[str | None] = [None] * len(texts)
+        out = np.full((len(texts), 2), self.bias)
+        names: list[list[tuple[str, float]]] = [[] for _ in texts]
         ends = np.cumsum(packed.counts(start))
         some = np.flatnonzero(np.diff(np.append(0, ends)))
         if len(some):
             lows = np.append(0, ends)[some]
-            out[some] = np.maximum.reduceat(value, lows)
-            for k, low in zip(some.tolist(), lows.tolist()):
-                names[k] = word(low + int(np.argmax(value[low : ends[k]])))
+            out[some, 0] = np.maximum.reduceat(value, lows)
+            text = np.repeat(np.arange(len(texts)), np.diff(np.append(0, ends)))
+            peaks = np.flatnonzero(value == out[text, 0])
+            value[peaks[np.append(True, np.diff(text[peaks]) != 0)]] = -np.inf  # one word of the greatest margin
+            out[some, 1] = np.maximum(np.maximum.reduceat(value, lows), self.bias)
+            for k, low in zip(some.tolist(), lows.tolist()) if top else ():
+                distinct, first = np.unique(slots[low : ends[k]], return_index=True)
+                best = np.argsort(-self.margin[distinct], kind="stable")[:top]
+                names[k] = [(word(low + int(first[b])), float(self.margin[distinct[b]])) for b in best]
         for k, spelled in self._spaced(packed, start, end, ends, raw):
-            if (own := self._margins([spelled])[0]) > out[k]:
-                out[k], names[k] = own, spelled
+            own = float(self._margins([spelled])[0])
+            if own > out[k, 1]:
+                out[k] = sorted([own, out[k, 0]], reverse=True)
+                if top:
+                    names[k] = [(spelled, own), *names[k]][:top]
         return out, names
 
     @staticmethod
@@ -275,57 +286,77 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", rounds: int
         return None
     weight, bias = None, 0.0
     for turn in range(rounds + 1):
-        deciding = written(_deciding(rows, text, label, weight, bias, telling if turn == 0 else None), "toxicity").where(short)
-        words = deciding.where("word IS NOT NULL").groupBy("word").agg(
-            F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col(label) == 0, F.col("n")).otherwise(0)).alias("clean")
-        )
-        # A word that decides texts of both labels counts for the label of the larger share.
-        leaning = F.col("toxic") * F.lit(float(none)) - F.col("clean") * F.lit(float(some))
+        words = _deciding(rows, text, label, weight, bias, telling if turn == 0 else None).where(short)
+        words = written(words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity")
+        # A word that is among the worst in texts of both labels counts for the label of the larger share.
+        leaning = F.col("toxic") * F.lit(float(none)) - F.col("clean") * F.lit(float(some) * LEAN)
         own = {r.word: float(r.toxic) for r in words.where(leaning > 0).orderBy(F.desc("toxic"), "word").limit(POSITIVE).collect()}
         other = {r.word: float(r.clean) for r in words.where(leaning <= 0).orderBy(F.desc("clean"), "word").limit(NEGATIVE).collect()}
-        if turn == 0:
-            own = {w: n for w, n in own.items() if w in telling}
         if not own:
             break
         positive, negative = own, {w: n for w, n in (base | other).items() if w not in own}
         weight, bias = fit(positive, negative)
     if weight is None:
         return None
-    binned = _deciding(rows, text, label, weight, bias).groupBy(label, "margin").agg(F.sum("n").alias("n")).collect()
-    margin = np.array([r.margin for r in binned])
-    toxic = np.array([r[label] == 1 for r in binned])
-    return Model(weight, bias, *_logistic(margin, toxic, np.array([r.n for r in binned], float)))
+    binned = _text_margins(rows, text, label, weight, bias).collect()
+    both = np.array([[r.worst, r.next] for r in binned])
+    return Model(weight, bias, _logistic(both, np.array([r[label] == 1 for r in binned]), np.array([r.n for r in binned], float)))
 
 
 def _deciding(rows: DataFrame, text: str, label: str, weight: np.ndarray | None, bias: float, fixed: dict | None = None) -> DataFrame:
-    """(label, word, margin to two places, n): the word that decides each text, counted per batch."""
+    """(word, toxic, clean): texts of each label among whose ``TOP`` worst words it is, on the positive side if
+    the text is toxic; counted per batch."""
     sent = rows.sparkSession.sparkContext.broadcast((weight, bias, fixed))
 
     def work(batches):
         scorer = Scorer(*sent.value)
         for texts, labels in batches:
-            margin, words = scorer.worst(texts.to_pylist())
-            yield {label: labels, "word": words, "margin": np.clip(np.round(margin, 2), -20, 20), "n": np.ones(len(words), np.int64)}
+            found: dict[str, list[int]] = {}
+            _, names = scorer.worst(texts.to_pylist(), TOP)
+            for toxic, own in zip(labels.to_pylist(), names):
+                for place, (word, margin) in enumerate(own):
+                    if not toxic or margin > 0 or (place == 0 and fixed is None):
+                        found.setdefault(word, [0, 0])[0 if toxic else 1] += 1
+            yield {"word": list(found), "toxic": [n[0] for n in found.values()], "clean": [n[1] for n in found.values()]}
 
-    out = f"`{label}` {rows.schema[label].dataType.simpleString()}, word string, margin double, n long"
-    return map_rows(rows, [text, label], out, work).groupBy(label, "word", "margin").agg(F.sum("n").alias("n"))
+    return map_rows(rows, [text, label], "word string, toxic long, clean long", work)
 
 
-def _logistic(margin: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the likeliest logistic curve, slightly smoothed; both labels weigh by their rows."""
+def _text_margins(rows: DataFrame, text: str, label: str, weight: np.ndarray, bias: float) -> DataFrame:
+    """(label, worst, next, n): the two worst margins of all texts, in steps of a twentieth within -3 to 3."""
+    sent = rows.sparkSession.sparkContext.broadcast((weight, bias))
+
+    def work(batches):
+        scorer = Scorer(*sent.value)
+        for texts, labels in batches:
+            both = np.clip(np.round(scorer.worst(texts.to_pylist())[0] * 20) / 20, -3, 3)
+            yield {label: labels, "worst": both[:, 0].copy(), "next": both[:, 1].copy()}
+
+    out = f"`{label}` {rows.schema[label].dataType.simpleString()}, worst double, next double"
+    return map_rows(rows, [text, label], out, work).groupBy(label, "worst", "next").agg(F.count("*").alias("n"))
+
+
+def _logistic(margin: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """Slopes and shift of the likeliest logistic curve, slightly smoothed; neither slope is below 0."""
     some, none = n[toxic].sum(), n[~toxic].sum()
     want = np.where(toxic, (some + 1) / (some + 2), 1 / (none + 2))
-    w = np.array([1.0, 0.0])
-    x = np.stack([margin, np.ones(len(margin))], axis=1)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (n * (p - want)) + 1e-3 * w
-        curve = (x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(curve, slope)
-        w -= step / max(1.0, np.abs(step).max())
-        if np.abs(step).max() < 1e-8:
-            break
-    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+    use = [0, 1, 2]
+    x = np.hstack([margin, np.ones((len(margin), 1))])
+    while True:
+        w = np.zeros(len(use))
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(x[:, use] @ w, -30, 30)))
+            slope = x[:, use].T @ (n * (p - want)) + 1e-3 * w
+            curve = (x[:, use] * (n * p * (1 - p) + 1e-9)[:, None]).T @ x[:, use] + 1e-3 * np.eye(len(use))
+            step = np.linalg.solve(curve, slope)
+            w -= step / max(1.0, np.abs(step).max())
+            if np.abs(step).max() < 1e-8:
+                break
+        below = [k for k, v in zip(use[:-1], w) if v < 0]
+        if not below:
+            out = dict(zip(use, w.tolist()))
+            return out.get(0, 0.0), out.get(1, 0.0), out[2]
+        use = [k for k in use if k not in below]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -350,7 +381,7 @@ def score(docs: DataFrame, model: Model | None, keep: Sequence[str] = ("doc_id",
         if state.get("model") is not own:
             state["model"], state["scorer"] = own, Scorer(own.weight, own.bias)
         margin, _ = state["scorer"].worst(texts.to_pylist())
-        made = 1 / (1 + np.exp(-np.clip(own.slope * margin + own.shift, -60, 60)))
+        made = 1 / (1 + np.exp(-np.clip(margin @ np.array(own.curve[:2]) + own.curve[2], -60, 60)))
         return made, (made >= 0.5).astype(np.int32)
 
     return map_columns(docs, keep, [text], "score double, predicted int", work)
