@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import url_filter
 from .common import load
 from .tokens import public_path
 
@@ -102,3 +104,24 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+#: A page is labelled by the quality of the document whose number its path ends with.
+_NUMBER = r"([0-9]+)(\.html)?/?$"
+
+
+@query(
+    "op3_url_filter",
+    sql=url_filter.sql(
+        rf"""
+        SELECT page_id, quality AS good FROM labels JOIN (
+            SELECT page_id, TRY_CAST(regexp_extract(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '{_NUMBER}', 1) AS BIGINT) AS number FROM pages
+        ) ON doc_id = number"""
+    ),
+)
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    number = F.regexp_extract(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), _NUMBER, 1).try_cast("long")
+    known = load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
+    marks = pages.select("page_id", number.alias("doc_id")).join(known, "doc_id").select("page_id", "good")
+    return url_filter.judge_urls(pages, marks)
