@@ -125,3 +125,24 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = load(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
     marks = pages.select("page_id", number.alias("doc_id")).join(known, "doc_id").select("page_id", "good")
     return url_filter.judge_urls(pages, marks)
+
+
+@query(
+    "op6_exact_top_k",
+    sql="""
+    WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+        FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+    """,
+)
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_top_k
+
+    return exact_top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
