@@ -146,3 +146,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_top_k
 
     return exact_top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import lm_scores
+
+    return lm_scores(load(spark, sf_dir, "documents"))
