@@ -153,3 +153,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import lm_scores
 
     return lm_scores(load(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
