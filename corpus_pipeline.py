@@ -29,8 +29,8 @@ def _freed(held: DataFrame, docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go; it learns from the labelled training rows among ``docs``."""
     prepare(spark)
-    rows = written(toxicity.labelled(docs, load(spark, sf_dir, "labels")), "toxicity-rows")
-    scored = toxicity.score(_held(docs), toxicity.train(rows), ["__doc"], "__text")
+    rows, worth = toxicity.labelled(docs, load(spark, sf_dir, "labels"))
+    scored = toxicity.score(_held(docs), toxicity.train(rows, worth), ["__doc"], "__text")
     return _freed(scored.where("predicted = 0"), docs)
 
 

@@ -6,8 +6,8 @@ match, so inserted characters, swapped endings and letters set apart still meet
 Characters that are no letters are passed over and runs of single letters are read as one word.
 
 The machine is trained on labelled sentences as bags of words (multiple instances): a toxic text must hold one
-word on the positive side, a clean text none. Counts of words by label cover all labelled training rows; from
-them and from the words that decide each text in the rounds that follow come bounded lists of weighted examples
+word on the positive side, a clean text none. Counts of words by label cover the labelled training rows, of
+each label at most ``SAMPLE``; from them and from the words that decide each text in the rounds that follow come bounded lists of weighted examples
 (``POSITIVE``, ``NEGATIVE``). A logistic curve of a text's two worst margins, fitted to
 all training texts, is its score.
 """
@@ -38,6 +38,8 @@ ROUNDS = 2
 TOP = 3
 LEAN = 3.0
 KEPT = 1_000_000
+#: Most labelled rows of each label that are learnt from.
+SAMPLE = 20_000
 
 _CODES = 1 << 18
 _STEPS = [(j, k) for j in range(1, SPAN) for k in range(j + 1, SPAN)]
@@ -266,8 +268,9 @@ def _counts(rows: DataFrame, text: str, label: str) -> DataFrame:
     return made.groupBy("word").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
 
-def train(rows: DataFrame, text: str = "text", label: str = "toxic", rounds: int = ROUNDS) -> Model | None:
-    """A model from rows labelled 0 or 1; None if a label is missing. Bounded lists reach the driver."""
+def train(rows: DataFrame, worth: dict[int, float], text: str = "text", label: str = "toxic", rounds: int = ROUNDS) -> Model | None:
+    """A model from rows labelled 0 or 1, each ``worth`` so many; None if a label is missing. Bounded lists reach
+    the driver."""
     totals = {r[label]: r.n for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
     some, none = totals.get(1, 0), totals.get(0, 0)
     if not some or not none:
@@ -300,7 +303,8 @@ def train(rows: DataFrame, text: str = "text", label: str = "toxic", rounds: int
         return None
     binned = _text_margins(rows, text, label, weight, bias).collect()
     both = np.array([[r.worst, r.next] for r in binned])
-    return Model(weight, bias, _logistic(both, np.array([r[label] == 1 for r in binned]), np.array([r.n for r in binned], float)))
+    stands = np.array([r.n * worth.get(r[label], 1.0) for r in binned])
+    return Model(weight, bias, _logistic(both, np.array([r[label] == 1 for r in binned]), stands))
 
 
 def _deciding(rows: DataFrame, text: str, label: str, weight: np.ndarray | None, bias: float, fixed: dict | None = None) -> DataFrame:
@@ -359,11 +363,18 @@ def _logistic(margin: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> tuple[flo
         use = [k for k in use if k not in below]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """Texts and labels of the training rows: those whose crc32(doc_id as text) mod 5 is not 0."""
-    known = labels.where(named(label).isin(0, 1)).groupBy(named(doc_id).alias("__id")).agg(F.max(named(label)).alias(label))
-    chosen = docs.where(remainder(doc_id, 5) != 0).select(named(doc_id).alias("__doc"), named(text).alias(text))
-    return chosen.join(known, F.col("__doc") == F.col("__id")).select(text, label)
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE) -> tuple[DataFrame, dict[int, float]]:
+    """Texts and labels of training rows (crc32(doc_id as text) mod 5 is not 0), and what a row of each label
+    stands for: at most ``most`` labelled ids of each label, the first by their hash, are learnt from. Their list is
+    small enough to be sent to every task, so texts are never shuffled. Of several labels the greatest holds."""
+    known = labels.where(named(label).isin(0, 1) & (remainder(doc_id, 5) != 0)).groupBy(named(doc_id).alias("__id")).agg(F.max(named(label)).alias(label))
+    here = docs.where(remainder(doc_id, 5) != 0)
+    known = written(known.join(here.select(named(doc_id).alias("__id")).distinct(), "__id"), "toxicity-labels")
+    totals = {r[label]: r.n for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    parts = [known.where(named(label) == v).orderBy(F.xxhash64("__id"), "__id").limit(most) for v in (0, 1)]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * most ids
+    rows = here.select(named(doc_id).alias("__doc"), named(text).alias(text)).join(chosen, F.col("__doc") == F.col("__id")).select(text, label)
+    return written(rows, "toxicity-rows"), {v: max(1.0, n / most) for v, n in totals.items()}
 
 
 def score(docs: DataFrame, model: Model | None, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -389,5 +400,5 @@ def score(docs: DataFrame, model: Model | None, keep: Sequence[str] = ("doc_id",
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """Train on the labelled training rows of ``docs`` and score all of them; see ``score``."""
-    rows = written(labelled(docs, labels, doc_id, text, label), "toxicity-rows")
-    return score(docs, train(rows, text, label), keep, text)
+    rows, worth = labelled(docs, labels, doc_id, text, label)
+    return score(docs, train(rows, worth, text, label), keep, text)
