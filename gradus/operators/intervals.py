@@ -93,14 +93,19 @@ def shared_days(tenures: DataFrame, pairs: DataFrame) -> DataFrame:
     return wanted.join(days, ["player_a", "player_b"], "left").withColumn("days", F.coalesce("days", F.lit(0)).cast("long"))
 
 
+VALID = "start >= 0 AND end >= start AND end <= 150"
+
+
 def concurrent_minutes(intervals: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Minutes both players of a pair were on in one match.
+    """Minutes both players of a pair were on in one match, and ``status``.
 
-    Whole minutes in 0..150: after removing repeats a (match, player) has a bounded number of
-    different intervals, and its pieces fit one small window.
+    A pair is refused (status ``invalid interval``, no minutes) if either player has an interval outside whole
+    minutes 0..150 in the match. Within them a (match, player) has a bounded number of different intervals
+    after removing repeats, and its pieces fit one small window.
     """
     key = ["match", "player"]
-    valid = intervals.where("start >= 0 AND end >= start AND end <= 150").select(*key, "start", "end").groupBy(*key, "start").agg(
+    refused = invalid_intervals(intervals).select(*key).distinct()
+    valid = intervals.where(VALID).select(*key, "start", "end").groupBy(*key, "start").agg(
         F.max("end").alias("end")
     )
     w = Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,10 +121,19 @@ def concurrent_minutes(intervals: DataFrame, pairs: DataFrame) -> DataFrame:
         .groupBy("match", "player_a", "player_b")
         .agg(F.sum(F.expr("greatest(0, least(e1, e2) - greatest(s1, s2))")).alias("minutes"))
     )
-    return wanted.join(minutes, ["match", "player_a", "player_b"], "left").withColumn(
-        "minutes", F.coalesce("minutes", F.lit(0)).cast("long")
+    sides = wanted.select("match", "player_a", "player_b", F.explode(F.array("player_a", "player_b")).alias("player"))
+    bad = sides.join(refused, key, "left_semi").select("match", "player_a", "player_b").distinct().withColumn("bad", F.lit(True))
+    pair = ["match", "player_a", "player_b"]
+    return (
+        wanted.join(minutes, pair, "left")
+        .join(bad, pair, "left")
+        .select(
+            *pair,
+            F.when(F.col("bad").isNull(), F.coalesce("minutes", F.lit(0))).cast("long").alias("minutes"),
+            F.when(F.col("bad"), "invalid interval").otherwise("ok").alias("status"),
+        )
     )
 
 
 def invalid_intervals(intervals: DataFrame) -> DataFrame:
-    return intervals.where("NOT coalesce(start >= 0 AND end >= start AND end <= 150, false)")
+    return intervals.where(f"NOT coalesce({VALID}, false)")

@@ -200,8 +200,9 @@ def components(
 ) -> DataFrame:
     """Score components of every candidate a brief's constraints leave, before any weighting.
 
-    ``stints``: (player, role, minutes, age, foot, inferred, high_line); ``briefs``: brief, role, min_minutes,
-    min_age, max_age, foot, attribute, allow_unknown, replacement, team; ``team_targets``: (team, metric, target).
+    ``stints``: (player, role, minutes, age, foot, inferred, attributes), the last a map from name to true or false;
+    ``briefs``: brief, role, min_minutes, min_age, max_age, foot, attributes (names a candidate must not lack),
+    allow_unknown, replacement, team; ``team_targets``: (team, metric, target).
     """
     stats = style_stats(profiles)
     tactical = (
@@ -220,14 +221,14 @@ def components(
         )
     )
     asked = briefs.select(
-        "brief", "role", "min_minutes", "min_age", "max_age", F.col("foot").alias("want_foot"), "attribute", "allow_unknown", "replacement"
+        "brief", "role", "min_minutes", "min_age", "max_age", F.col("foot").alias("want_foot"), F.expr("coalesce(attributes, array())").alias("wanted"), "allow_unknown", "replacement"
     )
     candidates = (
         stints.join(asked, "role")
         .where(
             "minutes >= min_minutes AND NOT coalesce(player = replacement, false) AND coalesce(age BETWEEN min_age AND max_age, true) "
             "AND (want_foot IS NULL OR coalesce(foot IN (want_foot, 'both'), true)) "
-            "AND NOT coalesce(attribute = 'high_line' AND high_line = false, false)"
+            "AND NOT exists(wanted, a -> coalesce(attributes[a] = false, false))"
         )
         .withColumn(
             "unknowns",
@@ -235,10 +236,16 @@ def components(
                 {
                     "Age must be verified": "age IS NULL",
                     "Preferred foot must be verified": "want_foot IS NOT NULL AND foot IS NULL",
-                    "High line must be verified by scouting": "attribute = 'high_line' AND high_line IS NULL",
                 }
             ),
         )
+        .withColumn(
+            "unknowns",
+            F.expr(
+                "concat(unknowns, transform(filter(wanted, a -> attributes[a] IS NULL), a -> concat("
+                "upper(left(a, 1)), replace(lower(substring(a, 2)), '_', ' '), ' must be verified by scouting')))"
+            ),
+        )
         .where("allow_unknown OR size(unknowns) = 0")
     )
     return (
@@ -272,8 +279,15 @@ def recommend(parts: DataFrame, briefs: DataFrame) -> DataFrame:
         f"round(coalesce(({total}) / nullif({weight}, 0D), 0D) * (0.5 + 0.5 * coverage / 100), 8) AS score",
         "CASE WHEN coverage < 25 THEN 'insufficient_evidence' WHEN size(unknowns) > 0 THEN 'verification_required' ELSE 'eligible' END AS status",
     )
-    # No brief asks for more than 100 results.
-    return top_per(ranked, ["brief"], [F.desc("score"), F.asc("player")], 100).where("position <= max_results").drop("max_results")
+    # The largest limit asked for bounds the ranking before rows move; each brief then keeps its own.
+    most = briefs.agg(F.max("max_results")).first()[0] or 0
+    return top_per(ranked, ["brief"], [F.desc("score"), F.asc("player")], most).where("position <= max_results").drop("max_results")
+
+
+def limit_violations(briefs: DataFrame, most: int = 100) -> DataFrame:
+    """Briefs whose limit is missing or outside 1 to ``most``, with the reason; what to do with them is the caller's."""
+    bad = briefs.where(F.coalesce((F.col("max_results") < 1) | (F.col("max_results") > most), F.lit(True)))
+    return bad.select("brief", "max_results", F.lit(f"limit must be between 1 and {most}").alias("reason"))
 
 
 def brief_suite(stints: DataFrame, roles: Sequence[str]) -> DataFrame:
@@ -293,7 +307,7 @@ def brief_suite(stints: DataFrame, roles: Sequence[str]) -> DataFrame:
         "15 AS min_age",
         "IF(variant = 3, 24, 40) AS max_age",
         "IF(variant = 2, 'left', NULL) AS foot",
-        "IF(variant = 5, 'high_line', NULL) AS attribute",
+        "IF(variant = 5, array('high_line'), cast(array() AS array<string>)) AS attributes",
         "true AS allow_unknown",
         "IF(variant = 4, first, NULL) AS replacement",
         "cast(NULL AS int) AS team",

@@ -12,20 +12,24 @@ from ..session import beside
 from .quality import validate
 
 
+MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+MICROSECONDS_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def digest_frame(df: DataFrame) -> DataFrame:
-    """One row that depends on the multiset of rows only: not on order or partitioning."""
+    """One row that depends on the multiset of rows only: not on order or partitioning.
+
+    Each row's SHA-256 covers its columns by name, nulls included; the four quarters of all of them are added
+    up. Column names and types belong to the digest.
+    """
     columns = sorted(df.columns)
-    h = F.xxhash64(*[F.col(c) for c in columns])
-    h2 = F.xxhash64(F.lit(7), *[F.col(c) for c in columns])
-    body = df.agg(
-        F.count("*").alias("rows"),
-        F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"),
-        F.coalesce(F.sum(h2.cast("decimal(38,0)")), F.lit(0)).alias("s"),
-    )
-    return body.select(
-        "rows",
-        F.sha2(F.concat_ws("|", F.lit(",".join(columns)), "rows", "x", F.col("s").cast("string")), 256).alias("digest"),
-    )
+    types = dict(df.dtypes)
+    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "timestampFormat": MICROSECONDS, "timestampNTZFormat": MICROSECONDS_NTZ})
+    hashed = df.select(F.sha2(F.coalesce(row, F.lit("")), 256).alias("h"))
+    quarters = [F.conv(F.substring("h", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)") for k in range(4)]
+    body = hashed.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(q), F.lit(0)).cast("string").alias(f"q{k}") for k, q in enumerate(quarters)])
+    header = ",".join(f"{c}:{types[c]}" for c in columns)
+    return body.select("rows", F.sha2(F.concat_ws("|", F.lit(header), F.col("rows").cast("string"), "q0", "q1", "q2", "q3"), 256).alias("digest"))
 
 
 def digest(df: DataFrame) -> str:

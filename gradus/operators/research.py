@@ -186,15 +186,18 @@ def held_out_value(actions: DataFrame, date: str, share: float = 0.8) -> DataFra
 
 
 def normalise_source(df: DataFrame, key: str, columns: Sequence[str], minutes: str = "minutes") -> tuple[DataFrame, DataFrame]:
-    """(totals, quarantine) of text-typed aggregates: every present number finite and not negative."""
+    """(totals, quarantine) of text-typed aggregates: every present number plain decimal digits, finite and not
+    negative; signs, exponents, hexadecimal and type suffixes are refused."""
     from .quality import split
 
     rules = {}
     typed = df
+    texts = {n for n, t in df.dtypes if t == "string"}
     for c in columns:
+        plain = "{c} RLIKE '^[0-9]+([.][0-9]+)?$'" if c in texts else "NOT isnan(_{c})"
         typed = typed.withColumn(f"_{c}", F.col(c).try_cast("double"))
         rules[f"{c} invalid"] = (
-            f"{c} IS NOT NULL AND NOT coalesce(NOT isnan(_{c}) AND _{c} >= 0 AND _{c} < double('Infinity'), false)"
+            f"{c} IS NOT NULL AND NOT coalesce({plain.format(c=c)} AND _{c} >= 0 AND _{c} < double('Infinity'), false)"
         )
     valid, bad = split(typed, rules, [key])
     others = [c for c in df.columns if c not in columns]

@@ -151,11 +151,15 @@ def robust_scale(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
     """One row per key, chosen by (column, descending) pairs; a partial max, not a sorted window.
 
-    In a mixed order the descending columns must be numeric.
+    A row without a value comes after those with one. In a mixed order the descending columns must be numeric.
     """
     keys = list(keys)
     down = all(desc for _, desc in order)
-    parts = [(-F.col(c) if desc and not down else F.col(c)).alias(f"_{i}") for i, (c, desc) in enumerate(order)]
+    if down:  # nulls are the least, so the greatest row has a value if any has
+        parts = [F.col(c).alias(f"_{i}") for i, (c, _) in enumerate(order)]
+    else:
+        signed = [(F.col(c), -F.col(c) if desc else F.col(c)) for c, desc in order]
+        parts = [x.alias(f"_{i}_{j}") for i, (c, v) in enumerate(signed) for j, x in enumerate((c.isNull(), v))]
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if down else F.min_by
     picked = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*parts)).alias("_row"))

@@ -330,12 +330,20 @@ EDGES = [(1, 2), (2, 3), (3, 4), (1, 4)]
     f"""WITH {LINEUPS_SQL}, edges(slot_a, slot_b) AS (VALUES (1, 2), (2, 3), (3, 4), (1, 4)),
 pairs AS (SELECT DISTINCT a.lineup AS match, least(a.player, b.player) AS player_a, greatest(a.player, b.player) AS player_b FROM edges JOIN lineups a ON a.slot = slot_a JOIN lineups b ON b.lineup = a.lineup AND b.slot = slot_b),
 m AS (SELECT DISTINCT l_orderkey AS match, l_suppkey AS player, unnest(range(l_quantity::INT, l_quantity::INT + 10 * l_linenumber)) AS minute FROM lineitem),
+bad AS (SELECT DISTINCT l_orderkey AS match, l_suppkey AS player FROM lineitem WHERE l_quantity > 48 AND l_linenumber = 2),
 x AS (SELECT p.match, player_a, player_b, count(*) AS minutes FROM pairs p JOIN m a ON a.match = p.match AND a.player = player_a JOIN m b ON b.match = p.match AND b.player = player_b AND a.minute = b.minute GROUP BY 1, 2, 3)
-SELECT p.match, p.player_a, p.player_b, coalesce(minutes, 0) AS minutes FROM pairs p LEFT JOIN x ON x.match = p.match AND x.player_a = p.player_a AND x.player_b = p.player_b""",
+SELECT p.match, p.player_a, p.player_b, CASE WHEN b.match IS NULL THEN coalesce(minutes, 0) END AS minutes, CASE WHEN b.match IS NULL THEN 'ok' ELSE 'invalid interval' END AS status
+FROM pairs p LEFT JOIN x ON x.match = p.match AND x.player_a = p.player_a AND x.player_b = p.player_b
+LEFT JOIN (SELECT DISTINCT p.match, player_a, player_b FROM pairs p JOIN bad ON bad.match = p.match AND player IN (player_a, player_b)) b
+  ON b.match = p.match AND b.player_a = p.player_a AND b.player_b = p.player_b""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     intervals = load(spark, sf, "lineitem").selectExpr(
-        "l_orderkey AS match", "l_suppkey AS player", "int(l_quantity) AS start", "int(l_quantity) + 10 * l_linenumber AS end"
+        "l_orderkey AS match",
+        "l_suppkey AS player",
+        "int(l_quantity) AS start",
+        # Some second lines reach past the match and must be refused.
+        "int(l_quantity) + IF(l_quantity > 48 AND l_linenumber = 2, 120, 10 * l_linenumber) AS end",
     )
     pairs = J.edge_pairs(lineups(spark, sf), EDGES).withColumnRenamed("lineup", "match")
     return I.concurrent_minutes(intervals, pairs)

@@ -191,7 +191,7 @@ SELECT role || '-' || i AS brief, role, CASE WHEN i <= 2 THEN 'development' ELSE
   CASE WHEN i = 5 THEN 'high_line' END AS attribute, CASE WHEN i = 4 THEN first END AS replacement, CASE WHEN i = 6 THEN 2.0 ELSE 1.0 END AS w_quality FROM f, range(1, 7) t(i)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return briefs(spark, sf).select("brief", "role", "split", "max_age", "foot", "attribute", "replacement", "w_quality")
+    return briefs(spark, sf).select("brief", "role", "split", "max_age", "foot", F.get("attributes", F.lit(0)).alias("attribute"), "replacement", "w_quality")
 
 
 @query(
@@ -232,7 +232,7 @@ rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, brief ORDER B
 
 def parts(spark: SparkSession, sf: str, b: DataFrame) -> DataFrame:
     p = profiles(spark, sf)
-    stints = entities(spark, sf).withColumn("inferred", F.expr("league = 'ASIA'"))
+    stints = entities(spark, sf).withColumn("inferred", F.expr("league = 'ASIA'")).withColumn("attributes", F.expr("map('high_line', high_line)"))
     none = spark.createDataFrame([], "brief string, metric string, weight double")
     return C.components(stints, p, b, team_targets(spark, sf, p), none)
 

@@ -39,7 +39,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     shots, _ = shot_events(spark, sf)
     folds = S.chronological_folds(shots.where("match_date IS NOT NULL"), "match_id", "match_date", "goal")
     features = ["distance", "angle", "header", "under_pressure"]
-    scores, _, _ = G.train_models(folds.persist(), features, "goal", trees=20, step=0.1)
+    scores, _, _ = G.train_models(folds.persist(), features, "goal")
     return scores.select("model", "fold", "rows", F.round("brier", 6).alias("brier"), "chosen")
 
 

@@ -27,9 +27,14 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     )
 
 
-def scan_snapshots(spark: SparkSession, path: str, schema: str, season: int | None = None) -> DataFrame:
-    """A folder of JSON snapshots with their file name, one season of them if asked."""
-    df = spark.read.schema(schema).json(path).withColumn("file", F.input_file_name())
+def scan_snapshots(spark: SparkSession, path: str, schema: str, season: int | None = None, whole: bool = False) -> DataFrame:
+    """A folder of JSON snapshots with their file name, one season of them if asked.
+
+    With ``whole`` each file is one document or one list, however it is laid out; else one document per line.
+    A document that cannot be read keeps its text in ``corrupt``.
+    """
+    reader = spark.read.schema(f"{schema}, corrupt string").option("columnNameOfCorruptRecord", "corrupt").option("multiLine", whole)
+    df = reader.json(path).withColumn("file", F.input_file_name())
     return df if season is None else df.where(F.col("season") == season)
 
 
@@ -47,14 +52,19 @@ def write_layers(root: str, release_id: str, layers: Mapping[str, DataFrame]) ->
 
 def formula_safe(cell: Column) -> Column:
     """Text a spreadsheet would run as a formula gets a leading apostrophe; numbers stay."""
-    number = cell.try_cast("double")
-    is_number = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
-    risky = cell.rlike("^[ ]*[=+\\-@\\t\\r]")
+    number = F.when(cell.rlike(r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"), cell.try_cast("double"))
+    is_number = F.coalesce(F.abs(number) < float("inf"), F.lit(False))
+    # White space of every kind before the sign is passed over.
+    risky = cell.rlike(r"^[\s\p{Z}\x1c-\x1f\x85]*[=+\-@]")
     return F.when(is_number | ~risky, cell).otherwise(F.concat(F.lit("'"), cell))
 
 
 def write_safe_csv(df: DataFrame, path: str) -> None:
+    """Cells and headers without formulas."""
     text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    df.select(*[formula_safe(F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns]).write.mode("overwrite").option(
+    heads = df.sparkSession.createDataFrame([(k, c) for k, c in enumerate(df.columns)], "k int, c string").select("k", formula_safe(F.col("c")).alias("c"))
+    names = [r.c for r in heads.orderBy("k").collect()]  # one per column
+    cells = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    df.select(*[(formula_safe(x) if c in text else x).alias(n) for x, c, n in zip(cells, df.columns, names)]).write.mode("overwrite").option(
         "header", True
     ).csv(path)

@@ -8,26 +8,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _depth(schema: str) -> int:
-    deepest = depth = 0
-    for ch in schema:
-        depth += (ch == "<") - (ch == ">")
-        deepest = max(deepest, depth)
-    return deepest
+def nesting(text: str):
+    """How deep the containers of a JSON text nest, from its brackets outside strings."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    steps = F.transform(F.split(bare, ""), lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    walk = lambda a, s: F.struct((a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most"))
+    return F.aggregate(steps, start, walk)["most"]
 
 
 def flatten_json(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     """Every scalar path of a JSON document as (key, path, value).
 
-    Members of lists of at most three keep their index, longer lists share ``[]``. The depth
-    comes from the data's merged schema, so no document is cut off.
+    Members of lists of at most three keep their index, longer lists share ``[]``. Levels are opened down to
+    the deepest document's, so what one document holds never depends on the others. A document that is no JSON
+    is one row without a path, its text the value.
     """
     spark = df.sparkSession
     key = list(key)
-    level = df.select(*key, F.lit("").alias("path"), F.parse_json(text).alias("v"), F.lit(False).alias("done"))
-    schema = level.agg(F.schema_of_variant_agg("v").alias("s")).first()["s"] or ""
+    parsed = df.withColumn("v", F.try_parse_json(text))
+    broken = parsed.where(F.col("v").isNull() & F.col(text).isNotNull()).select(*key, F.lit(None).cast("string").alias("path"), F.col(text).alias("value"))
+    level = parsed.where(F.col("v").isNotNull()).select(*key, F.lit("").alias("path"), "v", F.lit(False).alias("done"))
+    depth = df.agg(F.max(nesting(text)).alias("d")).first()["d"] or 0
     names = ", ".join(f"t.{k}" for k in key)
-    for _ in range(_depth(schema)):
+    for _ in range(depth):
         # A scalar yields one row without a position and stays; an empty container goes.
         level = spark.sql(
             f"""SELECT {names}, CASE WHEN e.pos IS NULL THEN t.path WHEN e.key IS NOT NULL THEN concat(t.path, IF(t.path = '', '', '.'), e.key)
@@ -37,7 +41,8 @@ def flatten_json(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
             WHERE t.done OR e.pos IS NOT NULL OR NOT schema_of_variant(t.v) RLIKE '^(OBJECT|ARRAY)'""",
             docs=level,
         )
-    return level.where("done OR NOT schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)'").selectExpr(*key, "path", "cast(v AS string) AS value")
+    scalars = level.where("done OR NOT schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)'").selectExpr(*key, "path", "cast(v AS string) AS value")
+    return scalars.unionByName(broken)
 
 
 def stat_groups(df: DataFrame, key: Sequence[str], groups: str, known: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import Rules, split
+from ..operators.release import MICROSECONDS
 
 
 def intake(spark: SparkSession, source: str, schema: str, root: str, rules: Rules, key: list[str]) -> None:
@@ -45,7 +46,8 @@ def upsert_latest(spark: SparkSession, source: str, schema: str, root: str, keys
 
     rows = spark.readStream.schema(schema).json(source)
     values = [c for c in rows.columns if c not in keys]
-    h = F.xxhash64(*values)
+    # Hashed as text that keeps nulls in their places; a hash over the columns would skip them.
+    h = F.xxhash64(F.to_json(F.struct(*values), {"ignoreNullFields": "false", "timestampFormat": MICROSECONDS}))
     newest = (
         rows.groupBy(*keys)
         .agg(
