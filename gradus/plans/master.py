@@ -67,7 +67,19 @@ VECTORS = {
     ("und", "time"): "minutes",
     ("und", "games"): "matches",
 }
-VECTOR_PAIRS = [(a, b) for a, b, _ in M.candidate_pairs(list(VECTORS))]
+# The candidates among these columns: equal labels, then known aliases.
+VECTOR_PAIRS = [
+    (("opta", "apps"), ("und", "games")),
+    (("opta", "apps"), ("web", "Apps")),
+    (("opta", "goals"), ("und", "goals")),
+    (("opta", "goals"), ("web", "Goals")),
+    (("opta", "minutes"), ("und", "time")),
+    (("opta", "minutes"), ("web", "Mins")),
+    (("opta", "shots"), ("web", "shots")),
+    (("und", "games"), ("web", "Apps")),
+    (("und", "goals"), ("web", "Goals")),
+    (("und", "time"), ("web", "Mins")),
+]
 VECTORS_SQL = "v AS (" + " UNION ALL ".join(
     f"SELECT '{p}' AS provider, '{n}' AS label, player AS row, CAST({e} AS DOUBLE) AS value FROM b1" for (p, n), e in VECTORS.items()
 ) + ")"
@@ -95,9 +107,50 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("agreement", F.round("agreement", 6)).withColumn("mean_difference", F.round("mean_difference", 5))
 
 
-@query("column_groups")
+_COLUMNS = sorted(VECTORS)
+_NUMBER = {c: k + 1 for k, c in enumerate(_COLUMNS)}
+_CANDIDATES = ", ".join(f"({n + 1}, {_NUMBER[a]}, {_NUMBER[b]}, {str(a[1] == b[1]).upper()})" for n, (a, b) in enumerate(VECTOR_PAIRS))
+# Pairs decide one after another over the list of each column's group.
+GROUPS_SQL = f"""WITH RECURSIVE {ENTITIES_SQL}, {VECTORS_SQL},
+col AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{p}', '{n}')" for (p, n), k in _NUMBER.items())}) t(k, provider, label)),
+cand AS (SELECT * FROM (VALUES {_CANDIDATES}) t(n, l, r, exact)),
+j AS (SELECT a.k AS l, b.k AS r, x.value AS x, y.value AS y FROM col a JOIN col b ON a.k < b.k JOIN v x ON x.provider = a.provider AND x.label = a.label AND x.value IS NOT NULL
+  JOIN v y ON y.provider = b.provider AND y.label = b.label AND y.row = x.row AND y.value IS NOT NULL),
+s AS (SELECT l, r, count(*) AS matched, count(*) FILTER (abs(x - y) <= 1e-6 * greatest(1, abs(x), abs(y))) AS same, count(*) FILTER (x <> 0 OR y <> 0) AS nonzero,
+  least(count(DISTINCT x), count(DISTINCT y)) AS distinct_values FROM j GROUP BY 1, 2),
+eq AS (SELECT list(DISTINCT l * 1000 + r) || list(DISTINCT r * 1000 + l) AS e FROM s WHERE matched >= 20 AND nonzero >= 10 AND distinct_values >= 4 AND same = matched),
+step(n, g, merged) AS (
+  SELECT 0, list_transform(range(1, {len(_COLUMNS) + 1}), lambda k: k), FALSE
+  UNION ALL
+  SELECT q.n, CASE WHEN q.merged THEN list_transform(q.g, lambda x: CASE WHEN x = q.gr THEN q.gl ELSE x END) ELSE q.g END, q.merged FROM (
+    SELECT c.n, g, g[c.l] AS gl, g[c.r] AS gr, c.exact OR (list_contains(e, c.l * 1000 + c.r) AND len(list_filter(range(1, {len(_COLUMNS) + 1}), lambda a:
+      g[a] = g[c.l] AND len(list_filter(range(1, {len(_COLUMNS) + 1}), lambda b: g[b] = g[c.r] AND a <> b AND NOT list_contains(e, a * 1000 + b))) > 0)) = 0) AS merged
+    FROM step JOIN cand c ON c.n = step.n + 1, eq) q)
+"""
+
+
+@query(
+    "column_groups",
+    GROUPS_SQL
+    + f"""SELECT h.provider || ':' || h.label AS "group", col.provider, col.label FROM step JOIN col ON n = {len(VECTOR_PAIRS)} JOIN col h ON h.k = g[col.k]""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return M.column_groups(vectors(spark, sf).persist())[0]
+
+
+@query(
+    "column_decisions",
+    GROUPS_SQL
+    + """SELECT a.provider AS left_provider, a.label AS left_label, b.provider AS right_provider, b.label AS right_label,
+  CASE WHEN exact THEN 'exact_name' ELSE 'candidate_alias' END AS reason, merged, coalesce(matched, 0) AS matched_rows, coalesce(same, 0) AS equal_rows
+FROM step JOIN cand USING (n) JOIN col a ON a.k = cand.l JOIN col b ON b.k = cand.r LEFT JOIN s ON s.l = cand.l AND s.r = cand.r""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return M.group_columns(vectors(spark, sf).persist())
+    decisions = M.column_groups(vectors(spark, sf).persist())[1]
+    return decisions.selectExpr(
+        "left.provider AS left_provider", "left.label AS left_label", "right.provider AS right_provider", "right.label AS right_label",
+        "reason", "merged", "matched_rows", "equal_rows",
+    )
 
 
 MERGE_SQL = (

@@ -40,18 +40,23 @@ def test_column_evidence(spark):
         rows.append(("thin", "Goals", str(i), float(i)))
     df = spark.createDataFrame(rows, "provider string, label string, row string, value double")
     groups = {}
-    for r in M.group_columns(df).collect():
+    found, decisions = M.column_groups(df)
+    for r in found.collect():
         groups.setdefault(r["group"], set()).add((r["provider"], r["label"]))
     members = sorted(map(sorted, groups.values()))
     # Exact names always merge; the thin and the scaled member keep the alias from joining them.
     assert members == [[("opta", "goals"), ("und", "goals")], [("thin", "Goals"), ("web", "Goals")]]
+    merged = {(r["left"]["provider"], r["right"]["provider"]) for r in decisions.where("merged").collect()}
+    assert merged == {("opta", "und"), ("thin", "web")} and decisions.count() == 6
     pairs = [(("opta", "goals"), ("web", "Goals")), (("opta", "goals"), ("und", "goals")), (("opta", "goals"), ("thin", "Goals"))]
     status = {r["right_provider"]: r["status"] for r in M.compare_columns(df, pairs).collect()}
     assert status == {"web": "equivalent", "und": "different_values", "thin": "insufficient_overlap"}
 
 
-def test_grain_is_never_crossed():
-    assert M.candidate_pairs([("a", "shots"), ("b", "per_game.shots"), ("c", "shots")]) == [(("a", "shots"), ("c", "shots"), True)]
+def test_grain_is_never_crossed(spark):
+    columns = spark.createDataFrame([("a", "shots"), ("b", "per_game.shots"), ("c", "shots")], "provider string, label string")
+    found = [(r["left"]["provider"], r["right"]["provider"], r["reason"]) for r in M.column_candidates(columns).collect()]
+    assert found == [("a", "c", "exact_name")]
 
 
 def test_merge_keeps_best_source_and_audits(spark):
