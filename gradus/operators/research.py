@@ -165,11 +165,15 @@ def action_values(actions: DataFrame, surface: np.ndarray) -> DataFrame:
     )
 
 
-def held_out_value(actions: DataFrame, date: str, share: float = 0.8) -> DataFrame:
+def held_out_value(actions: DataFrame, date: str, share: float = 0.8, match: str | None = None) -> DataFrame:
     """One row: actions fitted, actions held out, moves scored and their mean value.
 
-    The surface is fitted on the earlier dates only.
+    The surface is fitted on the earlier dates only. Fewer than five dates, or twenty matches where ``match``
+    names them, are refused.
     """
+    seen = actions.agg(F.count_distinct(F.to_date(date)).alias("dates"), F.count_distinct(match if match else F.lit(1)).alias("matches")).first()
+    if seen["dates"] < 5 or (match and seen["matches"] < 20):
+        raise ValueError("at least 20 matches and 5 dates are needed")
     from pyspark.sql import Window
 
     dates = actions.select(F.to_date(date).alias("_d")).distinct()

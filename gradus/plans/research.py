@@ -34,10 +34,40 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "fold_checks",
+    # Folds that may be used, matches that span dates, and too few dates.
+    """WITH c AS (SELECT 'orders' AS name, o_orderkey AS match, o_orderdate AS d, (o_totalprice > 150000)::INT AS y FROM orders UNION ALL SELECT 'customers', o_custkey, o_orderdate, (o_totalprice > 150000)::INT FROM orders
+  UNION ALL SELECT 'one day', o_orderkey, o_orderdate, (o_totalprice > 150000)::INT FROM orders WHERE o_orderdate = (SELECT min(o_orderdate) FROM orders)),
+dd AS (SELECT name, dt, row_number() OVER (PARTITION BY name ORDER BY dt) AS i, count(*) OVER (PARTITION BY name) AS n FROM (SELECT DISTINCT name, CAST(d AS DATE) AS dt FROM c)),
+cut AS (SELECT name, max(dt) FILTER (i = greatest(1, CAST(floor(n * 0.6) AS INT))) AS t, max(dt) FILTER (i = greatest(2, CAST(floor(n * 0.8) AS INT))) AS v FROM dd GROUP BY 1),
+f AS (SELECT name, CASE WHEN CAST(d AS DATE) <= t THEN 'train' WHEN CAST(d AS DATE) <= v THEN 'validation' ELSE 'test' END AS fold, count(DISTINCT y) AS k FROM c JOIN cut USING (name) GROUP BY 1, 2),
+m AS (SELECT name, match, min(d) AS a, max(d) AS b FROM c GROUP BY 1, 2),
+s AS (SELECT name, count(*) AS matches, count(DISTINCT a) AS dates, count(*) FILTER (a <> b) AS spanning FROM m GROUP BY 1),
+k AS (SELECT name, count(*) FILTER (k >= 2) AS complete FROM f GROUP BY 1)
+SELECT name, 'match spans dates' AS reason FROM s WHERE spanning > 0 UNION ALL SELECT name, 'fewer than 20 matches' FROM s WHERE matches < 20
+UNION ALL SELECT name, 'fewer than 5 dates' FROM s WHERE dates < 5 UNION ALL SELECT name, 'a fold lacks a class' FROM k WHERE complete < 3""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    orders = load(spark, sf, "orders").selectExpr("o_orderkey", "o_custkey", "o_orderdate AS d", "int(o_totalprice > 150000) AS y")
+    first = orders.agg(F.min("d").alias("f"))
+    cases = {
+        "orders": orders.withColumnRenamed("o_orderkey", "match"),
+        "customers": orders.withColumnRenamed("o_custkey", "match"),
+        "one day": orders.join(F.broadcast(first), F.col("d") == F.col("f")).withColumnRenamed("o_orderkey", "match"),
+    }
+    found = [S.fold_problems(df, "match", "d", "y").select(F.lit(name).alias("name"), "reason") for name, df in cases.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("xg_train")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     shots, _ = shot_events(spark, sf)
-    folds = S.chronological_folds(shots.where("match_date IS NOT NULL"), "match_id", "match_date", "goal")
+    dated = shots.where("match_date IS NOT NULL").persist()
+    problems = [r.reason for r in S.fold_problems(dated, "match_id", "match_date", "goal").collect()]
+    if problems:
+        raise ValueError("; ".join(problems))
+    folds = S.chronological_folds(dated, "match_id", "match_date", "goal")
     features = ["distance", "angle", "header", "under_pressure"]
     scores, _, _ = G.train_models(folds.persist(), features, "goal")
     return scores.select("model", "fold", "rows", F.round("brier", 6).alias("brier"), "chosen")
@@ -77,6 +107,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ACTIONS = (
+    "match",
     "match_date",
     "CASE WHEN flag = 'R' AND slot < 3 THEN 'shot' ELSE 'move' END AS kind",
     "CASE WHEN flag = 'R' AND slot < 3 THEN xg > 0.06 ELSE status = 'F' END AS success",
@@ -85,10 +116,33 @@ ACTIONS = (
 )
 
 
-@query("action_value_grid")
+ACTIONS_SQL = ", ".join(ACTIONS).replace("cast(", "CAST(").replace(" AS int)", " AS INTEGER)")
+
+
+@query(
+    "action_value_grid",
+    # Rounds of the surface as lists of 192 zones, until no zone moves by more than the tolerance.
+    f"""WITH RECURSIVE {APPEARANCES_SQL}, a AS MATERIALIZED (SELECT {ACTIONS_SQL} FROM b5),
+days AS (SELECT d, row_number() OVER (ORDER BY d) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT CAST(match_date AS DATE) AS d FROM a)),
+tr AS (SELECT a.* FROM a, days WHERE i = greatest(1, CAST(floor(n * 0.8) AS INT)) AND CAST(match_date AS DATE) <= d),
+te AS (SELECT a.* FROM a, days WHERE i = greatest(1, CAST(floor(n * 0.8) AS INT)) AND CAST(match_date AS DATE) > d),
+zone AS (SELECT CAST(range AS INT) AS z FROM range(192)),
+st AS (SELECT z, count(*) FILTER (kind = 'shot') AS shots, count(*) FILTER (kind = 'shot' AND success) AS goals, count(*) FILTER (kind = 'move') AS moved
+  FROM zone LEFT JOIN tr ON start_zone = z GROUP BY z),
+av AS MATERIALIZED (SELECT list(coalesce(shots / nullif(shots + moved, 0) * (goals / nullif(shots, 0)), 0.0) ORDER BY z) AS a, list(coalesce(moved / nullif(shots + moved, 0), 0.0) ORDER BY z) AS m FROM st),
+mv AS (SELECT start_zone, end_zone, count(*) AS n FROM tr WHERE kind = 'move' AND success GROUP BY 1, 2),
+tm AS MATERIALIZED (SELECT list(r ORDER BY z) AS t FROM (SELECT f.z, list(coalesce(n / moved, 0.0) ORDER BY g.z) AS r
+  FROM st f CROSS JOIN zone g LEFT JOIN mv ON start_zone = f.z AND end_zone = g.z GROUP BY f.z)),
+it(i, s, gap) AS (SELECT 0, list_transform(range(192), lambda x: 0.0::DOUBLE), 1.0::DOUBLE
+  UNION ALL SELECT i + 1, n, list_max(list_transform(range(1, 193), lambda k: abs(n[k] - s[k])))
+  FROM (SELECT i, s, list_transform(range(1, 193), lambda k: a[k] + m[k] * list_dot_product(t[k], s)) AS n FROM it, av, tm WHERE gap > 1e-5)),
+sf AS (SELECT s FROM it ORDER BY i DESC LIMIT 1)
+SELECT (SELECT count(*) FROM tr) AS train_actions, (SELECT count(*) FROM te) AS test_actions, count(*) AS scored_actions, round(avg(s[end_zone + 1] - s[start_zone + 1]), 9) AS mean_value
+FROM te, sf WHERE kind = 'move' AND success""",
+)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     actions = appearances(spark, sf).selectExpr(*ACTIONS).persist()
-    return G.held_out_value(actions, "match_date").withColumn("mean_value", F.round("mean_value", 9))
+    return G.held_out_value(actions, "match_date", match="match").withColumn("mean_value", F.round("mean_value", 9))
 
 
 @query(
