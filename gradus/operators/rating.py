@@ -9,7 +9,7 @@ executor recomputes rows only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,59 +67,78 @@ def _observed(value: Column, exposure: Column, status: Column) -> Column:
     return (status == OBSERVED) & finite(value) & (exposure > 0)
 
 
+def registered(model: Model | Mapping[str, Model]) -> tuple[dict[str, Model], int]:
+    """The models by position (one of them for every position has no name), and the slots they need."""
+    models = dict(model) if isinstance(model, Mapping) else {"": model}
+    if len({tuple(a.name for a in m.abilities) for m in models.values()}) > 1:
+        raise ValueError("every position needs the same abilities")
+    if len({m.minimum_peers for m in models.values()}) > 1:
+        raise ValueError("every position needs the same least number of peers")
+    return models, max(m.slots for m in models.values())
+
+
 def ability_rows(
     df: DataFrame,
-    model: Model,
+    model: Model | Mapping[str, Model],
     keep: Sequence[str],
     exposure: str,
     version: str = "''",
     extra_ok: str = "true",
+    position: str = "position",
 ) -> DataFrame:
     """One row per (entity, ability): slots of value/exposure/prior/weight, eligibility, signature.
 
     The signature is the set of scored features with their active weights and measurement
     version (SQL, ``{key}`` stands for the feature): only entities measured alike are compared.
+    With a registry of models by position, an entity is weighed by that of its ``position``; positions
+    outside the registry have no rows.
     """
+    models, slots = registered(model)
+    features = {f.key: f for m in models.values() for f in m.features}
+    if any(features[f.key] != f for m in models.values() for f in m.features):
+        raise ValueError("a feature means the same in every position")
     measured = df.selectExpr(
-        *keep,
+        *dict.fromkeys([*keep, *([position] if "" not in models else [])]),
         f"{exposure} AS _exposure",
         f"({extra_ok}) AS _ok",
         *[
             f"CASE WHEN {f.denominator} > 0 THEN CAST({f.numerator} AS DOUBLE) / {f.denominator} * {f.scale}D END AS v_{f.key}"
-            for f in model.features
+            for f in features.values()
         ],
-        *[f"CAST({f.denominator} AS DOUBLE) AS n_{f.key}" for f in model.features],
-        *[f"({version.format(key=f.key)}) AS p_{f.key}" for f in model.features],
+        *[f"CAST({f.denominator} AS DOUBLE) AS n_{f.key}" for f in features.values()],
+        *[f"({version.format(key=f.key)}) AS p_{f.key}" for f in features.values()],
         *[
             f"CASE WHEN {f.numerator} IS NULL OR {f.denominator} IS NULL THEN 'u' WHEN {f.denominator} > 0 THEN 'o' ELSE 'z' END AS s_{f.key}"
-            for f in model.features
+            for f in features.values()
         ],
     )
     kept = measured.selectExpr(
         "*",
         *[
-            " + ".join(f"IF(s_{k} = 'u', 0D, {float(w)}D)" for k, w in a.weights.items()) + f" AS kept_{a.name}"
-            for a in model.abilities
+            " + ".join(f"IF(s_{k} = 'u', 0D, {float(w)}D)" for k, w in a.weights.items()) + f" AS kept_{i}_{a.name}"
+            for i, m in enumerate(models.values())
+            for a in m.abilities
         ],
     )
 
-    def struct(a) -> str:
+    def struct(number: int, model: Model, a) -> str:
         total = sum(a.weights.values())
+        whole = f"kept_{number}_{a.name}"
         scored, fields = [], []
         for i, (k, w) in enumerate(a.weights.items()):
             f = model.feature(k)
             # An untouched mask keeps the given weights exactly.
             active = (
-                f"CASE WHEN s_{k} = 'u' OR kept_{a.name} <= 0 THEN 0D WHEN kept_{a.name} >= {total - EPSILON}D "
-                f"THEN {float(w)}D ELSE {float(w)}D * {float(total)}D / kept_{a.name} END"
+                f"CASE WHEN s_{k} = 'u' OR {whole} <= 0 THEN 0D WHEN {whole} >= {total - EPSILON}D "
+                f"THEN {float(w)}D ELSE {float(w)}D * {float(total)}D / {whole} END"
             )
-            is_scored = f"s_{k} <> 'u' AND kept_{a.name} > 0" if f.direction else "false"
+            is_scored = f"s_{k} <> 'u' AND {whole} > 0" if f.direction else "false"
             if f.direction:
                 scored.append((k, f, active, is_scored))
             fields.append(
                 f"'v{i}', IF({is_scored}, v_{k}, NULL), 'n{i}', n_{k}, 'k{i}', {f.prior}D, 'w{i}', ({active}) * {float(f.direction)}D"
             )
-        for i in range(len(a.weights), model.slots):
+        for i in range(len(a.weights), slots):
             fields.append(f"'v{i}', CAST(NULL AS DOUBLE), 'n{i}', CAST(NULL AS DOUBLE), 'k{i}', CAST(NULL AS DOUBLE), 'w{i}', 0D")
         usable = " AND ".join(
             f"(NOT ({on}) OR (s_{k} = 'o' AND NOT isnan(v_{k}) AND abs(v_{k}) < double('Infinity') AND n_{k} > 0))"
@@ -133,12 +152,28 @@ def ability_rows(
         excluded = " + ".join(f"IF(s_{k} = 'u', 1, 0)" for k in a.weights)
         return (
             f"named_struct('ability', '{a.name}', 'overall_weight', {float(a.overall_weight)}D, 'defined', {len(a.weights)}, "
-            f"'available', {available}, 'excluded', {excluded}, "
+            f"'available', {available}, 'excluded', {excluded}, 'exposed', coalesce(_exposure >= {model.minimum_exposure}, false), "
             f"'eligible', coalesce(({usable}) AND ({used}) AND _exposure >= {model.minimum_exposure} AND _ok, false), "
             f"'signature', sha2(concat_ws(';', {marks or 'NULL'}), 256), " + ", ".join(fields) + ")"
         )
 
-    return kept.selectExpr(*keep, f"inline(array({', '.join(struct(a) for a in model.abilities)}))")
+    arrays = {name: f"array({', '.join(struct(i, m, a) for a in m.abilities)})" for i, (name, m) in enumerate(models.items())}
+    if "" in models:
+        return kept.selectExpr(*keep, f"inline({arrays['']})")
+    cases = " ".join(f"WHEN '{name}' THEN {array}" for name, array in arrays.items())
+    return kept.selectExpr(*keep, f"inline(CASE {position} {cases} END)")
+
+
+def withheld(rows: DataFrame, scores: DataFrame, subject: Sequence[str], cohort: Sequence[str], minimum: int) -> DataFrame:
+    """(subject, ability, reason) of every ability row without a score: why it has none."""
+    subject, cohort = list(subject), list(cohort)
+    peers = rows.where("eligible").groupBy(*cohort).agg(F.count("*").alias("_peers"))
+    missing = rows.select(*dict.fromkeys([*subject, *cohort]), "exposed", "eligible").join(scores.select(*subject, "ability"), [*subject, "ability"], "left_anti")
+    return missing.join(peers, cohort, "left").selectExpr(
+        *subject,
+        "ability",
+        f"CASE WHEN NOT exposed THEN 'below exposure' WHEN NOT eligible THEN 'missing feature' WHEN _peers < {minimum} THEN 'too few peers' ELSE 'no spread' END AS reason",
+    )
 
 
 def calibrate(rows: DataFrame, cohort: Sequence[str], slots: int, minimum: int, keep_flat: str = "false") -> DataFrame:
@@ -220,17 +255,19 @@ def rated(overall: DataFrame, position: str) -> DataFrame:
 
 def score_catalogue(
     df: DataFrame,
-    model: Model,
+    model: Model | Mapping[str, Model],
     subject: Sequence[str],
     position: str,
     exposure: str,
     keep_flat: str = "false",
     version: str = "''",
 ) -> tuple[DataFrame, DataFrame]:
-    """(ability scores, overall ratings) of every entity inside its position."""
-    rows = ability_rows(df, model, list(subject), exposure, version)
-    scores = calibrate(rows, [position, "ability", "signature"], model.slots, model.minimum_peers, keep_flat)
-    overall = compose(scores, subject, position, len(model.abilities), model.minimum_peers, keep_flat)
+    """(ability scores, overall ratings) of every entity inside its position; ``model`` may name one per position."""
+    models, slots = registered(model)
+    one = next(iter(models.values()))
+    rows = ability_rows(df, model, list(subject), exposure, version, position=position)
+    scores = calibrate(rows, [position, "ability", "signature"], slots, one.minimum_peers, keep_flat)
+    overall = compose(scores, subject, position, len(one.abilities), one.minimum_peers, keep_flat)
     return scores, rated(overall, position)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Ability, Feature, Model
+from ..config import POSITION_WEIGHTS, Ability, Feature, Model
 from ..operators import standardize as S
 
 
@@ -141,6 +141,33 @@ def features_sql(provider: str = "'one'", special: dict[str, str] | None = None)
     )
 
 
+#: The registry position whose weights each bound segment takes, and segments whose features weigh the other way round.
+SEGMENT_POSITIONS = {"AUTOMOBILE": "ST", "BUILDING": "GK", "FURNITURE": "CM", "HOUSEHOLD": "CAM", "MACHINERY": "CB"}
+TURNED = ("BUILDING", "HOUSEHOLD")
+
+
+def registry(minimum_peers: int = 30, minimum_exposure: float = 900) -> dict[str, Model]:
+    """A model per segment: overall weights by position, feature weights of some turned round."""
+    out = {}
+    for segment, position in SEGMENT_POSITIONS.items():
+        abilities = tuple(
+            Ability(a.name, w, dict(zip(a.weights, list(a.weights.values())[:: -1 if segment in TURNED else 1])))
+            for a, w in zip(ABILITIES, POSITION_WEIGHTS[position])
+        )
+        out[segment] = Model(FEATURES, abilities, minimum_exposure, minimum_peers)
+    return out
+
+
+def position_registry_sql() -> str:
+    rows = [
+        f"('{segment}', '{a.name}', CAST({a.overall_weight} AS DOUBLE), '{k}', CAST({w} AS DOUBLE))"
+        for segment, m in registry().items()
+        for a in m.abilities
+        for k, w in a.weights.items()
+    ]
+    return f"registry(role, ability, overall_weight, key, weight) AS (VALUES {', '.join(rows)})"
+
+
 def registry_sql() -> str:
     rows = [
         f"('{a.name}', CAST({a.overall_weight} AS DOUBLE), '{k}', CAST({w} AS DOUBLE))"

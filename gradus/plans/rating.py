@@ -26,6 +26,8 @@ from .bindings import (
     load,
     model,
     named,
+    position_registry_sql,
+    registry,
     registry_sql,
     role_z,
 )
@@ -98,6 +100,32 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rate_entities(spark, sf)
 
 
+# The same steps with the registry of each entity's own position.
+POSITION_SCORES_SQL = SCORES_SQL.replace(registry_sql(), position_registry_sql()).replace("JOIN registry g USING (key)", "JOIN registry g USING (key, role)").replace("{min_peers}", "30")
+
+
+@query("score_catalogue_by_position", POSITION_SCORES_SQL + RATED_SQL[RATED_SQL.rindex("\nSELECT player, role, round(overall_raw") :])
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    _, overall = R.score_catalogue(entities(spark, sf), registry(), ["player", "role"], "role", "minutes")
+    return overall.select(
+        "player", "role", *[F.round(c, 6).alias(c) for c in ("overall_raw", "overall_z", "overall", "percentile")],
+        F.col("rank").cast("long").alias("rank"), F.col("population").cast("long").alias("population"),
+    )
+
+
+@query(
+    "withheld_reasons",
+    POSITION_SCORES_SQL
+    + """SELECT player, role, ability, CASE WHEN coalesce(b1.minutes, 0) < 900 THEN 'below exposure' WHEN NOT coalesce(f.eligible, FALSE) THEN 'missing feature' WHEN s.peers < 30 THEN 'too few peers' ELSE 'no spread' END AS reason
+FROM flags f JOIN b1 USING (player, role) LEFT JOIN sized s USING (player, role, ability) ANTI JOIN ability USING (player, role, ability)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = R.ability_rows(entities(spark, sf), registry(), ["player", "role"], "minutes", position="role").persist()
+    cohort = ["role", "ability", "signature"]
+    _, slots = R.registered(registry())
+    return R.withheld(rows, R.calibrate(rows, cohort, slots, 30), ["player", "role"], cohort, 30)
+
+
 def ability_scores(spark: SparkSession, sf: str) -> DataFrame:
     m = model()
     rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role"], "minutes")
