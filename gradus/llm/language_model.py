@@ -35,7 +35,7 @@ WINDOW = 32
 TRAIN_LANES = 64
 TRAIN_WINDOW = 20
 #: Tokens that are scored together, so that lanes of different length fill up.
-POOL = 4_000_000
+POOL = 2_000_000
 #: Words a task counts before it sends them on.
 COUNTED = 1_000_000
 RATE = 0.1
