@@ -202,23 +202,23 @@ def components(
 
     ``stints``: (player, role, minutes, age, foot, inferred, attributes), the last a map from name to true or false;
     ``briefs``: brief, role, min_minutes, min_age, max_age, foot, attributes (names a candidate must not lack),
-    allow_unknown, replacement, team; ``team_targets``: (team, metric, target).
+    allow_unknown, replacement, team and, if there is one, intended (a map from style metric to target, before the
+    team's); ``team_targets``: (team, metric, target).
     """
     stats = style_stats(profiles)
-    tactical = (
-        briefs.select("brief", "role", "team")
-        .join(team_targets, "team")
-        .select("brief", "role", "metric", "target", F.lit("tactical_fit").alias("kind"))
-    )
-    # Briefs x metrics: short, and read by every partition of the profiles.
+    by_team = briefs.select("brief", "role", "team").join(team_targets, "team").select("brief", "role", "metric", "target")
+    if "intended" in briefs.columns:
+        # An intended style, where a brief names one, takes the place of its team's.
+        own = briefs.select("brief", "role", F.explode("intended").alias("metric", "target"))
+        by_team = by_team.join(own.select("brief").distinct(), "brief", "left_anti").unionByName(own)
+    tactical = by_team.withColumn("kind", F.lit("tactical_fit"))
+    # Briefs x metrics: a parameter table, packed into one row per brief.
     targets = cut(brief_targets(briefs, profiles, stats).unionByName(tactical))
-    fits = (
-        similarity(profiles, targets, stats, preferences)
-        .groupBy("brief", "player")
-        .agg(
-            F.expr("max(IF(kind = 'similarity', fit, NULL)) AS similarity"),
-            F.expr("max(IF(kind = 'tactical_fit', fit, NULL)) AS tactical_fit"),
-        )
+    terms = (
+        targets.join(stats.select("role", "metric", "scale"), ["role", "metric"])
+        .join(preferences, ["brief", "metric"], "left")
+        .groupBy("brief")
+        .agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct("metric", "target", "scale", F.coalesce("weight", F.lit(1.0)).alias("weight")))).alias(f"{k}_terms") for k in ("similarity", "tactical_fit")])
     )
     asked = briefs.select(
         "brief", "role", "min_minutes", "min_age", "max_age", F.col("foot").alias("want_foot"), F.expr("coalesce(attributes, array())").alias("wanted"), "allow_unknown", "replacement"
@@ -248,9 +248,18 @@ def components(
         )
         .where("allow_unknown OR size(unknowns) = 0")
     )
+    # A profile is one row per player and role, joined for the survivors only; a fit needs no further shuffle.
+    styles = profiles.where("is_style").groupBy("player", "role").agg(F.map_from_entries(F.collect_list(F.struct("metric", "posterior"))).alias("style"))
+    fit = (
+        "aggregate(filter({k}_terms, t -> style[t.metric] IS NOT NULL), named_struct('d', 0D, 'w', 0D), "
+        "(a, t) -> named_struct('d', a.d + t.weight * pow((style[t.metric] - t.target) / t.scale, 2), 'w', a.w + t.weight), "
+        "a -> IF(a.w > 0, 100 * exp(-sqrt(a.d / a.w) / 2), NULL)) AS {k}"
+    )
     return (
         candidates.join(evidence(profiles), ["player", "role"], "left")
-        .join(fits, ["brief", "player"], "left")
+        .join(styles, ["player", "role"], "left")
+        .join(terms, "brief", "left")
+        .selectExpr("*", *[fit.format(k=k) for k in ("similarity", "tactical_fit")])
         .selectExpr(
             "brief",
             "player",
@@ -265,6 +274,13 @@ def components(
     )
 
 
+def brief_violations(briefs: DataFrame, stints: DataFrame, most: int = 100) -> DataFrame:
+    """(brief, reason): limits out of range, and replacements that are unknown or play another role."""
+    known = stints.select(F.col("player").alias("replacement"), "role", F.lit(True).alias("known")).distinct()
+    wrong = briefs.where("replacement IS NOT NULL").join(known, ["replacement", "role"], "left").where("known IS NULL")
+    return limit_violations(briefs, most).select("brief", "reason").unionByName(wrong.select("brief", F.lit("replacement is unknown or has another role").alias("reason")))
+
+
 def recommend(parts: DataFrame, briefs: DataFrame) -> DataFrame:
     """Weigh the components by each brief's weights, scale by coverage, rank, keep its limit."""
     weights = briefs.select("brief", "max_results", *[f"w_{c}" for c in COMPONENTS])
@@ -364,3 +380,8 @@ def evaluate_rankings(ranked: DataFrame, varied: DataFrame, briefs: DataFrame, j
             "coalesce(ranking_sha256, sha2('', 256)) AS ranking_sha256",
         )
     )
+
+
+def mean_stability(evaluated: DataFrame) -> DataFrame:
+    """One row: briefs and their mean stability."""
+    return evaluated.agg(F.count("*").alias("briefs"), F.avg("stability").alias("mean_stability"))

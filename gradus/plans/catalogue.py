@@ -20,12 +20,12 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     shared = e.withColumn("name_key", plain_key(F.col("name"))).withColumn("club_key", F.lit(None).cast("string")).selectExpr(
         "*", "double(shots) AS _shots", "false AS keeper", "cast(NULL AS int) AS assists"
     )
-    main = shared.withColumn("non_penalty_goals", F.col("np_goals")).selectExpr("concat('a', player) AS record", "'opta' AS provider", "player AS provider_id", "*")
+    main = shared.withColumn("non_penalty_goals", F.col("np_goals")).selectExpr("concat('a', player) AS record", "'alpha' AS provider", "player AS provider_id", "*")
     second = (
         shared.where(SECOND)
         .withColumn("non_penalty_goals", F.expr("np_goals + int(team >= 10)"))
         .withColumn("tax", F.col("xg"))
-        .selectExpr("concat('b', player) AS record", "'web' AS provider", "player AS provider_id", "*")
+        .selectExpr("concat('b', player) AS record", "'gamma' AS provider", "player AS provider_id", "*")
         .withColumn("minutes", F.expr("minutes * 1.01"))
     )
     return main.unionByName(second).withColumn("position", F.col("role")).drop("player", "_shots")
@@ -38,9 +38,9 @@ BUILD_SQL = (
 )
 PLAYERS_SQL = f"""
 WITH {ENTITIES_SQL.replace('b1 AS (', 'b0 AS (')},
-b1 AS (SELECT 'a' || player AS player, * EXCLUDE (player, tax), CASE WHEN league = 'AFRICA' AND team < 10 THEN xg ELSE tax END AS tax, 'opta' AS prov,
-  CASE WHEN league = 'AFRICA' AND team < 10 THEN 'web' ELSE 'opta' END AS tax_prov, CASE WHEN league = 'AFRICA' AND team < 10 THEN minutes * 1.01 ELSE minutes END AS tax_minutes FROM b0
-  UNION ALL BY NAME SELECT 'b' || player AS player, * EXCLUDE (player, tax, minutes), minutes * 1.01 AS minutes, xg AS tax, 'web' AS prov, 'web' AS tax_prov, minutes * 1.01 AS tax_minutes
+b1 AS (SELECT 'a' || player AS player, * EXCLUDE (player, tax), CASE WHEN league = 'AFRICA' AND team < 10 THEN xg ELSE tax END AS tax, 'alpha' AS prov,
+  CASE WHEN league = 'AFRICA' AND team < 10 THEN 'gamma' ELSE 'alpha' END AS tax_prov, CASE WHEN league = 'AFRICA' AND team < 10 THEN minutes * 1.01 ELSE minutes END AS tax_minutes FROM b0
+  UNION ALL BY NAME SELECT 'b' || player AS player, * EXCLUDE (player, tax, minutes), minutes * 1.01 AS minutes, xg AS tax, 'gamma' AS prov, 'gamma' AS tax_prov, minutes * 1.01 AS tax_minutes
   FROM b0 WHERE team >= 10 AND team < 15),
 {features_sql('prov', {'tax90': 'tax_prov'}).replace("'tax90' AS key, CAST(tax AS DOUBLE) AS num, CAST(minutes AS DOUBLE) AS den", "'tax90' AS key, CAST(tax AS DOUBLE) AS num, CAST(tax_minutes AS DOUBLE) AS den")}, {registry_sql()}"""
 
@@ -58,6 +58,6 @@ UNION ALL SELECT 'roster', 'mapped', count(*) FROM b0 WHERE c_custkey_even IS NO
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rec = records(spark, sf).persist()
-    built = K.build(rec, model(), "opta", ["opta", "web"])
-    squad = rec.where("team = 3 AND provider = 'opta'").select("record", "name_key")
-    return K.summary(built, K.roster(built, squad, "opta"))
+    built = K.build(rec, model(), "alpha", ["alpha", "gamma"])
+    squad = rec.where("team = 3 AND provider = 'alpha'").select("record", "name_key")
+    return K.summary(built, K.roster(built, squad, "alpha"))

@@ -54,31 +54,31 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 VECTORS = {
-    ("opta", "shots"): "shots",
-    ("opta", "goals"): "np_goals",
-    ("opta", "minutes"): "minutes",
-    ("opta", "apps"): "matches",
-    ("web", "shots"): "shots",
-    ("web", "Goals"): "np_goals",
-    ("web", "Mins"): "minutes * 1.0000001",
-    ("web", "Apps"): "matches + CASE WHEN team = 3 THEN 1 ELSE 0 END",
-    ("web", "per_game.shots"): "shots / matches",
-    ("und", "goals"): "CASE WHEN player < 15 THEN np_goals END",
-    ("und", "time"): "minutes",
-    ("und", "games"): "matches",
+    ("alpha", "shots"): "shots",
+    ("alpha", "goals"): "np_goals",
+    ("alpha", "minutes"): "minutes",
+    ("alpha", "apps"): "matches",
+    ("gamma", "shots"): "shots",
+    ("gamma", "Goals"): "np_goals",
+    ("gamma", "Mins"): "minutes * 1.0000001",
+    ("gamma", "Apps"): "matches + CASE WHEN team = 3 THEN 1 ELSE 0 END",
+    ("gamma", "per_game.shots"): "shots / matches",
+    ("beta", "goals"): "CASE WHEN player < 15 THEN np_goals END",
+    ("beta", "time"): "minutes",
+    ("beta", "games"): "matches",
 }
 # The candidates among these columns: equal labels, then known aliases.
 VECTOR_PAIRS = [
-    (("opta", "apps"), ("und", "games")),
-    (("opta", "apps"), ("web", "Apps")),
-    (("opta", "goals"), ("und", "goals")),
-    (("opta", "goals"), ("web", "Goals")),
-    (("opta", "minutes"), ("und", "time")),
-    (("opta", "minutes"), ("web", "Mins")),
-    (("opta", "shots"), ("web", "shots")),
-    (("und", "games"), ("web", "Apps")),
-    (("und", "goals"), ("web", "Goals")),
-    (("und", "time"), ("web", "Mins")),
+    (("alpha", "apps"), ("beta", "games")),
+    (("alpha", "apps"), ("gamma", "Apps")),
+    (("alpha", "goals"), ("beta", "goals")),
+    (("alpha", "goals"), ("gamma", "Goals")),
+    (("alpha", "minutes"), ("beta", "time")),
+    (("alpha", "minutes"), ("gamma", "Mins")),
+    (("alpha", "shots"), ("gamma", "shots")),
+    (("beta", "games"), ("gamma", "Apps")),
+    (("beta", "goals"), ("gamma", "Goals")),
+    (("beta", "time"), ("gamma", "Mins")),
 ]
 VECTORS_SQL = "v AS (" + " UNION ALL ".join(
     f"SELECT '{p}' AS provider, '{n}' AS label, player AS row, CAST({e} AS DOUBLE) AS value FROM b1" for (p, n), e in VECTORS.items()

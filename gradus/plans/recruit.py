@@ -253,19 +253,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "ranking_evaluation",
-    RANKED_SQL
-    + """, j AS (SELECT rk.*, CASE WHEN c_nationkey <> 13 THEN (c_acctbal > 5000)::INT + (c_acctbal > 8000)::INT END AS rel FROM rk JOIN customer ON player = c_custkey WHERE g = 'base'),
+EVALUATED_SQL = RANKED_SQL + """, j AS (SELECT rk.*, CASE WHEN c_nationkey <> 13 THEN (c_acctbal > 5000)::INT + (c_acctbal > 8000)::INT END AS rel FROM rk JOIN customer ON player = c_custkey WHERE g = 'base'),
 idl AS (SELECT brief, sum(rel / log2(n + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY brief ORDER BY rel DESC NULLS LAST, player) AS n FROM j) WHERE n <= 10 GROUP BY 1),
 sh AS (SELECT brief, count(*) AS returned, count(rel) AS judged, max(rel) AS best, sum(rel / log2(position + 1)) FILTER (position <= 10) AS gain, count(*) FILTER (coverage >= 25 AND unknowns <> '') AS ver,
   sha256(string_agg(player::VARCHAR, '|' ORDER BY position)) AS ranking_sha256 FROM j GROUP BY 1),
 ja AS (SELECT brief, count(*) FILTER (n = 2) / count(*) AS jac FROM (SELECT brief, player, count(*) AS n FROM rk WHERE position <= 10 GROUP BY 1, 2) GROUP BY 1)
 SELECT br.brief, CASE WHEN i <= 2 THEN 'development' ELSE 'test' END AS split, role, returned, round(jac, 6) AS stability,
   CASE WHEN returned > 1 AND judged = returned AND best > 0 THEN round(gain / ideal, 6) END AS ndcg_at_10, ver AS verification_required, ranking_sha256
-FROM br JOIN sh USING (brief) JOIN idl USING (brief) JOIN ja USING (brief)""",
-)
-def _(spark: SparkSession, sf: str) -> DataFrame:
+FROM br JOIN sh USING (brief) JOIN idl USING (brief) JOIN ja USING (brief)"""
+
+
+def evaluated(spark: SparkSession, sf: str) -> DataFrame:
     b = briefs(spark, sf).persist()
     judgments = load(spark, sf, "customer").where("c_nationkey <> 13").selectExpr(
         "c_custkey AS player", "int(c_acctbal > 5000) + int(c_acctbal > 8000) AS relevance"
@@ -273,5 +271,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     # Both rankings hold at most 100 rows per brief; they are read several times.
     shared = parts(spark, sf, b).persist()
     base, varied = C.recommend(shared, b).persist(), C.recommend(shared, C.perturbed(b)).persist()
-    out = C.evaluate_rankings(base, varied, b, judgments)
+    return C.evaluate_rankings(base, varied, b, judgments)
+
+
+@query("ranking_evaluation", EVALUATED_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    out = evaluated(spark, sf)
     return out.withColumn("stability", F.round("stability", 6)).withColumn("ndcg_at_10", F.round("ndcg_at_10", 6))
+
+
+@query("mean_stability", "SELECT count(*) AS briefs, round(avg(stability), 4) AS mean_stability FROM (" + EVALUATED_SQL + ")")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return C.mean_stability(evaluated(spark, sf)).withColumn("mean_stability", F.round("mean_stability", 4))

@@ -22,6 +22,20 @@ def test_ranking_keeps_each_briefs_own_limit(spark):
     assert recruit.recommend(parts, brief(7)).count() == 7
     assert [r.max_results for r in recruit.limit_violations(brief(150)).collect()] == [150]
     assert recruit.limit_violations(brief(100)).count() == 0
+    stints = spark.createDataFrame([(1, "R"), (2, "S")], "player int, role string")
+    asked = spark.createDataFrame([("a", "R", 1, 5), ("b", "R", 2, 5), ("c", "R", 9, 0), ("d", "R", None, 5)], "brief string, role string, replacement int, max_results int")
+    assert sorted(r.brief for r in recruit.brief_violations(asked, stints).collect()) == ["b", "c", "c"]
+
+
+def test_an_intended_style_comes_before_the_teams(spark):
+    stints = spark.sql("SELECT player, 'R' AS role, 900D AS minutes, 25 AS age, 'left' AS foot, false AS inferred, map('x', true) AS attributes FROM VALUES (1), (2), (3) t(player)")
+    profiles = spark.sql("SELECT player, 'R' AS role, 'pace' AS metric, double(player) AS posterior, 50D AS percentile, true AS is_style, false AS is_quality, 1 AS direction, 1 AS role_metrics, 1D AS weight FROM VALUES (1), (2), (3) t(player)")
+    brief = spark.sql("""SELECT brief, 'R' AS role, 450D AS min_minutes, 15 AS min_age, 40 AS max_age, cast(NULL AS string) AS foot, cast(array() AS array<string>) AS attributes,
+        true AS allow_unknown, cast(NULL AS int) AS replacement, 7 AS team, intended FROM VALUES ('own', map('pace', 3D)), ('team', cast(map() AS map<string,double>)) t(brief, intended)""")
+    teams = spark.sql("SELECT 7 AS team, 'pace' AS metric, 1D AS target")
+    none = spark.createDataFrame([], "brief string, metric string, weight double")
+    made = {(r.brief, r.player): r.tactical_fit for r in recruit.components(stints, profiles, brief, teams, none).collect()}
+    assert made[("own", 3)] == made[("team", 1)] == 100.0 and made[("own", 1)] < 100 and made[("team", 3)] < 100
 
 
 @pytest.mark.parametrize("shape", [50.0, 9999.0, 1e4, 1e6, 1e8])
