@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 
 @F.pandas_udf(T.StringType())
-def nfkd_key(names: pd.Series) -> pd.Series:
+def _decomposed(names: pd.Series) -> pd.Series:
     """Casefold, decompose, keep letters and digits."""
 
     def key(name):
@@ -23,6 +23,13 @@ def nfkd_key(names: pd.Series) -> pd.Series:
     return names.map(key)
 
 
+def nfkd_key(name: Column | str) -> Column:
+    """Casefolded, decomposed letters and digits. ASCII names stay in the JVM; only others are sent to Python."""
+    name = F.col(name) if isinstance(name, str) else name
+    ascii_only = name.rlike("^[\\x00-\\x7F]*$")
+    return F.when(ascii_only, F.regexp_replace(F.lower(name), "[^a-z0-9]", "")).otherwise(_decomposed(F.when(~ascii_only, name)))
+
+
 # Accented Latin letters and their base letters.
 ACCENTED = "àáâãäåāăąçćčďđèéêëēėęěğģìíîïīįıķłļľñńņňòóôõöøōőŕřśşšţťùúûüūůűųýÿźżž"
 PLAIN = "aaaaaaaaacccddeeeeeeeeggiiiiiiiklllnnnnoooooooorrsssttuuuuuuuuyyzzz"

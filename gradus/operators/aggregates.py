@@ -242,7 +242,7 @@ def source_combinations(
     ]
     members = spark.createDataFrame(subsets, "sources string, size int, provider string")
     return (
-        passing.join(F.broadcast(members), "provider")
+        passing.join(members, "provider")
         .groupBy("sources", "size", "family")
         .agg(F.expr("bool_or(passes) AS passes"))
         .groupBy("sources", "size")
@@ -254,7 +254,7 @@ def synonym_map(df: DataFrame, column: str, synonyms: Mapping[str, str], out: st
     """Replace native names by their family; unknown names stay themselves."""
     table = df.sparkSession.createDataFrame(list(synonyms.items()), "_native string, _family string")
     return (
-        df.join(F.broadcast(table), F.col(column) == F.col("_native"), "left")
+        df.join(table, F.col(column) == F.col("_native"), "left")
         .withColumn(out, F.coalesce("_family", column))
         .drop("_native", "_family")
     )

@@ -92,7 +92,7 @@ def scoped_shots(shots: DataFrame, fixtures: DataFrame, totals: DataFrame, entit
 def alias_key(df: DataFrame, key: str, aliases: Mapping[str, str]) -> DataFrame:
     table = df.sparkSession.createDataFrame(list(aliases.items()), "_from string, _to string")
     return (
-        df.join(F.broadcast(table), F.col(key) == F.col("_from"), "left")
+        df.join(table, F.col(key) == F.col("_from"), "left")
         .withColumn(key, F.coalesce("_to", key))
         .drop("_from", "_to")
     )

@@ -670,7 +670,7 @@ def map_positions(df: DataFrame, column: str, mapping: dict[str, str], out: str
     """Source labels to registry ids; an unknown label stays itself."""
     table = df.sparkSession.createDataFrame(list(mapping.items()), "_label string, _id string")
     return (
-        df.join(F.broadcast(table), F.col(column) == F.col("_label"), "left")
+        df.join(table, F.col(column) == F.col("_label"), "left")
         .withColumn(out, F.coalesce("_id", column))
         .drop("_label", "_id")
     )
