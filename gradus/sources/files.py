@@ -54,8 +54,8 @@ def formula_safe(cell: Column) -> Column:
     """Text a spreadsheet would run as a formula gets a leading apostrophe; numbers stay."""
     number = F.when(cell.rlike(r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"), cell.try_cast("double"))
     is_number = F.coalesce(F.abs(number) < float("inf"), F.lit(False))
-    # White space of every kind before the sign is passed over.
-    risky = cell.rlike(r"^[\s\p{Z}\x1c-\x1f\x85]*[=+\-@]")
+    # White space of every kind before the sign is passed over; a leading tab or return is a marker itself.
+    risky = cell.rlike(r"^[\s\p{Z}\x1c-\x1f\x85]*[=+\-@]|^[\t\r]")
     return F.when(is_number | ~risky, cell).otherwise(F.concat(F.lit("'"), cell))
 
 

@@ -110,8 +110,9 @@ def test_shared_days_against_brute_force(spark):
 def test_concurrent_minutes(spark):
     iv = spark.createDataFrame([(1, "a", 0, 30), (1, "a", 20, 45), (1, "b", 30, 90), (1, "c", 0, 200), (2, "a", 0, 90)], "match int, player string, start int, end int")
     pairs = spark.createDataFrame([(1, "a", "b"), (1, "a", "c"), (2, "a", "b")], "match int, player_a string, player_b string")
-    got = {(r["match"], r["player_b"]): r["minutes"] for r in I.concurrent_minutes(iv, pairs).collect()}
-    assert got == {(1, "b"): 15, (1, "c"): 0, (2, "b"): 0}
+    got = {(r["match"], r["player_b"]): (r["minutes"], r["status"]) for r in I.concurrent_minutes(iv, pairs).collect()}
+    # An interval past the match is refused; it is not an answer of no minutes.
+    assert got == {(1, "b"): (15, "ok"), (1, "c"): (None, "invalid interval"), (2, "b"): (0, "ok")}
     assert I.invalid_intervals(iv).count() == 1
 
 
