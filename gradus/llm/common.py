@@ -12,8 +12,8 @@ from pyspark.sql.types import StructField, StructType
 from ..session import new_folder
 
 #: Rows and bytes of an Arrow batch: some documents are very long.
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

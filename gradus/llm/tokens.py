@@ -24,7 +24,7 @@ import numpy as np
 
 from .words import VISIBLE, Packed, Table
 
-KEPT = 1_000_000
+KEPT = 600_000
 LONG = 64
 #: Texts of one call to the library, in characters: bounds what the library holds at once.
 CALL_CHARS = 4_000_000
@@ -230,7 +230,7 @@ def encoder(path: str, byte_level: bool) -> Encoder:
     return Encoder(path, byte_level)
 
 
-def by_chars(texts: list, most: int = 2_000_000):
+def by_chars(texts: list, most: int = 1_000_000):
     """Index ranges whose texts together have at most ``most`` characters, or hold one text."""
     low = size = 0
     for at, text in enumerate(texts):

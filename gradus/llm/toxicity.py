@@ -37,7 +37,9 @@ ROUNDS = 2
 #: Words of a text that become examples, and how much likelier in toxic texts a positive one must be.
 TOP = 3
 LEAN = 3.0
-KEPT = 1_000_000
+KEPT = 600_000
+#: Words whose subsequences are held together.
+WORDS = 10_000
 #: Most labelled rows of each label that are learnt from.
 SAMPLE = 20_000
 
@@ -121,8 +123,8 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
 def margins(words: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
     """The margin of each word: that of its worst window. A word of fewer than three letters has the bias."""
     out = np.full(len(words), bias)
-    for low in range(0, len(words), 50_000):
-        part = words[low : low + 50_000]
+    for low in range(0, len(words), WORDS):
+        part = words[low : low + WORDS]
         window, code, value, of = features(part)
         sums = np.bincount(window, weight[code] * value, len(of)) + bias
         np.maximum.at(out[low : low + len(part)], of, sums) if (len(of) > len(part)) else np.copyto(out[low : low + len(part)], sums)

@@ -7,6 +7,8 @@ import numpy as np
 #: Odd multipliers of the polynomial key and of its final mixing.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes whose keys are worked out together.
+PIECE = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -26,7 +28,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n - 1 of the base and of its inverse, modulo 2^64."""
     global _powers
     if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
+        n = max(n, PIECE + 1)
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         up, down = np.full(n, BASE, np.uint64), np.full(n, inverse, np.uint64)
         up[0] = down[0] = 1
@@ -63,15 +65,38 @@ class Packed:
         return edges[0::2], edges[1::2]
 
     def keys(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit key of the bytes of each span; 0 never occurs."""
-        up, down = powers(len(self.data) + 1)
-        total = np.empty(len(self.data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
-        keys = mixed((total[end] - total[start]) * down[start])
+        """A 64-bit key of the bytes of each span (ascending, apart); 0 never occurs. Worked out piece by piece, so
+        that what is held beside the texts does not grow with them."""
+        keys = np.empty(len(start), np.uint64)
+        low = 0
+        while low < len(start):
+            base = int(start[low])
+            high = max(low + 1, int(np.searchsorted(end, base + PIECE, side="right")))
+            stop = int(end[high - 1])
+            if stop - base > PIECE:  # one span alone
+                keys[low] = self._long(base, stop)
+            else:
+                up, down = powers(stop - base + 1)
+                total = np.zeros(stop - base + 1, np.uint64)
+                values = self.data[base:stop].astype(np.uint64)
+                values += np.uint64(1)
+                values *= up[: len(values)]
+                np.cumsum(values, out=total[1:])
+                first = start[low:high] - base
+                keys[low:high] = (total[end[low:high] - base] - total[first]) * down[first]
+            low = high
+        keys = mixed(keys)
         keys[keys == 0] = 1
         return keys
 
+    def _long(self, start: int, end: int) -> int:
+        total = 0
+        for at in range(start, end, PIECE):
+            part = self.data[at : min(end, at + PIECE)].astype(np.uint64) + np.uint64(1)
+            own = int((part * powers(len(part))[0][: len(part)]).sum(dtype=np.uint64))
+            total = (total + own * pow(int(BASE), at - start, 1 << 64)) % (1 << 64)
+        return total
+
     def counts(self, start: np.ndarray) -> np.ndarray:
         """How many spans begin in each text; spans are in ascending order."""
         return np.searchsorted(start, self.end + 1) - np.searchsorted(start, self.start)
