@@ -26,6 +26,7 @@ ISLANDS = 2
 EPOCHS = 2
 BREEDINGS = 6
 POPULATION = 4
+TASKS = 4096
 
 
 class Bins:
@@ -195,7 +196,9 @@ def pack(
         F.lit(None).cast("array<array<int>>").alias("packings"),
     )
     for epoch in range(epochs):
-        state = written(_epoch(state, epoch, size, breedings, population), "packing-epoch")
+        # Few bytes, much work: one island a task, up to a fixed number of tasks.
+        spread = state.repartition(min(shards * islands, TASKS), "shard", "island")
+        state = written(_epoch(spread, epoch, size, breedings, population), "packing-epoch")
         # The elite of the neighbouring island takes the place of the worst.
         ring = Window.partitionBy("shard").orderBy("island")
         around = Window.partitionBy("shard")
@@ -240,9 +243,8 @@ def _epoch(state: DataFrame, epoch: int, size: int, breedings: int, population:
                     "filled": [int(fill[1])],
                 }
 
-    spread = state.repartition(F.col("shard"), F.col("island")) if epoch == 0 else state
     out = "shard long, island int, lengths array<long>, packings array<array<int>>, bins long, filled long"
-    return map_rows(spread, ["shard", "island", "lengths", "packings"], out, work)
+    return map_rows(state, ["shard", "island", "lengths", "packings"], out, work)
 
 
 def _bins(items: list[list[int]], lengths: list[int], size: int) -> Bins:
