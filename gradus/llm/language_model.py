@@ -6,9 +6,9 @@ of the word in its class, both given the state. All other words form one more cl
 add-one smoothing decide. The commonest ``HEAD`` counts (a fixed number) are broadcast; words beyond meet their
 counts in a join, so nothing that grows with the vocabulary is sent to every task.
 
-The network learns by truncated backpropagation: tasks train on their own part of the training rows, a share
-``TRAIN`` of them chosen by hash in each round, and their weights are averaged between rounds. Scoring carries the
-state across windows, so a document of any length is scored whole. Words are told apart by 64-bit keys.
+The network learns by truncated backpropagation: tasks train on their own part of the training rows, each row in one
+of ``ROUNDS`` rounds, and their weights are averaged between rounds. Scoring carries the state across windows, so a
+document of any length is scored whole. Words are told apart by 64-bit keys.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ CLASS = 64
 HEAD = 1 << 18
 HIDDEN = 16
 ROUNDS = 2
-TRAIN = 16
+#: Slices of the training rows, one a round: with as many rounds, every row is learnt from once.
+TRAIN = ROUNDS
 LANES = 512
 WINDOW = 32
 TRAIN_LANES = 64
@@ -322,13 +323,17 @@ def _for_network(vocabulary: Vocabulary, number: np.ndarray) -> np.ndarray:
 
 
 def trained(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, share: int = TRAIN) -> Network:
-    """Weights averaged over tasks after each round; each round takes another ``1 / share`` of the rows."""
+    """Weights averaged over tasks after each round; each round takes another ``1 / share`` of the rows.
+
+    Rows, not texts, are dealt to slices, so copies of a text are spread; the slices are written, so rounds agree.
+    """
     spark = texts.sparkSession
+    sliced = written(texts.select("text", F.pmod(F.monotonically_increasing_id(), F.lit(share)).alias("slice")), "lm-slices")
     network = Network.start(vocabulary.frequencies())
     words = spark.sparkContext.broadcast(vocabulary)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(network)
-        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == turn % share)
+        own = sliced.where(F.col("slice") == turn % share)
 
         def work(batches: Iterator[list]) -> Iterator[dict]:
             held = network_of(sent.value)

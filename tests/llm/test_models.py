@@ -66,6 +66,20 @@ def test_language_model_counts(odd_docs, no_docs, monkeypatch):
     assert lm_scores(no_docs).count() == 0
 
 
+def test_network_learns_every_training_row_once(llm, monkeypatch):
+    rows = [(k, "one hot text" if k % 3 == 0 else f"word{k} here and there") for k in range(600)]
+    learnt, averaged = [], language_model._averaged
+
+    def counted(weights, network):
+        learnt.append(weights.agg(F.sum("n")).first()[0])
+        return averaged(weights, network)
+
+    monkeypatch.setattr(language_model, "_averaged", counted)
+    total = lm_scores(llm.createDataFrame(rows, "doc_id long, text string")).first().train_tokens
+    assert sum(learnt) == total
+    assert all(abs(n - total / len(learnt)) < 0.1 * total for n in learnt)  # copies of a text are spread over the rounds
+
+
 def test_kernel_tolerates_gaps_and_inserted_characters():
     values = toxicity.kernel(["loser", "l.o.s.e.r", "lxoser", "weather", ""], ["loser"])[:, 0]
     assert values[0] > 0.999 and values[1] > 0.999 and 0.5 < values[2] < 1 and values[3] < 0.1 and values[4] == 0
