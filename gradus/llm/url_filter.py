@@ -1,9 +1,9 @@
 """URL verdicts by rules, and beyond them by a tree of path templates learnt per host (DataFrame functions only).
 
 Level by level, the segments under a host and a template so far are counted. Where they are many and mostly
-different they are variable and become ``*``. Of the others, those whose labelled share does not differ
-significantly from that of all their siblings are merged into one branch ``~``; the rest keep their names. A
-template is rejected if its share of good labels, smoothed towards its host's and the host's towards all, falls
+different the level is variable: its segments become ``*``, but for those with enough rows of their own or whose
+labelled share differs significantly. On other levels, segments whose labelled share does not differ significantly
+from that of all their siblings are merged into one branch ``~``; the rest keep their names. A template is rejected if its share of good labels, smoothed towards its host's and the host's towards all, falls
 below ``LEAST``. A hot host is split by its segments, and all counts are partial sums before they are shuffled.
 """
 
@@ -28,6 +28,8 @@ MANY = 20
 DIFFERENT = 0.2
 #: Normal quantile beyond which a branch differs from its siblings.
 DISTINCT = 1.96
+#: Good and bad labels a rare segment of a variable level must expect before that quantile is trusted.
+EXPECTED = 5
 SMOOTHING = 5.0
 LEAST = 0.5
 DEPTH = 6
@@ -74,13 +76,17 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
         parents = children.groupBy("host", "template").agg(
             F.count("*").alias("branches"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("right").alias("all_right")
         )
-        fixed = parents.where(~((F.col("branches") >= MANY) & (F.col("branches") >= DIFFERENT * F.col("all_n"))))
         share = F.try_divide("all_right", "all_labelled")
         spread = F.sqrt(F.try_divide(share * (1 - share), "labelled"))
         differs = F.abs(F.try_divide("right", "labelled") - share) > DISTINCT * spread  # null without labels
+        variable = (F.col("branches") >= MANY) & (F.col("branches") >= DIFFERENT * F.col("all_n"))
+        enough = F.col("labelled") * F.least(share, 1 - share) >= EXPECTED
+        stands_out = (F.col("n") >= MANY) | (differs & enough)
+        branch = F.when(variable, F.when(stands_out, F.col("segment"))).when(differs, F.col("segment")).otherwise(F.lit("~"))
         branches = (
-            children.join(fixed, ["host", "template"])
-            .select("host", "template", "segment", F.when(differs, F.col("segment")).otherwise(F.lit("~")).alias("branch"))
+            children.join(parents, ["host", "template"])
+            .select("host", "template", "segment", branch.alias("branch"))
+            .where("branch IS NOT NULL")
         )
         rows = (
             rows.join(branches, ["host", "template", "segment"], "left")

@@ -144,3 +144,18 @@ def test_templates_are_learnt_and_rejected(llm):
     assert made[398].template == "shop.org/news/*" and made[398].verdict == "allow"
     same = llm.createDataFrame([(k, k % 4 // 2) for k in range(200)], "page_id long, good int")
     assert {r.template for r in judge_urls(pages, same).collect()} == {"shop.org/~/*"}
+
+
+def test_frequent_segments_of_a_variable_level_keep_their_names(llm):
+    for spam in (1000, 3000):  # a third and three fifths of the rows
+        rows = [(k, f"http://h.org/spam/{k}", 0) for k in range(spam)]
+        rows += [(spam + k, f"http://h.org/slug{k}", 1) for k in range(2000)]
+        rows += [(spam + 2000 + k, f"http://h.org/rare/{k}", 1 - spam // 3000) for k in range(18)]  # few rows, unlike most
+        rows += [(spam + 2018 + k, f"http://h.org/twice/{k}", 0) for k in range(2)]
+        pages = llm.createDataFrame(rows, "page_id long, url string, good int")
+        made = {r.page_id: r for r in judge_urls(pages.select("page_id", "url"), pages.select("page_id", "good")).collect()}
+        got = lambda low, high: {(made[k].template, made[k].verdict) for k in range(low, high)}
+        assert got(0, spam) == {("h.org/spam/*", "block")}
+        assert got(spam, spam + 2000) == {("h.org/*", "allow")}
+        assert {t.split("/")[1] for t, _ in got(spam + 2000, spam + 2018)} == {"rare"}
+        assert {t.split("/")[1] for t, _ in got(spam + 2018, spam + 2020)} == {"*"}
