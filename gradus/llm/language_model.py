@@ -1,10 +1,10 @@
 """Document likelihoods by a gated recurrent network with a class-factored softmax, beside a unigram base.
 
-Counts of all words of all training rows are one distributed aggregate. The commonest ``NETWORK`` words are the
-network's vocabulary, in classes of ``CLASS`` words by rank: a word's probability is that of its class, times that
-of the word in its class, both given the state. All other words form one more class, within which counts with
-add-one smoothing decide. The commonest ``HEAD`` counts (a fixed number) are broadcast; words beyond meet their
-counts in a join, so nothing that grows with the vocabulary is sent to every task.
+Counts of all words of all training rows are one distributed aggregate. The commonest ``HEAD`` words (a fixed number)
+are broadcast and are the network's vocabulary, by rank in classes balanced by frequency: a word's
+probability is that of its class, times that of the word in its class, both given the state. All other words form
+one more class, within which counts with add-one smoothing decide; they meet their counts in a join, so nothing that
+grows with the vocabulary is sent to every task.
 
 The network learns by truncated backpropagation: tasks train on their own part of the training rows, each row in one
 of ``ROUNDS`` rounds, and their weights are averaged between rounds. Scoring carries the state across windows, so a
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from .common import map_rows, named, remainder, written
 from .words import VISIBLE, Packed, Table
 
-NETWORK = 4096
-CLASS = 64
 HEAD = 1 << 18
 HIDDEN = 16
 ROUNDS = 2
@@ -33,12 +31,15 @@ ROUNDS = 2
 TRAIN = ROUNDS
 LANES = 512
 WINDOW = 32
-TRAIN_LANES = 64
+TRAIN_LANES = 512
 TRAIN_WINDOW = 20
 #: Tokens that are scored together, so that lanes of different length fill up.
 POOL = 2_000_000
 #: Words a task counts before it sends them on.
 COUNTED = 1_000_000
+#: Tokens a task learns from before it sends its weights, which are large, and numbers in a block of word logits.
+LEARNT = 6_000_000
+BLOCK = 1 << 22
 RATE = 0.1
 
 
@@ -81,7 +82,7 @@ class Vocabulary:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, ends: int, tokens: int, distinct: int):
         self.keys, self.counts, self.ends, self.tokens, self.distinct = keys, counts, ends, tokens, distinct
-        self.words = min(len(keys) + 1, NETWORK)  # of the network, with the end
+        self.words = len(keys) + 1  # of the network, with the end
         inside = ends + int(counts[: self.words - 1].sum())
         self.rest_total = (tokens - inside) + (distinct - self.words) + 1
         self.table: Table | None = None
@@ -107,23 +108,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def class_cuts(frequencies: np.ndarray) -> np.ndarray:
+    """Bounds of about sqrt(V) / 2 classes of neighbouring words, balanced by the root of their frequency: for words
+    as frequent as 1 / rank, that makes the classes and the words met in them fewest together."""
+    root = np.sqrt(frequencies)
+    before = np.cumsum(root) - root
+    number = np.floor(before * (len(root) ** 0.5 / 2 / root.sum()))
+    return np.append(np.flatnonzero(np.diff(number, prepend=-1.0)), len(frequencies))
+
+
 class Network:
-    """Weights by name; ``gate`` holds each word's input to the update, the reset and the candidate."""
+    """Weights by name; ``gate`` holds each word's input to the update, the reset and the candidate. ``cuts`` holds
+    the first word of each class and the number of words; numbers from there on are of the rest."""
 
     NAMES = ("gate", "back", "bias", "class_w", "class_b", "word_w", "word_b")
 
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = weights
+    def __init__(self, weights: dict[str, np.ndarray], cuts: np.ndarray):
+        self.w, self.cuts = weights, cuts
         self.words = len(weights["word_b"])
 
     @staticmethod
     def start(frequencies: np.ndarray, hidden: int = HIDDEN) -> "Network":
         """Small random inputs; the biases alone already give the unigram model."""
         chance = np.random.default_rng(11)
-        words = len(frequencies) - 1
-        classes = -(-words // CLASS)
-        by_class = np.append(np.add.reduceat(frequencies[:-1], np.arange(0, words, CLASS)), frequencies[-1])
-        small = lambda *shape, by=0.1: (chance.standard_normal(shape) * by).astype(np.float32)
+        cuts = class_cuts(frequencies[:-1])
+        words, classes = len(frequencies) - 1, len(cuts) - 1
+        by_class = np.append(np.add.reduceat(frequencies[:-1], cuts[:-1]), frequencies[-1])
+        small = lambda *shape, by=0.1: (chance.standard_normal(shape, np.float32) * np.float32(by))
         return Network({
             "gate": small(words + 1, 3 * hidden),
             "back": small(hidden, 3 * hidden, by=0.3),
@@ -132,29 +143,29 @@ class Network:
             "class_b": np.log(by_class / by_class.sum()).astype(np.float32),
             "word_w": small(words, hidden),
             "word_b": np.log(frequencies[:-1]).astype(np.float32),
-        })
+        }, cuts)
 
-    def packed(self) -> bytes:
-        return b"".join(self.w[n].astype("<f4").tobytes() for n in self.NAMES)
+    def change(self, since: "Network") -> bytes:
+        """What was learnt since, at half precision."""
+        return b"".join((self.w[n] - since.w[n]).astype("<f2").tobytes() for n in self.NAMES)
 
-    def unpacked(self, raw: np.ndarray) -> "Network":
+    def changed(self, by: np.ndarray) -> "Network":
         out, at = {}, 0
         for n in self.NAMES:
             size = self.w[n].size
-            out[n] = raw[at : at + size].reshape(self.w[n].shape).astype(np.float32)
+            out[n] = self.w[n] + by[at : at + size].reshape(self.w[n].shape).astype(np.float32)
             at += size
-        return Network(out)
+        return Network(out, self.cuts)
 
     def forward(self, tokens: np.ndarray, h: np.ndarray, keep: bool = False):
         """States before each token of a window (time x lane), the state after it, and what learning needs."""
         w, size = self.w, h.shape[1]
         steps, lanes = tokens.shape
         states = np.empty((steps, lanes, size), np.float32)
-        inputs = w["gate"] + w["bias"]
         back, memory = w["back"], []
         for t in range(steps):
             states[t] = h
-            x = inputs[tokens[t]]
+            x = w["gate"][tokens[t]] + w["bias"]
             y = h @ back
             both = _sigmoid(x[:, : 2 * size] + y[:, : 2 * size])
             z, r = both[:, :size], both[:, size:]
@@ -169,43 +180,50 @@ class Network:
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray, grad: dict | None = None):
         """Natural log probabilities of the targets given the states: of the class, times the word in its class.
 
-        With ``grad`` also the gradient of their sum by the states; those of the weights are added to it.
+        With ``grad`` also the gradient of their sum by the states; those of the weights are added to it, those of
+        words as (first, end, word_w, word_b) of the classes met.
         """
         w = self.w
         rest = len(w["class_b"]) - 1
-        own = np.where(targets < self.words, targets // CLASS, rest)
+        own = np.searchsorted(self.cuts, targets, side="right") - 1
         logits = states @ w["class_w"] + w["class_b"]
         logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1, keepdims=True)
         rows = np.arange(len(targets))
-        out = logits[rows, own] - np.log(total[:, 0])
+        out = logits[rows, own]
+        p = np.exp(logits, out=logits)
+        total = p.sum(axis=1, keepdims=True)
+        out -= np.log(total[:, 0])
         d_states = None
         if grad is not None:
-            d = -p / total
-            d[rows, own] += 1
-            grad["class_w"] += states.T @ d
-            grad["class_b"] += d.sum(axis=0)
-            d_states = d @ w["class_w"].T
+            p /= -total
+            p[rows, own] += 1
+            grad["class_w"] += states.T @ p
+            grad["class_b"] += p.sum(axis=0)
+            d_states = p @ w["class_w"].T
         order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(rest + 1))
-        for c in range(rest):
-            at = order[cuts[c] : cuts[c + 1]]
-            if not len(at):
+        met, first = np.unique(own[order], return_index=True)
+        for c, start, end in zip(met.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+            low, high = (int(self.cuts[c]), int(self.cuts[c + 1])) if c < rest else (0, 0)
+            if high - low < 2:  # the rest, or the only word of its class
                 continue
-            low, high = c * CLASS, min((c + 1) * CLASS, self.words)
-            logits = states[at] @ w["word_w"][low:high].T + w["word_b"][low:high]
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            total = p.sum(axis=1, keepdims=True)
-            rows, within = np.arange(len(at)), targets[at] - low
-            out[at] += logits[rows, within] - np.log(total[:, 0])
+            step, by_word, by_bias = max(1, BLOCK // (high - low)), 0, 0
+            for block in range(start, end, step):
+                at = order[block : min(block + step, end)]
+                held = states[at]
+                logits = held @ w["word_w"][low:high].T + w["word_b"][low:high]
+                logits -= logits.max(axis=1, keepdims=True)
+                rows, within = np.arange(len(at)), targets[at] - low
+                chosen = logits[rows, within]
+                p = np.exp(logits, out=logits)
+                total = p.sum(axis=1, keepdims=True)
+                out[at] += chosen - np.log(total[:, 0])
+                if grad is not None:
+                    p /= -total
+                    p[rows, within] += 1
+                    by_word, by_bias = by_word + p.T @ held, by_bias + p.sum(axis=0)
+                    d_states[at] += p @ w["word_w"][low:high]
             if grad is not None:
-                d = -p / total
-                d[rows, within] += 1
-                grad["word_w"][low:high] += d.T @ states[at]
-                grad["word_b"][low:high] += d.sum(axis=0)
-                d_states[at] += d @ w["word_w"][low:high]
+                grad["words"].append((low, high, by_word, by_bias))
         return out, d_states
 
     def learn(self, tokens: np.ndarray, h: np.ndarray, memory: dict) -> np.ndarray:
@@ -213,7 +231,7 @@ class Network:
         w, size = self.w, h.shape[1]
         steps, lanes = tokens.shape
         states, after, past = self.forward(tokens, h, keep=True)
-        grad = {n: np.zeros_like(v) for n, v in w.items() if n != "gate"}
+        grad = {n: np.zeros_like(w[n]) for n in ("back", "bias", "class_w", "class_b")} | {"words": []}
         _, by_state = self.log_likelihood(states.reshape(-1, size), tokens.reshape(-1), grad)
         by_state = by_state.reshape(steps, lanes, size)
         by_gate = np.empty((steps, lanes, 3 * size), np.float32)
@@ -235,13 +253,19 @@ class Network:
         seen, first = np.unique(ids[order], return_index=True)
         rows = np.add.reduceat(flat[order], first)
         scale = 1.0 / tokens.size**0.5
-        for n, g in grad.items():
-            g = np.clip(g * scale, -5, 5)
-            memory[n] += g * g
-            w[n] += RATE * g / np.sqrt(memory[n] + 1e-6)
-        rows = np.clip(rows * scale, -5, 5)
-        memory["gate"][seen] += rows * rows
-        w["gate"][seen] += RATE * rows / np.sqrt(memory["gate"][seen] + 1e-6)
+        words = grad.pop("words")
+        parts = [(w[n], memory[n], g) for n, g in grad.items()]
+        for low, high, by_word, by_bias in words:
+            parts += [(w[n][low:high], memory[n][low:high], g) for n, g in (("word_w", by_word), ("word_b", by_bias))]
+        held = w["gate"][seen], memory["gate"][seen]
+        for own, past, g in [*parts, (*held, rows)]:
+            g *= scale
+            np.clip(g, -5, 5, out=g)
+            past += g * g
+            g *= RATE
+            g /= np.sqrt(past + 1e-6)
+            own += g
+        w["gate"][seen], memory["gate"][seen] = held
         return after
 
 
@@ -333,7 +357,7 @@ def trained(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, shar
     words = spark.sparkContext.broadcast(vocabulary)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(network)
-        own = sliced.where(F.col("slice") == turn % share)
+        own = sliced.where(F.col("slice") == turn % share).coalesce(max(1, -(-vocabulary.tokens // (share * LEARNT))))
 
         def work(batches: Iterator[list]) -> Iterator[dict]:
             held = network_of(sent.value)
@@ -355,38 +379,37 @@ def trained(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, shar
             if waiting:
                 fit()
             if seen:
-                yield {"weights": [held.packed()], "n": [seen]}
+                yield {"weights": [held.change(sent.value)], "n": [seen]}
 
         network = _averaged(map_rows(own, ["text"], "weights binary, n long", work), network)
+        sent.destroy()
     return network
 
 
 def network_of(sent: Network) -> Network:
-    return Network({n: v.copy() for n, v in sent.w.items()})
+    return Network({n: v.copy() for n, v in sent.w.items()}, sent.cuts)
 
 
 def _averaged(rows: DataFrame, network: Network) -> Network:
-    """The weighted mean, added up in tasks until a few rows are left."""
+    """The network changed by the weighted mean of changes, added up in tasks until one is left."""
 
     def work(batches: Iterator[list]) -> Iterator[dict]:
         total, seen = None, 0
         for weights, n in batches:
             for raw, k in zip(weights.to_pylist(), n.to_pylist()):
-                part = np.frombuffer(raw, "<f4").astype(np.float64) * k
-                total, seen = part if total is None else total + part, seen + k
+                part = np.frombuffer(raw, "<f2").astype(np.float32)
+                part *= k
+                total, seen = part if total is None else np.add(total, part, out=total), seen + k
         if seen:
-            yield {"weights": [(total / seen).astype("<f4").tobytes()], "n": [seen]}
+            yield {"weights": [(total / seen).astype("<f2").tobytes()], "n": [seen]}
 
     rows = written(rows, "network")
     left = rows.count()
-    while left > 8:
+    while left > 1:
         rows = written(map_rows(rows.repartition(-(-left // 8)), ["weights", "n"], "weights binary, n long", work), "network")
         left = min(-(-left // 8), rows.count())
-    parts = rows.collect()
-    if not parts:
-        return network
-    total = sum(np.frombuffer(r.weights, "<f4").astype(np.float64) * r.n for r in parts)
-    return network.unpacked(total / sum(r.n for r in parts))
+    last = rows.first()
+    return network if last is None else network.changed(np.frombuffer(last.weights, "<f2"))
 
 
 def lm_scores(

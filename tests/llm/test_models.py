@@ -159,3 +159,20 @@ def test_frequent_segments_of_a_variable_level_keep_their_names(llm):
         assert got(spam, spam + 2000) == {("h.org/*", "allow")}
         assert {t.split("/")[1] for t, _ in got(spam + 2000, spam + 2018)} == {"rare"}
         assert {t.split("/")[1] for t, _ in got(spam + 2018, spam + 2020)} == {"*"}
+
+
+def test_network_tells_rare_words_of_the_head_by_context():
+    counts = np.sort(np.random.default_rng(4).integers(2, 60, 9000))[::-1]
+    own = language_model.Vocabulary(np.arange(1, 9001, dtype=np.uint64), counts, 500, int(counts.sum()) + 500, 9001)
+    numbers = np.arange(9001)
+    assert own.words == 9001 and (language_model._for_network(own, numbers) == numbers).all()  # none is one of the rest
+    network = Network.start(own.frequencies(), 8)
+    assert network.cuts[0] == 0 and network.cuts[-1] == 9001 and (np.diff(network.cuts) > 0).all()
+    assert 9001**0.5 / 4 < len(network.cuts) < 9001**0.5
+    pairs = np.tile(np.array([5000, 7000, 6000, 8000, 0]), 2000)  # 7000 follows 5000, and 8000 follows 6000
+    for _ in range(60):  # a pass is one step
+        language_model.train(network, pairs, np.full(2000, 5))
+    made = language_model.score(network, np.array([5000, 7000, 0, 5000, 8000, 0]), np.array([3, 3]))
+    assert made[1] > made[4] + 1
+    states = np.full((9002, 8), 0.3, np.float32)
+    assert abs(np.exp(network.log_likelihood(states, np.arange(9002))[0].astype(np.float64)).sum() - 1) < 1e-3
