@@ -57,7 +57,17 @@ UNION ALL SELECT 'roster', 'mapped', count(*) FROM b0 WHERE c_custkey_even IS NO
     ),
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    return built_summary(spark, sf, "team = 3")
+
+
+@query("catalogue_build_all")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """With the roster of every team."""
+    return built_summary(spark, sf, "true")
+
+
+def built_summary(spark: SparkSession, sf: str, teams: str) -> DataFrame:
     rec = records(spark, sf).persist()
     built = K.build(rec, model(), "alpha", ["alpha", "gamma"])
-    squad = rec.where("team = 3 AND provider = 'alpha'").select("record", "name_key")
+    squad = rec.where(f"({teams}) AND provider = 'alpha'").select("record", "name_key")
     return K.summary(built, K.roster(built, squad, "alpha"))

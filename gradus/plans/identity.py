@@ -270,8 +270,18 @@ size AS (SELECT sig, version, count(*) AS peers FROM members GROUP BY 1, 2)
 SELECT player, coalesce(peers, 0) AS peers FROM need LEFT JOIN size ON need.sig = size.sig AND need.version = size.version""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    return masked_peers(spark, sf, ("goals90", "tax90", "sot_pct"))
+
+
+@query("mask_compatible_peers_all")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Masks of all features."""
+    return masked_peers(spark, sf, tuple(f.key for f in FEATURES))
+
+
+def masked_peers(spark: SparkSession, sf: str, keys: tuple[str, ...]) -> DataFrame:
     long = R.long_features(entities(spark, sf).persist(), FEATURES, ["player", "league", "minutes"]).withColumn("provider", F.lit("p"))
-    used = long.where("status = 'observed' AND key IN ('goals90', 'tax90', 'sot_pct')").withColumn(
+    used = long.where((F.col("status") == "observed") & F.col("key").isin(*keys)).withColumn(
         "version", F.expr("IF(minutes > 1000, 'v1', 'v2')")
     )
     refs = long.where("minutes >= 900").withColumn("version", F.lit("v1")).unionByName(

@@ -158,8 +158,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 TEAM_SQL = f"tt AS (SELECT team, metric, round(avg(v), 8) AS target FROM po JOIN (SELECT player, team FROM b1) USING (player) WHERE metric IN {STYLE} AND team IN (3, 4) GROUP BY 1, 2)"
 
 
-def team_targets(spark: SparkSession, sf: str, p: DataFrame) -> DataFrame:
-    teams = load(spark, sf, "customer").selectExpr("c_custkey AS player", "c_nationkey AS team").where("team IN (3, 4)")
+def team_targets(spark: SparkSession, sf: str, p: DataFrame, which: str = "team IN (3, 4)") -> DataFrame:
+    teams = load(spark, sf, "customer").selectExpr("c_custkey AS player", "c_nationkey AS team").where(which)
     return p.where("is_style").join(teams, "player").groupBy("team", "metric").agg(F.round(F.avg("posterior"), 8).alias("target"))
 
 
@@ -178,6 +178,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return C.similarity(p, targets, C.style_stats(p), none).select("player", "brief", F.round("fit", 6).alias("tactical_fit"))
 
 
+@query("tactical_fit_all")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every player of each role beside every team."""
+    p = profiles(spark, sf)
+    roles = spark.createDataFrame([(r,) for r in ROLES], "role string")
+    targets = team_targets(spark, sf, p, "team IS NOT NULL").crossJoin(F.broadcast(roles)).select(
+        F.concat_ws("-", F.lit("team"), "team", "role").alias("brief"), "role", "metric", "target", F.lit("tactical_fit").alias("kind")
+    )
+    none = spark.createDataFrame([], "brief string, metric string, weight double")
+    return C.similarity(p, targets, C.style_stats(p), none).select("player", "brief", F.round("fit", 6).alias("tactical_fit"))
+
+
 def briefs(spark: SparkSession, sf: str) -> DataFrame:
     """The suite of the bound roles; second variants also name a team."""
     suite = C.brief_suite(entities(spark, sf).select("player", "role"), ROLES)
