@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_columns
-from .tokens import CALL_CHARS, _SIGNS, by_chars, library
+from .tokens import _SIGNS, Encoder, by_chars, library
 
 #: Least and greatest bytes of a chunk; a place is a cut with a chance of 1 / 2^BITS.
 LEAST, MOST, BITS = 256, 8192, 10
 #: Bytes the rolling hash sees.
 SEEN = 16
-#: Bytes of chunks a worker keeps, in two generations.
-STORE = 32 << 20
+#: Bytes of chunks and their ids a worker keeps, in two generations.
+STORE = 96 << 20
 #: Bytes after a join that the first window takes in.
 REACH = 64
 #: Ids that are turned into bytes at once.
@@ -42,7 +42,8 @@ _GEAR = np.random.default_rng(71).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 class Chunk(NamedTuple):
-    """Ids, the number of each piece's first id, and the byte at which each piece begins."""
+    """Ids, the number of each piece's first id, and the byte at which each piece begins: a piece is a run of words that
+    the tokenizer must split off."""
 
     ids: np.ndarray
     first: np.ndarray
@@ -87,6 +88,7 @@ class ChunkCoder:
 
     def __init__(self, path: str, least: int = LEAST, most: int = MOST, bits: int = BITS, store: int = STORE):
         self.library = library(path)
+        self.encoder = Encoder(path, byte_level=True)
         self.sizes = least, most, bits
         self.store = store
         self.young: dict[bytes, Chunk] = {}
@@ -104,26 +106,23 @@ class ChunkCoder:
         self.margin = max((len(a.encode()) for a in added.values()), default=0) + 8
 
     def chunks(self, parts: list[bytes]) -> list[Chunk]:
-        """The library's ids of each part by itself; parts in the store are not encoded again."""
+        """Ids of each part by itself; parts in the store are not encoded again."""
         new = [p for p in dict.fromkeys(parts) if p not in self.young and p not in self.old]
         made: dict[bytes, Chunk] = {}
-        low = size = 0
-        for high, part in enumerate(new, 1):
-            size += len(part)
-            if size >= CALL_CHARS or high - low >= 1000 or high == len(new):
-                for raw, found in zip(new[low:high], self.library.encode_batch([p.decode() for p in new[low:high]], add_special_tokens=False)):
-                    ids = np.array(found.ids, np.int64)
-                    first = np.flatnonzero(np.diff(np.array(found.word_ids, np.int64), prepend=-1))
-                    begin = np.cumsum(self.length[ids]) - self.length[ids]
-                    made[raw] = Chunk(ids.astype(np.uint32), first.astype(np.int32), begin[first].astype(np.int32))
-                low, size = high, 0
+        for low, high in by_chars(new):
+            ids, counts, begin, pieces = self.encoder.pieces([p.decode() for p in new[low:high]])
+            ends = np.append(0, np.cumsum(counts))
+            cuts = np.append(0, np.cumsum(pieces))
+            bounds = zip(cuts.tolist(), cuts[1:].tolist(), ends[cuts].tolist(), ends[cuts[1:]].tolist())
+            for raw, (a, b, first, last) in zip(new[low:high], bounds):
+                made[raw] = Chunk(ids[first:last].copy(), ends[a:b] - first, begin[a:b].copy())
         self.encoded += len(new)
         out = []
         for part in parts:
             chunk = made.get(part) or self.young.get(part) or self.old[part]
             if part not in self.young:  # new, or moved from the old generation
                 self.young[part] = chunk
-                self.kept += len(part) + 3 * chunk.ids.nbytes
+                self.kept += len(part) + sum(a.nbytes for a in chunk)
             out.append(chunk)
         if self.kept > self.store // 2:
             self.old, self.young, self.kept = self.young, {}, 0

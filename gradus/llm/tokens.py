@@ -18,6 +18,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -183,35 +184,38 @@ class Encoder:
         self.table.add(keys)
         self.used += len(ids)
 
-    def batch(self, texts: list, ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
-        """Ids of all texts after one another (None if not asked for) and the number of ids of each."""
+    def _found(self, texts: list):
+        """The texts, where their words begin, and of each word's ids the number and the place in a store."""
         if self.table.size > KEPT or self.used > 16 * KEPT:
             self._new()
-        collecting = gc.isenabled()
-        gc.disable()  # nothing below makes cycles, and the collector would walk all new words
-        try:
-            packed = Packed(texts)
-            start, end = self._spans(packed)
-            long = np.flatnonzero(end - start > LONG)
-            keys = packed.keys(start, end)
-            keys[long] = 0
-            slots = self.table.find(keys)
-            miss = np.flatnonzero((slots < 0) & (keys != 0))
-            if len(miss):
-                new, first = np.unique(keys[miss], return_index=True)
-                own = miss[first]
-                raw = packed.bytes
-                self._learn(new, [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[own].tolist(), end[own].tolist())])
-                slots[miss] = self.table.find(keys[miss])
-            counts = self.count[slots]
-            begin = self.start[slots]
-            store = self.ids
-            if len(long):
-                raw = packed.bytes
-                more, sizes = self._new_ids([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[long].tolist(), end[long].tolist())])
-                counts[long] = sizes
-                begin[long] = self.used + np.cumsum(sizes) - sizes
-                store = np.concatenate([store[: self.used], more.astype(self.kind)])
+        packed = Packed(texts)
+        start, end = self._spans(packed)
+        long = np.flatnonzero(end - start > LONG)
+        keys = packed.keys(start, end)
+        keys[long] = 0
+        slots = self.table.find(keys)
+        miss = np.flatnonzero((slots < 0) & (keys != 0))
+        if len(miss):
+            new, first = np.unique(keys[miss], return_index=True)
+            own = miss[first]
+            raw = packed.bytes
+            self._learn(new, [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[own].tolist(), end[own].tolist())])
+            slots[miss] = self.table.find(keys[miss])
+        counts = self.count[slots]
+        begin = self.start[slots]
+        store = self.ids
+        if len(long):
+            raw = packed.bytes
+            more, sizes = self._new_ids([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(start[long].tolist(), end[long].tolist())])
+            counts[long] = sizes
+            begin[long] = self.used + np.cumsum(sizes) - sizes
+            store = np.concatenate([store[: self.used], more.astype(self.kind)])
+        return packed, start, counts, begin, store
+
+    def batch(self, texts: list, ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
+        """Ids of all texts after one another (None if not asked for) and the number of ids of each."""
+        with _no_collector():
+            packed, start, counts, begin, store = self._found(texts)
             ends = np.concatenate([[0], np.cumsum(counts)])
             lengths = np.diff(ends[np.concatenate([[0], np.cumsum(packed.counts(start))])])
             if not ids:
@@ -219,9 +223,28 @@ class Encoder:
             at = np.repeat(begin - ends[:-1], counts)
             at += np.arange(ends[-1])
             return store[at], lengths
-        finally:
-            if collecting:
-                gc.enable()
+
+    def pieces(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts after one another; of each piece that the tokenizer must split off the number of ids and the
+        byte of its text at which it begins; and the number of pieces of each text."""
+        with _no_collector():
+            packed, start, counts, begin, store = self._found(texts)
+            of_text = packed.counts(start)
+            at = np.repeat(begin - (np.cumsum(counts) - counts), counts)
+            at += np.arange(len(at))
+            return store[at], counts, start - np.repeat(packed.start, of_text), of_text
+
+
+@contextmanager
+def _no_collector():
+    """What is done here makes no cycles, and the collector would walk all new words."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
 
 
 @lru_cache(maxsize=4)
