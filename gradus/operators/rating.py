@@ -1,24 +1,26 @@
 """Features, reliability shrinkage, cohort calibration and composites.
 
 An entity is one row until its abilities are expanded (a fixed, small number of rows); the
-features of an ability stay side by side in slots, so each calibration level is one partial
-aggregate per cohort joined back to the rows. Cohort statistics are written to the shared
-checkpoint folder: they are small, every later level reads the same numbers, and a lost
-executor recomputes rows only.
+features of an ability stay side by side in slots. One partial aggregate per cohort gives the
+moments from which every level of its calibration follows (``moments``). Cohort statistics are
+written to the shared checkpoint folder: they are small, all rows read the same numbers, and a
+lost executor recomputes rows only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import NOT_APPLICABLE, OBSERVED, UNRECORDED, Feature, Model
 from ..functions.status import feature_value, measurement_status, rating
-from ..session import cut, each
+from ..session import beside, cut, each
+from .moments import beside_cohort, merged, moments, statistics
 from .ordered import finite
-from .standardize import EPSILON, best_row, member_z, ranks, shrink, subject_z
+from .standardize import EPSILON, best_row, member_z, ranks, subject_z
 
 
 # --- Features -----------------------------------------------------------------------------------
@@ -85,13 +87,15 @@ def ability_rows(
     version: str = "''",
     extra_ok: str = "true",
     position: str = "position",
+    masks: bool = False,
 ) -> DataFrame:
     """One row per (entity, ability): slots of value/exposure/prior/weight, eligibility, signature.
 
     The signature is the set of scored features with their active weights and measurement
     version (SQL, ``{key}`` stands for the feature): only entities measured alike are compared.
     With a registry of models by position, an entity is weighed by that of its ``position``; positions
-    outside the registry have no rows.
+    outside the registry have no rows. With ``masks`` also the slots that are used and those that are observed, as
+    bits, and each slot's feature and measurement version.
     """
     models, slots = registered(model)
     features = {f.key: f for m in models.values() for f in m.features}
@@ -124,7 +128,7 @@ def ability_rows(
     def struct(number: int, model: Model, a) -> str:
         total = sum(a.weights.values())
         whole = f"kept_{number}_{a.name}"
-        scored, fields = [], []
+        scored, fields, used_bits, seen_bits, measured_by = [], [], [], [], []
         for i, (k, w) in enumerate(a.weights.items()):
             f = model.feature(k)
             # An untouched mask keeps the given weights exactly.
@@ -138,8 +142,13 @@ def ability_rows(
             fields.append(
                 f"'v{i}', IF({is_scored}, v_{k}, NULL), 'n{i}', n_{k}, 'k{i}', {f.prior}D, 'w{i}', ({active}) * {float(f.direction)}D"
             )
+            used_bits.append(f"IF({is_scored}, {1 << i}L, 0L)")
+            seen_bits.append(f"IF(s_{k} = 'o' AND NOT isnan(v_{k}) AND abs(v_{k}) < double('Infinity') AND n_{k} > 0, {1 << i}L, 0L)")
+            measured_by.append(f"concat('{k}|', p_{k})")
         for i in range(len(a.weights), slots):
             fields.append(f"'v{i}', CAST(NULL AS DOUBLE), 'n{i}', CAST(NULL AS DOUBLE), 'k{i}', CAST(NULL AS DOUBLE), 'w{i}', 0D")
+        if masks:
+            fields.append(f"'used', {' + '.join(used_bits)}, 'seen', {' + '.join(seen_bits)}, 'marks', array({', '.join(measured_by)})")
         usable = " AND ".join(
             f"(NOT ({on}) OR (s_{k} = 'o' AND NOT isnan(v_{k}) AND abs(v_{k}) < double('Infinity') AND n_{k} > 0))"
             for k, _, _, on in scored
@@ -176,33 +185,25 @@ def withheld(rows: DataFrame, scores: DataFrame, subject: Sequence[str], cohort:
     )
 
 
+def cohort_numbers(rows: DataFrame, cohort: Sequence[str], slots: int, minimum: int) -> DataFrame:
+    """The calibration numbers of every large enough cohort of ``eligible`` rows, in one pass, written."""
+    return cut(statistics(moments(rows.where("eligible"), cohort, slots), cohort, slots, minimum))
+
+
 def calibrate(rows: DataFrame, cohort: Sequence[str], slots: int, minimum: int, keep_flat: str = "false") -> DataFrame:
     """Shrink, standardise, weigh and re-standardise inside each cohort of ``eligible`` rows.
 
     Returns the peers of cohorts that are large enough, with ``raw`` and ``z``. A cohort whose
     composite has no spread is withheld unless ``keep_flat`` (SQL) holds.
     """
-    cohort = list(cohort)
     n = range(slots)
     rows = rows.where("eligible").persist()
-    means = cut(
-        rows.groupBy(*cohort)
-        .agg(F.count("*").alias("peer_count"), *[F.expr(f"avg(v{i}) AS m{i}") for i in n])
-        .where(F.col("peer_count") >= minimum)
-    )
-    stable = rows.join(means, cohort).selectExpr(
+    stable = beside_cohort(rows, cohort_numbers(rows, cohort, slots, minimum), cohort).selectExpr(
         "*", *[f"n{i} / (n{i} + k{i}) * v{i} + (1 - n{i} / (n{i} + k{i})) * m{i} AS s{i}" for i in n]
     )
-    spread = cut(
-        stable.groupBy(*cohort).agg(
-            *[F.expr(f"avg(s{i}) AS a{i}") for i in n], *[F.expr(f"stddev_pop(s{i}) AS d{i}") for i in n]
-        )
-    )
     raw = " + ".join(f"coalesce(IF(d{i} > {EPSILON}, w{i} * (s{i} - a{i}) / d{i}, 0D), 0D)" for i in n)
-    composed = stable.join(spread, cohort).selectExpr("*", f"{raw} AS raw")
-    final = cut(composed.groupBy(*cohort).agg(F.avg("raw").alias("raw_mean"), F.stddev_pop("raw").alias("raw_sd")))
     return (
-        composed.join(final, cohort)
+        stable.selectExpr("*", f"{raw} AS raw")
         .selectExpr("*", f"IF(raw_sd > {EPSILON}, (raw - raw_mean) / raw_sd, 0D) AS z")
         .where(f"raw_sd > {EPSILON} OR ({keep_flat})")
     )
@@ -232,13 +233,12 @@ def compose(
     )
     key = [position, "cohort"]
     stats = cut(
-        overall.groupBy(*key).agg(
-            F.avg("overall_raw").alias("_m"), F.stddev_pop("overall_raw").alias("_s"), F.count("*").alias("peers")
-        )
+        overall.groupBy(*key)
+        .agg(F.avg("overall_raw").alias("_m"), F.stddev_pop("overall_raw").alias("_s"), F.count("*").alias("peers"))
+        .where(f"peers >= {minimum} AND (_s > {EPSILON} OR ({keep_flat}))")
     )
     return (
-        overall.join(stats, key)
-        .where(f"peers >= {minimum} AND (_s > {EPSILON} OR ({keep_flat}))")
+        beside_cohort(overall, stats, key)
         .withColumn("overall_z", F.round(member_z(F.col("overall_raw"), F.col("_m"), F.col("_s")), 10))
         .drop("_m", "_s")
     )
@@ -271,54 +271,69 @@ def score_catalogue(
     return scores, rated(overall, position)
 
 
-# --- Subject against a frozen cohort ---------------------------------------------------------------
-def evaluate_subjects(subjects: DataFrame, peers: DataFrame, keys: Sequence[str], value: str, exposure: str, prior: float) -> DataFrame:
-    """Shrunk value and z of subjects against a reference cohort they need not belong to."""
+# --- Containment of masks ---------------------------------------------------------------------------
+def measured_in(marks: str, mask: str) -> str:
+    """SQL for the marks of the slots in a bit mask, as one text."""
+    return f"concat_ws(';', filter({marks}, (x, i) -> shiftright({mask}, i) & 1 = 1))"
+
+
+def containing(asked: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, seen, have, used, need): the groups that hold every asked mask, measured alike.
+
+    ``asked`` has the distinct masks (keys, used, need), ``groups`` the distinct sets of observed slots (keys, seen,
+    have); rows of either kind never meet. Of a group's subsets only those that are asked for by bits are made, and
+    they meet the asked ones on bits and measurements, so no key is hot.
+    """
     keys = list(keys)
-    means = peers.where(finite(F.col(value))).groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    k = F.lit(float(prior))
-    spread = (
-        peers.join(means, keys)
-        .withColumn("_s", shrink(F.col(value), F.col(exposure), F.col("_mean"), k))
-        .groupBy(*keys)
-        .agg(F.avg("_s").alias("_a"), F.stddev_pop("_s").alias("_d"), F.count("_s").alias("_n"), F.max("_mean").alias("peer_mean"))
-    )
-    return (
-        subjects.join(spread, keys, "left")
-        .withColumn("stable", shrink(F.col(value), F.col(exposure), F.col("peer_mean"), k))
-        .withColumn("z", subject_z(F.col("stable"), F.col("_a"), F.col("_d"), F.col("_n")))
-        .withColumnRenamed("_n", "peer_count")
-        .drop("_a", "_d")
-    )
+    asked = asked.select(*keys, "used", "need").distinct()
+    # A few distinct integers for each of ``keys``.
+    index = asked.groupBy(*keys).agg(F.collect_set("used").alias("_asked"))
+    met = groups.select(*keys, "seen", "have").join(index, keys) if keys else beside(groups.select("seen", "have"), index)
+    subsets = met.selectExpr(*keys, "seen", "have", "explode(filter(_asked, m -> (m & seen) = m)) AS used")
+    return subsets.withColumn("need", F.expr(measured_in("have", "used"))).join(asked, [*keys, "used", "need"])
+
+
+class Compatible(NamedTuple):
+    """Subjects with their signature; the references of each group; and which groups satisfy which signature."""
+
+    signatures: DataFrame
+    references: DataFrame
+    groups: DataFrame
+    satisfied: DataFrame
+
+    def counts(self) -> DataFrame:
+        """(signature, peers): counts of groups are added up, no reference is listed."""
+        sizes = self.satisfied.join(self.groups, ["seen", "have"]).groupBy("signature").agg(F.sum("n").alias("peers"))
+        every = self.signatures.select("signature").distinct()
+        return every.join(sizes, "signature", "left").select("signature", F.coalesce("peers", F.lit(0)).alias("peers"))
+
+    def members(self) -> DataFrame:
+        """(signature, reference): as long as the answer is."""
+        return self.references.join(self.satisfied, ["seen", "have"]).drop("seen", "have")
 
 
-def compatible_peers(used: DataFrame, references: DataFrame, subject: str, reference: str) -> DataFrame:
-    """Relational division: references observed in every feature a subject uses, measured alike.
+def compatible_peers(used: DataFrame, references: DataFrame, subject: str, reference: Sequence[str], keys: Sequence[str]) -> Compatible:
+    """Relational division: references observed in every feature a subject uses, by the same provider and version.
 
-    Subjects sharing one requirement set are solved once: sets are reduced to their distinct
-    signatures first, and the reference side is joined to features, never to subjects.
+    ``keys`` names the features (at most 62), one measurement each. Observed features become bits; subjects are
+    reduced to distinct requirements and references to distinct groups before anything is joined.
     """
-    needs = used.select(subject, "key", "provider", "version").distinct()
-    signature = needs.groupBy(subject).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("|", "key", "provider", "version"))), ";"), 256).alias("signature"),
-        F.count("*").alias("needed"),
-    )
-    sets = (
-        needs.join(signature, subject).select("signature", "needed", "key", "provider", "version").distinct()
-    )
-    have = (
-        references.where(_observed(F.col("value"), F.col("denominator"), F.col("status")))
-        .select(reference, "key", "provider", "version")
-        .distinct()
-    )
-    members = (
-        have.join(sets, ["key", "provider", "version"])
-        .groupBy("signature", reference)
-        .agg(F.count("*").alias("_hit"), F.max("needed").alias("needed"))
-        .where(F.col("_hit") == F.col("needed"))
-        .select("signature", reference)
-    )
-    return members, signature
+    if len(keys) > 62:
+        raise ValueError("a mask has at most 62 features")
+    mark = F.concat_ws("|", "key", "provider", "version")
+
+    def marked(long: DataFrame, by: Sequence[str], mask: str, marks: str) -> DataFrame:
+        each_key = F.array(*[F.max(F.when(F.col("key") == k, mark)) for k in keys])
+        bits = " + ".join(f"IF({marks}[{i}] IS NOT NULL, {1 << i}L, 0L)" for i in range(len(keys)))
+        return long.groupBy(*by).agg(each_key.alias(marks)).withColumn(mask, F.expr(bits))
+
+    needs = marked(used, [subject], "used", "_marks").withColumn("need", F.expr(measured_in("_marks", "used")))
+    needs = needs.select(subject, "used", "need", F.sha2(F.col("need"), 256).alias("signature")).persist()
+    seen = references.where(_observed(F.col("value"), F.col("denominator"), F.col("status")))
+    held = marked(seen, reference, "seen", "have").persist()
+    groups = cut(held.groupBy("seen", "have").agg(F.count("*").alias("n")))
+    satisfied = cut(containing(needs, groups, []).select("seen", "have", F.sha2(F.col("need"), 256).alias("signature")))
+    return Compatible(needs.select(subject, "signature"), held, groups, satisfied)
 
 
 def hybrid(scores: Sequence[tuple[DataFrame, float]], subject: str, keys: Sequence[str], minimum: int = 30) -> DataFrame:
@@ -389,17 +404,10 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int)
     return df.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
-def frozen_stats(scored: DataFrame, cohort: Sequence[str], slots: int) -> DataFrame:
-    """The calibration numbers of each cohort, one row per cohort."""
-    names = [f"{c}{i}" for c in "mad" for i in range(slots)] + ["raw_mean", "raw_sd", "peer_count"]
-    return scored.groupBy(*cohort).agg(*[F.max(c).alias(c) for c in names])
-
-
-def score_subjects(rows: DataFrame, scored_peers: DataFrame, cohort: Sequence[str], slots: int) -> DataFrame:
-    """Scores of subjects against frozen cohorts they need not belong to; null if a feature lacks."""
-    stats = frozen_stats(scored_peers, cohort, slots)
+def score_subjects(rows: DataFrame, numbers: DataFrame, cohort: Sequence[str], slots: int) -> DataFrame:
+    """Scores of subjects against cohorts' frozen numbers, which they need not belong to; null if a feature lacks."""
     n = range(slots)
-    joined = rows.join(stats, list(cohort)).selectExpr(
+    joined = beside_cohort(rows, numbers, cohort).selectExpr(
         "*", *[f"IF(n{i} > 0, n{i} / (n{i} + k{i}) * v{i} + (1 - n{i} / (n{i} + k{i})) * m{i}, NULL) AS s{i}" for i in n]
     )
     term = (
@@ -412,59 +420,103 @@ def score_subjects(rows: DataFrame, scored_peers: DataFrame, cohort: Sequence[st
     )
 
 
-def assigned_positions(
-    rows: DataFrame, references: DataFrame, position: str, positions: Sequence[str], model: Model, keeper: str = "GK"
-) -> tuple[DataFrame, DataFrame]:
-    """(subject scores, reference scores): every subject in every position against its natural players.
+class Assigned(NamedTuple):
+    """Ability scores of subjects in the positions they are asked about, and what their references say.
+
+    ``numbers``: the calibration of each (position, ability, signature). ``references``: one ability row per reference
+    of a position. ``satisfied``: which groups of references (seen, have) are peers under which signature.
+    """
+
+    scores: DataFrame
+    asked: DataFrame
+    numbers: DataFrame
+    references: DataFrame
+    satisfied: DataFrame
+    position: str
+    slots: int
+    minimum: int
+    abilities: int
+
+    def peers(self, wanted: DataFrame | None = None) -> DataFrame:
+        """Reference scores under every signature (of ``wanted``): a row per reference and mask it satisfies."""
+        cohort = [self.position, "ability", "signature"]
+        satisfied = self.satisfied if wanted is None else self.satisfied.join(wanted.select(*cohort).distinct(), cohort, "left_semi")
+        weights = [f"w{i}" for i in range(self.slots)]
+        masked = beside_cohort(self.references.drop("signature", *weights), cut(satisfied), [self.position, "ability", "seen", "have"])
+        return score_subjects(masked, self.numbers, cohort, self.slots)
 
-    Keepers are asked about the keeper position only, all others about every other one.
 
-    A reference joins a subject's cohort if it is observed in each feature the subject uses. Cohorts
-    depend on the subject's weight mask only, so they are built once per distinct mask: the
-    references meet the masks of their ability, never the subjects.
+def assigned_positions(
+    entities: DataFrame,
+    registry: Mapping[str, Model],
+    subject: str,
+    position: str,
+    exposure: str,
+    identity: str | None = None,
+    preferred: str = "true",
+    keeper: str = "GK",
+    version: str = "''",
+    keep: Sequence[str] = (),
+) -> Assigned:
+    """Every subject in every position it may be asked about, by that position's weights, against the position's
+    natural entities.
+
+    Keepers are asked about the keeper position only, all others about every other one. A position counts each
+    ``identity`` once: the ``preferred`` (SQL) record, then the smallest subject. A reference is a subject's peer if it
+    is observed, by the same measurement, in each feature the subject uses; it may use more. Peers depend on the
+    subject's mask only: references are reduced to the moments of their distinct sets of observed features, masks
+    meet those sets, and a mask's cohort is the merged moments of the sets that hold it.
     """
-    slots = range(model.slots)
-    weights = [f"w{i}" for i in slots]
-    masks = cut(rows.where("eligible").select("ability", "signature", *weights).distinct())
-    compatible = " AND ".join(f"(w{i} = 0 OR (v{i} IS NOT NULL AND NOT isnan(v{i}) AND n{i} > 0))" for i in slots)
-    pool = references.drop("signature", "eligible", *weights).join(masks, "ability").where(compatible)
-    cohort = [position, "ability", "signature"]
-    peers = calibrate(pool.withColumn("eligible", F.lit(True)), cohort, model.slots, model.minimum_peers)
-    asked = (
-        each(rows.where("eligible"), "_asked", positions)
-        .where((F.col("_asked") == keeper) == (F.col(position) == keeper))
-        .withColumn(position, F.col("_asked"))
-        .drop("_asked")
-    )
-    return score_subjects(asked, peers, cohort, model.slots).where(F.col("z").isNotNull()), peers
-
-
-def assigned_overall(
-    scores: DataFrame, peers: DataFrame, rows: DataFrame, subject: str, position: str, model: Model
-) -> DataFrame:
-    """Overall score of subjects in every position against the references common to all abilities."""
-    count = len(model.abilities)
-    cohort = F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "ability", "signature"))), ";"), 256)
-    # One short entry per ability.
-    tuples = rows.where("eligible").groupBy(subject).agg(cohort.alias("cohort"), F.count("*").alias("n")).where(F.col("n") == count)
-    wanted = cut(
-        tuples.select(subject, "cohort").join(rows.where("eligible"), subject).select("cohort", "ability", "signature").distinct()
-    )
+    models, slots = registered(registry)
+    one = next(iter(models.values()))
+    keep = list(dict.fromkeys([subject, *keep]))
+    natural = entities.where(f"{exposure} >= {one.minimum_exposure}").withColumn("_preferred", F.expr(f"int({preferred})"))
+    if identity is not None:
+        natural = best_row(natural, [position, identity], [("_preferred", True), (subject, False)])
+    have = "transform(marks, (x, i) -> IF(shiftright(seen, i) & 1 = 1, x, NULL))"
+    values = {f"v{i}": F.expr(f"IF(shiftright(seen, {i}) & 1 = 1, v{i}, NULL)") for i in range(slots)}
+    references = ability_rows(natural, registry, [subject, position], exposure, version, position=position, masks=True)
+    references = references.withColumn("have", F.expr(have)).drop("marks", "eligible", "exposed", "used").withColumns(values).persist()
+    at = [position, "ability"]
+    groups = cut(moments(references, [*at, "seen", "have"], slots))
+
+    of_keeper = F.coalesce(F.col(position) == keeper, F.lit(False))
+    asked = each(entities.withColumn("_keeper", of_keeper), "_asked", list(models)).where((F.col("_asked") == keeper) == F.col("_keeper"))
+    asked = asked.withColumn(position, F.col("_asked"))
+    asked = ability_rows(asked, registry, [*keep, position], exposure, version, position=position, masks=True).where("eligible")
+    asked = asked.withColumn("need", F.expr(measured_in("marks", "used"))).drop("marks", "seen").persist()
+    masks = cut(asked.select(*at, "signature", "used", "need", *[f"w{i}" for i in range(slots)]).distinct())
+    pairs = cut(containing(masks, groups.select(*at, "seen", "have").distinct(), at))
+    cohorts = merged(groups.join(pairs, [*at, "seen", "have"]), [*at, "used", "need"])
+    cohort = [*at, "signature"]
+    numbers = cut(statistics(cohorts, [*at, "used", "need"], slots, one.minimum_peers, masks).drop("used", "need").where(f"raw_sd > {EPSILON}"))
+    scores = score_subjects(asked, numbers, cohort, slots).where("z IS NOT NULL")
+    satisfied = pairs.join(masks, [*at, "used", "need"]).select(*cohort, "seen", "have", *[f"w{i}" for i in range(slots)])
+    return Assigned(scores, asked, numbers, references, satisfied, position, slots, one.minimum_peers, len(one.abilities))
+
+
+def assigned_overall(assigned: Assigned, subject: str) -> DataFrame:
+    """Overall score of subjects in every position against the references common to all their abilities' cohorts."""
+    position, count = assigned.position, assigned.abilities
+    overall = overall_of(assigned.scores, [subject, position], count).persist()
+    # The distinct tuples of cohorts that subjects have, one row per ability.
+    tuples = overall.select(subject, position, "cohort").join(assigned.scores.select(subject, position, "ability", "signature"), [subject, position])
+    wanted = cut(tuples.select(position, "cohort", "ability", "signature").distinct())
     key = [position, "cohort"]
+    peers = assigned.peers(wanted).select(F.col(subject).alias("_ref"), position, "ability", "signature", "overall_weight", "z")
     reference = (
-        peers.select(F.col(subject).alias("_ref"), position, "ability", "signature", "overall_weight", "z")
-        .join(wanted, ["ability", "signature"])
+        beside_cohort(peers, wanted, [position, "ability", "signature"])
         .groupBy(*key, "_ref")
-        .agg(F.count("*").alias("n"), F.sum(F.round(F.col("overall_weight") * F.col("z"), 12)).alias("raw"))
+        .agg(F.count("z").alias("n"), F.sum(F.round(F.col("overall_weight") * F.col("z"), 12)).alias("raw"))
         .where(F.col("n") == count)
     )
     stats = cut(
-        reference.groupBy(*key).agg(F.avg("raw").alias("_m"), F.stddev_pop("raw").alias("_s"), F.count("*").alias("common_peers"))
+        reference.groupBy(*key)
+        .agg(F.avg("raw").alias("_m"), F.stddev_pop("raw").alias("_s"), F.count("*").alias("common_peers"))
+        .where(f"common_peers >= {assigned.minimum} AND _s > {EPSILON}")
     )
     return (
-        overall_of(scores, [subject, position], count)
-        .join(stats, key)
-        .where(f"common_peers >= {model.minimum_peers} AND _s > {EPSILON}")
+        beside_cohort(overall, stats, key)
         .withColumn("overall_z", F.round((F.col("overall_raw") - F.col("_m")) / F.col("_s"), 10))
         .withColumn("overall", rating(F.col("overall_z")))
         .drop("_m", "_s")

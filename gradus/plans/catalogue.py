@@ -52,22 +52,10 @@ b1 AS (SELECT 'a' || player AS player, * EXCLUDE (player, tax), CASE WHEN league
     + """, rated AS (SELECT player FROM overall WHERE population >= 30)
 SELECT 'players' AS section, role AS name, count(*) AS value FROM b1 GROUP BY role UNION ALL SELECT 'rated', role, count(r.player) FROM b1 LEFT JOIN rated r ON r.player = b1.player GROUP BY role
 UNION ALL SELECT 'linked', 'records', count(*) FROM b0 WHERE team < 10 UNION ALL SELECT 'features', 'observed', count(value) FROM feats
-UNION ALL SELECT 'roster', 'mapped', count(*) FROM b0 WHERE c_custkey_even IS NOT NULL""".replace(
-        "FROM b0 WHERE c_custkey_even IS NOT NULL", "FROM b0 WHERE team = 3"
-    ),
+UNION ALL SELECT 'roster', 'mapped', count(*) FROM b0""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return built_summary(spark, sf, "team = 3")
-
-
-@query("catalogue_build_all")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    """With the roster of every team."""
-    return built_summary(spark, sf, "true")
-
-
-def built_summary(spark: SparkSession, sf: str, teams: str) -> DataFrame:
     rec = records(spark, sf).persist()
     built = K.build(rec, model(), "alpha", ["alpha", "gamma"])
-    squad = rec.where(f"({teams}) AND provider = 'alpha'").select("record", "name_key")
+    squad = rec.where("provider = 'alpha'").select("record", "name_key")
     return K.summary(built, K.roster(built, squad, "alpha"))

@@ -259,7 +259,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "mask_compatible_peers",
     f"""WITH {ENTITIES_SQL}, {features_sql()},
-used AS (SELECT player, key, CASE WHEN minutes > 1000 THEN 'v1' ELSE 'v2' END AS version FROM feats WHERE status = 'observed' AND key IN ('goals90', 'tax90', 'sot_pct')),
+used AS (SELECT player, key, CASE WHEN minutes > 1000 THEN 'v1' ELSE 'v2' END AS version FROM feats WHERE status = 'observed'),
 refs AS (SELECT player AS ref, key, 'v1' AS version FROM feats WHERE status = 'observed' AND minutes >= 900
   UNION ALL SELECT player, key, 'v2' FROM feats WHERE status = 'observed' AND minutes < 1100 AND league <> 'ASIA'),
 need AS (SELECT player, count(*) AS n, max(version) AS version, string_agg(key, ',' ORDER BY key) AS sig FROM used GROUP BY 1),
@@ -270,26 +270,14 @@ size AS (SELECT sig, version, count(*) AS peers FROM members GROUP BY 1, 2)
 SELECT player, coalesce(peers, 0) AS peers FROM need LEFT JOIN size ON need.sig = size.sig AND need.version = size.version""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return masked_peers(spark, sf, ("goals90", "tax90", "sot_pct"))
-
-
-@query("mask_compatible_peers_all")
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    """Masks of all features."""
-    return masked_peers(spark, sf, tuple(f.key for f in FEATURES))
-
-
-def masked_peers(spark: SparkSession, sf: str, keys: tuple[str, ...]) -> DataFrame:
     long = R.long_features(entities(spark, sf).persist(), FEATURES, ["player", "league", "minutes"]).withColumn("provider", F.lit("p"))
-    used = long.where((F.col("status") == "observed") & F.col("key").isin(*keys)).withColumn(
-        "version", F.expr("IF(minutes > 1000, 'v1', 'v2')")
-    )
+    used = long.where(F.col("status") == "observed").withColumn("version", F.expr("IF(minutes > 1000, 'v1', 'v2')"))
     refs = long.where("minutes >= 900").withColumn("version", F.lit("v1")).unionByName(
         long.where("minutes < 1100 AND league <> 'ASIA'").withColumn("version", F.lit("v2"))
     )
-    members, signature = R.compatible_peers(used, refs.withColumnRenamed("player", "ref"), "player", "ref")
-    sizes = members.groupBy("signature").agg(F.count("*").alias("peers"))
-    return signature.join(sizes, "signature", "left").select("player", F.coalesce("peers", F.lit(0)).alias("peers"))
+    # Who was measured twice is a reference by either measurement.
+    found = R.compatible_peers(used, refs.withColumnRenamed("player", "ref"), "player", ["ref", "version"], [f.key for f in FEATURES])
+    return found.signatures.join(found.counts(), "signature").select("player", "peers")
 
 
 @query(

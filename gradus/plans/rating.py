@@ -19,7 +19,6 @@ from .bindings import (
     NAMED_SQL,
     PRIORITY,
     ROLE_Z,
-    SEGMENTS,
     appearances,
     entities,
     features_sql,
@@ -326,9 +325,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     m = model()
     rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role"], "minutes").persist()
     cohort = ["role", "ability", "signature"]
-    peers = R.calibrate(rows, cohort, m.slots, m.minimum_peers)
+    numbers = R.cohort_numbers(rows, cohort, m.slots, m.minimum_peers).where("raw_sd > 0")
     out = (
-        R.score_subjects(rows, peers, cohort, m.slots)
+        R.score_subjects(rows, numbers, cohort, m.slots)
         .where("z IS NOT NULL")
         .select("player", *cohort, "eligible", "peer_count", F.round("z", 10).alias("z"))
         .persist()
@@ -415,52 +414,69 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-ASSIGNED_SQL = ACTIVE_SQL + """, masks AS (SELECT DISTINCT f.ability, f.sig, a.key, a.w, a.dir, a.k FROM flags f JOIN active a USING (player, role, ability) WHERE eligible AND w > 0 AND dir <> 0),
-need AS (SELECT ability, sig, count(*) AS n FROM masks GROUP BY 1, 2),
-pool AS (SELECT m.*, f.role AS position, f.player AS ref, f.value, f.den FROM masks m JOIN feats f ON f.key = m.key AND f.minutes >= 900 AND f.status = 'observed' AND f.den > 0),
-okay AS (SELECT ability, sig, position, ref FROM pool JOIN need USING (ability, sig) GROUP BY 1, 2, 3, 4 HAVING count(*) = max(n)),
-size AS (SELECT ability, sig, position, count(*) AS peers FROM okay GROUP BY 1, 2, 3 HAVING count(*) >= 30),
-m1 AS (SELECT pool.*, peers, avg(value) OVER (PARTITION BY ability, sig, position, key) AS mean FROM pool JOIN okay USING (ability, sig, position, ref) JOIN size USING (ability, sig, position)),
+# Entities whose number ends in 1 are copies of the one before; xG was measured anew in one league.
+MASTER, PREFERRED, VERSION = "IF(player % 10 = 1, player - 1, player)", "coalesce(foot = 'left', false)", "IF('{key}' LIKE 'xg%' AND league = 'AMERICA', 'v2', 'v1')"
+ASSIGNED_SQL = f"""
+WITH {ENTITIES_SQL}, {features_sql()}, {position_registry_sql()},
+seen AS (SELECT *, CASE WHEN key LIKE 'xg%' AND league = 'AMERICA' THEN 'v2' ELSE 'v1' END AS ver FROM feats),
+places AS (SELECT DISTINCT role AS position FROM registry),
+weighted AS (
+  SELECT f.*, g.role AS position, g.ability, g.overall_weight, g.weight,
+    sum(CASE WHEN status <> 'unrecorded_zero' THEN weight ELSE 0 END) OVER pa AS kept, sum(weight) OVER pa AS total
+  FROM seen f JOIN registry g ON f.key = g.key AND (g.role = 'BUILDING') = (f.role = 'BUILDING') WINDOW pa AS (PARTITION BY player, g.role, g.ability)),
+active AS (SELECT *, CASE WHEN status = 'unrecorded_zero' OR kept <= 0 THEN 0.0 ELSE weight * total / kept END AS w FROM weighted),
+flags AS (
+  SELECT player, position, ability,
+    bool_and(w = 0 OR dir = 0 OR (status = 'observed' AND isfinite(value) AND den > 0)) AND bool_or(w > 0 AND dir <> 0) AND max(minutes) >= 900 AS eligible,
+    string_agg(CASE WHEN w > 0 AND dir <> 0 THEN key || ver || ':' || CAST(round(w, 9) AS VARCHAR) END, ';' ORDER BY key) AS sig
+  FROM active GROUP BY ALL),
+natural_ AS (SELECT player AS ref, role AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY role, CASE WHEN player % 10 = 1 THEN player - 1 ELSE player END ORDER BY coalesce(foot = 'left', FALSE) DESC, player) AS r FROM b1 WHERE minutes >= 900) WHERE r = 1),
+masks AS (SELECT DISTINCT position, f.ability, f.sig, a.key, a.ver, a.w, a.dir, a.k, a.overall_weight FROM flags f JOIN active a USING (player, position, ability) WHERE eligible AND w > 0 AND dir <> 0),
+need AS (SELECT position, ability, sig, count(*) AS n FROM masks GROUP BY ALL),
+pool AS (SELECT m.*, n.ref, f.value, f.den FROM masks m JOIN natural_ n USING (position) JOIN seen f ON f.player = n.ref AND f.key = m.key AND f.ver = m.ver AND f.status = 'observed' AND f.den > 0),
+okay AS (SELECT position, ability, sig, ref FROM pool JOIN need USING (position, ability, sig) GROUP BY ALL HAVING count(*) = max(n)),
+size AS (SELECT position, ability, sig, count(*) AS peers FROM okay GROUP BY ALL HAVING count(*) >= 30),
+m1 AS (SELECT pool.*, peers, avg(value) OVER (PARTITION BY position, ability, sig, key) AS mean FROM pool JOIN okay USING (position, ability, sig, ref) JOIN size USING (position, ability, sig)),
 m2 AS (SELECT *, den / (den + k) * value + (1 - den / (den + k)) * mean AS st FROM m1),
-fs AS (SELECT ability, sig, position, key, max(mean) AS mean, avg(st) AS a, stddev_pop(st) AS d FROM m2 GROUP BY 1, 2, 3, 4),
-rr AS (SELECT ability, sig, position, ref, max(peers) AS peers, sum(w * dir * (st - a) / d) AS raw FROM m2 JOIN fs USING (ability, sig, position, key) GROUP BY 1, 2, 3, 4),
-cs AS (SELECT ability, sig, position, max(peers) AS peers, avg(raw) AS m, stddev_pop(raw) AS s FROM rr GROUP BY 1, 2, 3 HAVING stddev_pop(raw) > 1e-12),
-sub AS (SELECT f.player, f.ability, f.sig, fs.position, sum(t.w * t.dir * ((t.den / (t.den + t.k) * t.value + (1 - t.den / (t.den + t.k)) * fs.mean) - a) / d) AS raw
-  FROM flags f JOIN active t USING (player, role, ability) JOIN fs ON fs.ability = f.ability AND fs.sig = f.sig AND fs.key = t.key WHERE f.eligible AND t.w > 0 AND t.dir <> 0 GROUP BY 1, 2, 3, 4)"""
+fs AS (SELECT position, ability, sig, key, max(mean) AS mean, avg(st) AS a, stddev_pop(st) AS d FROM m2 GROUP BY ALL),
+rr AS (SELECT position, ability, sig, ref, max(peers) AS peers, max(overall_weight) AS overall_weight, sum(w * dir * (st - a) / d) AS raw FROM m2 JOIN fs USING (position, ability, sig, key) GROUP BY ALL),
+cs AS (SELECT position, ability, sig, max(peers) AS peers, avg(raw) AS m, stddev_pop(raw) AS s FROM rr GROUP BY ALL HAVING stddev_pop(raw) > 1e-12),
+sub AS (SELECT f.player, f.position, f.ability, f.sig, max(t.overall_weight) AS overall_weight,
+    sum(t.w * t.dir * ((t.den / (t.den + t.k) * t.value + (1 - t.den / (t.den + t.k)) * fs.mean) - a) / d) AS raw
+  FROM flags f JOIN active t USING (player, position, ability) JOIN fs ON fs.position = f.position AND fs.ability = f.ability AND fs.sig = f.sig AND fs.key = t.key
+  WHERE f.eligible AND t.w > 0 AND t.dir <> 0 GROUP BY ALL)"""
+
+
+def assigned(spark: SparkSession, sf: str) -> R.Assigned:
+    """Every entity in the positions of its class: the registry of each segment, one reference per master identity."""
+    base = entities(spark, sf).withColumnRenamed("role", "position").withColumn("master", F.expr(MASTER)).persist()
+    return R.assigned_positions(base, registry(), "player", "position", "minutes", "master", PREFERRED, "BUILDING", VERSION)
 
 
 @query(
     "assigned_position_scores",
     ASSIGNED_SQL
     + """
-SELECT player, position, sub.ability, round((raw - m) / s, 6) AS z, peers AS peer_count FROM sub JOIN cs USING (ability, sig, position)""",
+SELECT player, position, ability, round((raw - m) / s, 6) AS z, peers AS peer_count FROM sub JOIN cs USING (position, ability, sig)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    m = model()
-    rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role", "minutes"], "minutes").persist()
-    references = rows.where("minutes >= 900").withColumnRenamed("role", "position")
-    out, _ = R.assigned_positions(rows.withColumnRenamed("role", "position"), references, "position", SEGMENTS, m)
-    return out.select("player", "position", "ability", F.round("z", 6).alias("z"), "peer_count")
+    return assigned(spark, sf).scores.select("player", "position", "ability", F.round("z", 6).alias("z"), "peer_count")
 
 
 @query(
     "common_cohort_assigned",
     ASSIGNED_SQL
-    + """, rz AS (SELECT rr.ability, rr.sig, rr.position, ref, (raw - m) / s AS z FROM rr JOIN cs USING (ability, sig, position)),
-sz AS (SELECT player, sub.position, sub.ability, (raw - m) / s AS z FROM sub JOIN cs USING (ability, sig, position)),
-tup AS (SELECT player, string_agg(ability || sig, '/' ORDER BY ability) AS cohort FROM flags WHERE eligible GROUP BY 1 HAVING count(*) = 6),
-tset AS (SELECT DISTINCT cohort, ability, sig FROM tup JOIN flags USING (player) WHERE eligible),
-ow AS (SELECT DISTINCT ability, overall_weight FROM registry),
-po AS (SELECT position, cohort, ref, sum(overall_weight * z) AS raw FROM rz JOIN tset USING (ability, sig) JOIN ow USING (ability) GROUP BY 1, 2, 3 HAVING count(*) = 6),
-ps AS (SELECT position, cohort, avg(raw) AS m, stddev_pop(raw) AS s, count(*) AS common_peers FROM po GROUP BY 1, 2 HAVING count(*) >= 30 AND stddev_pop(raw) > 1e-12),
-so AS (SELECT player, position, cohort, sum(overall_weight * z) AS raw FROM sz JOIN tup USING (player) JOIN ow USING (ability) GROUP BY 1, 2, 3 HAVING count(*) = 6)
-SELECT player, position, round((raw - m) / s, 6) AS overall_z, round(greatest(1.0, 50 + 15 * (raw - m) / s), 5) AS overall, common_peers FROM so JOIN ps USING (position, cohort)""",
+    + """, rz AS (SELECT position, rr.ability, rr.sig, ref, overall_weight, (raw - m) / s AS z FROM rr JOIN cs USING (position, ability, sig)),
+sz AS (SELECT player, position, ability, sig, overall_weight, (raw - m) / s AS z FROM sub JOIN cs USING (position, ability, sig)),
+tup AS (SELECT player, position, string_agg(ability || sig, '/' ORDER BY ability) AS cohort, sum(overall_weight * z) AS raw FROM sz GROUP BY 1, 2 HAVING count(*) = 6),
+tset AS (SELECT DISTINCT position, cohort, ability, sig FROM tup JOIN sz USING (player, position)),
+po AS (SELECT position, cohort, ref, sum(overall_weight * z) AS raw FROM rz JOIN tset USING (position, ability, sig) GROUP BY 1, 2, 3 HAVING count(*) = 6),
+ps AS (SELECT position, cohort, avg(raw) AS m, stddev_pop(raw) AS s, count(*) AS common_peers FROM po GROUP BY 1, 2 HAVING count(*) >= 30 AND stddev_pop(raw) > 1e-12)
+SELECT player, position, round((raw - m) / s, 6) AS overall_z, round(greatest(1.0, 50 + 15 * (raw - m) / s), 5) AS overall, common_peers FROM tup JOIN ps USING (position, cohort)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    m = model()
-    rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role", "minutes"], "minutes").withColumnRenamed("role", "position").persist()
-    scores, peers = R.assigned_positions(rows, rows.where("minutes >= 900"), "position", SEGMENTS, m)
-    out = R.assigned_overall(scores, peers.persist(), rows, "player", "position", m)
+    out = R.assigned_overall(assigned(spark, sf), "player")
     return out.select("player", "position", F.round("overall_z", 6).alias("overall_z"), F.round("overall", 5).alias("overall"), "common_peers")
 
 

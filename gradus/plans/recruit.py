@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import RoleSpec
 from ..operators import recruit as C
+from ..session import each
 from .bindings import APPEARANCES_SQL, ENTITIES_SQL, SEGMENTS, appearances, entities, load
 from .registry import query
 
@@ -155,35 +156,23 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return C.similarity(p, targets, stats, wishes).select("player", "brief", F.round("fit", 6).alias("similarity"))
 
 
-TEAM_SQL = f"tt AS (SELECT team, metric, round(avg(v), 8) AS target FROM po JOIN (SELECT player, team FROM b1) USING (player) WHERE metric IN {STYLE} AND team IN (3, 4) GROUP BY 1, 2)"
+TEAM_SQL = f"tt AS (SELECT team, metric, round(avg(v), 8) AS target FROM po JOIN (SELECT player, team FROM b1) USING (player) WHERE metric IN {STYLE} GROUP BY 1, 2)"
 
 
-def team_targets(spark: SparkSession, sf: str, p: DataFrame, which: str = "team IN (3, 4)") -> DataFrame:
-    teams = load(spark, sf, "customer").selectExpr("c_custkey AS player", "c_nationkey AS team").where(which)
+def team_targets(spark: SparkSession, sf: str, p: DataFrame) -> DataFrame:
+    teams = load(spark, sf, "customer").selectExpr("c_custkey AS player", "c_nationkey AS team")
     return p.where("is_style").join(teams, "player").groupBy("team", "metric").agg(F.round(F.avg("posterior"), 8).alias("target"))
 
 
 @query(
     "tactical_fit",
-    PROFILE_SQL + f""", {TEAM_SQL} SELECT player, 'team-' || tt.team AS brief, round(100 * exp(-sqrt(avg(pow((v - tt.target) / scale, 2))) / 2), 6) AS tactical_fit
-FROM po JOIN sc USING (role, metric) JOIN tt USING (metric) WHERE (po.role = 'BUILDING' AND tt.team = 3) OR (po.role = 'MACHINERY' AND tt.team = 4) GROUP BY 1, 2""",
+    PROFILE_SQL + f""", {TEAM_SQL} SELECT player, 'team-' || tt.team || '-' || po.role AS brief, round(100 * exp(-sqrt(avg(pow((v - tt.target) / scale, 2))) / 2), 6) AS tactical_fit
+FROM po JOIN sc USING (role, metric) JOIN tt USING (metric) GROUP BY 1, 2""",
 )
-def _(spark: SparkSession, sf: str) -> DataFrame:
-    p = profiles(spark, sf)
-    briefs = spark.createDataFrame([("team-3", "BUILDING", 3), ("team-4", "MACHINERY", 4)], "brief string, role string, team int")
-    targets = briefs.join(team_targets(spark, sf, p), "team").select(
-        "brief", "role", "metric", "target", F.lit("tactical_fit").alias("kind")
-    )
-    none = spark.createDataFrame([], "brief string, metric string, weight double")
-    return C.similarity(p, targets, C.style_stats(p), none).select("player", "brief", F.round("fit", 6).alias("tactical_fit"))
-
-
-@query("tactical_fit_all")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Every player of each role beside every team."""
     p = profiles(spark, sf)
-    roles = spark.createDataFrame([(r,) for r in ROLES], "role string")
-    targets = team_targets(spark, sf, p, "team IS NOT NULL").crossJoin(F.broadcast(roles)).select(
+    targets = each(team_targets(spark, sf, p), "role", ROLES).select(
         F.concat_ws("-", F.lit("team"), "team", "role").alias("brief"), "role", "metric", "target", F.lit("tactical_fit").alias("kind")
     )
     none = spark.createDataFrame([], "brief string, metric string, weight double")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradus.config import Ability, Feature, Model
+from gradus.operators import moments as M
 from gradus.operators import rating as R
 
 FEATURES = (Feature("goals90", "goals"), Feature("rate", "hits", "tries", "%"), Feature("lost90", "lost", direction=-1), Feature("context", "seen", direction=0))
@@ -98,16 +99,123 @@ def test_flat_composite_is_withheld_unless_kept(spark):
     assert {r["overall_z"] for r in kept.collect()} == {0.0}
 
 
+def test_calibration_is_one_pass_and_never_sorts_the_rows(spark):
+    df = spark.createDataFrame(cohort(), SCHEMA)
+    rows = R.ability_rows(df, MODEL, ["player", "position"], "minutes")
+    plan = R.calibrate(rows, ["position", "ability", "signature"], MODEL.slots, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_features_that_cancel_leave_no_spread(spark):
+    up = (Feature("up", "goals"), Feature("down", "lost"))
+    model = Model(up, (Ability("A", 1.0, {"up": 0.5, "down": 0.5}),), minimum_exposure=900, minimum_peers=30)
+    rows = [(i, "ST", 1000.0, float(i % 17), 1.0, 30.0, float(1000 - i % 17), 3.0) for i in range(60)]
+    scores, _ = R.score_catalogue(spark.createDataFrame(rows, SCHEMA), model, ["player", "position"], "position", "minutes")
+    assert scores.count() == 0
+
+
+def test_merged_moments_are_those_of_the_whole(spark):
+    rng = np.random.default_rng(8)
+    rows = [("c", f"g{i % 5}", *(float(x) for x in rng.normal(1e4, 3, 2)), *(float(x) for x in rng.uniform(50, 900, 2)), 450.0, 30.0, 0.7, 0.3) for i in range(400)]
+    rows.append(("c", "g9", 1.0, 2.0, 3.0, 4.0, 450.0, 30.0, 0.7, 0.3))
+    df = spark.createDataFrame(rows, "cohort string, part string, v0 double, v1 double, n0 double, n1 double, k0 double, k1 double, w0 double, w1 double")
+    pick = lambda m: [tuple(r)[1:] for r in M.statistics(m, ["cohort"], 2, 30).collect()]
+    whole, parts = pick(M.moments(df, ["cohort"], 2)), pick(M.merged(M.moments(df, ["cohort", "part"], 2), ["cohort"]))
+    assert len(whole) == len(parts) == 1 and parts[0] == pytest.approx(whole[0], rel=1e-9)
+    x = np.array([r[2:] for r in rows])
+    s = [x[:, 2 + i] / (x[:, 2 + i] + x[:, 4 + i]) * x[:, i] + (1 - x[:, 2 + i] / (x[:, 2 + i] + x[:, 4 + i])) * x[:, i].mean() for i in (0, 1)]
+    raw = sum(w * (t - t.mean()) / t.std() for w, t in zip((0.7, 0.3), s))
+    # Of peer_count, m0, m1, a0, a1, d0, d1, raw_mean, raw_sd.
+    assert whole[0] == pytest.approx((401, x[:, 0].mean(), x[:, 1].mean(), s[0].mean(), s[1].mean(), s[0].std(), s[1].std(), 0.0, raw.std()), rel=1e-9)
+
+
+def test_many_cohorts_meet_the_rows_salted(spark):
+    rows = spark.range(200).selectExpr("id", "id % 7 AS c")
+    cohorts = spark.range(7).selectExpr("id AS c", "id * 10 AS m")
+    both = [sorted(tuple(r) for r in M.beside_cohort(rows, cohorts, ["c"], sent=s).collect()) for s in (0, 100)]
+    assert both[0] == both[1] and len(both[0]) == 200
+
+
 def test_assigned_reference_need_not_share_the_mask(spark):
     rows = cohort() + [(99, "CB", 1000.0, None, 5.0, 30.0, 4.0, 3.0)]
-    all_rows = R.ability_rows(spark.createDataFrame(rows, SCHEMA), MODEL, ["player", "position", "minutes"], "minutes").persist()
-    scores, peers = R.assigned_positions(all_rows, all_rows.where("position = 'ST'"), "position", ["ST"], MODEL)
-    got = {r["ability"]: r for r in scores.where("player = 99").collect()}
+    found = R.assigned_positions(spark.createDataFrame(rows, SCHEMA), {"ST": MODEL}, "player", "position", "minutes")
+    got = {r["ability"]: r for r in found.scores.where("player = 99").collect()}
     assert got["A"]["peer_count"] == 40 and got["A"]["position"] == "ST"
-    total = R.assigned_overall(scores, peers, all_rows, "player", "position", MODEL).where("player = 99").collect()
+    total = R.assigned_overall(found, "player").where("player = 99").collect()
     assert len(total) == 1 and total[0]["common_peers"] == 40
 
 
+#: Another position's registry: the same abilities, weighed otherwise.
+OTHER = Model(FEATURES, (Ability("A", 0.3, {"goals90": 0.2, "rate": 0.8}), Ability("B", 0.7, {"lost90": 0.6, "rate": 0.4})), minimum_exposure=900, minimum_peers=30)
+
+
+def assigned_brute(rows, models, version, keeper="GK"):
+    """{(player, position, ability): (z, peers)} by a loop over subjects, positions and references."""
+    prior = {"goals90": 450, "rate": 30, "lost90": 450, "context": 450}
+    values = lambda r: {"goals90": (r[3], r[2], 90), "rate": (r[4], r[5], 100), "lost90": (r[6], r[2], 90), "context": (r[7], r[2], 90)}
+    sign = {f.key: f.direction for f in FEATURES}
+    natural = {}
+    for r in sorted(rows, key=lambda r: (r[0] % 2 == 0, r[0])):  # odd numbers are preferred
+        if r[2] >= 900:
+            natural.setdefault((r[1], r[0] // 2), r)
+    out = {}
+    for r in rows:
+        if r[2] < 900:
+            continue
+        for position, model in models.items():
+            if (position == keeper) != (r[1] == keeper):
+                continue
+            for a in model.abilities:
+                own = values(r)
+                kept = sum(w for k, w in a.weights.items() if own[k][0] is not None)
+                used = {k: w * sum(a.weights.values()) / kept for k, w in a.weights.items() if own[k][0] is not None and sign[k]} if kept else {}
+                if not used or any(not own[k][1] for k in used):
+                    continue
+                peers = [p for (at, _), p in natural.items() if at == position and all(values(p)[k][0] is not None and values(p)[k][1] and version(p, k) == version(r, k) for k in used)]
+                if len(peers) < 30:
+                    continue
+                raw, mine = np.zeros(len(peers)), 0.0
+                for k, w in used.items():
+                    v = np.array([values(p)[k][0] / values(p)[k][1] * values(p)[k][2] for p in peers])
+                    n = np.array([values(p)[k][1] for p in peers])
+                    s = n / (n + prior[k]) * v + (1 - n / (n + prior[k])) * v.mean()
+                    r_own = own[k][1] / (own[k][1] + prior[k])
+                    t = r_own * own[k][0] / own[k][1] * own[k][2] + (1 - r_own) * v.mean()
+                    raw += w * sign[k] * (s - s.mean()) / s.std()
+                    mine += w * sign[k] * (t - s.mean()) / s.std()
+                out[r[0], position, a.name] = ((mine - raw.mean()) / raw.std(), len(peers))
+    return out
+
+
+def test_assigned_scores_use_each_positions_registry(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(330):
+        position = ("ST", "CB", "GK")[i % 3]
+        goals = None if i % 11 == 0 else float(rng.integers(0, 20))
+        tries = 0.0 if i % 13 == 0 else 30.0
+        rows.append((i, position, float(rng.integers(880, 2000)), goals, float(rng.integers(1, 20)), tries, None if i % 17 == 0 else float(rng.integers(1, 40)), 3.0))
+    version = lambda r, k: "2" if k == "rate" and r[0] % 5 == 0 else "1"
+    models = {"ST": MODEL, "CB": OTHER, "GK": MODEL}
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("master", F.expr("player div 2"))
+    found = R.assigned_positions(df, models, "player", "position", "minutes", "master", "player % 2 = 1", version="IF('{key}' = 'rate' AND player % 5 = 0, '2', '1')")
+    got = {(r.player, r.position, r.ability): (r.z, r.peer_count) for r in found.scores.collect()}
+    want = assigned_brute(rows, models, version)
+    assert got.keys() == want.keys() and len(want) > 300
+    for k in want:
+        assert got[k] == (pytest.approx(want[k][0], abs=1e-9), want[k][1])
+    # Weights differ by position, and so do the scores that one subject gets with one set of peers' features.
+    assert any(abs(got[p, "ST", "A"][0] - got[p, "CB", "A"][0]) > 0.1 for p, at, a in want if at == "ST" and (p, "CB", "A") in want)
+    peers = {(r.player, r.position, r.ability) for r in found.peers().select("player", "position", "ability").distinct().collect()}
+    assert {p for p, _, _ in peers} <= {r[0] for r in rows if r[2] >= 900}
+
+
+def test_assigned_positions_of_nobody(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    found = R.assigned_positions(none, {"ST": MODEL}, "player", "position", "minutes")
+    assert found.scores.count() == 0 and R.assigned_overall(found, "player").count() == 0
+
+
 def test_keepers_below_thirty_give_no_rating(spark):
     rows = cohort(29, "GK") + [(100 + r[0], *r[1:]) for r in cohort(40, "CM")]
     _, overall = run(spark, rows)
@@ -116,9 +224,8 @@ def test_keepers_below_thirty_give_no_rating(spark):
 
 def test_keepers_are_only_asked_about_the_keeper_position(spark):
     rows = cohort(40, "GK") + [(100 + r[0], *r[1:]) for r in cohort(40, "CM")]
-    all_rows = R.ability_rows(spark.createDataFrame(rows, SCHEMA), MODEL, ["player", "position"], "minutes").persist()
-    scores, _ = R.assigned_positions(all_rows, all_rows, "position", ["GK", "CM"], MODEL)
-    asked = {(r["player"] >= 100, r["position"]) for r in scores.collect()}
+    found = R.assigned_positions(spark.createDataFrame(rows, SCHEMA), {"GK": MODEL, "CM": MODEL}, "player", "position", "minutes")
+    asked = {(r["player"] >= 100, r["position"]) for r in found.scores.collect()}
     assert asked == {(False, "GK"), (True, "CM")}
 
 
