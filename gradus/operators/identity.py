@@ -1,17 +1,18 @@
 """Joins that attach evidence to identities, and identity resolution itself.
 
-No operator lists the pairs of a group: comparable records are reduced to distinct profiles
-with a count and one id, and only profiles meet.
+No operator lists the pairs of a group: who corroborates whom is counted over sorted interval ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .ordered import running
 from .quality import validate
 
 
@@ -109,71 +110,68 @@ def candidate_groups(df: DataFrame, keys: Sequence[str], provider: str, record:
 COUNTS = ("shots", "non_penalty_goals", "assists")
 
 
-def _exposure_step(minutes: str) -> str:
-    """A scale on which max(45, 2%) is about one step: linear to 2250, logarithmic beyond."""
-    return f"IF({minutes} <= 2250, {minutes} / 45, 50 + ln({minutes} / 2250) / 0.02)"
+def _tags(anchor: bool) -> str:
+    """SQL of the blocks a record belongs to, one text each, so that an anchor and a candidate that agree share exactly
+    one. A keeper's block is its club. Another anchor's names the counts it has, those of them that both have and
+    their values; a candidate does not know what an anchor has, so it asks for every case."""
+    sets = [c for n in (2, 3) for c in combinations(COUNTS, n)]
+    tags = []
+    for has in sets:
+        for shared in sets:
+            if set(shared) <= set(has):
+                values = "concat('" + "+".join(has) + ":', " + ", ' ', ".join(f"'{x}=', {x}" for x in shared) + ")"
+                there = [f"{x} IS NOT NULL" for x in (has if anchor else shared)]
+                # A candidate has none of the anchor's other counts; an anchor's other counts are null.
+                gone = [f"{x} IS NULL" for x in (set(COUNTS) - set(has) if anchor else set(has) - set(shared))]
+                tags.append(f"IF({' AND '.join([*there, *sorted(gone)])}, {values}, NULL)")
+    club = "IF(club_key IS NOT NULL, concat('club=', club_key), NULL)"
+    if anchor:
+        return f"array_compact(IF(coalesce(keeper, false), array({club}), array({', '.join(tags)})))"
+    return f"array_compact(array({', '.join(tags)}, {club}))"
 
 
 def corroborated(anchors: DataFrame, candidates: DataFrame, record: str) -> DataFrame:
     """For each candidate record: how many anchors pass, and the anchor if exactly one does.
 
     Records carry league, name_key, minutes, shots, non_penalty_goals, assists, keeper, club_key.
-    Names must agree, minutes must be positive and differ by at most max(45, 2% of the
+    Names must agree, minutes (taken to millionths) must be positive and differ by at most max(45, 2% of the
     anchor's); then two or three comparable counts must all be equal, or, where the anchor is
-    a keeper, the club. Distinct profiles meet on (league, name, two equal counts or club,
-    exposure step), so copies and hot names never multiply into pairs.
+    a keeper, the club.
+
+    No pair is ever listed. An anchor is an interval of minutes in its blocks, a candidate a point in its own. Over a
+    block's sorted ends, how many intervals hold a point is the starts up to it less the ends before it, and the same
+    difference of summed record hashes is the hash of the one interval, where there is one.
     """
-    profile = ["league", "name_key", "minutes", *COUNTS, "keeper", "club_key"]
-    usable = "minutes > 0 AND name_key IS NOT NULL AND name_key <> ''"
-    a = (
-        anchors.where(usable)
-        .groupBy(*profile)
-        .agg(F.count("*").alias("copies"), F.min(record).alias("anchor"))
-        .select(*[F.col(c).alias(f"a_{c}") for c in profile], "copies", "anchor")
+    block = ["league", "name_key", "tag"]
+    exact = F.expr("try_cast(minutes AS decimal(20, 6))")
+    usable = F.expr("at > 0 AND league IS NOT NULL AND name_key IS NOT NULL AND name_key <> ''")
+    a = anchors.withColumn("at", exact).where(usable).withColumn("hash", F.xxhash64(record).cast("decimal(28, 0)"))
+    reach = a.withColumn("_reach", F.expr("greatest(cast(45 AS decimal(24, 8)), at * 0.02)")).select(
+        "league", "name_key", F.expr(f"explode({_tags(True)})").alias("tag"), F.expr("cast(at - _reach AS decimal(25, 8)) AS low"), F.expr("cast(at + _reach AS decimal(25, 8)) AS high"), "hash"
     )
-    # min() names one holder of the profile; it stands for the profile only where copies = 1.
-    c = candidates.where(usable).select(*profile).distinct()
-    pairs = [(x, y) for i, x in enumerate(COUNTS) for y in COUNTS[i + 1 :]]
-
-    def blocks(prefix: str, keeper: str) -> str:
-        p = prefix
-        counts = ", ".join(
-            f"IF({p}{x} IS NOT NULL AND {p}{y} IS NOT NULL, concat('{x}={{', {p}{x}, '}}{y}={{', {p}{y}, '}}'), NULL)" for x, y in pairs
-        )
-        club = f"IF({p}club_key IS NOT NULL, concat('club=', {p}club_key), NULL)"
-        if keeper == "anchor":
-            return f"array_compact(IF(a_keeper, array({club}), array({counts})))"
-        return f"array_compact(array({counts}, {club}))"
-
-    steps = (
-        f"sequence(cast(floor({_exposure_step('greatest(a_minutes - greatest(45, 0.02 * a_minutes), 0.000001)')}) AS int), "
-        f"cast(floor({_exposure_step('(a_minutes + greatest(45, 0.02 * a_minutes))')}) AS int))"
+    zero = F.lit(0).cast("long"), F.lit(0).cast("decimal(28, 0)")
+    ends = reach.select(*block, F.expr("inline(array(named_struct('v', low, 's', 1L, 'e', 0L), named_struct('v', high, 's', 0L, 'e', 1L)))"), "hash").select(
+        *block, "v", "s", "e", (F.col("s") * F.col("hash")).cast("decimal(28, 0)").alias("sh"), (F.col("e") * F.col("hash")).cast("decimal(28, 0)").alias("eh"), F.lit(False).alias("asked")
     )
-    left = a.withColumn("a_block", F.expr(f"explode({blocks('a_', 'anchor')})")).withColumn("a_step", F.expr(f"explode({steps})"))
-    right = c.withColumn("block", F.expr(f"explode({blocks('', 'candidate')})")).withColumn(
-        "step", F.expr(f"cast(floor({_exposure_step('minutes')}) AS int)")
-    )
-    comparable = " + ".join(f"int(a_{x} IS NOT NULL AND {x} IS NOT NULL)" for x in COUNTS)
-    equal = " AND ".join(f"coalesce(a_{x} = {x}, true)" for x in COUNTS)
-    met = (
-        left.join(
-            right,
-            F.expr("a_league = league AND a_name_key = name_key AND a_block = block AND a_step = step"),
-        )
-        .where("abs(a_minutes - minutes) <= greatest(45, 0.02 * a_minutes)")
-        .where(f"IF(a_keeper, a_club_key = club_key, {comparable} >= 2 AND {equal})")
-        .drop("block", "step", "a_block", "a_step")
-        .distinct()  # a pair of profiles may share several blocks
+    profile = ["league", "name_key", "at", *COUNTS, "club_key"]
+    c = candidates.withColumn("at", exact)
+    points = c.where(usable).select(*profile).distinct().withColumn("tag", F.expr(f"explode({_tags(False)})")).withColumn("v", F.expr("cast(at AS decimal(25, 8))"))
+    asked = points.select(*block, "v", zero[0].alias("s"), zero[0].alias("e"), zero[1].alias("sh"), zero[1].alias("eh"), F.lit(True).alias("asked"))
+    places = ends.unionByName(asked).groupBy(*block, "v").agg(*[F.sum(x).alias(x) for x in ("s", "e", "sh", "eh")], F.max("asked").alias("asked"))
+    held = running(places, block, "v", ["s", "e", "sh", "eh"]).where("asked").select(
+        *block, "v", F.expr("s_below + s - e_below AS anchors"), F.expr("sh_below + sh - eh_below AS hash")
     )
+    # An anchor is in exactly one of a candidate's blocks, so counts and hashes add up.
     passed = (
-        met.groupBy(*profile)
-        .agg(F.sum("copies").alias("anchors"), F.min("anchor").alias("anchor"))
-        .select(*[F.col(c).alias(f"_{c}") for c in profile], "anchors", "anchor")
-    )
-    on = " AND ".join(f"{c} <=> _{c}" for c in profile)
-    return candidates.join(passed, F.expr(on), "left").selectExpr(
-        record, "provider", "coalesce(anchors, 0L) AS anchors", "IF(anchors = 1, anchor, NULL) AS anchor"
+        points.join(held.where("anchors > 0"), [*block, "v"])
+        .groupBy(*profile)
+        .agg(F.sum("anchors").alias("anchors"), F.sum("hash").cast("decimal(38, 0)").alias("hash"))
     )
+    one = passed.where("anchors = 1").join(a.select("league", "name_key", F.col("hash").cast("decimal(38, 0)").alias("hash"), F.col(record).alias("anchor")), ["league", "name_key", "hash"])
+    known = passed.where("anchors > 1").withColumn("anchor", F.lit(None).cast(anchors.schema[record].dataType)).unionByName(one).drop("hash")
+    known = known.select(*[F.col(x).alias(f"_{x}") for x in profile], "anchors", "anchor")
+    on = " AND ".join(f"{x} <=> _{x}" for x in profile)
+    return c.join(known, F.expr(on), "left").selectExpr(record, "provider", "coalesce(anchors, 0L) AS anchors", "anchor")
 
 
 def accepted_links(matches: DataFrame, record: str) -> DataFrame:

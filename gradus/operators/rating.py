@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ..config import NOT_APPLICABLE, OBSERVED, UNRECORDED, Feature, Model
 from ..functions.status import feature_value, measurement_status, rating
 from ..session import beside, cut, each
-from .moments import beside_cohort, merged, moments, statistics
+from .lookup import beside_cohort
+from .moments import merged, moments, statistics
 from .ordered import finite
 from .standardize import EPSILON, best_row, member_z, ranks, subject_z
 

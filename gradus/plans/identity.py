@@ -136,7 +136,7 @@ RECORDS_SQL = f"""
 rec AS (SELECT {', '.join(RECORD_COLUMNS)}, replace(lower(name), ' ', '') AS name_key,
   CASE WHEN size > 30 THEN 'north' ELSE 'south' END AS club_key FROM b3),
 hit AS (SELECT c.row, c.provider, a.row AS anchor FROM rec c JOIN rec a ON a.league = c.league AND a.name_key = c.name_key
-  AND a.provider = 'ECONOMY' AND c.provider <> 'ECONOMY' AND a.minutes > 0 AND c.minutes > 0 AND abs(a.minutes - c.minutes) <= greatest(45, 0.02 * a.minutes)
+  AND a.provider = 'ECONOMY' AND c.provider <> 'ECONOMY' AND a.minutes > 0 AND c.minutes > 0 AND abs(a.minutes::DECIMAL(18, 6) - c.minutes::DECIMAL(18, 6)) <= greatest(45, 0.02 * a.minutes::DECIMAL(18, 6))
   AND CASE WHEN a.keeper THEN a.club_key = c.club_key ELSE
    (a.shots IS NOT NULL AND c.shots IS NOT NULL)::INT + 1 + (a.assists IS NOT NULL AND c.assists IS NOT NULL)::INT >= 2
    AND coalesce(a.shots = c.shots, TRUE) AND a.non_penalty_goals = c.non_penalty_goals AND coalesce(a.assists = c.assists, TRUE) END),

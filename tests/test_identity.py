@@ -3,12 +3,14 @@
 import datetime as d
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gradus.functions.text import club_key, nfkd_key, plain_key
 from gradus.operators import identity as J
 from gradus.operators import intervals as I
+from gradus.operators import ordered
 
 SCHEMA = (
     "record string, provider string, league string, name_key string, minutes double, shots int, non_penalty_goals int, "
@@ -48,6 +50,26 @@ def test_corroboration_matches_all_pairs_on_a_hot_name(spark):
         assert got[c[0]] == (len(hits), hits[0] if len(hits) == 1 else None), c
 
 
+def test_corroboration_of_one_hot_name_is_linear(spark, monkeypatch):
+    """100,000 records of one name with equal counts: intervals and points are counted, pairs never listed."""
+    monkeypatch.setattr(ordered, "CELL", 20_000)
+    minutes = "cast(1000 + id * 7 + id % 5 AS double)"
+    one = ["'L' AS league", "'smith' AS name_key", "1 AS shots", "0 AS non_penalty_goals", "2 AS assists", "false AS keeper", "'north' AS club_key"]
+    anchors = spark.range(50_000).selectExpr("concat('a', id) AS record", "'opta' AS provider", f"{minutes} AS minutes", *one)
+    others = spark.range(50_000).selectExpr("concat('w', id) AS record", "'web' AS provider", "cast(900 + id * 7.5 AS double) AS minutes", *one)
+    at = np.array([1000 + i * 7 + i % 5 for i in range(50_000)])
+    reach = np.maximum(45, 0.02 * at)
+    low, high = np.sort(at - reach), np.sort(at + reach)
+    got = {r.record: (r.anchors, r.anchor) for r in J.corroborated(anchors, others, "record").collect()}
+    assert len(got) == 50_000
+    for i in range(0, 50_000, 97):
+        c = 900 + i * 7.5
+        n = int(np.searchsorted(low, c, "right") - np.searchsorted(high, c, "left"))
+        own = [f"a{k}" for k in np.flatnonzero(abs(at - c) <= reach)] if n == 1 else [None]
+        assert got[f"w{i}"] == (n, own[0])
+    assert max(n for n, _ in got.values()) > 1000 and sum(n == 0 for n, _ in got.values()) > 0
+
+
 def test_links_need_one_anchor_and_one_record_per_provider(spark):
     m = spark.createDataFrame([("w1", "web", 1, "a"), ("w2", "web", 1, "b"), ("w3", "web", 1, "b"), ("u1", "und", 1, "b"), ("w4", "web", 2, None)], "record string, provider string, anchors long, anchor string")
     assert {r["record"] for r in J.accepted_links(m, "record").collect()} == {"w1", "u1"}

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradus.operators import standardize as S
-from gradus.operators.ordered import cumulative, order_cell, quantiles, value_counts
+from gradus.operators import ordered
+from gradus.operators.ordered import cumulative, quantiles, value_counts
 
 
 def sample(seed=3):
@@ -35,14 +36,25 @@ def groups():
     return out
 
 
-def test_cells_never_decrease(spark):
-    values = sorted({v for _, _, v in sample() if v is not None and math.isfinite(v)} | {0.0, 5e-324, -5e-324, 1e308, -1e308})
-    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("c", F.expr(order_cell("v")))
-    cells = [r["c"] for r in df.orderBy("v").collect()]
-    assert cells == sorted(cells)
+@pytest.fixture(params=[None, 7, 60])
+def size(request, monkeypatch):
+    """The largest group that is sorted whole: as it is, or so small that groups are cut into many cells."""
+    if request.param:
+        monkeypatch.setattr(ordered, "CELL", request.param)
+    return request.param
 
 
-def test_cumulative_counts_and_neighbours(frame):
+def test_cells_follow_the_values(spark):
+    base = 1_700_000_000
+    counts = spark.range(200_000).selectExpr("'g' AS g", f"timestamp_micros(({base} + id) * 1000000 + id) AS v", "1L AS n")
+    splits = ordered.splitters(counts, ["g"], "v", 10_000)
+    cells = ordered.in_cells(counts, splits, ["g"], "v").groupBy("_cell").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("_cell").collect()
+    assert len(cells) >= 15 and max(c.n for c in cells) < 20_000
+    assert all(x.b < y.a for x, y in zip(cells, cells[1:]))
+    assert ordered.splitters(counts, ["g"], "v", 200_000) is None
+
+
+def test_cumulative_counts_and_neighbours(frame, size):
     got = {(r["g"], r["v"]): r for r in cumulative(value_counts(frame, ["g"], "v"), ["g"], "v").collect()}
     for g, members in groups().items():
         values = [v for _, v in members]
@@ -55,7 +67,7 @@ def test_cumulative_counts_and_neighbours(frame):
             assert r["following"] == (distinct[k + 1] if k + 1 < len(distinct) else None)
 
 
-def test_quantiles_interpolate_linearly(frame):
+def test_quantiles_interpolate_linearly(frame, size):
     probs = [0.0, 0.1, 0.25, 0.5, 0.65, 0.9, 1.0]
     rows = quantiles(value_counts(frame, ["g"], "v"), ["g"], "v", probs).collect()
     assert len(rows) == len(probs) * len(groups())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradus.config import Ability, Feature, Model
 from gradus.operators import moments as M
 from gradus.operators import rating as R
+from gradus.operators.lookup import beside_cohort
 
 FEATURES = (Feature("goals90", "goals"), Feature("rate", "hits", "tries", "%"), Feature("lost90", "lost", direction=-1), Feature("context", "seen", direction=0))
 ABILITIES = (Ability("A", 0.6, {"goals90": 0.5, "rate": 0.3, "context": 0.2}), Ability("B", 0.4, {"lost90": 1.0}))
@@ -132,7 +133,7 @@ def test_merged_moments_are_those_of_the_whole(spark):
 def test_many_cohorts_meet_the_rows_salted(spark):
     rows = spark.range(200).selectExpr("id", "id % 7 AS c")
     cohorts = spark.range(7).selectExpr("id AS c", "id * 10 AS m")
-    both = [sorted(tuple(r) for r in M.beside_cohort(rows, cohorts, ["c"], sent=s).collect()) for s in (0, 100)]
+    both = [sorted(tuple(r) for r in beside_cohort(rows, cohorts, ["c"], sent=s).collect()) for s in (0, 100)]
     assert both[0] == both[1] and len(both[0]) == 200
 
 
