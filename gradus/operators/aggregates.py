@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import beside, each
+from ..session import beside, cut, each
 
 
 def league_season_coverage(stints: DataFrame, floor: float = 450) -> DataFrame:
@@ -214,19 +213,40 @@ def field_inventory(obs: DataFrame, expected: DataFrame, fields: Sequence[str])
     )
 
 
+#: Providers whose subsets are taken together in one pass.
+BITS = 8
+
+
+def _within(masks: DataFrame, providers: int) -> DataFrame:
+    """(kind, mask, n): how many of ``masks`` (kind, mask, n) are subsets of each mask, where any is.
+
+    The supersets of a mask are made a few bits at a time and added up in between, so no mask meets every other."""
+    for low in range(0, providers, BITS):
+        own = ((1 << min(BITS, providers - low)) - 1) << low
+        more = f"explode(transform(filter(sequence(0L, {own >> low}L), t -> (t & shiftright(mask & {own}L, {low})) = shiftright(mask & {own}L, {low})), t -> (mask & {~own}L) | shiftleft(t, {low})))"
+        masks = masks.selectExpr("kind", f"{more} AS mask", "n").groupBy("kind", "mask").agg(F.sum("n").alias("n"))
+    return masks
+
+
 def source_combinations(
     variants: DataFrame, baseline: DataFrame, providers: Sequence[str], percent: float = 90.0
 ) -> DataFrame:
     """Every non-empty set of providers with the families that one variant covers in each league.
 
     ``variants``: distinct (provider, key, family, league, id) that are supported;
-    ``baseline``: distinct (league, id). The subsets come from the fixed provider list.
+    ``baseline``: distinct (league, id). A family is the set of providers that cover it, a bit mask; a set of
+    providers covers all families but those whose mask lies in the other providers. So sums over subsets give every
+    count, and nothing about the sets is made in the driver. Sets that no family was observed by have no row.
     """
+    names = sorted(providers)
+    if len(names) > 62:
+        raise ValueError("a mask has at most 62 providers")
     sizes = baseline.groupBy("league").agg(F.count("*").alias("benchmark"))
     leagues = sizes.agg(F.count("*").alias("leagues"))
     # A count per (variant, league); everything after this line has source x column rows.
     hits = (
-        variants.join(baseline, ["league", "id"], "left_semi")
+        variants.where(F.col("provider").isin(names))
+        .join(baseline, ["league", "id"], "left_semi")
         .groupBy("provider", "key", "family", "league")
         .agg(F.count("*").alias("hit"))
         .join(sizes, "league")
@@ -234,20 +254,24 @@ def source_combinations(
     passing = hits.groupBy("provider", "key", "family").agg(
         F.expr(f"count_if(100 * hit >= {percent} * benchmark) AS passed")
     )
-    passing = beside(passing, leagues).selectExpr("provider", "family", "passed = leagues AS passes")
-    spark = variants.sparkSession
-    names = sorted(providers)
-    subsets = [
-        ("+".join(c), len(c), p) for n in range(1, len(names) + 1) for c in combinations(names, n) for p in c
-    ]
-    members = spark.createDataFrame(subsets, "sources string, size int, provider string")
-    return (
-        passing.join(members, "provider")
-        .groupBy("sources", "size", "family")
-        .agg(F.expr("bool_or(passes) AS passes"))
-        .groupBy("sources", "size")
-        .agg(F.expr("count_if(passes) AS reliable_families"), F.count("*").alias("observed_families"))
+    listed = "array({})".format(", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names))
+    bit = f"shiftleft(1L, cast(array_position({listed}, provider) - 1 AS int))"
+    passing = beside(passing, leagues).selectExpr("family", f"{bit} AS bit", "passed = leagues AS passes")
+    families = passing.groupBy("family").agg(F.bit_or(F.when(F.col("passes"), F.col("bit")).otherwise(0)).alias("reliable"), F.bit_or("bit").alias("observed"))
+    kinds = families.selectExpr("stack(2, 'reliable', reliable, 'observed', observed) AS (kind, mask)").groupBy("kind", "mask").agg(F.count("*").alias("n"))
+    full = (1 << len(names)) - 1
+    within = cut(_within(cut(kinds), len(names)))
+    total = within.where(f"kind = 'observed' AND mask = {full}").select(F.col("n").alias("total"))
+    outside = within.groupBy((F.lit(full).bitwiseXOR(F.col("mask"))).alias("sources_mask")).pivot("kind", ["reliable", "observed"]).agg(F.max("n"))
+    sets = variants.sparkSession.range(1, full + 1).select(F.col("id").alias("sources_mask"))
+    counted = beside(sets.join(outside, "sources_mask", "left"), total).select(
+        F.expr("cast(bit_count(sources_mask) AS int) AS size"),
+        (F.col("total") - F.coalesce("reliable", F.lit(0))).alias("reliable_families"),
+        (F.col("total") - F.coalesce("observed", F.lit(0))).alias("observed_families"),
+        "sources_mask",
     )
+    some = f"array_join(filter({listed}, (x, i) -> shiftright(sources_mask, i) & 1 = 1), '+')"
+    return counted.where("observed_families > 0").select(F.expr(some).alias("sources"), "size", "reliable_families", "observed_families")
 
 
 def synonym_map(df: DataFrame, column: str, synonyms: Mapping[str, str], out: str = "family") -> DataFrame:

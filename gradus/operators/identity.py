@@ -214,27 +214,38 @@ def exposure_corroborated(
 def components(edges: DataFrame, row: str, group: Sequence[str]) -> DataFrame:
     """Smallest row id of each connected component of rows sharing a group, transitively.
 
-    Labels travel row -> group -> row by partial minima and then jump to the label of their
-    label, so long chains shorten quickly. Every round is written to the checkpoint folder.
+    A group is a star around its smallest row. Each round gives nodes a new random order and every node its least
+    neighbour or itself; nodes of one choice become one node, and links within it vanish, so the links left fall by a
+    share in every round, whatever the graph: a chain as fast as a clique, and what is settled is never read again.
+    The choices of all rounds, one after another, lead each row to its component. Every round is written to the
+    checkpoint folder.
     """
     group = list(group)
     links = cut(edges.select(row, *group).distinct())
-    labels = cut(links.select(row).distinct().withColumn("label", F.col(row)))
-    while True:
-        lows = links.join(labels, row).groupBy(*group).agg(F.min("label").alias("low"))
-        spread = links.join(lows, group).groupBy(row).agg(F.min("low").alias("label"))
-        spread = spread.persist()  # read for the labels and for the jump
-        target = spread.select(F.col(row).alias("_row"), F.col("label").alias("_jump"))
-        jumped = (
-            spread.join(target, F.col("label") == F.col("_row"), "left")
-            .select(row, F.least("label", "_jump").alias("label"))
-        )
-        new = cut(jumped)
-        spread.unpersist()
-        changed = new.join(labels.withColumnRenamed("label", "_old"), row).where("label <> _old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+    hubs = links.groupBy(*group).agg(F.min(row).alias("b"))
+    level = cut(links.join(hubs, group).select(F.col(row).alias("a"), "b").where("a <> b").distinct())
+    rounds: list[DataFrame] = []
+    while not level.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(rounds))).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
+        both = level.unionByName(level.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        chosen = both.groupBy("a").agg(F.min(order("b")).alias("least"))
+        chosen = cut(chosen.select("a", F.least("least", order("a"))["x"].alias("to")))
+        ends = chosen.select(F.col("a").alias("b"), F.col("to").alias("other"))
+        moved = level.join(chosen, "a").join(ends, "b").where(F.col("to") != F.col("other"))
+        level = cut(moved.select(F.least("to", "other").alias("a"), F.greatest("to", "other").alias("b")).distinct())
+        rounds.append(chosen)
+    found = None
+    for chosen in reversed(rounds):
+        if found is not None:
+            later = found.select(F.col("a").alias("to"), F.col("to").alias("last"))
+            chosen = chosen.join(later, "to", "left").select("a", F.coalesce("last", "to").alias("to"))
+        found = chosen
+    rows = links.select(row).distinct()
+    if found is None:
+        return cut(rows.withColumn("label", F.col(row)))
+    settled = cut(rows.join(found.withColumnRenamed("a", row), row, "left").select(row, F.coalesce("to", row).alias("to")))
+    least = settled.groupBy("to").agg(F.min(row).alias("label"))
+    return cut(settled.join(least, "to").select(row, "label"))
 
 
 def alias_view(observations: DataFrame, aliases: DataFrame, row: str) -> DataFrame:

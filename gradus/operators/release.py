@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import beside
+from ..sources.commit import attempt, commit, committed, remove
 from .quality import validate
 
 
@@ -36,63 +36,57 @@ def digest(df: DataFrame) -> str:
     return digest_frame(df).first()["digest"]
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def revise(
     spark: SparkSession, root: str, inputs: Mapping[str, DataFrame], operation: str, version: str, transform: Callable[..., DataFrame]
 ) -> tuple[DataFrame, dict]:
     """Apply a policy to input tables as a new immutable revision.
 
     The revision's place follows from the input digests, the operation and its version, so a
-    rerun finds the finished revision. The manifest is written last: without it a revision does
-    not exist. Inputs are only read; nothing is activated.
+    rerun finds the finished revision, and of two that run at once one is kept. Inputs are only
+    read; nothing is activated.
     """
     marks = {name: digest(df) for name, df in sorted(inputs.items())}
     key = spark.range(1).select(
         F.sha2(F.lit("|".join([operation, version, *[f"{n}={d}" for n, d in marks.items()]])), 256).alias("k")
     ).first()["k"]
     folder = f"{root}/{operation}/{key[:24]}"
-    manifest = _read(spark, f"{folder}/manifest")
-    reused = manifest is not None
-    if not reused:
-        transform(**inputs).write.mode("overwrite").parquet(f"{folder}/data")
-        written = digest_frame(spark.read.parquet(f"{folder}/data")).first()
-        spark.createDataFrame(
-            [(operation, version, key, written["rows"], written["digest"])],
-            "operation string, version string, key string, rows bigint, digest string",
-        ).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
-        manifest = spark.read.parquet(f"{folder}/manifest")
-    facts = manifest.first().asDict()
-    return spark.read.parquet(f"{folder}/data"), {**facts, "reused": reused, "folder": folder}
+    facts, own = committed(spark, folder), False
+    if facts is None:
+        name = attempt(spark, folder, transform(**inputs))
+        written = digest_frame(spark.read.parquet(f"{folder}/{name}")).first()
+        facts, own = commit(spark, folder, name, {"operation": operation, "version": version, "key": key, "rows": written["rows"], "digest": written["digest"]})
+    return spark.read.parquet(facts["data"]), {**facts, "reused": not own, "folder": folder}
 
 
 def verified(spark: SparkSession, folder: str) -> DataFrame:
-    """A revision's data, refused if its digest does not match the manifest."""
-    data = spark.read.parquet(f"{folder}/data")
-    if digest(data) != spark.read.parquet(f"{folder}/manifest").first()["digest"]:
+    """What was committed in a folder, refused if its digest does not match the commit's."""
+    facts = committed(spark, folder)
+    if facts is None:
+        raise ValueError("nothing was committed here")
+    data = spark.read.parquet(facts["data"])
+    if digest(data) != facts["digest"]:
         raise ValueError("content does not match its digest")
     return data
 
 
 def publish(spark: SparkSession, root: str, release_id: str, df: DataFrame) -> dict:
-    """Write a release once. The same content again does nothing; other content is refused."""
+    """Write a release once. The same content again does nothing; other content is refused.
+
+    So it is when both come at once: each writes its own attempt, one of them becomes the release.
+    """
     folder = f"{root}/{release_id}"
     mark = digest_frame(df).first()
-    known = _read(spark, f"{folder}/manifest")
-    if known is not None:
-        if known.first()["digest"] != mark["digest"]:
-            raise ValueError("release ids are immutable; use a new version")
-        return {"release_id": release_id, "digest": mark["digest"], "written": False, "folder": folder}
-    df.write.mode("overwrite").parquet(f"{folder}/data")
-    spark.createDataFrame(
-        [(release_id, mark["rows"], mark["digest"])], "release_id string, rows bigint, digest string"
-    ).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
-    return {"release_id": release_id, "digest": mark["digest"], "written": True, "folder": folder}
+    known, own = committed(spark, folder), False
+    if known is None:
+        name = attempt(spark, folder, df)
+        stored = digest(spark.read.parquet(f"{folder}/{name}"))
+        if stored != mark["digest"]:
+            remove(spark, f"{folder}/{name}")
+            raise ValueError("the release changed while it was written")
+        known, own = commit(spark, folder, name, {"release_id": release_id, "rows": mark["rows"], "digest": mark["digest"]})
+    if known["digest"] != mark["digest"]:
+        raise ValueError("release ids are immutable; use a new version")
+    return {"release_id": release_id, "digest": mark["digest"], "written": own, "folder": folder, "data": known["data"]}
 
 
 def content_id(df: DataFrame, prefix: str) -> str:

@@ -84,6 +84,37 @@ def test_components_follow_long_chains(spark):
     assert labels[1000] == 1000 and labels[2000] == 2000
 
 
+def test_a_chain_of_ten_thousand_is_contracted_round_by_round(spark, monkeypatch):
+    """Ids run along the chain, the worst order for labels that travel; the links left fall in every round."""
+    sizes = []
+    real = J.cut
+    monkeypatch.setattr(J, "cut", lambda df: (lambda out: (sizes.append(out.count()) if out.columns == ["a", "b"] else None, out)[1])(real(df)))
+    edges = spark.range(10_000).selectExpr("id", "explode(array(id, id + 1)) AS g").where("g < 10000")
+    got = J.components(edges.unionByName(spark.sql("SELECT 20001L AS id, -1L AS g UNION ALL SELECT 20002L, -1L")), "id", ["g"])
+    assert {(r.id, r.label) for r in got.collect()} == {(i, 0) for i in range(10_000)} | {(20001, 20001), (20002, 20001)}
+    assert all(b < 0.75 * a for a, b in zip(sizes, sizes[1:]) if a > 100) and len(sizes) < 25
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 300), f"g{rng.randint(0, 260)}") for _ in range(420)]
+    parent = {r: r for r, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for g in {g for _, g in rows}:
+        own = [r for r, h in rows if h == g]
+        for r in own[1:]:
+            a, b = sorted((root(own[0]), root(r)))
+            parent[b] = a
+    got = J.components(spark.createDataFrame(rows, "id int, g string"), "id", ["g"]).collect()
+    assert {r.id: r.label for r in got} == {r: root(r) for r in parent} and len(got) == len(parent)
+    assert J.components(spark.createDataFrame([], "id int, g string"), "id", ["g"]).count() == 0
+
+
 def test_components_with_a_hot_group(spark):
     edges = spark.range(3000).selectExpr("int(id) AS row", "IF(id % 3 = 0, 'hot', string(id)) AS key", "'L' AS league")
     labels = J.components(edges, "row", ["league", "key"])

@@ -1,11 +1,14 @@
 """Master cells, columns, merge, revisions and gates."""
 
+from threading import Barrier, Thread
+
 import pytest
 from pyspark.sql import functions as F
 
 from gradus.operators import master as M
 from gradus.operators import release as G
 from gradus.session import new_folder
+from gradus.sources.commit import names, put_if_absent, read_text
 
 PRIORITY = ("opta", "pitchapi", "understat", "whoscored")
 CELLS = "master_row string, column_id string, provider string, sample int, value double"
@@ -93,6 +96,45 @@ def test_revisions_and_releases(spark):
     assert G.reconcile(df, df.where("id > 1")).first()["agrees"] is False
 
 
+def test_one_of_two_publications_at_once_is_refused(spark):
+    """Both see an empty folder, both write; the marker goes to one of them, and its data stays whole."""
+    for turn in range(4):
+        root, df = new_folder(spark, "race"), spark.range(2000).withColumn("v", F.col("id") * 3)
+        other = df.withColumn("v", F.col("v") + 1)
+        gate, done = Barrier(2), {}
+
+        def write(name, content):
+            gate.wait()
+            try:
+                done[name] = G.publish(spark, root, "r", content)
+            except ValueError as error:
+                done[name] = str(error)
+
+        threads = [Thread(target=write, args=a) for a in (("one", df), ("two", other))]
+        [t.start() for t in threads], [t.join() for t in threads]
+        won = [n for n, r in done.items() if isinstance(r, dict) and r["written"]]
+        assert len(won) == 1 and sum("immutable" in str(r) for r in done.values()) == 1
+        assert G.differences(G.verified(spark, f"{root}/r"), {"one": df, "two": other}[won[0]]).count() == 0
+        assert len([n for n in names(spark, f"{root}/r") if n.startswith("attempt-")]) == 1
+
+
+def test_a_marker_is_put_once(spark):
+    path = new_folder(spark, "marker") + "/x/COMMIT.json"
+    gate, won = Barrier(8), []
+
+    def put(k):
+        gate.wait()
+        won.append(put_if_absent(spark, path, str(k)) and k)
+
+    threads = [Thread(target=put, args=(k,)) for k in range(1, 9)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    winner = [k for k in won if k]
+    assert len(winner) == 1 and read_text(spark, path) == str(winner[0])
+    assert not put_if_absent(spark, path, "later") and read_text(spark, path + ".not") is None
+    with pytest.raises(ValueError):
+        G.verified(spark, new_folder(spark, "nothing"))
+
+
 def test_active_release(spark):
     releases = spark.createDataFrame(
         [("s", "r1", 1, True, "real"), ("s", "r2", 2, True, "real"), ("s", "r3", 3, False, "real"), ("s", "r4", 4, True, "historical"), ("t", "t1", 1, True, "real"), ("t", "t2", 2, True, "real")],

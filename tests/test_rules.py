@@ -1,6 +1,7 @@
 """Evidence states, quarantine, pages, nested documents, familiarity, posteriors, models."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -187,3 +188,18 @@ def test_feature_statuses(spark):
     got = {(r["id"], r["key"]): (r["status"], r["value"]) for r in long_features(df, f, ["id"]).collect()}
     assert got[(1, "g90")] == ("observed", 5.0) and got[(1, "pct")] == ("not_applicable_zero_attempts", None)
     assert got[(2, "g90")] == ("unrecorded_zero", None) and got[(3, "g90")] == ("zero_exposure", None)
+
+
+def test_combinations_of_sixteen_providers(spark):
+    rng = random.Random(2)
+    names = [f"p{i:02}" for i in range(16)]
+    covers = {f"f{k}": {p for p in names if rng.random() < 0.15} for k in range(9)}
+    thin = {f: {p for p in names if rng.random() < 0.1} for f in covers}
+    rows = [(p, f, f, "L", i) for f, own in covers.items() for p in own for i in range(10)] + [(p, f, f, "L", 1) for f, own in thin.items() for p in own - covers[f]]
+    variants = spark.createDataFrame(rows, "provider string, key string, family string, league string, id int")
+    baseline = spark.createDataFrame([("L", i) for i in range(10)], "league string, id int")
+    got = {r.sources: (r.size, r.reliable_families, r.observed_families) for r in A.source_combinations(variants, baseline, names).collect()}
+    for mask in range(1, 1 << 16, 37):
+        own = {p for i, p in enumerate(names) if mask >> i & 1}
+        seen = sum(bool(own & (covers[f] | thin[f])) for f in covers)
+        assert got.get("+".join(sorted(own))) == ((len(own), sum(bool(own & covers[f]) for f in covers), seen) if seen else None)
