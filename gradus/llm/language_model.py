@@ -1,10 +1,10 @@
 """Document likelihoods by a gated recurrent network with a class-factored softmax, beside a unigram base.
 
 Counts of all words of all training rows are one distributed aggregate. The commonest ``HEAD`` words (a fixed number)
-are broadcast and are the network's vocabulary, by rank in classes balanced by frequency: a word's
-probability is that of its class, times that of the word in its class, both given the state. All other words form
-one more class, within which counts with add-one smoothing decide; they meet their counts in a join, so nothing that
-grows with the vocabulary is sent to every task.
+are broadcast and are the network's vocabulary, by rank in groups and classes of groups balanced by frequency: a word's
+probability is that of its class, times that of its group in the class, times that of the word in its group, all given
+the state. All other words form one more class, within which counts with add-one smoothing decide; they meet their
+counts in a join, so nothing that grows with the vocabulary is sent to every task.
 
 The network learns by truncated backpropagation: tasks train on their own part of the training rows, each row in one
 of ``ROUNDS`` rounds, and their weights are averaged between rounds. Scoring carries the state across windows, so a
@@ -29,9 +29,9 @@ HIDDEN = 16
 ROUNDS = 2
 #: Slices of the training rows, one a round: with as many rounds, every row is learnt from once.
 TRAIN = ROUNDS
-LANES = 512
+LANES = 2048
 WINDOW = 32
-TRAIN_LANES = 512
+TRAIN_LANES = 1024
 TRAIN_WINDOW = 20
 #: Tokens that are scored together, so that lanes of different length fill up.
 POOL = 2_000_000
@@ -40,7 +40,12 @@ COUNTED = 1_000_000
 #: Tokens a task learns from before it sends its weights, which are large, and numbers in a block of word logits.
 LEARNT = 6_000_000
 BLOCK = 1 << 22
-RATE = 0.1
+RATE = 0.3
+#: Groups of words, in square roots of the vocabulary.
+GROUPS = 1
+#: Larger logits count as this, and smaller sums of chances: far beyond what is learnt, they keep numbers finite.
+REACH = np.float32(60)
+TINY = np.float32(1e-30)
 
 
 def word_keys(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -108,43 +113,59 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def class_cuts(frequencies: np.ndarray) -> np.ndarray:
-    """Bounds of about sqrt(V) / 2 classes of neighbouring words, balanced by the root of their frequency: for words
-    as frequent as 1 / rank, that makes the classes and the words met in them fewest together."""
-    root = np.sqrt(frequencies)
-    before = np.cumsum(root) - root
-    number = np.floor(before * (len(root) ** 0.5 / 2 / root.sum()))
-    return np.append(np.flatnonzero(np.diff(number, prepend=-1.0)), len(frequencies))
+def class_cuts(frequencies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of about ``GROUPS * sqrt(V)`` groups of neighbouring words (and V), and first groups of classes of
+    neighbouring groups (and their number), balanced so that for words as frequent as 1 / rank the classes, the
+    groups met in them and the words met in those are fewest together."""
+
+    def bounds(weights: np.ndarray, parts: int) -> np.ndarray:
+        before = np.cumsum(weights) - weights
+        number = np.floor(before * (max(1, parts) / weights.sum()))
+        return np.append(np.flatnonzero(np.diff(number, prepend=-1.0)), len(weights))
+
+    words = bounds(np.cbrt(frequencies), int(GROUPS * len(frequencies) ** 0.5))
+    groups = np.add.reduceat(frequencies, words[:-1])
+    return words, bounds(np.sqrt(groups), int(len(groups) ** 0.5))
 
 
 class Network:
-    """Weights by name; ``gate`` holds each word's input to the update, the reset and the candidate. ``cuts`` holds
-    the first word of each class and the number of words; numbers from there on are of the rest."""
+    """Weights by name. A word's ``embed`` goes through ``input`` into the update, the reset and the candidate, beside
+    the state through ``back``. ``classes``, ``groups`` and ``words`` hold a row of state weights and a bias for each
+    child of the root, of a class and of a group; words from the last cut on are of the rest, the root's last child."""
 
-    NAMES = ("gate", "back", "bias", "class_w", "class_b", "word_w", "word_b")
+    NAMES = ("embed", "input", "back", "bias", "classes", "groups", "words")
 
-    def __init__(self, weights: dict[str, np.ndarray], cuts: np.ndarray):
+    def __init__(self, weights: dict[str, np.ndarray], cuts: tuple[np.ndarray, np.ndarray]):
         self.w, self.cuts = weights, cuts
-        self.words = len(weights["word_b"])
+        self.words = len(weights["words"])
+        self.root = np.array([0, len(weights["classes"])])
 
     @staticmethod
     def start(frequencies: np.ndarray, hidden: int = HIDDEN) -> "Network":
         """Small random inputs; the biases alone already give the unigram model."""
         chance = np.random.default_rng(11)
         cuts = class_cuts(frequencies[:-1])
-        words, classes = len(frequencies) - 1, len(cuts) - 1
-        by_class = np.append(np.add.reduceat(frequencies[:-1], cuts[:-1]), frequencies[-1])
+        by_group = np.add.reduceat(frequencies[:-1], cuts[0][:-1])
+        by_class = np.append(np.add.reduceat(by_group, cuts[1][:-1]), frequencies[-1])
         small = lambda *shape, by=0.1: (chance.standard_normal(shape, np.float32) * np.float32(by))
+
+        def table(counts: np.ndarray) -> np.ndarray:
+            return np.concatenate([small(len(counts), hidden), np.log(counts / counts.sum()).astype(np.float32)[:, None]], axis=1)
+
         return Network({
-            "gate": small(words + 1, 3 * hidden),
+            "embed": small(len(frequencies), hidden, by=0.3),
+            "input": small(hidden, 3 * hidden, by=0.3),
             "back": small(hidden, 3 * hidden, by=0.3),
             "bias": np.zeros(3 * hidden, np.float32),
-            "class_w": small(hidden, classes + 1),
-            "class_b": np.log(by_class / by_class.sum()).astype(np.float32),
-            "word_w": small(words, hidden),
-            "word_b": np.log(frequencies[:-1]).astype(np.float32),
+            "classes": table(by_class),
+            "groups": table(by_group),
+            "words": table(frequencies[:-1]),
         }, cuts)
 
+    def memory(self) -> dict[str, np.ndarray]:
+        """What learning remembers of past gradients: a number for each row of the large tables, for each weight else."""
+        return {n: np.full(len(w) if n in ("embed", "classes", "groups", "words") else w.shape, 0.1, np.float32) for n, w in self.w.items()}
+
     def change(self, since: "Network") -> bytes:
         """What was learnt since, at half precision."""
         return b"".join((self.w[n] - since.w[n]).astype("<f2").tobytes() for n in self.NAMES)
@@ -161,12 +182,12 @@ class Network:
         """States before each token of a window (time x lane), the state after it, and what learning needs."""
         w, size = self.w, h.shape[1]
         steps, lanes = tokens.shape
-        states = np.empty((steps, lanes, size), np.float32)
+        states = np.empty((steps, lanes, size), w["back"].dtype)
+        into = (w["embed"][tokens.reshape(-1)] @ w["input"] + w["bias"]).reshape(steps, lanes, 3 * size)
         back, memory = w["back"], []
         for t in range(steps):
             states[t] = h
-            x = w["gate"][tokens[t]] + w["bias"]
-            y = h @ back
+            x, y = into[t], h @ back
             both = _sigmoid(x[:, : 2 * size] + y[:, : 2 * size])
             z, r = both[:, :size], both[:, size:]
             new = np.tanh(x[:, 2 * size :] + r * y[:, 2 * size :])
@@ -177,97 +198,142 @@ class Network:
             h = after
         return states, h, memory
 
+    def _level(self, name: str, states: np.ndarray, parent: np.ndarray | None, child: np.ndarray, cuts: np.ndarray, grad: dict | None):
+        """Natural log probabilities of children given their parents; all sorted by child. The children of parent k
+        are ``cuts[k]:cuts[k + 1]``. With ``grad`` also the gradient by the states, and the rows of the table that were
+        met with theirs."""
+        table = self.w[name]
+        n = len(child)
+        firsts = np.array([0]) if parent is None else np.flatnonzero(np.diff(parent, prepend=-1))
+        met = np.zeros(1, np.int64) if parent is None else parent[firsts]
+        low, high = cuts[met], cuts[met + 1]
+        total = np.empty(n, states.dtype)
+        at = np.append(0, np.cumsum(high - low))
+        whole = 2 * int(at[-1]) > len(table)  # most rows were met: the rest takes part with a gradient of zero
+        if grad is not None and whole:
+            by_row = np.zeros((len(table), states.shape[1]), states.dtype)
+            by_state = np.empty((n, states.shape[1]), states.dtype)
+            at = low
+        elif grad is not None:
+            crowded = bool(((np.append(firsts[1:], n) - firsts) * (high - low) > BLOCK).any())
+            by_row = (np.zeros if crowded else np.empty)((int(at[-1]), states.shape[1]), states.dtype)
+            by_state = np.empty((n, states.shape[1]), states.dtype)
+        spans = zip(firsts.tolist(), [*firsts[1:].tolist(), n], low.tolist(), high.tolist(), at.tolist())
+        for start, end, first, last, place in spans:
+            rows = table[first:last]
+            step = max(1, BLOCK // (last - first))
+            for a in range(start, end, step):
+                b = min(a + step, end)
+                held = states[a:b]
+                chance = held @ rows.T
+                np.minimum(chance, REACH, out=chance)
+                np.exp(chance, out=chance)
+                own = np.add.reduce(chance, axis=1, out=total[a:b])
+                np.maximum(own, TINY, out=own)
+                if grad is not None:
+                    part = by_row[place : place + last - first]
+                    if b - a == end - start:  # all of the span at once
+                        np.matmul(chance.T, held / -own[:, None], out=part)
+                    else:
+                        part -= chance.T @ (held / own[:, None])
+                    np.matmul(chance, rows, out=by_state[a:b])
+        chosen = table[child]
+        logit = np.einsum("td,td->t", chosen, states)
+        np.minimum(logit, REACH, out=logit)
+        out = logit - np.log(total)
+        if grad is None:
+            return out, None
+        starts = np.flatnonzero(np.diff(child, prepend=-1))
+        seen = child[starts]
+        span = np.searchsorted(low, seen, side="right") - 1
+        by_row[at[span] + seen - low[span]] += np.add.reduceat(states, starts)
+        by_state /= -total[:, None]
+        by_state += chosen
+        grad[name] = (None, None, by_row) if whole else (low, high, by_row)
+        return out, by_state[:, :-1]
+
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray, grad: dict | None = None):
-        """Natural log probabilities of the targets given the states: of the class, times the word in its class.
-
-        With ``grad`` also the gradient of their sum by the states; those of the weights are added to it, those of
-        words as (first, end, word_w, word_b) of the classes met.
-        """
-        w = self.w
-        rest = len(w["class_b"]) - 1
-        own = np.searchsorted(self.cuts, targets, side="right") - 1
-        logits = states @ w["class_w"] + w["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        rows = np.arange(len(targets))
-        out = logits[rows, own]
-        p = np.exp(logits, out=logits)
-        total = p.sum(axis=1, keepdims=True)
-        out -= np.log(total[:, 0])
-        d_states = None
-        if grad is not None:
-            p /= -total
-            p[rows, own] += 1
-            grad["class_w"] += states.T @ p
-            grad["class_b"] += p.sum(axis=0)
-            d_states = p @ w["class_w"].T
-        order = np.argsort(own, kind="stable")
-        met, first = np.unique(own[order], return_index=True)
-        for c, start, end in zip(met.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
-            low, high = (int(self.cuts[c]), int(self.cuts[c + 1])) if c < rest else (0, 0)
-            if high - low < 2:  # the rest, or the only word of its class
-                continue
-            step, by_word, by_bias = max(1, BLOCK // (high - low)), 0, 0
-            for block in range(start, end, step):
-                at = order[block : min(block + step, end)]
-                held = states[at]
-                logits = held @ w["word_w"][low:high].T + w["word_b"][low:high]
-                logits -= logits.max(axis=1, keepdims=True)
-                rows, within = np.arange(len(at)), targets[at] - low
-                chosen = logits[rows, within]
-                p = np.exp(logits, out=logits)
-                total = p.sum(axis=1, keepdims=True)
-                out[at] += chosen - np.log(total[:, 0])
+        """Natural log probabilities of the targets given the states: of the class, times that of the group in the class,
+        times that of the word in the group. With ``grad`` also the gradient of their sum by the states."""
+        order = np.argsort(targets, kind="stable")
+        sorted_ = targets[order]
+        held = np.empty((len(order), states.shape[1] + 1), states.dtype)
+        held[:, :-1], held[:, -1] = states[order], 1
+        inside = int(np.searchsorted(sorted_, self.words))  # the rest comes last
+        group = np.searchsorted(self.cuts[0], sorted_[:inside], side="right") - 1
+        kind = np.full(len(order), self.root[1] - 1)
+        kind[:inside] = np.searchsorted(self.cuts[1], group, side="right") - 1
+        made, by_state = self._level("classes", held, None, kind, self.root, grad)
+        if inside:
+            for name, parent, child, cuts in (("groups", kind[:inside], group, self.cuts[1]), ("words", group, sorted_[:inside], self.cuts[0])):
+                more, by_more = self._level(name, held[:inside], parent, child, cuts, grad)
+                made[:inside] += more
                 if grad is not None:
-                    p /= -total
-                    p[rows, within] += 1
-                    by_word, by_bias = by_word + p.T @ held, by_bias + p.sum(axis=0)
-                    d_states[at] += p @ w["word_w"][low:high]
-            if grad is not None:
-                grad["words"].append((low, high, by_word, by_bias))
-        return out, d_states
+                    by_state[:inside] += by_more
+        out = np.empty_like(made)
+        out[order] = made
+        if grad is None:
+            return out, None
+        back = np.empty_like(by_state)
+        back[order] = by_state
+        return out, back
 
     def learn(self, tokens: np.ndarray, h: np.ndarray, memory: dict) -> np.ndarray:
         """One step of truncated backpropagation through a window; the state after it."""
         w, size = self.w, h.shape[1]
         steps, lanes = tokens.shape
         states, after, past = self.forward(tokens, h, keep=True)
-        grad = {n: np.zeros_like(w[n]) for n in ("back", "bias", "class_w", "class_b")} | {"words": []}
+        grad: dict = {}
         _, by_state = self.log_likelihood(states.reshape(-1, size), tokens.reshape(-1), grad)
         by_state = by_state.reshape(steps, lanes, size)
-        by_gate = np.empty((steps, lanes, 3 * size), np.float32)
-        carried = np.zeros((lanes, size), np.float32)
+        by_gate = np.empty((steps, lanes, 3 * size), states.dtype)
+        by_back = np.empty((steps, lanes, 3 * size), states.dtype)
+        carried = np.zeros((lanes, size), states.dtype)
         for t in range(steps - 1, -1, -1):
             z, r, new, y = past[t]
             own = states[t]
             d = carried * (tokens[t] != 0)[:, None]
             d_new = d * (1 - z) * (1 - new**2)
-            d_z = d * (own - new) * z * (1 - z)
-            d_r = d_new * y * r * (1 - r)
-            by_gate[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-            through = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            grad["back"] += own.T @ through
-            carried = d * z + through @ w["back"].T + by_state[t]
+            by_gate[t, :, :size] = d * (own - new) * z * (1 - z)
+            by_gate[t, :, size : 2 * size] = d_new * y * r * (1 - r)
+            by_gate[t, :, 2 * size :] = d_new
+            by_back[t, :, : 2 * size] = by_gate[t, :, : 2 * size]
+            np.multiply(d_new, r, out=by_back[t, :, 2 * size :])
+            carried = d * z + by_back[t] @ w["back"].T + by_state[t]
         flat, ids = by_gate.reshape(-1, 3 * size), tokens.reshape(-1)
-        grad["bias"] += flat.sum(axis=0)
         order = np.argsort(ids, kind="stable")
-        seen, first = np.unique(ids[order], return_index=True)
-        rows = np.add.reduceat(flat[order], first)
-        scale = 1.0 / tokens.size**0.5
-        words = grad.pop("words")
-        parts = [(w[n], memory[n], g) for n, g in grad.items()]
-        for low, high, by_word, by_bias in words:
-            parts += [(w[n][low:high], memory[n][low:high], g) for n, g in (("word_w", by_word), ("word_b", by_bias))]
-        held = w["gate"][seen], memory["gate"][seen]
-        for own, past, g in [*parts, (*held, rows)]:
+        sorted_ = ids[order]
+        starts = np.flatnonzero(np.diff(sorted_, prepend=-1))
+        dense = {
+            "input": w["embed"][ids].T @ flat,
+            "back": states.reshape(-1, size).T @ by_back.reshape(-1, 3 * size),
+            "bias": flat.sum(axis=0),
+        }
+        by_embed = np.add.reduceat((flat @ w["input"].T)[order], starts)
+        scale = np.array(1.0 / tokens.size**0.5, states.dtype)
+        for n, g in dense.items():
             g *= scale
             np.clip(g, -5, 5, out=g)
-            past += g * g
-            g *= RATE
-            g /= np.sqrt(past + 1e-6)
-            own += g
-        w["gate"][seen], memory["gate"][seen] = held
+            memory[n] += g * g
+            w[n] += g * RATE / np.sqrt(memory[n] + 1e-6)
+        self._descend("embed", memory, sorted_[starts], by_embed, scale)
+        for name, (low, high, by_row) in grad.items():
+            if low is None:
+                rows = slice(None)
+            else:
+                width = high - low
+                rows = np.repeat(low - (np.cumsum(width) - width), width) + np.arange(len(by_row))
+            self._descend(name, memory, rows, by_row, scale)
         return after
 
+    def _descend(self, name: str, memory: dict, rows, by_row: np.ndarray, scale: np.ndarray) -> None:
+        """Move rows of a large table along their gradient, at a rate that falls with the row's past gradients."""
+        by_row *= scale
+        past = memory[name][rows] + np.einsum("rd,rd->r", by_row, by_row) / by_row.shape[1]
+        memory[name][rows] = past
+        by_row *= (RATE / np.sqrt(past + 1e-6))[:, None]
+        self.w[name][rows] += by_row
+
 
 def lanes_of(lengths: np.ndarray, lanes: int) -> tuple[list[list[int]], np.ndarray]:
     """Documents dealt to lanes, the longest first and each to the shortest lane; lanes by falling length."""
@@ -311,7 +377,7 @@ def train(network: Network, tokens: np.ndarray, lengths: np.ndarray) -> None:
     lanes = max(1, min(TRAIN_LANES, len(stream) // TRAIN_WINDOW))
     steps = len(stream) // lanes
     held = stream[: lanes * steps].reshape(lanes, steps).T
-    memory = {n: np.full_like(v, 0.1) for n, v in network.w.items()}
+    memory = network.memory()
     h = np.zeros((lanes, network.w["back"].shape[0]), np.float32)
     for t in range(0, steps, TRAIN_WINDOW):
         h = network.learn(held[t : t + TRAIN_WINDOW], h, memory)

@@ -20,20 +20,27 @@ def test_gradient_of_the_network():
 
     def likelihood():
         states, _, _ = network.forward(tokens, h)
-        return network.log_likelihood(states.reshape(-1, 8).astype(np.float64), tokens.reshape(-1))[0].sum()
-
-    memory = {k: np.zeros_like(v) for k, v in network.w.items()}
-    network.learn(tokens, h.astype(np.float32), memory)
+        return network.log_likelihood(states.reshape(-1, 8), tokens.reshape(-1))[0].sum()
+
+    def slope(name, at):
+        start[name][at] += 1e-3
+        up = likelihood()
+        start[name][at] -= 2e-3
+        down = likelihood()
+        start[name][at] += 1e-3
+        return (up - down) / 2e-3
+
+    memory = {k: np.zeros(v.shape) for k, v in network.memory().items()}
+    network.learn(tokens, h, memory)
     network.w = start
-    for name in ("back", "gate", "word_w", "class_w", "bias"):
+    for name in ("back", "input", "bias"):
         for flat in np.argsort(-memory[name].ravel())[:3]:
             at = np.unravel_index(flat, start[name].shape)
-            start[name][at] += 1e-3
-            up = likelihood()
-            start[name][at] -= 2e-3
-            slope = (up - likelihood()) / 2e-3
-            start[name][at] += 1e-3
-            assert abs(abs(slope) - math.sqrt(memory[name][at] * tokens.size)) < 1e-3
+            assert abs(abs(slope(name, at)) - math.sqrt(memory[name][at] * tokens.size)) < 1e-3
+    for name in ("embed", "classes", "groups", "words"):  # a number a row: the mean square of its gradient
+        for row in np.argsort(-memory[name])[:3]:
+            own = [slope(name, (row, d)) for d in range(start[name].shape[1])]
+            assert abs(np.mean(np.square(own)) - memory[name][row] * tokens.size) < 1e-3
 
 
 def test_states_are_carried_across_windows(monkeypatch):
@@ -167,8 +174,10 @@ def test_network_tells_rare_words_of_the_head_by_context():
     numbers = np.arange(9001)
     assert own.words == 9001 and (language_model._for_network(own, numbers) == numbers).all()  # none is one of the rest
     network = Network.start(own.frequencies(), 8)
-    assert network.cuts[0] == 0 and network.cuts[-1] == 9001 and (np.diff(network.cuts) > 0).all()
-    assert 9001**0.5 / 4 < len(network.cuts) < 9001**0.5
+    words, groups = network.cuts
+    assert words[0] == groups[0] == 0 and words[-1] == 9001 and groups[-1] == len(words) - 1
+    assert (np.diff(words) > 0).all() and (np.diff(groups) > 0).all() and len(words) > 50
+    assert 9001**0.5 / 2 < len(words) < 2 * 9001**0.5
     pairs = np.tile(np.array([5000, 7000, 6000, 8000, 0]), 2000)  # 7000 follows 5000, and 8000 follows 6000
     for _ in range(60):  # a pass is one step
         language_model.train(network, pairs, np.full(2000, 5))
