@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,54 +17,76 @@ CHUNK = 32_768
 OVERLAP = 256
 
 
+@lru_cache(maxsize=4)
+def _margin(tokenizer) -> int:
+    """How far beyond a word's start text can matter to it: a special string that begins there, or a contraction."""
+    return max((len(t.content) for t in tokenizer.get_added_tokens_decoder().values()), default=0) + 3
+
+
+def _stands(text: str, place: int) -> bool:
+    """Whether normalisation leaves what lies before a character and what begins with it to themselves: the character is
+    no mark, which may be moved, and does not combine with the one before it."""
+    before, own = text[place - 1], text[place]
+    join = unicodedata.normalize
+    return not unicodedata.combining(own) and join("NFC", before + own) == join("NFC", before) + join("NFC", own)
+
+
+class Part:
+    """A chunk's ids, and of every word the character where it begins and its first token."""
+
+    def __init__(self, tokenizer, text: str, low: int, high: int):
+        made = tokenizer.encode(text[low:high], add_special_tokens=False)
+        words = np.array(made.word_ids, np.int64)
+        self.ids = made.ids
+        self.first = np.flatnonzero(np.diff(words, prepend=-1))
+        begin = np.array([o[0] for o in made.offsets], np.int64)
+        self.begin = low + (begin[self.first] if len(begin) else begin)
+
+    def token(self, place: int) -> int:
+        """The first token of the word that begins at ``place``."""
+        at = int(np.searchsorted(self.begin, place))
+        return int(self.first[at]) if at < len(self.first) else len(self.ids)
+
+
 def spliced(text: str, tokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[list[int], list[tuple[int, int]]]:
     """Ids of a long text and the character ranges each chunk gave them.
 
-    Neighbouring chunks share ``overlap`` characters. They are spliced at a character that both encodings begin
-    a token at and that follows white space inside both: the pattern of the word vocabulary drops white space,
-    so nothing before it can change a token after it. If the overlap holds no such place, the later chunk is
-    encoded anew from twice as far back, at last from where the earlier one began, which it then replaces.
+    The pattern that splits words matches from left to right and looks ahead no further than a contraction or a
+    special string, and normalisation does not reach over places between characters that stand alone. So a word's start that the earlier chunk finds is proven if it lies that far before the chunk's
+    end, and from a proven start on, a chunk that begins a word there too has the ids of the whole text. Neighbouring
+    chunks share ``overlap`` characters and are spliced at the first proven start they have in common, be there white
+    space around it or not. Without one the overlap is widened to the last proven start, which the later chunk then
+    begins at. A chunk without any, one word without end, is encoded anew with as much text again, so that work stays
+    in proportion.
     """
     ids: list[int] = []
     ranges: list[tuple[int, int]] = []
-    low = at = 0  # where the current chunk begins, and from where on its tokens are not taken yet
+    at, skip = 0, 0  # from where on nothing is taken yet, and its token in the current chunk
     high = min(len(text), chunk)
-    now = tokenizer.encode(text[low:high], add_special_tokens=False)
+    now = Part(tokenizer, text, 0, high)
     while high < len(text):
-        back, end = overlap, min(len(text), high + chunk)
-        while True:
-            begin = max(at, high - back)
-            later = tokenizer.encode(text[begin:end], add_special_tokens=False)
-            place = begin if begin == at else _common(text, now, low, later, begin, high)
-            if place is not None:
-                break
-            back *= 2
+        proven = now.begin[(now.begin > at) & (now.begin <= high - _margin(tokenizer))]
+        end = min(len(text), high + (chunk if high - at <= 2 * (chunk + overlap) else high - at))
+        begin, place, later = high - overlap, None, None
+        shared = proven[proven > begin]
+        if len(shared):
+            later = Part(tokenizer, text, begin, end)
+            common = np.intersect1d(shared, later.begin[1:]).tolist()
+            place = next((c for c in common if _stands(text, c)), None)
+        if place is None:
+            place = next((c for c in proven[::-1].tolist() if _stands(text, c)), at)
+            later = Part(tokenizer, text, place, end)
         if place > at:
-            ids += now.ids[_token(now, at - low) : _token(now, place - low)]
+            ids += now.ids[skip : now.token(place)]
             ranges.append((at, place))
-        low, at, high, now = begin, place, end, later
-    ids += now.ids[_token(now, at - low) :]
+        # What lies before the first word of the text is no word's.
+        skip = later.token(place) if place > 0 else 0
+        at, high, now = place, end, later
+    ids += now.ids[skip:]
     ranges.append((at, len(text)))
     return ids, ranges
 
 
-def _token(encoding, char: int) -> int:
-    """The first token that begins at or after a character before which the text can be cut."""
-    if char == 0:
-        return 0
-    return next(k for k in (encoding.char_to_token(c) for c in range(char, char + 1)) if k is not None)
-
-
-def _common(text: str, now, low: int, later, begin: int, high: int) -> int | None:
-    """The first place in ``begin:high`` after white space at which both encodings begin a token."""
-    for place in range(begin + 1, high):
-        if text[place - 1] in " \t\n\r" and not text[place].isspace():
-            a, b = now.char_to_token(place - low), later.char_to_token(place - begin)
-            if a is not None and b is not None and now.token_to_chars(a)[0] == place - low and later.token_to_chars(b)[0] == place - begin:
-                return place
-    return None
-
-
 def token_counts(
     docs: DataFrame,
     path: str,

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -38,6 +39,25 @@ def test_splicing_resynchronises():
             assert ranges[0][0] == 0 and ranges[-1][1] == len(text)
 
 
+def test_splicing_needs_no_white_space():
+    """Japanese with wide punctuation: words end at every mark, and work stays near the library's own."""
+    chance = np.random.default_rng(2)
+    tokenizer = library(public_path("word_bpe_49k.json"))
+    parts = ["日本語の文章", "を書く", "、", "。", "テスト", "１２", "！", "éa", "don't", "<|endoftext|>", "が", "か\u3099"]
+    for chunk, overlap in ((300, 40), (97, 20), (1000, 1)):
+        text = "".join(chance.choice(parts, 4000))
+        ids, ranges = spliced(text, tokenizer, chunk, overlap)
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(ranges) > 0.3 * len(text) / (chunk + overlap) and [b for _, b in ranges][:-1] == [a for a, _ in ranges][1:]
+    for text in ("".join(chance.choice(parts[:5], 300_000)), "日" * 200_000):
+        start = time.process_time()
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        own = time.process_time() - start
+        start = time.process_time()
+        assert spliced(text, tokenizer)[0] == want
+        assert time.process_time() - start < 4 * own + 1
+
+
 def test_token_counts(odd_docs, no_docs):
     path = public_path("word_bpe_49k.json")
     rows = token_counts(odd_docs, path, keep=["doc_id", "source"], limit=100, chunk=2000, overlap=16).collect()
