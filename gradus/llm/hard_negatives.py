@@ -187,6 +187,44 @@ def _met(blocks: DataFrame, asked: DataFrame, pairs: DataFrame, meetings: int, t
     return map_rows(together, columns, "anchor long, positive long, positive_score long, id long, score long", work)
 
 
+def _reach(rows: DataFrame, scale: float) -> int:
+    """More than any biased component of ``vector``."""
+    greatest = rows.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0] or 0.0
+    return 2 * (int(greatest) + 1) * int(np.ceil(scale)) + 2
+
+
+def best_products(queries: DataFrame, candidates: DataFrame, k: int, scale: float) -> DataFrame:
+    """(query, id, score): for each query at least its ``k`` best candidates of another id, whatever the components'
+    size; ties go to the smaller id. Both have id and vector (finite doubles), ids being distinct."""
+    out = "query long, id long, score long"
+    many, asking = candidates.count(), queries.count()
+    if not many or not asking:
+        return candidates.sparkSession.createDataFrame([], out)
+    plain = lambda rows: rows.select("id", F.xxhash64("id").alias("label"), "vector")
+    groups, crowd = -(-many // BLOCK), -(-asking // ANCHORS)
+    blocks = written(_blocks(_dealt(plain(candidates), groups, BLOCK), groups, _reach(queries, scale), scale), "products-blocks")
+    none = F.array().cast("array<struct<id:long,score:long>>")
+    asked = written(_asked(_dealt(plain(queries), crowd, ANCHORS).withColumn("bands", none), crowd), "products-asked")
+
+    def best(scores, ids, labels, own_id, own_label, bands):
+        at = np.flatnonzero(ids != own_id)
+        if len(at) > k:
+            at = at[scores[at] >= np.partition(scores[at], -k)[-k]]
+        yield (None, None), at[np.lexsort((ids[at], -scores[at]))][:k]
+
+    held, meetings = blocks.count(), max(1, -(-asked.count() // MEETING))
+    found = _met(blocks, asked, _all_pairs(blocks, asked, held), meetings, 2 * held * meetings, scale, best)
+    return found.select(F.col("anchor").alias("query"), "id", "score")
+
+
+def _all_pairs(blocks: DataFrame, asked: DataFrame, held: int) -> DataFrame:
+    """(anchors, block): every block of queries with every block of candidates of its width."""
+    many = -(-held // 64)
+    each = asked.select(F.col("part").alias("anchors"), "width").withColumn("some", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    every = blocks.select(F.col("part").alias("block"), "width", F.pmod(F.xxhash64("part"), F.lit(many)).cast("int").alias("some"))
+    return each.join(every, ["width", "some"])
+
+
 def hard_negatives(
     vectors: DataFrame,
     is_anchor: Column,
@@ -214,14 +252,12 @@ def hard_negatives(
     rows = vectors.where(whole).select(named(vec_id).cast("long").alias("id"), label.cast("long").alias("label"), F.transform(own, lambda x: x.cast("double")).alias("vector"), F.coalesce(is_anchor, F.lit(False)).alias("asks"))
     rows = rows.where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.min(F.struct("label", "vector", "asks")).alias("r")).select("id", "r.*")
     rows = written(rows, "negatives")
-    widest = F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))
-    every, asking, greatest = rows.agg(F.count("*"), F.count_if("asks"), widest).first()
+    every, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
     out = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not asking:
         return spark.createDataFrame([], out)
-    reach = 2 * (int(greatest) + 1) * int(np.ceil(scale)) + 2  # of any biased component
     groups = -(-every // BLOCK)
-    blocks = written(_blocks(_dealt(rows, groups, BLOCK), groups, reach, scale), "negatives-blocks")
+    blocks = written(_blocks(_dealt(rows, groups, BLOCK), groups, _reach(rows.where("asks"), scale), scale), "negatives-blocks")
     anchors = written(_dealt(rows.where("asks"), groups, ANCHORS).drop("asks"), "negatives-anchors")
     crowd = -(-asking // ANCHORS)
 
@@ -253,10 +289,7 @@ def hard_negatives(
 
     bands = chosen.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("id", "score"))).alias("bands"))
     asked = written(_asked(anchors.join(bands, anchors["id"] == bands["anchor"]).drop("anchor"), crowd), "negatives-banded")
-    many = -(-held // 64)
-    each = asked.select(F.col("part").alias("anchors"), "width").withColumn("some", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    all_blocks = blocks.select(F.col("part").alias("block"), "width", F.pmod(F.xxhash64("part"), F.lit(many)).cast("int").alias("some"))
-    found = _met(blocks, asked, each.join(all_blocks, ["width", "some"]), meetings, 2 * held * meetings, scale, in_band)
+    found = _met(blocks, asked, _all_pairs(blocks, asked, held), meetings, 2 * held * meetings, scale, in_band)
     by = Window.partitionBy("anchor", "positive").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= negatives)
     return ranked.select(

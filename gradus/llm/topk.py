@@ -15,10 +15,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_columns, map_rows, named, written
+from .hard_negatives import best_products
 
 SHARD = 4096
 BLOCK = 1024
@@ -90,6 +91,24 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, Tree]:
     return order, Tree(np.array(centre), np.array(radius), np.array(low), np.array(high), children)
 
 
+def tree_bytes(tree: Tree) -> dict[str, list[bytes]]:
+    """A tree in columns; a node's parent stands for the lists of children."""
+    parent = np.full(len(tree.low), -1, np.int64)
+    for node, own in enumerate(tree.children):
+        parent[own] = node
+    return {"nodes": [tree.centre.astype(np.float64).tobytes()], "reach": [tree.radius.astype(np.float64).tobytes()], "span": [np.stack([tree.low, tree.high, parent]).astype(np.int64).tobytes()]}
+
+
+def tree_of(nodes: bytes, reach: bytes, span: bytes, width: int) -> Tree:
+    radius = np.frombuffer(reach, np.float64)
+    low, high, parent = np.frombuffer(span, np.int64).reshape(3, len(radius))
+    children: list[list[int]] = [[] for _ in radius]
+    for node, above in enumerate(parent.tolist()):
+        if above >= 0:
+            children[above].append(node)
+    return Tree(np.frombuffer(nodes, np.float64).reshape(len(radius), width), radius, low, high, children)
+
+
 class Best:
     """The k best of each query so far: greater scores first, then smaller ids."""
 
@@ -182,8 +201,8 @@ def _dealt(rows: DataFrame, pivots, size: int) -> DataFrame:
     return near.select(F.concat_ws("-", "width", "pivot", salt).alias("part"), "id", "vector", "width")
 
 
-def _packed(rows: DataFrame, pivots, size: int) -> DataFrame:
-    """A row per group: (part, width, n, ids, points, centre, radius)."""
+def _packed(rows: DataFrame, pivots, size: int, tasks: int) -> DataFrame:
+    """A row per group: (part, width, n, ids, points, centre, radius) and its tree, in the order of which its points lie."""
 
     def work(batches: Iterator[list]) -> Iterator[dict]:
         for part, parts in _runs(batches):
@@ -192,13 +211,15 @@ def _packed(rows: DataFrame, pivots, size: int) -> DataFrame:
             points = np.concatenate([p[3].flatten().to_numpy().reshape(len(p[1]), width) for p in parts])
             by = np.argsort(ids, kind="stable")
             ids, points = ids[by], points[by]
+            order, tree = cover_tree(points)
+            ids, points = ids[order], points[order]
             middle = points.astype(np.float64).mean(axis=0)
             reach = np.sqrt(((points - middle) ** 2).sum(axis=1)).max(initial=0.0)
             held = _narrow(points)
-            yield {"part": [part], "width": [width], "n": [len(ids)], "ids": [ids.tobytes()], "points": [held.tobytes()], "bytes": [held.itemsize], "centre": [middle.tolist()], "radius": [float(reach) * (1 + 1e-9) + 1e-9]}
+            yield {"part": [part], "width": [width], "n": [len(ids)], "ids": [ids.tobytes()], "points": [held.tobytes()], "bytes": [held.itemsize], "centre": [middle.tolist()], "radius": [float(reach) * (1 + 1e-9) + 1e-9]} | tree_bytes(tree)
 
-    out = "part string, width int, n long, ids binary, points binary, bytes int, centre array<double>, radius double"
-    together = _dealt(rows, pivots, size).repartition("part").sortWithinPartitions("part")
+    out = "part string, width int, n long, ids binary, points binary, bytes int, centre array<double>, radius double, nodes binary, reach binary, span binary"
+    together = _dealt(rows, pivots, size).repartition(tasks, "part").sortWithinPartitions("part")
     return map_rows(together, ["part", "id", "width", "vector"], out, work)
 
 
@@ -222,31 +243,30 @@ def _points(raw: bytes, size: int, width: int, n: int) -> np.ndarray:
     return np.frombuffer(raw, {1: np.int8, 2: np.int16, 4: np.int32}[size]).reshape(n, width)
 
 
-def _searched(blocks: DataFrame, shards: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(query, id, score, block): what the pairs (block, shard) find. A shard meets its blocks one at a time."""
+def _searched(blocks: DataFrame, shards: DataFrame, pairs: DataFrame, k: int, number: int) -> DataFrame:
+    """(query, id, score, block): what the pairs (block, shard) find, in ``number`` tasks, which are alike by their rows but
+    not by their work. A shard meets its blocks one at a time."""
     meeting = F.col("turn")
-    sent = pairs.join(blocks, pairs["block"] == blocks["part"]).select(
-        F.concat_ws("|", "shard", meeting).alias("task"), F.lit(1).alias("kind"), "block", "width", "n", "ids", "points", "bytes", "least"
-    )
+    held = ["width", "n", "ids", "points", "bytes", "nodes", "reach", "span"]
+    sent = pairs.join(blocks, pairs["block"] == blocks["part"]).select(F.concat_ws("|", "shard", meeting).alias("task"), F.lit(1).alias("kind"), "block", *held, "least")
     tasks = pairs.select("shard", meeting.alias("turn")).distinct()
-    held = tasks.join(shards, tasks["shard"] == shards["part"]).select(
-        F.concat_ws("|", "shard", "turn").alias("task"), F.lit(0).alias("kind"), F.lit("").alias("block"), "width", "n", "ids", "points", "bytes", F.lit(None).cast("array<double>").alias("least")
+    first = tasks.join(shards, tasks["shard"] == shards["part"]).select(
+        F.concat_ws("|", "shard", "turn").alias("task"), F.lit(0).alias("kind"), F.lit("").alias("block"), *held, F.lit(None).cast("array<double>").alias("least")
     )
-    together = held.unionByName(sent).repartition("task").sortWithinPartitions("task", "kind")
+    together = first.unionByName(sent).repartition(number, "task").sortWithinPartitions("task", "kind")
 
     def work(batches: Iterator[list]) -> Iterator[dict]:
         points = ids = tree = None
-        for task, kind, block, width, n, number, raw, size, least in batches:
+        for task, kind, block, width, n, number, raw, size, nodes, reach, span, least in batches:
             for at in range(len(task)):
                 x = _points(raw[at].as_py(), size[at].as_py(), width[at].as_py(), n[at].as_py())
                 own = np.frombuffer(number[at].as_py(), np.int64)
-                order, grown = cover_tree(x)
-                x, own = x[order], own[order]
+                grown = tree_of(nodes[at].as_py(), reach[at].as_py(), span[at].as_py(), width[at].as_py())
                 if kind[at].as_py() == 0:
                     points, ids, tree = x, own, grown
                     continue
                 known = least[at].as_py()
-                best = Best(len(own), k, None if known is None else np.array(known)[order])
+                best = Best(len(own), k, None if known is None else np.array(known))
                 if points.shape[1]:
                     dual_search(x, own, grown, points, ids, tree, best)
                 else:
@@ -254,7 +274,7 @@ def _searched(blocks: DataFrame, shards: DataFrame, pairs: DataFrame, k: int) ->
                 q, j = np.nonzero(best.id != np.iinfo(np.int64).max)
                 yield {"query": own[q], "id": best.id[q, j], "score": best.score[q, j], "block": [block[at].as_py()] * len(q)}
 
-    return map_rows(together, ["task", "kind", "block", "width", "n", "ids", "points", "bytes", "least"], "query long, id long, score long, block string", work)
+    return map_rows(together, ["task", "kind", "block", *held, "least"], "query long, id long, score long, block string", work)
 
 
 def _promising(blocks: DataFrame, groups: DataFrame, count: int, first: int | None) -> DataFrame:
@@ -286,21 +306,31 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
 
     Components become floor(scale * x). Rows whose vector is null or holds a null or non-finite component, and
     rows without id, take no part; vectors of another length are no candidates. Ties go to the smaller id; fewer
-    rows are returned where there are fewer candidates. A component of 2^24 or more fails: its scores would not
-    be exact. Rows with the query's own id are never its candidates; ids are taken to be distinct.
+    rows are returned where there are fewer candidates. Rows with the query's own id are never its candidates; of rows
+    with one id the first by vector counts. Vectors with a component of 2^24 or more, as queries and as candidates,
+    are scored apart with integers of any size; a score beyond 64 bits counts as its nearest end.
     """
     spark = vectors.sparkSession
     own = named(vector)
     whole = own.isNotNull() & F.forall(own, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     floors = F.transform(own, lambda x: F.floor(x.cast("double") * scale))
     fit = F.forall(floors, lambda x: F.abs(x) < LARGEST)
-    exact = F.when(fit, F.transform(floors, lambda x: x.cast("int"))).otherwise(F.raise_error(F.lit("a component is too large for exact scores")))
-    rows = vectors.where(whole & named(vec_id).isNotNull()).select(named(vec_id).cast("long").alias("id"), exact.alias("vector"), is_query.alias("asks"))
-    rows = written(rows, "topk")
-    every, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
+    whole = vectors.where(whole & named(vec_id).isNotNull()).select(
+        named(vec_id).cast("long").alias("id"), F.transform(own, lambda x: x.cast("double")).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")
+    )
+    whole = whole.groupBy("id").agg(F.min(F.struct("vector", "asks")).alias("r")).select("id", "r.*")
+    floors = F.transform("vector", lambda x: F.floor(x * scale))
+    fits = F.forall("vector", lambda x: F.abs(x) < (LARGEST - 1) / scale)
+    whole = written(whole.withColumn("large", ~fits).withColumn("floors", F.when(fits, F.transform(floors, lambda x: x.cast("int")))), "topk")
+    rows = whole.where("NOT large").select("id", F.col("floors").alias("vector"), "asks")
+    every, asking, large = whole.agg(F.expr("count_if(NOT large)"), F.expr("count_if(asks AND NOT large)"), F.count_if("large")).first()
     out = "query_id long, rank int, vec_id long, score long"
+    apart = None
+    if large:
+        whole = whole.drop("floors")
+        apart = best_products(whole.where("asks AND large"), whole, k, scale).unionByName(best_products(whole.where("asks AND NOT large"), whole.where("large"), k, scale))
     if not asking:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], out) if apart is None else _ranked(apart, k)
 
     def pivots(df: DataFrame, n: int, size: int):
         many = int(min(PIVOTS, max(1, -(-n // size))))
@@ -309,12 +339,13 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
             chosen.setdefault(len(r.vector), []).append(r.vector)
         return spark.sparkContext.broadcast({n: np.array(v, np.float64) for n, v in chosen.items()})
 
-    shards = written(_packed(rows, pivots(rows, every, SHARD), SHARD), "topk-shards")
+    shards = written(_packed(rows, pivots(rows, every, SHARD), SHARD, 2 * -(-every // SHARD)), "topk-shards")
     queries = rows.where("asks")
-    blocks = written(_packed(queries, pivots(queries, asking, BLOCK), BLOCK), "topk-blocks")
+    blocks = written(_packed(queries, pivots(queries, asking, BLOCK), BLOCK, 2 * -(-asking // BLOCK)), "topk-blocks")
     held, met = shards.count(), blocks.count()
     count = -(-held // GROUP)
-    turn = F.pmod(F.xxhash64("block"), F.lit(-(-met // MEETING)))
+    meetings = -(-met // MEETING)
+    turn = F.pmod(F.xxhash64("block"), F.lit(meetings))
     summary = shards.select("part", "width", "centre", "radius", F.pmod(F.xxhash64("part"), F.lit(count)).cast("int").alias("group"))
     groups = written(summary.groupBy("group").agg(F.collect_list(F.struct("part", "width", "centre", "radius")).alias("shards")), "topk-groups")
 
@@ -322,7 +353,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     ranked = _promising(start, groups, count, FIRST).groupBy("block").agg(F.slice(F.sort_array(F.collect_list(F.struct("bound", "shard")), asc=False), 1, FIRST).alias("s"))
     begun = written(ranked.select("block", F.explode("s").alias("s")).select("block", "s.shard").withColumn("turn", turn), "topk-first")
     none = blocks.withColumn("least", F.lit(None).cast("array<double>"))
-    found = written(_searched(none, shards, begun, k), "topk-found")
+    found = written(_searched(none, shards, begun, k, 2 * min(held * meetings, FIRST * met)), "topk-found")
 
     # Each query's k-th score so far, where it has k; the worst of a block's queries prunes whole shards.
     kth = found.groupBy("block", "query").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("scores"))
@@ -341,9 +372,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
     known = blocks.join(listed, blocks["part"] == listed["block"], "left").drop("block")
     known = written(map_columns(known, blocks.columns, ["ids", "known"], "least array<double>, worst double", limits), "topk-known")
     rest = _promising(known, groups, count, None).join(begun, ["block", "shard"], "left_anti").select("block", "shard").withColumn("turn", turn)
-    more = _searched(known, shards, written(rest, "topk-rest"), k)
+    more = _searched(known, shards, written(rest, "topk-rest"), k, 2 * held * meetings)
     both = found.select("query", "id", "score").union(more.select("query", "id", "score"))
-    from pyspark.sql import Window
+    return _ranked(both if apart is None else both.unionByName(apart), k)
+
 
-    best = both.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return best.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")

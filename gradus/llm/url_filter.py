@@ -3,7 +3,8 @@
 Level by level, the segments under a host and a template so far are counted. Where they are many and mostly
 different the level is variable: its segments become ``*``, but for those with enough rows of their own or whose
 labelled share differs significantly. On other levels, segments whose labelled share does not differ significantly
-from that of all their siblings are merged into one branch ``~``; the rest keep their names. A template is rejected if its share of good labels, smoothed towards its host's and the host's towards all, falls
+from that of all their siblings are merged into one branch ``~``; the rest keep their names. Under a template with
+few rows all that follows is ``**``. A template is rejected if its share of good labels, smoothed towards its host's and the host's towards all, falls
 below ``LEAST``. A hot host is split by its segments, and all counts are partial sums before they are shuffled.
 """
 
@@ -14,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lookup import beside_cohort
 from .common import named, written
 
 #: (verdict, host and path); a rule also holds for all subdomains of its host.
@@ -32,7 +34,6 @@ DISTINCT = 1.96
 EXPECTED = 5
 SMOOTHING = 5.0
 LEAST = 0.5
-DEPTH = 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,21 +57,20 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
     return F.get(fits, F.lit(0))
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``urls`` (host, path, good: 1, 0 or null) with the ``template`` of each path."""
+def templates(urls: DataFrame) -> DataFrame:
+    """``urls`` (host, path, good: 1, 0 or null) with the ``template`` of each path.
+
+    Paths of any depth are read to their end, as long as they share their template with enough others: where fewer
+    than ``MANY`` rows go on under a template, what follows is ``**``, and those rows are done.
+    """
     segments = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    folded = F.when(
-        F.size(segments) > depth,
-        F.concat(F.slice(segments, 1, depth - 1), F.array(F.array_join(F.slice(segments, depth, F.size(segments)), "/"))),
-    ).otherwise(segments)
-    rows = written(urls.withColumn("segments", folded).withColumn("template", F.lit("")), "url-segments")
-    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(deepest):
+    rows = written(urls.withColumn("segments", segments).withColumn("template", F.lit("")), "url-segments")
+    done = rows.where(F.size("segments") == 0)
+    rows, level = rows.where(F.size("segments") > 0), 0
+    while not rows.isEmpty():
         rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
-        children = (
-            rows.where("segment IS NOT NULL")
-            .groupBy("host", "template", "segment")
-            .agg(F.count("*").alias("n"), F.count("good").alias("labelled"), F.sum(F.coalesce("good", F.lit(0))).alias("right"))
+        children = rows.groupBy("host", "template", "segment").agg(
+            F.count("*").alias("n"), F.count("good").alias("labelled"), F.sum(F.coalesce("good", F.lit(0))).alias("right")
         )
         children = written(children, "url-children")
         parents = children.groupBy("host", "template").agg(
@@ -82,19 +82,16 @@ def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
         variable = (F.col("branches") >= MANY) & (F.col("branches") >= DIFFERENT * F.col("all_n"))
         enough = F.col("labelled") * F.least(share, 1 - share) >= EXPECTED
         stands_out = (F.col("n") >= MANY) | (differs & enough)
-        branch = F.when(variable, F.when(stands_out, F.col("segment"))).when(differs, F.col("segment")).otherwise(F.lit("~"))
-        branches = (
-            children.join(parents, ["host", "template"])
-            .select("host", "template", "segment", branch.alias("branch"))
-            .where("branch IS NOT NULL")
-        )
-        rows = (
-            rows.join(branches, ["host", "template", "segment"], "left")
-            .withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("branch", F.lit("*")))))
-            .drop("branch", "segment")
-        )
-        rows = written(rows, "url-level")
-    return rows.drop("segments")
+        branch = F.when(F.col("all_n") < MANY, "**").when(variable, F.when(stands_out, F.col("segment"))).when(differs, F.col("segment")).otherwise(F.lit("~"))
+        # One host may have most branches, and one branch most rows: neither is gathered for its parent's numbers.
+        judged = beside_cohort(children, parents, ["host", "template"]).select("host", "template", "segment", branch.alias("branch")).where("branch IS NOT NULL")
+        rows = beside_cohort(rows, judged, ["host", "template", "segment"], "left")
+        rows = rows.withColumn("branch", F.coalesce("branch", F.lit("*"))).withColumn("template", F.concat("template", F.lit("/"), "branch")).drop("segment")
+        rows, level = written(rows, "url-level"), level + 1
+        more = (F.size("segments") > level) & (F.col("branch") != "**")
+        done = done.unionByName(rows.where(~more).drop("branch"))
+        rows = rows.where(more).drop("branch")
+    return done.drop("segments")
 
 
 def judge_urls(
@@ -144,26 +141,33 @@ def _level_sql(level: int) -> str:
     return f"""
     child{level} AS (
         SELECT host, template, segments[{level}] AS segment, count(*) AS n, count(good) AS labelled, sum(coalesce(good, 0)) AS right_n
-        FROM {last} WHERE len(segments) >= {level} GROUP BY ALL
+        FROM {last} WHERE len(segments) >= {level} AND NOT ends_with(template, '/**') GROUP BY ALL
     ),
     parent{level} AS (
         SELECT host, template, count(*) AS branches, sum(n) AS all_n, sum(labelled) AS all_labelled, sum(right_n) AS all_right
         FROM child{level} GROUP BY ALL
     ),
+    known{level} AS (
+        SELECT host, template, segment, n, labelled, all_n, branches >= {MANY} AND branches >= {DIFFERENT} * all_n AS variable,
+               coalesce(labelled > 0 AND abs(right_n / labelled - all_right / all_labelled)
+                    > {DISTINCT} * sqrt(all_right / all_labelled * (1 - all_right / all_labelled) / labelled), FALSE) AS differs,
+               coalesce(labelled * least(all_right / all_labelled, 1 - all_right / all_labelled) >= {EXPECTED}, FALSE) AS enough
+        FROM child{level} JOIN parent{level} USING (host, template)
+    ),
     branch{level} AS (
         SELECT host, template, segment,
-               CASE WHEN labelled > 0 AND abs(right_n / labelled - all_right / all_labelled)
-                    > {DISTINCT} * sqrt(all_right / all_labelled * (1 - all_right / all_labelled) / labelled) THEN segment ELSE '~' END AS branch
-        FROM child{level} JOIN parent{level} USING (host, template) WHERE NOT (branches >= {MANY} AND branches >= {DIFFERENT} * all_n)
+               CASE WHEN all_n < {MANY} THEN '**' WHEN variable THEN CASE WHEN n >= {MANY} OR (differs AND enough) THEN segment ELSE '*' END
+                    WHEN differs THEN segment ELSE '~' END AS branch
+        FROM known{level}
     ),
     {now} AS (
-        SELECT r.* REPLACE (CASE WHEN len(segments) < {level} THEN r.template ELSE r.template || '/' || coalesce(branch, '*') END AS template)
-        FROM {last} r LEFT JOIN branch{level} b ON r.host = b.host AND r.template = b.template AND r.segments[{level}] = b.segment
+        SELECT r.* REPLACE (CASE WHEN b.branch IS NULL THEN r.template ELSE r.template || '/' || b.branch END AS template)
+        FROM {last} r LEFT JOIN branch{level} b ON len(r.segments) >= {level} AND r.host = b.host AND r.template = b.template AND r.segments[{level}] = b.segment
     ),"""
 
 
 def sql(labels: str, depth: int = 3, rules: Sequence[tuple[str, str]] = RULES) -> str:
-    """DuckDB SQL for ``judge_urls`` over ``pages`` whose paths have at most ``depth`` segments."""
+    """DuckDB SQL for ``judge_urls`` over ``pages`` whose paths have at most ``depth`` segments where their templates are shared."""
     listed = ", ".join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in rules)
     return f"""
     WITH mark AS (SELECT page_id, min(good) AS good FROM ({labels}) WHERE good IN (0, 1) GROUP BY page_id),

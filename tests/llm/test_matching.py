@@ -179,6 +179,31 @@ def test_top_k_against_all_scores(llm, monkeypatch):
     assert exact_top_k(frame.limit(0), F.col("vec_id") % 3 == 0).count() == 0
 
 
+def test_top_k_of_large_components_and_repeated_ids(llm, monkeypatch):
+    """Components of any size get exact scores, as queries and as candidates; a repeated id counts once."""
+    chance = np.random.default_rng(5)
+    vectors = [(k, [float(x) for x in chance.normal(size=4)]) for k in range(60)]
+    vectors += [(60, [1e9, 1.0, -2.0, 0.5]), (61, [float(1 << 20)] * 4), (63, [-3e8, 5.0, 7.0, 1e7]), (64, [1e30, 0.0, 0.0, 0.0]), (66, [1e30, -1e30, 1.0, 1.0])]
+    twice = [(0, vectors[0][1]), (3, [9.0] * 4), (61, [float(1 << 20)] * 4)]
+    frame = llm.createDataFrame([*vectors, *twice], "vec_id long, embedding array<double>")
+    first: dict = {}
+    for k, v in sorted([*vectors, *twice]):
+        first.setdefault(k, v)
+    long = (1 << 63) - 1
+    whole = [(k, [math.floor(64 * x) if abs(x) < 1e15 else int(x) * 64 for x in v]) for k, v in first.items()]
+    want = []
+    for q, v in whole:
+        if q % 3 == 0:
+            best = sorted((-max(-long, min(long, sum(a * b for a, b in zip(v, w)))), k) for k, w in whole if k != q)[:5]
+            want += [(q, rank, k, -score) for rank, (score, k) in enumerate(best, 1)]
+    for block in (4096, 7):
+        monkeypatch.setattr("gradus.llm.hard_negatives.BLOCK", block)
+        got = exact_top_k(frame, F.col("vec_id") % 3 == 0, k=5).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    alone = frame.where("vec_id = 60 OR vec_id < 5")
+    assert {r.query_id for r in exact_top_k(alone, F.col("vec_id") == 60, k=2).collect()} == {60}
+
+
 def test_cover_tree_covers():
     points = np.random.default_rng(4).integers(-60, 60, (700, 6)).astype(np.int8)
     order, tree = cover_tree(points, leaf=16)

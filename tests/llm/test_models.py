@@ -153,6 +153,24 @@ def test_templates_are_learnt_and_rejected(llm):
     assert {r.template for r in judge_urls(pages, same).collect()} == {"shop.org/~/*"}
 
 
+def test_paths_of_any_depth_are_read_where_rows_share_them(llm):
+    """Beyond the sixth segment too, labels tell branches apart; a path that few share ends in **."""
+    rows = [(k, f"http://h.org/a/b/c/d/e/f/g/{'bad' if k % 2 else 'good'}/{k}", 1 - k % 2) for k in range(300)]
+    rows += [(1000, "http://h.org/a/b/c/d/e/f/other/x/y/z", None), (1001, "http://few.org/" + "/".join(map(str, range(500))), None)]
+    pages = llm.createDataFrame(rows, "page_id long, url string, good int")
+    made = {r.page_id: (r.template, r.verdict) for r in judge_urls(pages.select("page_id", "url"), pages.select("page_id", "good")).collect()}
+    top = "h.org" + 6 * "/~"
+    assert made[0] == (f"{top}/~/good/*", "allow") and made[1] == (f"{top}/~/bad/*", "block")
+    assert made[1000][0] == f"{top}/~/~/**" and made[1001][0] == "few.org/**"
+
+
+def test_repeated_and_odd_labels_of_pages(llm):
+    pages = llm.createDataFrame([(k, f"http://h.org/x/{k}") for k in range(60)] + [(0, "http://h.org/x/0")], "page_id long, url string")
+    labels = llm.createDataFrame([(k, 1) for k in range(60)] + [(k, 0) for k in range(60)] + [(3, None), (4, 7), (999, 1), (None, 1)], "page_id long, good int")
+    rows = judge_urls(pages, labels).collect()
+    assert len(rows) == 61 and {(r.template, r.verdict) for r in rows} == {("h.org/~/*", "block")}  # the smallest label holds
+
+
 def test_frequent_segments_of_a_variable_level_keep_their_names(llm):
     for spam in (1000, 3000):  # a third and three fifths of the rows
         rows = [(k, f"http://h.org/spam/{k}", 0) for k in range(spam)]
