@@ -39,7 +39,7 @@ POOL = 2_000_000
 COUNTED = 1_000_000
 #: Tokens a task learns from before it sends its weights, which are large, and numbers in a block of word logits.
 LEARNT = 6_000_000
-BLOCK = 1 << 22
+BLOCK = 1 << 17
 RATE = 0.3
 #: Groups of words, in square roots of the vocabulary.
 GROUPS = 1
@@ -140,6 +140,15 @@ class Network:
         self.words = len(weights["words"])
         self.root = np.array([0, len(weights["classes"])])
 
+    def __getstate__(self):
+        """Sent with the large tables at half precision, their biases (the last column) whole."""
+        sent = {n: (w[:, :-1].astype("<f2"), w[:, -1].copy()) if n in ("classes", "groups", "words") else w.astype("<f2") if n == "embed" else w for n, w in self.w.items()}
+        return {"w": sent, "cuts": self.cuts}
+
+    def __setstate__(self, state: dict):
+        whole = lambda w: np.concatenate([w[0].astype(np.float32), w[1][:, None]], axis=1) if isinstance(w, tuple) else w.astype(np.float32)
+        self.__init__({n: whole(w) for n, w in state["w"].items()}, state["cuts"])
+
     @staticmethod
     def start(frequencies: np.ndarray, hidden: int = HIDDEN) -> "Network":
         """Small random inputs; the biases alone already give the unigram model."""
@@ -171,12 +180,13 @@ class Network:
         return b"".join((self.w[n] - since.w[n]).astype("<f2").tobytes() for n in self.NAMES)
 
     def changed(self, by: np.ndarray) -> "Network":
-        out, at = {}, 0
+        """This network after a change, in place."""
+        at = 0
         for n in self.NAMES:
             size = self.w[n].size
-            out[n] = self.w[n] + by[at : at + size].reshape(self.w[n].shape).astype(np.float32)
+            self.w[n] += by[at : at + size].reshape(self.w[n].shape)
             at += size
-        return Network(out, self.cuts)
+        return self
 
     def forward(self, tokens: np.ndarray, h: np.ndarray, keep: bool = False):
         """States before each token of a window (time x lane), the state after it, and what learning needs."""
