@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import MISSING, NOT_APPLICABLE, OBSERVED, UNRECORDED, ZERO_EXPOSURE, Feature
+from ..config import NOT_APPLICABLE, OBSERVED, UNRECORDED, ZERO_EXPOSURE, Feature
 from ..operators.ordered import finite
 
 
@@ -63,11 +63,6 @@ def measurement_status(f: Feature, missing: str = UNRECORDED) -> Column:
     )
 
 
-def source_feature_status(f: Feature) -> Column:
-    """Status of a source aggregate; a missing total is not yet declared zero."""
-    return measurement_status(f, MISSING)
-
-
 def rating(z: Column) -> Column:
     """Base 50, 15 points per standard deviation, floored at 1 and without a cap."""
     return F.when(z.isNotNull(), F.greatest(F.lit(1.0), F.lit(50.0) + F.lit(15.0) * z))

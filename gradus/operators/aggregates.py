@@ -369,6 +369,15 @@ def lineup_summary(lineups: DataFrame, pairs: DataFrame, slots: int) -> DataFram
     )
 
 
+def reserves(squads: DataFrame, lineups: DataFrame, bench: DataFrame) -> DataFrame:
+    """(lineup, player): members of a lineup's squad who are neither placed nor on its bench.
+
+    ``squads``: (lineup, player); ``lineups``: (lineup, slot, player), empty slots null; ``bench``: (lineup, player).
+    """
+    occupied = lineups.where("player IS NOT NULL").select("lineup", "player").unionByName(bench.select("lineup", "player")).distinct()
+    return squads.select("lineup", "player").distinct().join(occupied, ["lineup", "player"], "left_anti")
+
+
 def rating_counts(catalogue: DataFrame, rated: DataFrame, position: str, subject: str) -> DataFrame:
     return (
         catalogue.join(rated.select(subject, F.lit(True).alias("_rated")), subject, "left")

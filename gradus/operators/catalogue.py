@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -33,28 +33,38 @@ def build(records: DataFrame, model: Model, primary: str, priority: Sequence[str
         F.col("record").alias("player"), "name", "name_key", "league", "position", F.col("provider").alias("main"), F.coalesce("minutes", F.lit(0.0)).alias("minutes")
     ).persist()
     sources = own.selectExpr("record AS player", "record").unionByName(links.selectExpr("anchor AS player", "record"))
-    measured = R.long_features(records, model.features, ["record", "provider"], "missing_measurement").join(sources, "record")
-    picked = R.priority_pick(
-        measured.select("player", "key", "provider", "record", "value", "numerator", "denominator", "status"),
-        ["player", "key"],
+    measured = R.long_features(records, model.features, ["record", "provider", F.col("minutes").alias("window_minutes")], "missing_measurement").join(sources, "record")
+    # A window that misses the player's season is no measurement of it; what nobody reports is a declared zero.
+    picked = R.attach_features(
+        players.select("player", "minutes"),
+        measured.select("player", "key", "provider", F.col("record").alias("id"), "window_minutes", "value", "numerator", "denominator", "status"),
+        "player",
+        [f.key for f in model.features],
         priority,
-        "record",
-        R.supported(F.col("status")),
+        "minutes",
     ).persist()
     fields = []
     for f in model.features:
         mine = f"key = '{f.key}'"
         fields += [
             F.expr(f"max(IF({mine}, numerator, NULL)) AS num_{f.key}"),
-            F.expr(f"max(IF({mine}, denominator, NULL)) AS den_{f.key}"),
+            F.expr(f"max(IF({mine}, IF(status = 'partial_window', 0D, denominator), NULL)) AS den_{f.key}"),
             F.expr(f"max(IF({mine}, provider, NULL)) AS prov_{f.key}"),
         ]
-    wide = players.join(picked.groupBy("player").agg(*fields), "player")
+    wide = players.join(picked.groupBy("player").agg(*fields), "player").persist()
     chosen = replace(model, features=tuple(f.picked() for f in model.features))
     scores, overall = R.score_catalogue(
         wide, chosen, ["player", "position"], "position", "minutes", "position = 'ST'", "prov_{key}"
     )
-    return {"players": players, "sources": sources, "features": picked, "scores": scores, "overall": overall, "links": links}
+    return {"players": players, "sources": sources, "features": picked, "wide": wide, "scores": scores, "overall": overall, "links": links}
+
+
+def assigned(built: dict[str, DataFrame], mapped: DataFrame, registry: Mapping[str, Model], primary: str, keeper: str) -> DataFrame:
+    """Overall scores of the roster's players in every position of their class, by that position's registry."""
+    chosen = {p: replace(m, features=tuple(f.picked() for f in m.features)) for p, m in registry.items()}
+    only = mapped.where("mapped_id IS NOT NULL").select(F.col("mapped_id").alias("player"))
+    found = R.assigned_positions(built["wide"], chosen, "player", "position", "minutes", "player", f"main = '{primary}'", keeper, "prov_{key}", only=only)
+    return R.assigned_overall(found, "player")
 
 
 def roster(built: dict[str, DataFrame], names: DataFrame, primary: str) -> DataFrame:
@@ -63,8 +73,9 @@ def roster(built: dict[str, DataFrame], names: DataFrame, primary: str) -> DataF
     return J.roster_mapping(names, catalogue, "name_key", F.col("main") == primary)
 
 
-def summary(built: dict[str, DataFrame], mapped: DataFrame) -> DataFrame:
-    """Counts of the build: players and rated per position, links, supported features, roster."""
+def summary(built: dict[str, DataFrame], mapped: DataFrame, placed: DataFrame) -> DataFrame:
+    """Counts of the build: players and rated per position, links, supported features, roster, and the roster's players
+    with a score in each position."""
     players, overall = built["players"], built["overall"]
     per = players.join(overall.select("player", F.lit(True).alias("_r")), "player", "left").groupBy("position").agg(
         F.count("*").alias("players"), F.count("_r").alias("rated")
@@ -78,4 +89,5 @@ def summary(built: dict[str, DataFrame], mapped: DataFrame) -> DataFrame:
         .unionByName(linked.selectExpr("'linked' AS section", "'records' AS name", "value"))
         .unionByName(supported.selectExpr("'features' AS section", "'observed' AS name", "value"))
         .unionByName(found.selectExpr("'roster' AS section", "'mapped' AS name", "value"))
+        .unionByName(placed.groupBy("position").agg(F.count("*").alias("value")).selectExpr("'assigned' AS section", "position AS name", "value"))
     )

@@ -395,6 +395,33 @@ def priority_pick(
     )
 
 
+def ranked_candidates(candidates: DataFrame, keys: Sequence[str], priority: Sequence[str], tie: str, usable: Column) -> DataFrame:
+    """Every candidate with its ``place``: 0 is the one that counts, 1 and more are its alternatives in their order.
+
+    Usable ones first, then by source priority, then by ``tie``; a key has as many candidates as sources report it.
+    """
+    listed = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("provider"))
+    rank = F.when(listed == 0, len(priority) + 1).otherwise(listed)
+    by = Window.partitionBy(*keys).orderBy(~F.coalesce(usable, F.lit(False)), rank, F.col(tie))
+    return candidates.withColumn("place", (F.row_number().over(by) - 1).cast("int"))
+
+
+def combined_profile(candidates: DataFrame, subject: Sequence[str], priority: Sequence[str], tie: str) -> DataFrame:
+    """The features of an identity's linked records: for each the value that counts and its alternatives as rows, whether
+    several definitions stand side by side, and how many features of the identity are numbers and how many supported.
+
+    ``candidates``: (subject, key, provider, tie, status, ...).
+    """
+    subject = list(subject)
+    ranked = ranked_candidates(candidates, [*subject, "key"], priority, tie, supported(F.col("status")))
+    several = candidates.groupBy(*subject, "key").agg(F.when(F.count("*") > 1, "source_specific_not_equivalent").otherwise("single_source").alias("definition_reconciliation"))
+    ranked = ranked.persist()
+    counts = ranked.where("place = 0").groupBy(*subject).agg(
+        F.count_if(F.col("status") == OBSERVED).alias("numeric_features"), F.count_if(supported(F.col("status"))).alias("supported_features")
+    )
+    return ranked.join(several, [*subject, "key"]).join(counts, subject)
+
+
 def supported(status: Column) -> Column:
     return status.isin(OBSERVED, NOT_APPLICABLE)
 
@@ -458,12 +485,13 @@ def assigned_positions(
     keeper: str = "GK",
     version: str = "''",
     keep: Sequence[str] = (),
+    only: DataFrame | None = None,
 ) -> Assigned:
     """Every subject in every position it may be asked about, by that position's weights, against the position's
     natural entities.
 
-    Keepers are asked about the keeper position only, all others about every other one. A position counts each
-    ``identity`` once: the ``preferred`` (SQL) record, then the smallest subject. A reference is a subject's peer if it
+    Keepers are asked about the keeper position only, all others about every other one; with ``only`` (subject) just
+    these are asked. A position counts each ``identity`` once: the ``preferred`` (SQL) record, then the smallest subject. A reference is a subject's peer if it
     is observed, by the same measurement, in each feature the subject uses; it may use more. Peers depend on the
     subject's mask only: references are reduced to the moments of their distinct sets of observed features, masks
     meet those sets, and a mask's cohort is the merged moments of the sets that hold it.
@@ -482,7 +510,8 @@ def assigned_positions(
     groups = cut(moments(references, [*at, "seen", "have"], slots))
 
     of_keeper = F.coalesce(F.col(position) == keeper, F.lit(False))
-    asked = each(entities.withColumn("_keeper", of_keeper), "_asked", list(models)).where((F.col("_asked") == keeper) == F.col("_keeper"))
+    subjects = entities if only is None else entities.join(only.select(subject).distinct(), subject, "left_semi")
+    asked = each(subjects.withColumn("_keeper", of_keeper), "_asked", list(models)).where((F.col("_asked") == keeper) == F.col("_keeper"))
     asked = asked.withColumn(position, F.col("_asked"))
     asked = ability_rows(asked, registry, [*keep, position], exposure, version, position=position, masks=True).where("eligible")
     asked = asked.withColumn("need", F.expr(measured_in("marks", "used"))).drop("marks", "seen").persist()
@@ -643,6 +672,7 @@ def attach_features(
         f"coalesce(status, '{UNRECORDED}') AS status",
         "coalesce(provider, 'none') AS provider",
         "coalesce(alternatives, 0) AS alternatives",
+        "id",
     )
 
 
@@ -719,11 +749,10 @@ def archetype_scores(scores: DataFrame, subject: Sequence[str], archetypes: Data
     )
 
 
-def map_positions(df: DataFrame, column: str, mapping: dict[str, str], out: str = "position") -> DataFrame:
-    """Source labels to registry ids; an unknown label stays itself."""
-    table = df.sparkSession.createDataFrame(list(mapping.items()), "_label string, _id string")
-    return (
-        df.join(table, F.col(column) == F.col("_label"), "left")
-        .withColumn(out, F.coalesce("_id", column))
-        .drop("_label", "_id")
-    )
+def map_positions(df: DataFrame, column: str, mappings: Sequence[Mapping[str, str]], out: str = "position") -> DataFrame:
+    """Source labels to registry ids by one mapping after another; a label that a mapping does not name stays itself."""
+    for mapping in mappings:
+        table = df.sparkSession.createDataFrame(list(mapping.items()), "_label string, _id string")
+        mapped = df.join(F.broadcast(table), F.col(column) == F.col("_label"), "left").withColumn(out, F.coalesce("_id", column))
+        df, column = mapped.drop("_label", "_id"), out
+    return df

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import RATE_STRENGTH, RATIO_STRENGTH, RoleSpec
+from ..config import RATE_STRENGTH, RATIO_STRENGTH, ROLE_SPECS, RoleSpec
 from ..functions.posterior import beta_interval, gamma_interval
 from ..session import cut
 from .ordered import quantiles, value_counts
@@ -105,7 +105,7 @@ def spec_frame(spark, specs: Mapping[str, RoleSpec]) -> DataFrame:
     return spark.createDataFrame(rows, "role string, metric string, is_style boolean, direction int, role_metrics int")
 
 
-def role_profiles(metrics: DataFrame, specs: Mapping[str, RoleSpec]) -> DataFrame:
+def role_profiles(metrics: DataFrame, specs: Mapping[str, RoleSpec] = ROLE_SPECS) -> DataFrame:
     """Posterior value and percentile of every role metric, one row per (stint, role, metric).
 
     ``metrics``: (player, role, league, minutes, metric, unit, value, numerator, denominator).

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import beside
+from ..session import beside, cut
 from .ordered import cumulative
 
 MARGIN = 0.002  # a model replaces the logistic one only if its Brier score is better by this
@@ -21,6 +21,10 @@ GRID = (16, 12)
 
 
 # --- Event models ---------------------------------------------------------------------------------
+#: Rows of a partition of training data: boosting starts hundreds of jobs over it, each as short as its data allow.
+FITTED_ROWS = 20_000
+
+
 def _prepared(features: Sequence[str]) -> list:
     filled = [f"{f}_filled" for f in features]
     return [
@@ -35,26 +39,32 @@ def train_models(
 ):
     """Logistic regression, boosted trees and a small network, fitted on the training fold only.
 
-    Returns (scores per model and fold, chosen model name, fitted models).
+    The fold is prepared once for all three, in as many partitions as its rows are worth, and all models are
+    evaluated in one pass over the other folds. Returns (scores per model and fold, chosen model name, fitted models).
     """
-    data = folds.select("fold", F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features])
-    train = data.where("fold = 'train'").persist()
+    data = folds.select("fold", F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).persist()
+    train = data.where("fold = 'train'")
+    prepare = Pipeline(stages=_prepared(features)).fit(train)
+    many = train.count()
+    ready = prepare.transform(train).select("label", "features").repartition(max(1, -(-many // FITTED_ROWS))).persist()
     estimators = {
         "logistic": LogisticRegression(),
-        "boosted_trees": GBTClassifier(maxIter=trees, maxDepth=4, stepSize=step, seed=seed),
+        # The lineage of the residuals is cut a few times only; nodes of a tree are grown together.
+        "boosted_trees": GBTClassifier(maxIter=trees, maxDepth=4, stepSize=step, seed=seed, cacheNodeIds=True, checkpointInterval=40),
         "network": MultilayerPerceptronClassifier(layers=[len(features), 16, 8, 2], maxIter=epochs, seed=seed),
     }
-    scored, fitted = None, {}
-    for name, estimator in estimators.items():
-        fitted[name] = Pipeline(stages=[*_prepared(features), estimator]).fit(train)
-        part = fitted[name].transform(data.where("fold <> 'train'")).select(
-            F.lit(name).alias("model"), "fold", "label", vector_to_array("probability")[1].alias("p")
-        )
-        scored = part if scored is None else scored.unionByName(part)
-    scores = scored.groupBy("model", "fold").agg(F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("brier"), F.count("*").alias("rows"))
+    fitted = {name: estimator.fit(ready) for name, estimator in estimators.items()}
+    ready.unpersist()
+    held = prepare.transform(data.where("fold <> 'train'")).select("fold", "label", "features")
+    for name, model in fitted.items():
+        own = model.transform(held).drop("rawPrediction", "prediction")
+        held = own.withColumn(name, vector_to_array("probability")[1]).drop("probability")
+    names = ", ".join(f"named_struct('model', '{n}', 'p', {n})" for n in fitted)
+    scored = held.selectExpr("fold", "label", f"inline(array({names}))")
+    scores = cut(scored.groupBy("model", "fold").agg(F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("brier"), F.count("*").alias("rows")))
     # Three models x two folds.
     table = {(r["model"], r["fold"]): r["brier"] for r in scores.collect()}
-    train.unpersist()
+    data.unpersist()
     chosen = "logistic"
     for name in ("boosted_trees", "network"):
         if table[(name, "validation")] < table[("logistic", "validation")] - MARGIN and table[(name, "validation")] < table[(chosen, "validation")]:

@@ -367,6 +367,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return A.lineup_summary(scored, pairs, 4).withColumn("team_rating", F.round("team_rating", 4))
 
 
+@query(
+    "lineup_reserves",
+    f"""WITH {LINEUPS_SQL} SELECT DISTINCT lineup, player FROM lineups l WHERE slot > 5
+AND NOT EXISTS (SELECT 1 FROM lineups o WHERE o.lineup = l.lineup AND o.player = l.player AND o.slot <= 5)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Four players are placed, the fifth sits on the bench, the rest of the squad is in reserve."""
+    every = lineups(spark, sf)
+    return A.reserves(every, every.where("slot <= 4"), every.where("slot = 5"))
+
+
 @query(
     "position_rating_counts",
     RATED_SQL.split("SELECT player, role, round(overall_raw")[0]

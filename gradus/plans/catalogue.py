@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_key
 from ..operators import catalogue as K
-from .bindings import ENTITIES_SQL, entities, features_sql, model, registry_sql
-from .rating import SCORES_SQL
+from .bindings import ENTITIES_SQL, entities, features_sql, model, position_registry_sql, registry, registry_sql
+from .rating import ASSIGNED_SQL, COMMON_SQL, SCORES_SQL
 from .registry import query
 
 # A second source saw the teams below 15; for teams from 10 on its goal counts differ by one.
@@ -45,17 +47,31 @@ b1 AS (SELECT 'a' || player AS player, * EXCLUDE (player, tax), CASE WHEN league
 {features_sql('prov', {'tax90': 'tax_prov'}).replace("'tax90' AS key, CAST(tax AS DOUBLE) AS num, CAST(minutes AS DOUBLE) AS den", "'tax90' AS key, CAST(tax AS DOUBLE) AS num, CAST(tax_minutes AS DOUBLE) AS den")}, {registry_sql()}"""
 
 
+# The roster's players, all of the first source, in every position: names apart from those of the natural scores.
+PLACED_SQL = re.sub(
+    r"\b(registry|weighted|active|flags)\b",
+    r"\1_p",
+    f"""{position_registry_sql()},
+seen AS (SELECT *, provider AS ver FROM feats),"""
+    + ASSIGNED_SQL[ASSIGNED_SQL.index("\nplaces AS") :].replace("CASE WHEN player % 10 = 1 THEN player - 1 ELSE player END", "player").replace("(g.role = 'BUILDING') = (f.role = 'BUILDING')", "(g.role = 'BUILDING') = (f.role = 'BUILDING') AND f.player LIKE 'a%'")
+    + COMMON_SQL,
+)
+
+
 @query(
     "catalogue_build",
     PLAYERS_SQL
     + BUILD_SQL
+    + ", " + PLACED_SQL
     + """, rated AS (SELECT player FROM overall WHERE population >= 30)
 SELECT 'players' AS section, role AS name, count(*) AS value FROM b1 GROUP BY role UNION ALL SELECT 'rated', role, count(r.player) FROM b1 LEFT JOIN rated r ON r.player = b1.player GROUP BY role
 UNION ALL SELECT 'linked', 'records', count(*) FROM b0 WHERE team < 10 UNION ALL SELECT 'features', 'observed', count(value) FROM feats
+UNION ALL SELECT 'assigned', position, count(*) FROM tup JOIN ps USING (position, cohort) GROUP BY position
 UNION ALL SELECT 'roster', 'mapped', count(*) FROM b0""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rec = records(spark, sf).persist()
     built = K.build(rec, model(), "alpha", ["alpha", "gamma"])
     squad = rec.where("provider = 'alpha'").select("record", "name_key")
-    return K.summary(built, K.roster(built, squad, "alpha"))
+    mapped = K.roster(built, squad, "alpha").persist()
+    return K.summary(built, mapped, K.assigned(built, mapped, registry(), "alpha", "BUILDING"))

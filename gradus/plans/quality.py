@@ -283,9 +283,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EDGE = "[^\\p{L}\\p{N}_]"
+# DuckDB knows word bounds of ASCII only, so they are written out.
+_BOUNDED = {r"\b%s\b" % w: rf"(^|[^\p{{L}}\p{{N}}_]){w}([^\p{{L}}\p{{N}}_]|$)" for w in ("keeper", "gk", "fb", "cb", "dm", "am", "cm", "st")}
 ROLE_CASE = " ".join(
-    "WHEN regexp_matches(t, '" + "|".join([*[x for x, _ in p], *[f"(^|{EDGE}){x}({EDGE}|$)" for x in w]]) + f"') THEN '{r}'"
-    for r, p, w in Q.ROLE_PATTERNS
+    f"WHEN regexp_matches(t, '{'|'.join(_BOUNDED.get(part, part) for part in pattern.split('|'))}') THEN '{role}'" for role, pattern in Q.ROLE_PATTERNS
 )
 
 

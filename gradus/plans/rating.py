@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ROLE_WEIGHTS, Feature
+from ..config import POSITION_IDS, ROLE_WEIGHTS, SOURCE_POSITIONS, Feature
 from ..functions.status import rating
 from ..operators import rating as R
 from ..operators import standardize as S
+from ..operators import views as V
 from .bindings import (
     ABILITIES,
     APPEARANCES_SQL,
@@ -263,7 +262,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         "'observed' AS status",
     )
     out = R.attach_features(season, candidates, "player", ["F", "O", "P", "X"], PRIORITY, "minutes")
-    return out.drop("numerator", "denominator")
+    return out.drop("numerator", "denominator", "id")
 
 
 ACTIVE_SQL = SCORES_SQL.replace("{min_peers}", "30")
@@ -341,10 +340,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "unrated_view",
-    # Every step is kept: the anti join would otherwise run the chain of views again and again.
-    re.sub(r"(?<!WINDOW pa) AS \((?=\s*SELECT)", " AS MATERIALIZED (", ACTIVE_SQL)
+    ACTIVE_SQL
     + """SELECT player, key, round(value, 6) AS value, status, CAST(NULL AS DOUBLE) AS rating
-FROM feats ANTI JOIN (SELECT DISTINCT player FROM overall WHERE population >= 30) rated USING (player)""",
+FROM feats WHERE player NOT IN (SELECT player FROM overall WHERE population >= 30)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     overall = R.compose(ability_scores(spark, sf), ["player", "role"], "role", len(ABILITIES), 30)
@@ -464,15 +462,19 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return assigned(spark, sf).scores.select("player", "position", "ability", F.round("z", 6).alias("z"), "peer_count")
 
 
-@query(
-    "common_cohort_assigned",
-    ASSIGNED_SQL
-    + """, rz AS (SELECT position, rr.ability, rr.sig, ref, overall_weight, (raw - m) / s AS z FROM rr JOIN cs USING (position, ability, sig)),
+COMMON_SQL = """, rz AS (SELECT position, rr.ability, rr.sig, ref, overall_weight, (raw - m) / s AS z FROM rr JOIN cs USING (position, ability, sig)),
 sz AS (SELECT player, position, ability, sig, overall_weight, (raw - m) / s AS z FROM sub JOIN cs USING (position, ability, sig)),
 tup AS (SELECT player, position, string_agg(ability || sig, '/' ORDER BY ability) AS cohort, sum(overall_weight * z) AS raw FROM sz GROUP BY 1, 2 HAVING count(*) = 6),
 tset AS (SELECT DISTINCT position, cohort, ability, sig FROM tup JOIN sz USING (player, position)),
 po AS (SELECT position, cohort, ref, sum(overall_weight * z) AS raw FROM rz JOIN tset USING (position, ability, sig) GROUP BY 1, 2, 3 HAVING count(*) = 6),
-ps AS (SELECT position, cohort, avg(raw) AS m, stddev_pop(raw) AS s, count(*) AS common_peers FROM po GROUP BY 1, 2 HAVING count(*) >= 30 AND stddev_pop(raw) > 1e-12)
+ps AS (SELECT position, cohort, avg(raw) AS m, stddev_pop(raw) AS s, count(*) AS common_peers FROM po GROUP BY 1, 2 HAVING count(*) >= 30 AND stddev_pop(raw) > 1e-12)"""
+
+
+@query(
+    "common_cohort_assigned",
+    ASSIGNED_SQL
+    + COMMON_SQL
+    + """
 SELECT player, position, round((raw - m) / s, 6) AS overall_z, round(greatest(1.0, 50 + 15 * (raw - m) / s), 5) AS overall, common_peers FROM tup JOIN ps USING (position, cohort)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
@@ -510,19 +512,29 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Every label that a source uses, one that no source uses, and positions that name themselves.
+LABELS = (*SOURCE_POSITIONS, *POSITION_IDS, "GK", "CB", "Unknown")
+_RESOLVED = {label: POSITION_IDS.get(SOURCE_POSITIONS.get(label, label), SOURCE_POSITIONS.get(label, label)) for label in LABELS}
+_LABELS_SQL = ", ".join(f"({k}, '{label}', '{_RESOLVED[label]}')" for k, label in enumerate(LABELS))
+
+
 @query(
     "position_map",
-    """SELECT p_partkey, p_type, CASE p_type WHEN 'ECONOMY' THEN 'CB' WHEN 'PROMO' THEN 'ST' ELSE p_type END AS position FROM part""",
+    f"""SELECT p_partkey, label, position FROM part JOIN (VALUES {_LABELS_SQL}) t(k, label, position) ON p_partkey % {len(LABELS)} = k""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return R.map_positions(load(spark, sf, "part").select("p_partkey", "p_type"), "p_type", {"ECONOMY": "CB", "PROMO": "ST"})
+    """Source labels to broad labels, and those to the registry's positions."""
+    listed = ", ".join(f"'{label}'" for label in LABELS)
+    labelled = load(spark, sf, "part").selectExpr("p_partkey", f"element_at(array({listed}), int(p_partkey % {len(LABELS)}) + 1) AS label")
+    return R.map_positions(labelled, "label", [SOURCE_POSITIONS, POSITION_IDS])
 
 
 @query(
     "ability_profile",
     ACTIVE_SQL
     + """SELECT player, role, ability, round(z, 6) AS z, round(greatest(1.0, 50 + 15 * z), 6) AS rating, overall_weight, peers AS peer_count,
-  round(100.0 * (peers - rank() OVER d - count(*) OVER v + 1 + 0.5 * count(*) OVER v) / peers, 6) AS percentile, round(q50, 6) AS median_z
+  round(100.0 * (peers - rank() OVER d - count(*) OVER v + 1 + 0.5 * count(*) OVER v) / peers, 6) AS percentile, round(q50, 6) AS median_z,
+  substr(sha256(peers || '|' || sum(CAST('0x' || substr(sha256(player::VARCHAR), 1, 15) AS BIGINT)) OVER (PARTITION BY role, ability, sig)), 1, 12) AS reference_population
 FROM (SELECT *, quantile_cont(z, 0.5) OVER (PARTITION BY role, ability, sig) AS q50 FROM (SELECT * REPLACE (round(z, 10) AS z) FROM ability))
 WINDOW d AS (PARTITION BY role, ability, sig ORDER BY z DESC), v AS (PARTITION BY role, ability, sig, z)""",
 )
@@ -534,23 +546,100 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         .persist()
     )
     median = S.quantiles(S.value_counts(scores, key, "z"), key, "z", [0.5]).select(*key, F.col("quantile").alias("median_z"))
-    out = S.ranks(scores, key, "z").join(median, key)
+    out = S.ranks(scores, key, "z").join(median, key).join(V.population_hash(scores, key, "player").drop("size").withColumnRenamed("population", "reference_population"), key)
     return out.select(
         "player", "role", "ability", F.round("z", 6).alias("z"), F.round(rating(F.col("z")), 6).alias("rating"),
-        "overall_weight", "peer_count", F.round("percentile", 6).alias("percentile"), F.round("median_z", 6).alias("median_z"),
+        "overall_weight", "peer_count", F.round("percentile", 6).alias("percentile"), F.round("median_z", 6).alias("median_z"), "reference_population",
     )
 
 
+PROFILE_STATUS = "CASE WHEN value >= 10 THEN 'observed' WHEN value >= 5 THEN 'not_applicable_zero_attempts' ELSE 'missing_measurement' END"
+
+
 @query(
     "combined_profile",
     f"""WITH {NAMED_SQL}, c AS (SELECT name, league, unnest(['size', 'price']) AS key, unnest([size::DOUBLE, price]) AS value, provider, row FROM b3),
-r AS (SELECT *, row_number() OVER (PARTITION BY name, league, key ORDER BY value < 10, provider, row) AS n, count(*) OVER (PARTITION BY name, league, key) - 1 AS alternatives FROM c)
-SELECT name, league, key, value, provider, row, alternatives FROM r WHERE n = 1""",
+s AS (SELECT *, {PROFILE_STATUS} AS status FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY name, league, key ORDER BY status NOT IN ('observed', 'not_applicable_zero_attempts'), provider, row) - 1 AS place, count(*) OVER (PARTITION BY name, league, key) AS n FROM s),
+k AS (SELECT name, league, count(*) FILTER (status = 'observed') AS numeric_features, count(*) FILTER (status <> 'missing_measurement') AS supported_features FROM r WHERE place = 0 GROUP BY 1, 2)
+SELECT name, league, key, CAST(place AS INTEGER) AS place, value, status, provider, row, CASE WHEN n > 1 THEN 'source_specific_not_equivalent' ELSE 'single_source' END AS definition_reconciliation,
+  numeric_features, supported_features FROM r JOIN k USING (name, league)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    candidates = named(spark, sf).selectExpr(
-        "name", "league", "provider", "row", "stack(2, 'size', cast(size AS double), 'price', price) AS (key, value)"
-    )
+    candidates = named(spark, sf).selectExpr("name", "league", "provider", "row", "stack(2, 'size', cast(size AS double), 'price', price) AS (key, value)")
     priority = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    out = R.priority_pick(candidates, ["name", "league", "key"], priority, "row", F.col("value") >= 10)
-    return out.select("name", "league", "key", "value", "provider", "row", "alternatives")
+    out = R.combined_profile(candidates.withColumn("status", F.expr(PROFILE_STATUS)), ["name", "league"], priority, "row")
+    return out.select("name", "league", "key", "place", "value", "status", "provider", "row", "definition_reconciliation", "numeric_features", "supported_features")
+
+
+def judged_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Ability rows of peers and subjects, and the numbers of their cohorts."""
+    m = model()
+    rows = R.ability_rows(entities(spark, sf).persist(), m, ["player", "role"], "minutes").persist()
+    return rows, R.cohort_numbers(rows, COHORT, m.slots, m.minimum_peers)
+
+
+COHORT = ["role", "ability", "signature"]
+VIEWS_SQL = SUBJECT_SQL[: SUBJECT_SQL.index("\nsubj AS (")] + """
+pops AS (SELECT role, ability, sig, substr(sha256(count(*) || '|' || sum(CAST('0x' || substr(sha256(player::VARCHAR), 1, 15) AS BIGINT))), 1, 12) AS population FROM sized WHERE peers >= 30 GROUP BY ALL)"""
+
+
+@query(
+    "feature_views",
+    VIEWS_SQL
+    + """, seen AS (SELECT q.player, q.role, q.ability, t.key, q.sig, t.dir, t.weight, t.w, t.value, t.den, t.k, f.mean, f.a, f.d, fl.eligible::INT AS e FROM wanted q JOIN active t USING (player, role, ability)
+  JOIN fstats f ON f.role = q.role AND f.ability = q.ability AND f.sig = q.sig AND f.key = t.key JOIN flags fl ON fl.player = q.player AND fl.role = q.role AND fl.ability = q.ability WHERE t.w > 0 AND t.dir <> 0),
+st AS (SELECT *, CASE WHEN den > 0 THEN den / (den + k) * value + (1 - den / (den + k)) * mean END AS stable, coalesce(e, 0) AS peer FROM seen),
+pc AS (SELECT *, 100.0 * (sum(peer) OVER (PARTITION BY role, ability, sig, key ORDER BY value) - 0.5 * sum(peer) OVER (PARTITION BY role, ability, sig, key, value)) / sum(peer) OVER (PARTITION BY role, ability, sig, key) AS p,
+  sum(peer) OVER (PARTITION BY role, ability, sig, key) AS peer_count FROM st)
+SELECT player, role, ability, key, dir AS direction, weight AS base_weight, round(w, 6) AS weight, round(value, 6) AS value, round(stable, 6) AS stabilised, round(mean, 6) AS peer_mean,
+  CASE WHEN value IS NOT NULL THEN round(den / (den + k), 6) END AS reliability, round(dir * (stable - a) / d, 6) AS z, CASE WHEN value IS NOT NULL THEN round(CASE WHEN dir < 0 THEN 100 - p ELSE p END, 6) END AS percentile,
+  CAST(peer_count AS BIGINT) AS peer_count FROM pc""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows, numbers = judged_rows(spark, sf)
+    out = V.feature_views(rows, numbers, model(), ["player"], COHORT)
+    six = ("weight", "value", "stabilised", "peer_mean", "reliability", "z", "percentile")
+    return out.select("player", "role", "ability", "key", "direction", "base_weight", *[F.round(c, 6).alias(c) for c in six], "peer_count")
+
+
+@query(
+    "feature_distributions",
+    VIEWS_SQL
+    + f""", vs AS (SELECT role, ability, sig, key, value FROM members),
+ex AS (SELECT role, ability, sig, key, min(value) AS lo, max(value) AS hi, stddev_samp(value) * pow(count(*), -0.2) AS h, count(*) AS n FROM vs GROUP BY ALL),
+q AS (SELECT role, ability, sig, key, 'quantile' AS curve, unnest(range(0, 101)) AS point, unnest(quantile_cont(value, [{', '.join(str(i / 100) for i in range(101))}])) AS x, CAST(NULL AS DOUBLE) AS y FROM vs GROUP BY role, ability, sig, key),
+g AS (SELECT ex.*, unnest(range(0, 65)) AS point FROM ex WHERE hi - lo >= 1e-12),
+dn AS (SELECT g.role, g.ability, g.sig, g.key, 'density' AS curve, point, lo + (hi - lo) * point / 64.0 AS x, sum(exp(-0.5 * pow((lo + (hi - lo) * point / 64.0 - value) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS y
+  FROM g JOIN vs USING (role, ability, sig, key) GROUP BY g.role, g.ability, g.sig, g.key, point, lo, hi
+  UNION ALL SELECT role, ability, sig, key, 'density', 0, lo, 1.0 FROM ex WHERE hi - lo < 1e-12)
+SELECT role, ability, population, key, curve, CAST(point AS INTEGER) AS point, round(x, 6) AS x, round(y, 6) AS y FROM (SELECT * FROM q UNION ALL SELECT * FROM dn) JOIN pops USING (role, ability, sig)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows, numbers = judged_rows(spark, sf)
+    curves = V.feature_distributions(rows, numbers, model(), COHORT)
+    populations = V.population_hash(rows.where("eligible"), COHORT, "player")
+    return curves.join(populations, COHORT).select("role", "ability", "population", "key", "curve", "point", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(
+    "role_view",
+    SUBJECT_SQL[: SUBJECT_SQL.index("\nSELECT player, role, ability, round(z, 6)")]
+    + """, ow AS (SELECT DISTINCT ability, overall_weight FROM registry),
+whole AS (SELECT player, role, round(sum(round(overall_weight * z, 12)), 11) AS raw, string_agg(ability || sig, '/' ORDER BY ability) AS cohort, min(e) AS e FROM fin JOIN ow USING (ability) GROUP BY 1, 2 HAVING count(*) = 6),
+rstat AS (SELECT role, cohort, avg(raw) AS m, stddev_pop(raw) AS s, count(*) AS n FROM whole WHERE e = 1 GROUP BY 1, 2 HAVING count(*) >= 30 AND stddev_pop(raw) > 1e-12),
+rzs AS (SELECT player, role, cohort, raw, e, n, round((raw - m) / s, 10) AS z FROM whole JOIN rstat USING (role, cohort))
+SELECT player, role, round(raw, 6) AS role_raw, round(z, 6) AS role_z, round(greatest(1.0, 50 + 15 * z), 6) AS rating,
+  round(100.0 * (sum(e) OVER (PARTITION BY role, cohort ORDER BY z) - 0.5 * sum(e) OVER (PARTITION BY role, cohort, z)) / n, 6) AS percentile,
+  CAST(n - sum(e) OVER (PARTITION BY role, cohort ORDER BY z) + 1 AS BIGINT) AS rank, n AS population_size,
+  round(z - max(CASE WHEN e = 1 THEN z END) OVER (PARTITION BY role, cohort ORDER BY z RANGE BETWEEN UNBOUNDED PRECEDING AND 0.00000000005 PRECEDING), 6) AS gap_to_next_z,
+  round(min(CASE WHEN e = 1 THEN z END) OVER (PARTITION BY role, cohort ORDER BY z RANGE BETWEEN 0.00000000005 FOLLOWING AND UNBOUNDED FOLLOWING) - z, 6) AS gap_to_previous_z, e = 1 AS is_peer FROM rzs""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    m = model()
+    rows, numbers = judged_rows(spark, sf)
+    scores = R.score_subjects(rows, numbers.where("raw_sd > 0"), COHORT, m.slots).where("z IS NOT NULL")
+    scores = scores.select("player", *COHORT, "overall_weight", "eligible", F.round("z", 10).alias("z"))
+    out = V.role_view(scores, ["player"], "role", len(ABILITIES), m.minimum_peers)
+    six = ("role_raw", "role_z", "rating", "percentile", "gap_to_next_z", "gap_to_previous_z")
+    return out.select("player", "role", *[F.round(c, 6).alias(c) for c in six], "rank", "population_size", "is_peer")

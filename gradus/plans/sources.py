@@ -260,3 +260,89 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         "concat('Page 1/3 | Showing 1 - 10 of ', floor(o_totalprice)) AS text",
     )
     return nested.panel_inventory(cells)
+
+
+# --- Other report layouts ---------------------------------------------------------------------------
+@query(
+    "report_player_totals",
+    """WITH p AS (SELECT s_suppkey::VARCHAR AS entity, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey > 0),
+f AS (SELECT entity, unnest(['id', 'player_name', 'time', 'xG', 'note', 'goals']) AS path,
+  unnest([entity, s_name, s_nationkey::VARCHAR, CAST(floor(s_acctbal) AS BIGINT)::VARCHAR || '.5', CASE WHEN s_acctbal > 0 THEN 'n/a' END, (s_nationkey % 3)::VARCHAR]) AS value FROM p)
+SELECT (entity::INT % 5) AS league, entity, 'aggregate' AS sample, 'players.' || path AS field, CASE WHEN path IN ('id', 'player_name') THEN 'identity' WHEN path = 'time' THEN 'context' ELSE 'metric' END AS kind,
+  'aggregate' AS scope, value, CASE WHEN value IS NULL THEN 'missing' WHEN path IN ('id', 'player_name', 'note') THEN 'categorical' ELSE 'numeric' END AS status FROM f""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Season reports of five leagues, numbers as text, as one source gives them."""
+    player = "named_struct('id', string(s_suppkey), 'player_name', s_name, 'time', string(s_nationkey), 'xG', concat(floor(s_acctbal), '.5'), 'note', IF(s_acctbal > 0, 'n/a', NULL), 'goals', s_nationkey % 3)"
+    docs = load(spark, sf, "supplier").selectExpr("s_suppkey % 5 AS league", f"{player} AS p").groupBy("league").agg(
+        F.to_json(F.struct(F.collect_list("p").alias("players")), {"ignoreNullFields": "false"}).alias("body")
+    )
+    return nested.player_totals(docs, ["league"], "body", ["id", "player_name"], ["games", "time"], "time")
+
+
+@query(
+    "report_shot_events",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_discount, l_tax, l_returnflag FROM lineitem),
+f AS (SELECT l_orderkey, l_suppkey::VARCHAR AS entity, l_orderkey || ':s' || l_linenumber AS sample, unnest(['id', 'player.id', 'player.name', 'xg', 'on.target', 'team_id', 'blocked']) AS path,
+  unnest(['s' || l_linenumber, l_suppkey::VARCHAR, 'P' || l_suppkey, CASE WHEN l_tax > 0.01 THEN CAST(CAST(round(l_discount * 100) AS INT) AS VARCHAR) END, CAST(l_returnflag = 'R' AS VARCHAR), '7', '']) AS value FROM l)
+SELECT l_orderkey % 4 AS league, entity, sample, 'shot.' || path AS field, CASE WHEN path IN ('id', 'player.id', 'player.name', 'team_id') THEN 'identity' ELSE 'event' END AS kind, 'event' AS scope, value,
+  CASE WHEN value IS NULL OR value = '' THEN 'missing' WHEN path IN ('xg', 'team_id') THEN 'numeric' ELSE 'categorical' END AS status FROM f""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A shot report per match: odd lines in the first period, even ones in the second."""
+    shot = (
+        "named_struct('id', concat('s', l_linenumber), 'player', named_struct('id', string(l_suppkey), 'name', concat('P', l_suppkey)), 'xg', IF(l_tax > 0.01, int(round(l_discount * 100)), NULL), "
+        "'on', named_struct('target', l_returnflag = 'R'), 'team_id', 7, 'blocked', '')"
+    )
+    period = lambda odd: f"named_struct('shots', collect_list(IF(l_linenumber % 2 = {odd}, {shot}, NULL)))"
+    docs = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.expr(f"array({period(1)}, {period(0)}) AS periods"))
+    docs = docs.select((F.col("l_orderkey") % 4).alias("league"), "l_orderkey", F.to_json(F.struct("periods"), {"ignoreNullFields": "false"}).alias("body"))
+    return nested.shot_events(docs, ["league"], "l_orderkey", "body")
+
+
+@query(
+    "report_match_statistics",
+    """WITH o AS (SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice / 20000) AS INT) AS n, CAST(floor(o_totalprice / 30000) AS INT) AS d, o_orderstatus = 'F' AS played FROM orders WHERE o_orderstatus <> 'P'),
+f AS (SELECT o_orderkey, o_custkey::VARCHAR AS entity, unnest(['minutes_played.type', 'minutes_played.value', 'duels.type', 'duels.value', 'duels.total', 'duels.calculated_percentage', 'rating_title.value']) AS path,
+  unnest(['integer', '90', 'fractionWithPercentage', n::VARCHAR, d::VARCHAR, NULL, 'good']) AS value, n, d, played FROM o),
+g AS (SELECT o_orderkey, entity, 'stats.' || path AS field, CASE WHEN path IN ('minutes_played.type', 'minutes_played.value', 'duels.type') THEN 'context' ELSE 'metric' END AS kind, 'appearance' AS scope,
+  CASE WHEN path = 'duels.calculated_percentage' AND d > 0 AND n <= d THEN 'x' ELSE value END AS value,
+  CASE WHEN path = 'duels.value' AND n > d THEN 'invalid' WHEN path = 'duels.calculated_percentage' THEN CASE WHEN d > 0 AND n <= d THEN 'numeric' WHEN d = 0 AND n = 0 THEN 'na' ELSE 'invalid' END
+    WHEN path LIKE '%.type' OR value = 'good' THEN 'categorical' ELSE 'numeric' END AS status, n, d FROM f WHERE played
+  UNION ALL SELECT o_orderkey, o_custkey::VARCHAR, 'metadata.' || unnest(['player.id', 'player.name', 'team_id']), 'identity', 'identity', unnest([o_custkey::VARCHAR, 'N' || o_custkey, '3']), unnest(['categorical', 'categorical', 'numeric']), n, d FROM o WHERE played)
+SELECT o_orderkey % 3 AS league, entity, o_orderkey::VARCHAR AS sample, field, kind, scope, CASE WHEN value = 'x' THEN NULL ELSE value END AS value, CASE WHEN value = 'x' THEN round(100.0 * n / d, 6) END AS percentage, status FROM g""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A report per match with one player, who did not play in open matches."""
+    stat = lambda key, inner: f"named_struct('key', '{key}', 'stat', {inner})"
+    body = (
+        "to_json(array(named_struct('player', named_struct('id', string(o_custkey), 'name', concat('N', o_custkey)), 'team_id', 3, 'stats', array(named_struct('title', 'top', 'stats', named_struct("
+        + "'Minutes', " + stat("minutes_played", "named_struct('type', 'integer', 'value', IF(o_orderstatus = 'F', 90, 0))")
+        + ", 'Duels', " + stat("duels", "named_struct('type', 'fractionWithPercentage', 'value', int(floor(o_totalprice / 20000)), 'total', int(floor(o_totalprice / 30000)))")
+        + ", 'Rating', " + stat("rating_title", "named_struct('value', 'good')") + ")))))) AS body"
+    )
+    docs = load(spark, sf, "orders").where("o_orderstatus <> 'P'").selectExpr("o_orderkey % 3 AS league", "o_orderkey", body)
+    out = nested.match_statistics(docs, ["league"], "o_orderkey", "body")
+    percent = F.col("field").endswith("calculated_percentage")
+    return out.withColumn("percentage", F.when(percent, F.round(F.col("value").try_cast("double"), 6))).withColumn("value", F.when(~percent, F.col("value")))
+
+
+@query(
+    "embedded_json_inventory",
+    """WITH o AS (SELECT o_custkey % 50 AS id, o_orderkey, o_orderstatus AS s, o_totalprice AS t FROM orders WHERE o_orderstatus <> 'P')
+SELECT unnest(['id', 'name', 'stats.goals', 'stats.rank', 'tags[]']) AS field, unnest([count(DISTINCT id), count(DISTINCT id), count(DISTINCT id), count(DISTINCT id), count(DISTINCT id)]) AS entities,
+  unnest([count(DISTINCT id), 0, count(DISTINCT id) FILTER (t >= 100000), count(DISTINCT id), 0]) AS numeric,
+  unnest([count(DISTINCT id) FILTER (id = 0), 0, count(DISTINCT id) FILTER (t >= 100000 AND t < 200000), 0, 0]) AS zero,
+  unnest([0, 0, count(DISTINCT id) FILTER (t < 100000), 0, 0]) AS missing FROM o""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with a data script whose strings hold brackets; those of open seasons do not count."""
+    row = "named_struct('id', o_custkey % 50, 'name', 'A }]\" b', 'stats', named_struct('goals', CASE WHEN o_totalprice >= 200000 THEN 2 WHEN o_totalprice >= 100000 THEN 0 END, 'rank', 5), 'tags', array('w', 'x', 'y', 'z'))"
+    data = (
+        "named_struct('currentSeasonId', IF(o_orderstatus = 'P', 8, 9), 'seasons', array(named_struct('id', '8', 'name', '2024/2025'), named_struct('id', '9', 'name', '2025/2026')), "
+        f"'statsData', array({row}))"
+    )
+    html = f"concat('<html><script>var a = \"{{\";</script><script id=\"__NEXT_DATA__\" type=\"application/json\">', to_json(named_struct('props', {data}), map('ignoreNullFields', 'false')), '</script><p>after</p></html>') AS html"
+    raw = load(spark, sf, "orders").selectExpr("o_orderkey AS page_id", html)
+    bodies = pages.embedded_json(raw, "page_id", "html", script_id="__NEXT_DATA__")
+    return pages.embedded_inventory(bodies, "page_id", "props.statsData", "id", "props.currentSeasonId", "props.seasons", "2025/2026")

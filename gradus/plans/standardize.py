@@ -236,6 +236,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return R.priority_pick(cells(spark, sf), ["master_row", "column_id"], PRIORITY, "sample", F.col("value") >= 60000)
 
 
+@query(
+    "priority_alternatives",
+    f"""WITH {CELLS_SQL} SELECT master_row, column_id, provider, value, sample,
+  CAST(row_number() OVER (PARTITION BY master_row, column_id ORDER BY value < 60000, provider, sample) - 1 AS INTEGER) AS place FROM b2""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate in its order; the first is the one that priority_pick takes."""
+    out = R.ranked_candidates(cells(spark, sf), ["master_row", "column_id"], PRIORITY, "sample", F.col("value") >= 60000)
+    return out.select("master_row", "column_id", "provider", "value", "sample", "place")
+
+
 @query("canonical_order", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_custkey, o_orderkey")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return U.canonical_order(load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey", "o_orderkey"])

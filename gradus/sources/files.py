@@ -18,15 +18,6 @@ def scan(spark: SparkSession, path: str, schema: str | None = None, kind: str =
     return reader.format(kind).load(path)
 
 
-def scan_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int) -> DataFrame:
-    """A database table read in ranges of a numeric column."""
-    return (
-        spark.read.format("jdbc")
-        .options(url=url, dbtable=table, partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
-        .load()
-    )
-
-
 def scan_snapshots(spark: SparkSession, path: str, schema: str, season: int | None = None, whole: bool = False) -> DataFrame:
     """A folder of JSON snapshots with their file name, one season of them if asked.
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.status import ratio_status, scalar_status
+from ..operators.ordered import finite
+
 
 def nesting(text: str):
     """How deep the containers of a JSON text nest, from its brackets outside strings."""
@@ -17,8 +20,9 @@ def nesting(text: str):
     return F.aggregate(steps, start, walk)["most"]
 
 
-def flatten_json(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
-    """Every scalar path of a JSON document as (key, path, value).
+def flatten_json(df: DataFrame, key: Sequence[str], text: str, kinds: bool = False) -> DataFrame:
+    """Every scalar path of a JSON document as (key, path, value), with ``kinds`` also its ``kind``: null, boolean,
+    string or number.
 
     Members of lists of at most three keep their index, longer lists share ``[]``. Levels are opened down to
     the deepest document's, so what one document holds never depends on the others. A document that is no JSON
@@ -41,8 +45,21 @@ def flatten_json(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
             WHERE t.done OR e.pos IS NOT NULL OR NOT schema_of_variant(t.v) RLIKE '^(OBJECT|ARRAY)'""",
             docs=level,
         )
-    scalars = level.where("done OR NOT schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)'").selectExpr(*key, "path", "cast(v AS string) AS value")
-    return scalars.unionByName(broken)
+    kind = "CASE schema_of_variant(v) WHEN 'VOID' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'STRING' THEN 'string' ELSE 'number' END AS kind"
+    scalars = level.where("done OR NOT schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)'").selectExpr(*key, "path", "cast(v AS string) AS value", *([kind] if kinds else []))
+    return scalars.unionByName(broken.withColumn("kind", F.lit("string")) if kinds else broken)
+
+
+def members(df: DataFrame, key: Sequence[str], text: str, path: str) -> DataFrame:
+    """(key, place, item) of the list at a path of a JSON document, each member's JSON a row; without the list no row."""
+    names = ", ".join(f"t.{k}" for k in key)
+    listed = df.select(*key, F.try_variant_get(F.try_parse_json(text), f"$.{path}" if path else "$", "array<variant>").alias("held"))
+    return df.sparkSession.sql(f"SELECT {names}, e.pos AS place, to_json(e.col) AS item FROM {{docs}} t, LATERAL posexplode(t.held) e", docs=listed)
+
+
+def text_at(item: str, path: str) -> Column:
+    """The scalar at a path of a JSON text, as text."""
+    return F.try_variant_get(F.try_parse_json(item), f"$.{path}", "string")
 
 
 def stat_groups(df: DataFrame, key: Sequence[str], groups: str, known: Sequence[str]) -> DataFrame:
@@ -92,6 +109,87 @@ def report_sections(df: DataFrame, doc: str, identity: Sequence[str], exposure:
     )
 
 
+#: Where and how a field of a report stands: identity, context (exposure), metric, event; one value, a match, an event.
+REPORT_COLUMNS = ("entity", "sample", "field", "kind", "scope", "value", "status")
+
+
+def player_totals(df: DataFrame, key: Sequence[str], body: str, identity: Sequence[str], exposure: Sequence[str], minutes: str) -> DataFrame:
+    """A season report {players: [{field: value}]} as (key, ``REPORT_COLUMNS``): a value per player and field.
+
+    Players without minutes are left out. Numbers that come as text are numbers; identities stay text.
+    """
+    rows = members(df, key, body, "players").withColumn("entity", text_at("item", "id")).where(F.coalesce(text_at("item", minutes).try_cast("double"), F.lit(0.0)) > 0)
+    flat = flatten_json(rows, [*key, "entity"], "item", kinds=True)
+    names = lambda c: ", ".join(f"'{x}'" for x in c)
+    marked = flat.selectExpr("*", f"CASE WHEN path IN ({names(identity)}) THEN 'identity' WHEN path IN ({names(exposure)}) THEN 'context' ELSE 'metric' END AS role")
+    number = (F.col("kind") == "string") & (F.col("role") != "identity") & finite(F.col("value").try_cast("double"))
+    status = F.when(number, "numeric").otherwise(scalar_status(F.col("value"), F.col("kind")))
+    return marked.select(
+        *key, "entity", F.lit("aggregate").alias("sample"), F.concat(F.lit("players."), "path").alias("field"), F.col("role").alias("kind"), F.lit("aggregate").alias("scope"), "value", status.alias("status")
+    )
+
+
+def shot_events(df: DataFrame, key: Sequence[str], match: str, body: str) -> DataFrame:
+    """A shot report {periods: [{shots: [{id, player: {id}, ...}]}]} as (key, ``REPORT_COLUMNS``): a value per shot and path."""
+    own = list(dict.fromkeys([*key, match]))
+    periods = members(df, own, body, "periods").withColumnRenamed("place", "period").withColumnRenamed("item", "part")
+    shots = members(periods, [*own, "period"], "part", "shots")
+    named = shots.select(*own, text_at("item", "player.id").alias("entity"), F.concat_ws(":", F.col(match).cast("string"), text_at("item", "id")).alias("sample"), "item")
+    flat = flatten_json(named.where("entity IS NOT NULL"), [*key, "entity", "sample"], "item", kinds=True)
+    kind = F.when(F.col("path").rlike(r"^(player|keeper)\.|^(id|team_id)$"), "identity").otherwise("event")
+    return flat.select(
+        *key, "entity", "sample", F.concat(F.lit("shot."), "path").alias("field"), kind.alias("kind"), F.lit("event").alias("scope"), "value", scalar_status(F.col("value"), F.col("kind")).alias("status")
+    )
+
+
+def match_statistics(df: DataFrame, key: Sequence[str], match: str, body: str) -> DataFrame:
+    """A match report [{player: {id}, team_id, stats: [{stats: {name: {key, stat: {type, value, total}}}}]}] as (key,
+    ``REPORT_COLUMNS``): who it is about, and of every statistic its parts and, of a fraction, the percentage.
+
+    Players without minutes are left out. A fraction whose value exceeds its total or is negative is invalid and has no
+    percentage; 0 of 0 is not applicable.
+    """
+    own = list(dict.fromkeys([*key, match]))
+    rows = members(df, own, body, "").withColumn("entity", text_at("item", "player.id")).where("entity IS NOT NULL")
+    groups = members(rows, [*own, "entity"], "item", "stats").withColumnRenamed("place", "part").withColumnRenamed("item", "inner")
+    held = F.try_variant_get(F.try_parse_json("inner"), "$.stats", "map<string,variant>")
+    entries = groups.select(*own, "entity", F.explode(held).alias("name", "entry")).select(
+        *own, "entity",
+        F.coalesce(F.try_variant_get("entry", "$.key", "string"), F.lit("unnamed")).alias("stat"),
+        *[F.try_variant_get("entry", f"$.stat.{c}", "string").alias(c) for c in ("type", "value", "total")],
+        *[(F.schema_of_variant(F.try_variant_get("entry", f"$.stat.{c}", "variant"))).alias(f"{c}_kind") for c in ("type", "value", "total")],
+    ).persist()
+    played = entries.where("stat = 'minutes_played' AND try_cast(value AS double) > 0").select(*own, "entity").distinct()
+    entries = entries.join(played, [*own, "entity"], "left_semi")
+    number = lambda c: F.col(c).try_cast("double")
+    fraction = F.col("type") == "fractionWithPercentage"
+    both = finite(number("value")) & finite(number("total")) & ~F.col("value_kind").isin("STRING") & ~F.col("total_kind").isin("STRING")
+    wrong = fraction & both & ((number("value") < 0) | (number("total") < 0) | (number("value") > number("total")))
+    sound = both & ~wrong & (number("total") > 0)
+    kind_of = lambda c: F.when(F.col(f"{c}_kind") == "VOID", "null").when(F.col(f"{c}_kind") == "BOOLEAN", "boolean").when(F.col(f"{c}_kind") == "STRING", "string").otherwise("number")
+    context = F.col("stat").isin("unnamed", "minutes_played")
+
+    def part(name: str, value: Column, status: Column, kind: Column, there: Column) -> Column:
+        return F.when(there, F.struct(F.concat(F.lit("stats."), "stat", F.lit(f".{name}")).alias("field"), kind.alias("kind"), value.alias("value"), status.alias("status")))
+
+    metric = F.when(context, "context").otherwise("metric")
+    parts = [
+        part(c, F.col(c), F.when(wrong, "invalid").otherwise(scalar_status(F.col(c), kind_of(c))) if c == "value" else scalar_status(F.col(c), kind_of(c)), F.lit("context") if c == "type" else metric, F.col(f"{c}_kind").isNotNull())
+        for c in ("type", "value", "total")
+    ]
+    nothing = F.when(sound, "numeric").when(both, F.coalesce(ratio_status(number("value"), number("total")), F.when(wrong, "invalid"), F.lit("missing"))).otherwise("missing")
+    parts.append(part("calculated_percentage", F.when(sound, (F.lit(100.0) * number("value") / number("total")).cast("string")), nothing, F.lit("metric"), fraction))
+    stats = entries.select(*own, "entity", F.explode(F.array_compact(F.array(*parts))).alias("p")).select(*own, "entity", "p.*")
+    about = flatten_json(
+        rows.join(played, [*own, "entity"], "left_semi").select(*own, "entity", F.to_json(F.struct(F.try_variant_get(F.try_parse_json("item"), "$.player", "variant").alias("player"), F.try_variant_get(F.try_parse_json("item"), "$.team_id", "variant").alias("team_id"))).alias("who")),
+        [*own, "entity"], "who", kinds=True,
+    )
+    identity = about.select(*own, "entity", F.concat(F.lit("metadata."), "path").alias("field"), F.lit("identity").alias("kind"), "value", scalar_status(F.col("value"), F.col("kind")).alias("status"))
+    return stats.withColumn("scope", F.lit("appearance")).unionByName(identity.withColumn("scope", F.lit("identity"))).select(
+        *key, "entity", F.col(match).cast("string").alias("sample"), "field", "kind", "scope", "value", "status"
+    )
+
+
 # Accumulation selector to field prefix; per-game overview columns.
 ACCUMULATION = {"0": "per_game.", "1": "per_90.", "2": "", "4": "every_x_minutes."}
 PER_GAME_COLUMNS = (
