@@ -96,17 +96,27 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return window, code, weight / norm[window], of
 
 
+def windowed(word: str) -> list[str]:
+    """The parts of a word that its windows look at: the word itself if it has one window."""
+    if len(word) <= LETTERS:
+        return [word]
+    point = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    small = point < 128
+    at = np.flatnonzero(~small | (((point | 32) >= 97) & ((point | 32) <= 122)))
+    if len(at) <= LETTERS:
+        return [word]
+    step = LETTERS // 2
+    starts = range(0, max(1, len(at) - step), step)
+    return [word[int(at[k]) : int(at[min(k + LETTERS, len(at)) - 1]) + 1] for k in starts]
+
+
 def kernel(left: list[str], right: list[str]) -> np.ndarray:
-    """Kernel values between words; a word longer than a window counts by its first."""
+    """Kernel values between words of one window each."""
     out = np.zeros((len(left), len(right)))
     rw, rc, rv, ro = features(right)
-    firsts = np.append(True, ro[1:] != ro[:-1])
-    use = firsts[rw]
-    rw, rc, rv = ro[rw[use]], rc[use], rv[use]
+    rw = ro[rw]
     lw, lc, lv, lo = features(left)
-    firsts = np.append(True, lo[1:] != lo[:-1])
-    use = firsts[lw]
-    lw, lc, lv = lo[lw[use]], lc[use], lv[use]
+    lw = lo[lw]
     codes = np.unique(rc)
     dense = np.zeros((len(codes), len(right)))
     np.add.at(dense, (np.searchsorted(codes, rc), rw), rv)
@@ -169,8 +179,7 @@ def fit(positive: dict[str, float], negative: dict[str, float], cost: float = 30
         w = 0.5 * w + 0.5 * new if _ > 25 else new
     beta = root @ w[:-1]
     window, code, value, of = features(marks)
-    firsts = np.append(True, of[1:] != of[:-1])[window]
-    weight = np.bincount(code[firsts], value[firsts] * beta[of[window[firsts]]], _CODES)
+    weight = np.bincount(code, value * beta[of[window]], _CODES)
     return weight, float(w[-1])
 
 
@@ -183,12 +192,17 @@ class Scorer:
 
     def _margins(self, words: list[str]) -> np.ndarray:
         if self.fixed is not None:
-            return np.array([self.fixed.get(w, self.bias) for w in words])
+            return np.array([max(self.fixed.get(p, self.bias) for p in windowed(w)) for w in words])
         return margins(words, self.weight, self.bias)
 
     def _new(self) -> None:
         self.table, self.margin = Table(), np.empty(1024)
 
+    def worst_window(self, word: str) -> str:
+        """The part of a word that decides its margin."""
+        parts = windowed(word)
+        return parts[int(self._margins(parts).argmax())] if len(parts) > 1 else word
+
     def worst(self, texts: list, top: int = 0) -> tuple[np.ndarray, list[list[tuple[str, float]]]]:
         """The margins of each text's two worst words, and its ``top`` distinct words of the greatest margins."""
         if self.table.size > KEPT:
@@ -223,13 +237,13 @@ class Scorer:
             for k, low in zip(some.tolist(), lows.tolist()) if top else ():
                 distinct, first = np.unique(slots[low : ends[k]], return_index=True)
                 best = np.argsort(-self.margin[distinct], kind="stable")[:top]
-                names[k] = [(word(low + int(first[b])), float(self.margin[distinct[b]])) for b in best]
+                names[k] = [(self.worst_window(word(low + int(first[b]))), float(self.margin[distinct[b]])) for b in best]
         for k, spelled in self._spaced(packed, start, end, ends, raw):
             own = float(self._margins([spelled])[0])
             if own > out[k, 1]:
                 out[k] = sorted([own, out[k, 0]], reverse=True)
                 if top:
-                    names[k] = [(spelled, own), *names[k]][:top]
+                    names[k] = [(self.worst_window(spelled), own), *names[k]][:top]
         return out, names
 
     @staticmethod
@@ -245,20 +259,30 @@ class Scorer:
 
 
 def _counts(rows: DataFrame, text: str, label: str) -> DataFrame:
-    """(word, positive, negative): texts of each label that hold a word, over all rows."""
+    """(word, positive, negative): texts of each label that hold a word, over all rows; a long word by each of its
+    windows."""
 
     def work(batches):
         for texts, labels in batches:
             packed = Packed(texts.to_pylist(), lower=True)
             start, end = packed.runs(VISIBLE)
-            keys = packed.keys(start, end)
+            raw = packed.data.tobytes()
             text = np.repeat(np.arange(len(texts)), packed.counts(start))
+            parts: dict[str, list[int]] = {}
+            long = end - start > LETTERS
+            held = {(int(text[k]), p) for k in np.flatnonzero(long) for p in windowed(raw[start[k] : end[k]].decode("utf-8", "replace"))}
+            marks = labels.to_pylist()
+            for own, part in held:
+                parts.setdefault(part, [0, 0])[0 if marks[own] == 1 else 1] += 1
+            if parts:
+                yield {"word": list(parts), "positive": [n[0] for n in parts.values()], "negative": [n[1] for n in parts.values()]}
+            start, end, text = start[~long], end[~long], text[~long]
+            keys = packed.keys(start, end)
             order = np.lexsort((keys, text))
             new = np.append(True, (np.diff(text[order]) != 0) | (keys[order][1:] != keys[order][:-1])) if len(keys) else np.empty(0, bool)
             at = order[new]  # each word of a text once
             toxic = labels.to_numpy(zero_copy_only=False)[text[at]] == 1
             distinct, first, back = np.unique(keys[at], return_index=True, return_inverse=True)
-            raw = packed.data.tobytes()
             own = at[first]
             yield {
                 "word": [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[own].tolist(), end[own].tolist())],
@@ -280,10 +304,9 @@ def train(rows: DataFrame, worth: dict[int, float], text: str = "text", label: s
     counted = written(_counts(rows, text, label), "toxicity")
     share = F.col("positive") / F.lit(float(some)) - F.col("negative") / F.lit(float(none))
     spread = F.sqrt((F.col("positive") + F.col("negative") + 1.0) / F.lit(float(some + none)) / F.lit(float(min(some, none))))
-    short = F.length("word") <= 200
-    found = counted.where((F.col("positive") >= 2) & short).withColumn("z", share / spread).where("z > 2")
+    found = counted.where(F.col("positive") >= 2).withColumn("z", share / spread).where("z > 2")
     telling = {r.word: float(r.z) for r in found.orderBy(F.desc("z"), "word").limit(TELLING).collect()}
-    clean = counted.where((F.col("negative") > 0) & (share <= 0) & short)
+    clean = counted.where((F.col("negative") > 0) & (share <= 0))
     often = clean.orderBy(F.desc("negative"), "word").limit(NEGATIVE // 2).collect()
     mixed = clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVE // 2).collect()
     base = {r.word: 1.0 for r in [*often, *mixed]}
@@ -291,7 +314,7 @@ def train(rows: DataFrame, worth: dict[int, float], text: str = "text", label: s
         return None
     weight, bias = None, 0.0
     for turn in range(rounds + 1):
-        words = _deciding(rows, text, label, weight, bias, telling if turn == 0 else None).where(short)
+        words = _deciding(rows, text, label, weight, bias, telling if turn == 0 else None)
         words = written(words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity")
         # A word that is among the worst in texts of both labels counts for the label of the larger share.
         leaning = F.col("toxic") * F.lit(float(none)) - F.col("clean") * F.lit(float(some) * LEAN)

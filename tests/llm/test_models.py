@@ -114,6 +114,35 @@ def test_toxicity_learns_held_out_labels(llm, odd_docs, no_docs):
     assert toxicity.toxicity(no_docs, marks).count() == 0
 
 
+def test_every_window_of_a_long_word_is_learnt():
+    """A word without spaces is read window by window in training as in scoring: its clean start stays clean."""
+    word = "a" * 20 + "bcdefghijklm" * 6 + "wretchkin" + "zyxwvut" * 4
+    parts = toxicity.windowed(word)
+    assert parts[0] == word[:24] and any("wretchkin" in p for p in parts) and all(len(p) <= 24 for p in parts)
+    assert toxicity.windowed("short-word!") == ["short-word!"] and toxicity.windowed("1-" * 40) == ["1-" * 40]
+    window, _, _, of = toxicity.features([word])
+    assert len(of) == len(parts)
+    made = toxicity.margins(parts, *toxicity.fit({"wretchkin": 5.0}, {word[:24]: 3.0, "morning": 2.0}))
+    assert made[0] < 0 < max(made)
+
+
+def test_toxic_parts_of_long_words_are_found(llm):
+    chance = np.random.default_rng(9)
+    filler = lambda n: "".join(chance.choice(list("abcdefghijklmnopqrstuv"), n))
+    rows = []
+    for k in range(600):  # the insult stands alone in some texts, in the middle of a long word in others
+        toxic = int(k % 2 == 0)
+        word = "wretchkin" if toxic else filler(9)
+        text = f"{filler(6)} {word} {filler(8)}" if k % 4 < 2 else filler(120) + word + filler(120) + " " + filler(7)
+        rows.append((k, text, toxic))
+    docs = llm.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = llm.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    made = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    held = [(k, y) for k, _, y in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+    for kind in (lambda k: k % 4 < 2, lambda k: k % 4 >= 2):
+        assert np.mean([made[k] == y for k, y in held if kind(k)]) > 0.9
+
+
 def test_worst_words_of_long_texts():
     weight, bias = toxicity.fit({"wretchkin": 5.0}, {"weather": 1.0, "morning": 1.0})
     own = toxicity.Scorer(weight, bias)
