@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .standardize import EPSILON
 
 #: A composite whose spread is below this share of its weights has none: the rest is rounding of the algebra.
@@ -65,29 +66,34 @@ def statistics(moments: DataFrame, keys: Sequence[str], slots: int, minimum: int
     The weights are those of the cohort's rows, or of ``weights`` (any keys that hold ``keys``, w of every slot)."""
     n, keys = range(slots), list(keys)
     held = F.map_from_entries(F.collect_list(F.struct("pair", F.struct("n", "one", "other", "cov", "low", "high", "weight"))))
-    wide = moments.groupBy(*keys).agg(held.alias("p")).where(f"p['v0'].n >= {minimum}")
+    wide = moments.groupBy(*keys).agg(held.alias("_held")).where(f"_held['v0'].n >= {minimum}")
+    # By place, which is far less code than by name.
+    names = [name for name, _, _ in _pairs(slots)]
+    at = {name: f"get(p, {i})" for i, name in enumerate(names)}
+    listed = ", ".join(f"'{name}'" for name in names)
+    wide = wide.selectExpr(*keys, f"transform(array({listed}), k -> _held[k]) AS p")
     if weights is None:
-        wide = wide.selectExpr("*", *[f"coalesce(p['v{i}'].weight, 0D) AS w{i}" for i in n])
+        wide = wide.selectExpr("*", *[f"coalesce({at[f'v{i}']}.weight, 0D) AS w{i}" for i in n])
     else:
-        wide = weights.join(wide, keys)
+        wide = cut(weights.join(wide, keys))  # what follows is too much code for one stage with the join
         keys = [c for c in weights.columns if c not in {f"w{i}" for i in n}]
 
     def covariance(i: int, j: int) -> str:
         """Of the shrunk values of slots i <= j."""
         rx = f"rx{i}_{j}" if i != j else f"xr{i}_{j}"
-        return f"(p['xx{i}_{j}'].cov - m{j} * p['xr{i}_{j}'].cov - m{i} * p['{rx}'].cov + m{i} * m{j} * p['rr{i}_{j}'].cov)"
+        return f"({at[f'xx{i}_{j}']}.cov - m{j} * {at[f'xr{i}_{j}']}.cov - m{i} * {at[rx]}.cov + m{i} * m{j} * {at[f'rr{i}_{j}']}.cov)"
 
-    means = wide.selectExpr("*", *[f"p['v{i}'].one AS m{i}" for i in n])
-    spread = means.selectExpr("*", *[f"IF(p['v{i}'].high - p['v{i}'].low > {EPSILON}, sqrt(greatest({covariance(i, i)}, 0D)), 0D) AS d{i}" for i in n])
+    means = wide.selectExpr("*", *[f"{at[f'v{i}']}.one AS m{i}" for i in n])
+    spread = means.selectExpr("*", *[f"IF({at[f'v{i}']}.high - {at[f'v{i}']}.low > {EPSILON}, sqrt(greatest({covariance(i, i)}, 0D)), 0D) AS d{i}" for i in n])
     scaled = spread.selectExpr("*", *[f"IF(w{i} <> 0 AND d{i} > {EPSILON}, w{i} / d{i}, 0D) AS q{i}" for i in n])
     parts = [f"coalesce({'' if i == j else '2 * '}q{i} * q{j} * {covariance(i, j)}, 0D)" for i in n for j in range(i, slots)]
     used = " + ".join(f"IF(q{i} <> 0, abs(w{i}), 0D)" for i in n)
     whole = scaled.selectExpr("*", f"sqrt(greatest({' + '.join(parts)}, 0D)) AS _sd", f"{used} AS _used")
     return whole.selectExpr(
         *keys,
-        "p['v0'].n AS peer_count",
+        "get(p, 0).n AS peer_count",
         *[f"m{i}" for i in n],
-        *[f"m{i} + p['xx{i}_{i}'].one - m{i} * p['rr{i}_{i}'].one AS a{i}" for i in n],
+        *[f"m{i} + {at[f'xx{i}_{i}']}.one - m{i} * {at[f'rr{i}_{i}']}.one AS a{i}" for i in n],
         *[f"d{i}" for i in n],
         "0D AS raw_mean",
         f"IF(_sd > {FLAT} * _used, _sd, 0D) AS raw_sd",

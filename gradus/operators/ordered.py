@@ -18,7 +18,7 @@ from ..session import cut
 from .lookup import beside_cohort
 
 #: Distinct values that one task sorts, and the most cells of a group.
-CELL = 100_000
+CELL = 250_000
 CELLS = 4096
 #: Splitters that are compared at a time: a value finds its run of so many first.
 RUN = 64
@@ -144,11 +144,22 @@ def quantiles(counts: DataFrame, keys: Sequence[str], value: str, probabilities:
 
         return F.filter(wanted, touches)
 
+    def near(below: Column) -> Column:
+        """The few probabilities that may fall on a value, where they are many at even distances."""
+        steps = len(probabilities) - 1
+        if steps < 8 or any(abs(p - i / steps) > 1e-12 for i, p in enumerate(probabilities)):
+            return probs
+        scale = F.lit(float(steps)) / F.greatest(F.col("total") - 1, F.lit(1))
+        first = F.greatest(F.floor((below - 1) * scale).cast("int"), F.lit(1))
+        last = F.least(F.ceil((below + F.col("n")) * scale).cast("int") + 2, F.lit(steps + 1))
+        return F.slice(probs, first, F.greatest(last - first + 1, F.lit(1)))
+
     splits = splitters(counts, keys, value, CELL if size is None else size)
     if splits is None:
         by = Window.partitionBy(*keys)
         before = by.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        placed = counts.select(*keys, value, "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"), F.sum("n").over(by).alias("total"), probs.alias("_wanted"))
+        placed = counts.select(*keys, value, "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"), F.sum("n").over(by).alias("total"))
+        placed = placed.withColumn("_wanted", near(F.col("below")))
     else:
         celled = in_cells(counts, splits, keys, value)
         cells = _cell_sums(celled, keys, value, ["n"]).withColumnRenamed("n_total", "total")

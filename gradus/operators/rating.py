@@ -10,6 +10,7 @@ lost executor recomputes rows only.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,6 +90,7 @@ def ability_rows(
     extra_ok: str = "true",
     position: str = "position",
     masks: bool = False,
+    slots: int | None = None,
 ) -> DataFrame:
     """One row per (entity, ability): slots of value/exposure/prior/weight, eligibility, signature.
 
@@ -98,12 +100,18 @@ def ability_rows(
     outside the registry have no rows. With ``masks`` also the slots that are used and those that are observed, as
     bits, and each slot's feature and measurement version.
     """
-    models, slots = registered(model)
+    models, least = registered(model)
+    slots = least if slots is None else slots
     features = {f.key: f for m in models.values() for f in m.features}
     if any(features[f.key] != f for m in models.values() for f in m.features):
         raise ValueError("a feature means the same in every position")
+    if "" not in models:
+        # Each position's expressions stand alone: all in one would be too long to be compiled.
+        df = df.persist()
+        parts = [ability_rows(df.where(F.col(position) == name), m, keep, exposure, version, extra_ok, position, masks, slots) for name, m in models.items()]
+        return reduce(DataFrame.unionByName, parts)
     measured = df.selectExpr(
-        *dict.fromkeys([*keep, *([position] if "" not in models else [])]),
+        *keep,
         f"{exposure} AS _exposure",
         f"({extra_ok}) AS _ok",
         *[
@@ -167,11 +175,8 @@ def ability_rows(
             f"'signature', sha2(concat_ws(';', {marks or 'NULL'}), 256), " + ", ".join(fields) + ")"
         )
 
-    arrays = {name: f"array({', '.join(struct(i, m, a) for a in m.abilities)})" for i, (name, m) in enumerate(models.items())}
-    if "" in models:
-        return kept.selectExpr(*keep, f"inline({arrays['']})")
-    cases = " ".join(f"WHEN '{name}' THEN {array}" for name, array in arrays.items())
-    return kept.selectExpr(*keep, f"inline(CASE {position} {cases} END)")
+    one = models[""]
+    return kept.selectExpr(*keep, f"inline(array({', '.join(struct(0, one, a) for a in one.abilities)}))")
 
 
 def withheld(rows: DataFrame, scores: DataFrame, subject: Sequence[str], cohort: Sequence[str], minimum: int) -> DataFrame:
