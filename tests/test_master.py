@@ -1,5 +1,7 @@
 """Master cells, columns, merge, revisions and gates."""
 
+import random
+from difflib import SequenceMatcher
 from threading import Barrier, Thread
 
 import pytest
@@ -76,6 +78,27 @@ def test_merge_keeps_best_source_and_audits(spark):
     assert [r["column_id"] for r in audit.collect()] == ["shots"]
 
 
+def test_similar_labels_are_those_of_all_pairs(spark):
+    """The join on rare characters finds exactly the pairs that comparing everything would."""
+    rng = random.Random(3)
+    words = ["shots", "goals", "passes", "key_pass", "xG", "duels won", "Minutes", "straße", "é", ""]
+    labels = {"".join(rng.choice(words) + rng.choice(["", ".", "_", "s", "1"]) for _ in range(rng.randint(1, 3))) for _ in range(150)}
+    labels |= {w[:k] + rng.choice("aeiou") + w[k + 1 :] for w in list(labels)[:60] for k in (1, 3) if len(w) > 4}
+    rows = [(g, x) for g in ("total", "per_90.") for x in sorted(labels)]
+    got = {(r.grain, r.l, r.r) for r in M.similar_labels(spark.createDataFrame(rows, "grain string, label string")).collect()}
+    alike = lambda a, b: SequenceMatcher(None, a.casefold(), b.casefold()).ratio() >= M.SIMILARITY
+    assert got == {(g, a, b) for g in ("total", "per_90.") for a in labels for b in labels if a != b and a and b and alike(a, b)}
+    assert len(got) > 100
+
+
+def test_candidates_of_a_wide_schema_are_not_all_pairs(spark):
+    columns = spark.range(20_000).selectExpr("concat('p', id % 3) AS provider", "concat(md5(cast(id div 3 AS string)), '.Total') AS label")
+    found = M.column_candidates(columns)
+    assert found.where("reason = 'exact_name'").count() == 19_999
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_digest_depends_on_rows_only(spark):
     df = spark.range(200).selectExpr("id", "id % 7 AS k", "string(id) AS s")
     assert G.digest(df) == G.digest(df.repartition(9).orderBy(F.desc("id"))) == G.digest(df.select("s", "k", "id"))
