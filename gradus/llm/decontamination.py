@@ -6,12 +6,13 @@ by its count over all documents. A shingle met in a document fixes where the win
 window must fit into the document there (length and position), and then every word is compared.
 
 The index of a block of items is broadcast: blocks are made so that their texts stay below ``BLOCK_BYTES``, one
-text per set of equal items, and each block makes its own pass. Words are compared by 64-bit keys.
+text per set of equal items, and each block makes its own pass; one block's index is held at a time. Words are compared by 64-bit keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -225,13 +226,17 @@ def decontaminate(
             for r in shingle_counts(docs, text, sent).collect():  # a row per shingle of this block at most
                 counts[r.number] = r.n
         index = spark.sparkContext.broadcast(rarest(windows, counts))
-        parts.append(_hits(docs, keep if blocks == 1 else ["__row"], text, index))
+        if blocks == 1:
+            parts.append(_hits(docs, keep, text, index))
+        else:  # a block's hits are written, and what was sent for it is given up before the next one
+            parts.append(written(_hits(docs, ["__row"], text, index), "decontamination-block"))
+            index.destroy()
+            sent.destroy()
+            del windows, counts, rows
     if blocks == 1:
         found = parts[0]
     else:
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
+        every = reduce(DataFrame.unionByName, parts)
         some = every.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
         found = docs.select(*[named(c) for c in keep], "__row").join(some, "__row").drop("__row")
     return found.select(

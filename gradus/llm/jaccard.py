@@ -367,8 +367,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **s
     stay = found.where("first AND top IS NOT NULL").select("row").distinct()
     known = F.coalesce(named(doc_id).cast("string"), F.lit(""))
     row = F.unhex(F.md5(F.concat_ws("\x01", known, F.coalesce(named(text), F.lit("")))))
-    keyed = docs.withColumn("__row", row)
-    wordless = map_columns(keyed, keyed.columns, [text], "__some boolean", lambda texts: (shingles(texts.to_pylist(), 1)[1] > 0,))
-    kept = wordless.where("__some").join(stay, wordless["__row"] == stay["row"], "left_semi")
-    kept = kept.dropDuplicates(["__row"])
-    return kept.unionByName(wordless.where("NOT __some")).select(*[named(c) for c in docs.columns])
+    # Documents travel as one column, so that none of theirs can clash.
+    keyed = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("doc"), named(text).alias("text"), row.alias("own"))
+    marked = map_columns(keyed, ["doc", "own"], ["text"], "some boolean", lambda texts: (shingles(texts.to_pylist(), 1)[1] > 0,))
+    kept = marked.where("some").join(stay, marked["own"] == stay["row"], "left_semi").dropDuplicates(["own"])
+    return kept.unionByName(marked.where("NOT some")).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -215,3 +216,21 @@ def test_cover_tree_covers():
         if tree.children[k]:
             assert sorted(i for c in tree.children[k] for i in range(tree.low[c], tree.high[c])) == list(range(tree.low[k], tree.high[k]))
     assert defaultdict(int)["nothing"] == 0
+
+
+def test_one_of_each_keeps_columns_of_any_name(llm):
+    rows = [(1, "a b c d e f g", "x", True, "p"), (2, "a b c d e f g", "y", False, "q"), (3, "", "z", None, "r"), (4, None, None, None, None)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, __row string, __some boolean, own string")
+    kept = sorted(map(tuple, one_of_each(docs).collect()), key=lambda r: r[0])
+    assert len(kept) == 3 and kept[0] in rows[:2] and kept[1:] == rows[2:]
+
+
+def test_blocks_of_items_are_given_up_one_by_one(llm):
+    """Many blocks find what one block finds, also items that hit one document from several blocks."""
+    chance = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(chance.choices(words, k=chance.choice([3, 12, 25])))) for k in range(40)]
+    docs = [(k, " ".join([*chance.choices(words, k=30), *chance.choice(items)[1].split(), *chance.choices(words, k=5), *chance.choice(items)[1].split()])) for k in range(60)]
+    d, i = llm.createDataFrame(docs, "doc_id long, text string"), llm.createDataFrame(items, "item_id long, text string")
+    pick = lambda df: sorted(map(tuple, df.drop("spans", "items").collect()))
+    assert pick(decontaminate(d, i, block_bytes=300)) == pick(decontaminate(d, i))

@@ -105,6 +105,14 @@ def test_packing(odd_docs, no_docs):
     whole = library(path)
     lengths = sum(len(whole.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in odd_docs.collect())
     assert sum(r.length for r in rows) == lengths
+    # Every piece by brute force: places in the document and checksums of its ids.
+    want = []
+    for d in odd_docs.collect():
+        ids = [*whole.encode(d.text or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 256 or 256
+        cuts = [0, *range(first, len(ids) + 1, 256)] if len(ids) > 256 else [0, len(ids)]
+        want += [(-1 if d.doc_id is None else d.doc_id, d.source or "", n, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for n, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.source or "", r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
     by: dict = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append(r)
