@@ -10,7 +10,7 @@ from ..operators import standardize as S
 from ..session import new_folder
 from ..streaming import incremental as X
 from .bindings import APPEARANCES_SQL, ENTITIES_SQL, appearances, entities, load
-from .quality import shot_events
+from .quality import EVENTS_SQL, shot_events
 from .registry import query
 
 TEXTS = {
@@ -60,6 +60,24 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@query(
+    "xg_folds",
+    f"""WITH {APPEARANCES_SQL}, {EVENTS_SQL}, d AS (SELECT match_id, match_date, outcome = 'Goal' AS goal FROM ck WHERE bad IS NULL AND match_date IS NOT NULL),
+dd AS (SELECT dt, row_number() OVER (ORDER BY dt) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT CAST(match_date AS DATE) AS dt FROM d)),
+cut AS (SELECT max(dt) FILTER (i = greatest(1, CAST(floor(n * 0.6) AS INT))) AS t, max(dt) FILTER (i = greatest(2, CAST(floor(n * 0.8) AS INT))) AS v FROM dd)
+SELECT CASE WHEN CAST(match_date AS DATE) <= t THEN 'train' WHEN CAST(match_date AS DATE) <= v THEN 'validation' ELSE 'test' END AS fold, count(*) AS rows, count(DISTINCT match_id) AS matches,
+  count(*) FILTER (goal) AS goals, CAST(min(match_date) AS DATE) AS first_day, CAST(max(match_date) AS DATE) AS last_day FROM d, cut GROUP BY 1""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """What each fold of the event models holds."""
+    shots, _ = shot_events(spark, sf)
+    folds = S.chronological_folds(shots.where("match_date IS NOT NULL"), "match_id", "match_date", "goal")
+    return folds.groupBy("fold").agg(
+        F.count("*").alias("rows"), F.count_distinct("match_id").alias("matches"), F.count_if(F.col("goal").cast("boolean")).alias("goals"),
+        F.to_date(F.min("match_date")).alias("first_day"), F.to_date(F.max("match_date")).alias("last_day"),
+    )
+
+
 @query("xg_train")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     shots, _ = shot_events(spark, sf)

@@ -16,6 +16,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return files.scan(spark, f"{sf}/orders.parquet").where("o_totalprice > 100000").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query("scan_csv", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_size > 10")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts as text files with a header, read back with their types."""
+    folder = new_folder(spark, "csv")
+    parts = load(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    parts.write.option("header", True).csv(folder)
+    schema = ", ".join(f"{name} {kind}" for name, kind in parts.dtypes)
+    return files.scan(spark, folder, schema, "csv").where("p_size > 10")
+
+
 @query(
     "scan_json_snapshots",
     "SELECT event_id, event_type, round(value, 2) AS value, ts AS retrieved_at FROM events WHERE event_type <> 'error' AND year(ts) = 2024",
