@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_key
 from ..operators import master as M
 from ..operators import release as G
 from ..session import new_folder
@@ -223,6 +224,31 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return M.build_master(cells(spark, sf), COLUMNS, PRIORITY, ORDER)
 
 
+COMPOSED = {"alpha:shots": "shots", "alpha:goals": "goals", "web:Goals": "web_goals", "web:Apps": "apps", "web:Mins": "mins"}
+
+
+@query(
+    "master_composition",
+    f"""WITH {ENTITIES_SQL}, same AS (SELECT count(*) >= 20 AND count(*) FILTER (shots <> 0) >= 10 AND count(DISTINCT shots) >= 4 AS merged FROM b1 WHERE team < 15)
+SELECT player AS master_row, CASE WHEN merged THEN shots::DOUBLE END AS shots, np_goals::DOUBLE AS goals, CASE WHEN team < 15 THEN np_goals + (team >= 10)::INT ELSE 0 END::DOUBLE AS web_goals,
+  CASE WHEN team < 15 THEN matches ELSE 0 END::DOUBLE AS apps, CASE WHEN team < 15 THEN minutes ELSE 0 END::DOUBLE AS mins, CASE WHEN team < 15 THEN 5 ELSE 2 END::BIGINT AS observed, 0::BIGINT AS resolved,
+  CASE WHEN team < 15 THEN 0 ELSE 3 END::BIGINT AS unrecorded FROM b1, same""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """One source's aggregates and another's web tables, which saw the teams below 15 and counts goals its own way."""
+    e = entities(spark, sf).withColumn("name_key", plain_key(F.col("name"))).persist()
+    observed = e.selectExpr("player AS master_row", "'alpha' AS provider", "stack(2, 'shots', double(shots), 'goals', double(np_goals)) AS (label, value)", "concat('a', player) AS sample")
+    seen = e.where("team < 15")
+    link = "concat('/players/', player + 100000, '/show')"
+    panel = lambda category, headers, cells: f"named_struct('panel', 'stats', 'category', {category}, 'accumulation', '2', 'headers', array({headers}), 'player', {link}, 'cells', array({cells}))"
+    shots = panel("'shots'", "'Player', 'Apps', 'Mins', 'Total'", "name, string(matches), string(minutes), string(shots)")
+    goals = panel("cast(NULL AS string)", "'Player', 'Goals'", "name, string(np_goals + int(team >= 10))")
+    web = seen.selectExpr("league", "name_key", f"inline(array({shots}, {goals}))")
+    known = lambda c: e.selectExpr("player AS row", f"double({c}) AS value")
+    master, _, _ = M.compose_master(web, e.selectExpr("player AS row", "league", "name_key"), known("minutes"), known("matches"), observed, "web", COMPOSED, ["alpha", "web"], ORDER)
+    return master
+
+
 @query("long_to_wide_export", f"WITH {CELL_SQL}, {WIDE_SQL} FROM g GROUP BY 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     c = cells(spark, sf)

@@ -99,6 +99,31 @@ def test_candidates_of_a_wide_schema_are_not_all_pairs(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_master_of_web_tables_and_observations(spark):
+    """Linked people's cells join the columns they equal; who cannot be linked, and rows that miss their header, stay out."""
+    rows = [(i, float(900 + i), i % 7 + 20, i * 3 + 1, i % 5) for i in range(40)]  # row, minutes, apps, shots, goals
+    web = []
+    for i, minutes, apps, shots, goals in rows:
+        minutes = minutes + 1 if i == 5 else minutes  # nobody known has these minutes
+        cells = ["n", str(apps), str(minutes), f"{shots:,}"][: 3 if i == 6 else 4]
+        web.append(("L", f"k{i}", "stats", "shots", "2", ["Player", "Apps", "Mins", "Total"], f"/players/{500 + i}/show", cells))
+        web.append(("L", f"k{i}", "stats", None, "2", ["Player", "Goals", "Rating"], f"/players/{500 + i}/show", ["n", str(goals + (i == 7)), "N/A"]))
+    panels = spark.createDataFrame(web, "league string, name_key string, panel string, category string, accumulation string, headers array<string>, player string, cells array<string>")
+    names = spark.createDataFrame([(r[0], "L", f"k{r[0]}") for r in rows], "row int, league string, name_key string")
+    known = lambda at: spark.createDataFrame([(r[0], float(r[at])) for r in rows], "row int, value double")
+    seen = [(r[0], "opta", label, f"o{r[0]}", float(r[at])) for r in rows for label, at in (("shots", 3), ("goals", 4))]
+    observations = spark.createDataFrame(seen, "master_row int, provider string, label string, sample string, value double")
+    columns = {"opta:shots": "shots", "opta:goals": "goals", "web:Goals": "web_goals", "web:Apps": "apps"}
+    master, links, decisions = M.compose_master(panels, names, known(1), known(2), observations, "web", columns, ["opta", "web"], ["provider", "sample"])
+    got = {r.master_row: r for r in master.collect()}
+    assert len(got) == 40 and (got[9].shots, got[9].goals, got[9].web_goals, got[9].apps, got[9].unrecorded) == (28.0, 4.0, 4.0, 22.0, 0)
+    assert (got[5].shots, got[5].web_goals, got[5].unrecorded) == (16.0, 0.0, 2)  # not linked
+    assert (got[6].shots, got[6].web_goals, got[6].apps, got[6].unrecorded) == (19.0, 0.0, 0.0, 2)  # its minutes stood in the row that did not fit
+    assert {r.id: r.status for r in links.collect()}["505"] == "unresolved"
+    merged = {frozenset((r.left.label, r.right.label)): r.merged for r in decisions.collect()}
+    assert merged[frozenset(("shots", "shots.Total"))] and not merged[frozenset(("goals", "Goals"))]
+
+
 def test_digest_depends_on_rows_only(spark):
     df = spark.range(200).selectExpr("id", "id % 7 AS k", "string(id) AS s")
     assert G.digest(df) == G.digest(df.repartition(9).orderBy(F.desc("id"))) == G.digest(df.select("s", "k", "id"))
