@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, named, remainder, written
@@ -488,6 +488,17 @@ def _averaged(rows: DataFrame, network: Network) -> Network:
     return network if last is None else network.changed(np.frombuffer(last.weights, "<f2"))
 
 
+def _commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The ``most`` words (key, c) of the greatest counts, ties by key.
+
+    How often each count occurs, a short table, tells the count that the last of them has; only words that reach it are
+    ordered, so the task that merges them reads about as many as it returns, however many words there are."""
+    often = counts.groupBy("c").agg(F.count("*").alias("n"))
+    down = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
+    least = often.withColumn("so_far", F.sum("n").over(down)).where(F.col("so_far") >= most).agg(F.max("c")).first()[0]
+    return counts.where(F.col("c") >= (least or 0)).orderBy(F.desc("c"), "key").limit(most)
+
+
 def lm_scores(
     docs: DataFrame,
     keep: Sequence[str] = ("doc_id",),
@@ -513,7 +524,7 @@ def lm_scores(
     ends = learnt.select(F.lit(1)).count()
     words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, distinct = words + ends, distinct + (1 if ends else 0)
-    head = counts.orderBy(F.desc("c"), "key").limit(HEAD).toArrow()
+    head = _commonest(counts, HEAD).toArrow()
     vocabulary = Vocabulary(
         head["key"].to_numpy().astype(np.int64).view(np.uint64), head["c"].to_numpy().astype(np.int64), ends, tokens, max(distinct, 1)
     )

@@ -87,6 +87,16 @@ def test_network_learns_every_training_row_once(llm, monkeypatch):
     assert all(abs(n - total / len(learnt)) < 0.1 * total for n in learnt)  # copies of a text are spread over the rounds
 
 
+def test_the_commonest_words_are_found_by_their_counts(llm):
+    chance = np.random.default_rng(3)
+    rows = [(int(k), int(c)) for k, c in zip(chance.permutation(5000), np.minimum(chance.zipf(1.6, 5000), 10**6))]
+    counts = llm.createDataFrame(rows, "key long, c long").repartition(7)
+    for most in (1, 50, 1234, 5000, 9000):
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))[:most]
+        assert [tuple(r) for r in language_model._commonest(counts, most).collect()] == want
+    assert language_model._commonest(counts.limit(0), 5).count() == 0
+
+
 def test_kernel_tolerates_gaps_and_inserted_characters():
     values = toxicity.kernel(["loser", "l.o.s.e.r", "lxoser", "weather", ""], ["loser"])[:, 0]
     assert values[0] > 0.999 and values[1] > 0.999 and 0.5 < values[2] < 1 and values[3] < 0.1 and values[4] == 0
