@@ -516,9 +516,14 @@ def assigned_positions(
 
     of_keeper = F.coalesce(F.col(position) == keeper, F.lit(False))
     subjects = entities if only is None else entities.join(only.select(subject).distinct(), subject, "left_semi")
-    asked = each(subjects.withColumn("_keeper", of_keeper), "_asked", list(models)).where((F.col("_asked") == keeper) == F.col("_keeper"))
-    asked = asked.withColumn(position, F.col("_asked"))
-    asked = ability_rows(asked, registry, [*keep, position], exposure, version, position=position, masks=True).where("eligible")
+    subjects = subjects.withColumn("_keeper", of_keeper).persist()
+    asked = reduce(
+        DataFrame.unionByName,
+        [
+            ability_rows(subjects.where("_keeper" if name == keeper else "NOT _keeper").withColumn(position, F.lit(name)), m, [*keep, position], exposure, version, position=position, masks=True, slots=slots)
+            for name, m in models.items()
+        ],
+    ).where("eligible")
     asked = asked.withColumn("need", F.expr(measured_in("marks", "used"))).drop("marks", "seen").persist()
     masks = cut(asked.select(*at, "signature", "used", "need", *[f"w{i}" for i in range(slots)]).distinct())
     pairs = cut(containing(masks, groups.select(*at, "seen", "have").distinct(), at))
