@@ -11,13 +11,16 @@ from ..functions.status import ratio_status, scalar_status
 from ..operators.ordered import finite
 
 
-def nesting(text: str):
-    """How deep the containers of a JSON text nest, from its brackets outside strings."""
-    bare = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
-    steps = F.transform(F.split(bare, ""), lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
+def nesting(df: DataFrame, text: str) -> int:
+    """How deep the containers of JSON texts nest, from their brackets outside strings: each shape is walked once."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*+"', ""), r"[^\[\]{}]++", "")
+    # Innermost containers side by side are as deep as one.
+    shape = F.regexp_replace(bare, r"(?:\[\]|\{\})++", "{}")
+    steps = F.transform(F.split("shape", ""), lambda c: F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0))
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
     walk = lambda a, s: F.struct((a["now"] + s).alias("now"), F.greatest(a["most"], a["now"] + s).alias("most"))
-    return F.aggregate(steps, start, walk)["most"]
+    shapes = df.select(shape.alias("shape")).distinct()
+    return shapes.agg(F.max(F.aggregate(steps, start, walk)["most"]).alias("d")).first()["d"] or 0
 
 
 def flatten_json(df: DataFrame, key: Sequence[str], text: str, kinds: bool = False) -> DataFrame:
@@ -33,7 +36,7 @@ def flatten_json(df: DataFrame, key: Sequence[str], text: str, kinds: bool = Fal
     parsed = df.withColumn("v", F.try_parse_json(text))
     broken = parsed.where(F.col("v").isNull() & F.col(text).isNotNull()).select(*key, F.lit(None).cast("string").alias("path"), F.col(text).alias("value"))
     level = parsed.where(F.col("v").isNotNull()).select(*key, F.lit("").alias("path"), "v", F.lit(False).alias("done"))
-    depth = df.agg(F.max(nesting(text)).alias("d")).first()["d"] or 0
+    depth = nesting(df, text)
     names = ", ".join(f"t.{k}" for k in key)
     for _ in range(depth):
         # A scalar yields one row without a position and stays; an empty container goes.
@@ -132,9 +135,11 @@ def player_totals(df: DataFrame, key: Sequence[str], body: str, identity: Sequen
 def shot_events(df: DataFrame, key: Sequence[str], match: str, body: str) -> DataFrame:
     """A shot report {periods: [{shots: [{id, player: {id}, ...}]}]} as (key, ``REPORT_COLUMNS``): a value per shot and path."""
     own = list(dict.fromkeys([*key, match]))
-    periods = members(df, own, body, "periods").withColumnRenamed("place", "period").withColumnRenamed("item", "part")
-    shots = members(periods, [*own, "period"], "part", "shots")
-    named = shots.select(*own, text_at("item", "player.id").alias("entity"), F.concat_ws(":", F.col(match).cast("string"), text_at("item", "id")).alias("sample"), "item")
+    periods = df.select(*own, F.explode(F.try_variant_get(F.try_parse_json(body), "$.periods", "array<variant>")).alias("p"))
+    shots = periods.select(*own, F.explode(F.try_variant_get("p", "$.shots", "array<variant>")).alias("s"))
+    sample = F.concat_ws(":", F.col(match).cast("string"), F.try_variant_get("s", "$.id", "string"))
+    named = shots.select(*key, F.try_variant_get("s", "$.player.id", "string").alias("entity"), sample.alias("sample"), F.to_json("s").alias("item"))
+    named = named.persist()  # read for its depth and for its values
     flat = flatten_json(named.where("entity IS NOT NULL"), [*key, "entity", "sample"], "item", kinds=True)
     kind = F.when(F.col("path").rlike(r"^(player|keeper)\.|^(id|team_id)$"), "identity").otherwise("event")
     return flat.select(
