@@ -214,25 +214,23 @@ def exposure_corroborated(
 def components(edges: DataFrame, row: str, group: Sequence[str]) -> DataFrame:
     """Smallest row id of each connected component of rows sharing a group, transitively.
 
-    A group is a star around its smallest row. Each round gives nodes a new random order and every node its least
-    neighbour or itself; nodes of one choice become one node, and links within it vanish, so the links left fall by a
-    share in every round, whatever the graph: a chain as fast as a clique, and what is settled is never read again.
+    Each round gives nodes a new random order, and every node goes to the least one of all its groups' members, itself
+    included; nodes of one choice become one node, and groups of one node are settled and never read again. A clique or
+    a star is gone after one round, and of any other graph a share of the nodes in every round, a chain's too.
     The choices of all rounds, one after another, lead each row to its component. Every round is written to the
     checkpoint folder.
     """
     group = list(group)
     links = cut(edges.select(row, *group).distinct())
-    hubs = links.groupBy(*group).agg(F.min(row).alias("b"))
-    level = cut(links.join(hubs, group).select(F.col(row).alias("a"), "b").where("a <> b").distinct())
+    known = " AND ".join(f"`{g}` IS NOT NULL" for g in group)
+    level = links.where(known).select(F.col(row).alias("a"), F.struct(*group).alias("group"))
     rounds: list[DataFrame] = []
     while not level.isEmpty():
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(rounds))).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
-        both = level.unionByName(level.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        chosen = both.groupBy("a").agg(F.min(order("b")).alias("least"))
-        chosen = cut(chosen.select("a", F.least("least", order("a"))["x"].alias("to")))
-        ends = chosen.select(F.col("a").alias("b"), F.col("to").alias("other"))
-        moved = level.join(chosen, "a").join(ends, "b").where(F.col("to") != F.col("other"))
-        level = cut(moved.select(F.least("to", "other").alias("a"), F.greatest("to", "other").alias("b")).distinct())
+        drawn = F.struct(F.xxhash64("a", F.lit(len(rounds))).alias("h"), F.col("a").alias("x"))
+        least = level.groupBy("group").agg(F.min(drawn).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+        held = level.join(least, "group")
+        chosen = cut(held.groupBy("a").agg(F.min("least")["x"].alias("to")))
+        level = cut(held.select("a", "group").join(chosen, "a").select(F.col("to").alias("a"), "group").distinct())
         rounds.append(chosen)
     found = None
     for chosen in reversed(rounds):
