@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .lookup import beside_cohort
 from .ordered import running
 from .quality import validate
 
@@ -269,14 +270,22 @@ def canonical_map(records: DataFrame, links: DataFrame, record: str) -> DataFram
 
 
 def source_row_lookup(sources: DataFrame, rows: DataFrame, entity: str, keys: Sequence[str]) -> DataFrame:
-    """The master row of an entity, if its sources lead to exactly one."""
-    hit = sources.select(entity, *keys).join(rows.select(*keys, "master_row"), list(keys))
-    found = hit.groupBy(entity).agg(F.count_distinct("master_row").alias("rows"), F.min("master_row").alias("master_row"))
-    return (
-        sources.select(entity)
-        .distinct()
-        .join(found, entity, "left")
-        .select(entity, F.expr("IF(rows = 1, master_row, NULL) AS master_row"), F.coalesce("rows", F.lit(0)).alias("rows"))
+    """The master row of an entity, if its sources lead to exactly one.
+
+    Entities with the same sources have the same answer: each distinct set of sources meets the master rows once, so
+    a source that many entities and many rows share lists no pairs.
+    """
+    held = sources.select(entity, F.struct(*keys).alias("key")).groupBy(entity).agg(F.sort_array(F.collect_set("key")).alias("held")).persist()
+    found = (
+        held.select("held").distinct()
+        .select("held", F.explode("held").alias("key"))
+        .select("held", "key.*")
+        .join(rows.select(*keys, "master_row").distinct(), list(keys))
+        .groupBy("held")
+        .agg(F.count_distinct("master_row").alias("rows"), F.min("master_row").alias("master_row"))
+    )
+    return beside_cohort(held, cut(found), ["held"], "left").select(
+        entity, F.expr("IF(rows = 1, master_row, NULL) AS master_row"), F.coalesce("rows", F.lit(0)).alias("rows")
     )
 
 
