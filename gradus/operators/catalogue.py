@@ -29,20 +29,21 @@ def build(records: DataFrame, model: Model, primary: str, priority: Sequence[str
     # The links decide who is a player at all, and everything below reads them.
     links = cut(J.accepted_links(J.corroborated(anchors, others, "record"), "record"))
     own = anchors.unionByName(others.join(links.select("record"), "record", "left_anti"))
-    players = own.select(
+    # Each stage is written: the plan of one that reads the others would hold all of theirs, several times.
+    players = cut(own.select(
         F.col("record").alias("player"), "name", "name_key", "league", "position", F.col("provider").alias("main"), F.coalesce("minutes", F.lit(0.0)).alias("minutes")
-    ).persist()
+    ))
     sources = own.selectExpr("record AS player", "record").unionByName(links.selectExpr("anchor AS player", "record"))
     measured = R.long_features(records, model.features, ["record", "provider", F.col("minutes").alias("window_minutes")], "missing_measurement").join(sources, "record")
     # A window that misses the player's season is no measurement of it; what nobody reports is a declared zero.
-    picked = R.attach_features(
+    picked = cut(R.attach_features(
         players.select("player", "minutes"),
         measured.select("player", "key", "provider", F.col("record").alias("id"), "window_minutes", "value", "numerator", "denominator", "status"),
         "player",
         [f.key for f in model.features],
         priority,
         "minutes",
-    ).persist()
+    ))
     fields = []
     for f in model.features:
         mine = f"key = '{f.key}'"
@@ -51,11 +52,12 @@ def build(records: DataFrame, model: Model, primary: str, priority: Sequence[str
             F.expr(f"max(IF({mine}, IF(status = 'partial_window', 0D, denominator), NULL)) AS den_{f.key}"),
             F.expr(f"max(IF({mine}, provider, NULL)) AS prov_{f.key}"),
         ]
-    wide = players.join(picked.groupBy("player").agg(*fields), "player").persist()
+    wide = cut(players.join(picked.groupBy("player").agg(*fields), "player"))
     chosen = replace(model, features=tuple(f.picked() for f in model.features))
     scores, overall = R.score_catalogue(
         wide, chosen, ["player", "position"], "position", "minutes", "position = 'ST'", "prov_{key}"
     )
+    overall = cut(overall)
     return {"players": players, "sources": sources, "features": picked, "wide": wide, "scores": scores, "overall": overall, "links": links}
 
 
@@ -64,7 +66,7 @@ def assigned(built: dict[str, DataFrame], mapped: DataFrame, registry: Mapping[s
     chosen = {p: replace(m, features=tuple(f.picked() for f in m.features)) for p, m in registry.items()}
     only = mapped.where("mapped_id IS NOT NULL").select(F.col("mapped_id").alias("player"))
     found = R.assigned_positions(built["wide"], chosen, "player", "position", "minutes", "player", f"main = '{primary}'", keeper, "prov_{key}", only=only)
-    return R.assigned_overall(found, "player")
+    return cut(R.assigned_overall(found._replace(scores=cut(found.scores)), "player"))
 
 
 def roster(built: dict[str, DataFrame], names: DataFrame, primary: str) -> DataFrame:

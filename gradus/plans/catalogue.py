@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import plain_key
 from ..operators import catalogue as K
+from ..session import cut
 from .bindings import ENTITIES_SQL, entities, features_sql, model, position_registry_sql, registry, registry_sql
 from .rating import ASSIGNED_SQL, COMMON_SQL, SCORES_SQL
 from .registry import query
@@ -70,8 +71,8 @@ UNION ALL SELECT 'assigned', position, count(*) FROM tup JOIN ps USING (position
 UNION ALL SELECT 'roster', 'mapped', count(*) FROM b0""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rec = records(spark, sf).persist()
+    rec = cut(records(spark, sf))
     built = K.build(rec, model(), "alpha", ["alpha", "gamma"])
     squad = rec.where("provider = 'alpha'").select("record", "name_key")
-    mapped = K.roster(built, squad, "alpha").persist()
+    mapped = cut(K.roster(built, squad, "alpha"))
     return K.summary(built, mapped, K.assigned(built, mapped, registry(), "alpha", "BUILDING"))
