@@ -224,14 +224,14 @@ def components(edges: DataFrame, row: str, group: Sequence[str]) -> DataFrame:
     group = list(group)
     links = cut(edges.select(row, *group).distinct())
     known = " AND ".join(f"`{g}` IS NOT NULL" for g in group)
-    level = links.where(known).select(F.col(row).alias("a"), F.struct(*group).alias("group"))
+    shared = lambda held: held.join(held.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b"), "b", "left_semi").select("a", "b")
+    level = cut(shared(links.where(known).select(F.col(row).alias("a"), F.struct(*group).alias("b"))))
     rounds: list[DataFrame] = []
     while not level.isEmpty():
         drawn = F.struct(F.xxhash64("a", F.lit(len(rounds))).alias("h"), F.col("a").alias("x"))
-        least = level.groupBy("group").agg(F.min(drawn).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-        held = level.join(least, "group")
-        chosen = cut(held.groupBy("a").agg(F.min("least")["x"].alias("to")))
-        level = cut(held.select("a", "group").join(chosen, "a").select(F.col("to").alias("a"), "group").distinct())
+        least = level.groupBy("b").agg(F.min(drawn).alias("least"))
+        chosen = cut(level.join(least, "b").groupBy("a").agg(F.min("least")["x"].alias("to")))
+        level = cut(shared(level.join(chosen, "a").select(F.col("to").alias("a"), "b").distinct()))
         rounds.append(chosen)
     found = None
     for chosen in reversed(rounds):
