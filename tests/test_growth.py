@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from gradus.config import RoleSpec
 from gradus.operators import identity as J
+from gradus.operators import recruit
 from gradus.sources import nested, pages
 
 
@@ -78,3 +80,20 @@ def test_row_lookup_lists_no_pairs_of_a_shared_source(spark):
     found = {r.who: (r.master_row, r.rows) for r in J.source_row_lookup(many.union(odd), rows, "who", ["nation"]).collect()}
     assert len(found) == 30_004 and found[0] == found[29_999] == (None, 30_000)
     assert [found[-i] for i in (1, 2, 3, 4)] == [(1, 1), (1, 1), (None, 0), (None, 2)]
+
+
+def test_percentiles_meet_values_whose_prior_differs_between_readings(spark):
+    """A mean of doubles may come out differently whenever it is computed; here it always does."""
+
+    def noisy(batches):
+        import os
+
+        for batch in batches:
+            batch["value"] += int.from_bytes(os.urandom(2), "little") * 1e-7
+            yield batch
+
+    rows = [(i, "r", "L", 900.0, "m", "per90", float(i), float(i % 7), 900.0) for i in range(40)]
+    schema = "player int, role string, league string, minutes double, metric string, unit string, value double, numerator double, denominator double"
+    df = spark.createDataFrame(rows, schema).mapInPandas(noisy, schema)
+    found = recruit.role_profiles(df, {"r": RoleSpec(("m",), {"m": 1})}).collect()
+    assert len(found) == 40 and all(r.percentile is not None for r in found)
