@@ -1,8 +1,7 @@
 """Unions and overlaps of half-open intervals for long keys.
 
-Instead of numbering islands, each interval is clipped to the part no earlier interval of its
-key covers: the pieces are disjoint and have the same union. The running end is carried over
-calendar cells, so one key's intervals are never sorted in one task.
+Days are bits: a key's calendar year is six words of 64 days, so a union is an aggregate of words whatever the number
+of intervals, and an overlap is the bits two rows share. No interval is sorted, and joins see years instead of pieces.
 """
 
 from __future__ import annotations
@@ -12,56 +11,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def disjoint_days(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Disjoint date pieces covering the union of each key's intervals."""
-    keys = list(keys)
-    rows = (
-        df.where(F.col(start) < F.col(end))
-        .select(*keys, F.col(start).alias("start"), F.col(end).alias("end"))
-        .groupBy(*keys, "start")
-        .agg(F.max("end").alias("end"))
-        .withColumn("_cell", F.trunc("start", "month"))
-    )
-    across = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per key and calendar month.
-    carried = rows.groupBy(*keys, "_cell").agg(F.max("end").alias("_end")).select(
-        *keys, "_cell", F.max("_end").over(across).alias("_carry")
-    )
-    inside = Window.partitionBy(*keys, "_cell").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.withColumn("_run", F.max("end").over(inside))
-        .join(carried, [*keys, "_cell"])
-        .withColumn("_seen", F.greatest("_run", "_carry"))
-        .withColumn("start", F.greatest("start", "_seen"))
-        .where("start < end")
-        .select(*keys, "start", "end")
-    )
+#: Words of 64 days that hold a year.
+WORDS = range(6)
 
 
-def by_month(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cut disjoint pieces at month ends and join those that touch within a month.
-
-    Equal months can then be joined by equality. A (key, month) has at most 31 pieces, so its
-    window is small however many intervals the key has.
-    """
-    group = [*keys, "month"]
-    cut = (
-        pieces.withColumn(
-            "month",
-            F.explode(F.sequence(F.trunc("start", "month"), F.trunc(F.date_sub("end", 1), "month"), F.expr("interval 1 month"))),
-        )
-        .withColumn("start", F.greatest("start", "month"))
-        .withColumn("end", F.least("end", F.add_months("month", 1)))
+def year_days(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+    """(keys, year, w0 to w5): the days covered by each key's intervals, one row per key and calendar year."""
+    first, following = "make_date(year, 1, 1)", "make_date(year + 1, 1, 1)"
+    parts = (
+        df.where(F.col(start) < F.col(end))
+        .select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
+        .withColumn("year", F.expr("explode(sequence(year(_s), year(date_sub(_e, 1))))"))
+        .selectExpr(*keys, "year", f"datediff(greatest(_s, {first}), {first}) AS _from", f"datediff(least(_e, {following}), {first}) AS _to")
     )
-    w = Window.partitionBy(*group).orderBy("start")
-    return (
-        cut.withColumn("_new", F.coalesce((F.col("start") > F.lag("end").over(w)).cast("int"), F.lit(1)))
-        .withColumn("_island", F.sum("_new").over(w))
-        .groupBy(*group, "_island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .drop("_island")
+    bits = (
+        "IF(least(_to - {at}, 64) > greatest(_from - {at}, 0), "
+        "shiftleft(-1L, greatest(_from - {at}, 0)) & shiftrightunsigned(-1L, 64 - least(_to - {at}, 64)), 0L)"
     )
+    return parts.groupBy(*keys, "year").agg(*[F.expr(f"bit_or({bits.format(at=64 * i)}) AS w{i}") for i in WORDS])
 
 
 def shared_days(tenures: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -69,28 +36,22 @@ def shared_days(tenures: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``tenures``: (player, club, start, end) half-open dates; ``pairs``: (player_a, player_b).
     """
-    key = ["player", "club"]
-    pieces = by_month(disjoint_days(tenures, key), key)
-    a = pieces.selectExpr("player AS player_a", "club", "month", "start AS s1", "end AS e1")
-    b = pieces.selectExpr("player AS player_b", "club", "month", "start AS s2", "end AS e2")
-    wanted = pairs.select("player_a", "player_b").distinct()
+    days = year_days(tenures, ["player", "club"])
+    a = days.selectExpr("player AS player_a", "club", "year", *[f"w{i} AS a{i}" for i in WORDS])
+    b = days.selectExpr("player AS player_b", "club", "year", *[f"w{i} AS b{i}" for i in WORDS])
+    pair = ["player_a", "player_b"]
+    wanted = pairs.select(*pair).distinct()
     common = (
         wanted.join(a, "player_a")
-        .join(b, ["player_b", "club", "month"])
-        .where("greatest(s1, s2) < least(e1, e2)")
-        .selectExpr("player_a", "player_b", "month", "greatest(s1, s2) AS start", "least(e1, e2) AS end")
-        .groupBy("player_a", "player_b", "month", "start")
-        .agg(F.max("end").alias("end"))
-    )
-    # Two clubs at the same time still are one day; within a month a pair has few intersections.
-    w = Window.partitionBy("player_a", "player_b", "month").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    days = (
-        common.withColumn("start", F.greatest("start", F.max("end").over(w)))
-        .where("start < end")
-        .groupBy("player_a", "player_b")
-        .agg(F.sum(F.datediff("end", "start")).alias("days"))
+        .join(b, ["player_b", "club", "year"])
+        .where(" OR ".join(f"a{i} & b{i} <> 0" for i in WORDS))
+        # Two clubs at the same time still are one day.
+        .groupBy(*pair, "year")
+        .agg(*[F.expr(f"bit_or(a{i} & b{i}) AS w{i}") for i in WORDS])
+        .groupBy(*pair)
+        .agg(F.expr(f"sum({' + '.join(f'bit_count(w{i})' for i in WORDS)}) AS days"))
     )
-    return wanted.join(days, ["player_a", "player_b"], "left").withColumn("days", F.coalesce("days", F.lit(0)).cast("long"))
+    return wanted.join(common, pair, "left").withColumn("days", F.coalesce("days", F.lit(0)).cast("long"))
 
 
 VALID = "start >= 0 AND end >= start AND end <= 150"

@@ -160,6 +160,19 @@ def test_shared_days_against_brute_force(spark):
         assert r["days"] == len({x for _, x in days[r["player_a"]] & days[r["player_b"]]})
 
 
+def test_shared_days_meet_years_instead_of_pieces(spark):
+    """Every second day of three years is one row a year; leap days and the ends of words and years count."""
+    base = d.date(2023, 1, 1)
+    rows = [("a", "x", base + d.timedelta(i), base + d.timedelta(i + 1)) for i in range(0, 1096, 2)]
+    rows += [("b", "x", base, d.date(2026, 1, 1)), ("c", "x", d.date(2024, 2, 29), d.date(2024, 3, 2)), ("c", "x", d.date(2024, 12, 31), d.date(2025, 1, 1))]
+    tenures = spark.createDataFrame(rows, "player string, club string, start date, end date")
+    assert I.year_days(tenures, ["player", "club"]).groupBy("player").count().orderBy("player").collect() == [("a", 3), ("b", 3), ("c", 1)]
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "player_a string, player_b string")
+    found = I.shared_days(tenures, pairs)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.player_a, r.player_b): r.days for r in found.collect()} == {("a", "b"): 548, ("b", "c"): 3, ("a", "c"): 2}
+
+
 def test_concurrent_minutes(spark):
     iv = spark.createDataFrame([(1, "a", 0, 30), (1, "a", 20, 45), (1, "b", 30, 90), (1, "c", 0, 200), (2, "a", 0, 90)], "match int, player string, start int, end int")
     pairs = spark.createDataFrame([(1, "a", "b"), (1, "a", "c"), (2, "a", "b")], "match int, player_a string, player_b string")
