@@ -225,13 +225,13 @@ SELECT row, provider, sample, key, unit, CASE WHEN unit = '%' AND (v < 0 OR v >
   a AS numerator, round(b, 4) AS denominator, CASE WHEN unit = '%' AND (v < 0 OR v > 100) THEN 'invalid' ELSE 'observed' END AS status FROM m""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    b, keep = bundles(spark, sf), ["row", "provider", "sample"]
-    out = (
-        R.provider_measurement(b, "goal90", ["goals"], "per90", keep)
-        .unionByName(R.provider_measurement(b, "keep_pct", ["keep", "goals"], "%", keep))
-        .unionByName(R.provider_measurement(b, "save_pct", ["goals", "conceded", "attempts"], "%", keep, "share"))
-        .unionByName(R.provider_measurement(b, "dist_pct", ["goals", "attempts"], "%", keep, "given"))
-    )
+    measures = [
+        R.Measure("goal90", ["goals"], "per90"),
+        R.Measure("keep_pct", ["keep", "goals"], "%"),
+        R.Measure("save_pct", ["goals", "conceded", "attempts"], "%", "share"),
+        R.Measure("dist_pct", ["goals", "attempts"], "%", "given"),
+    ]
+    out = R.provider_measurements(bundles(spark, sf), measures, ["row", "provider", "sample"])
     return out.withColumn("value", F.round("value", 6)).withColumn("denominator", F.round("denominator", 4))
 
 

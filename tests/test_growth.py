@@ -116,3 +116,17 @@ def test_lineups_and_links_are_one_grouping(spark):
     found = aggregates.lineup_summary(aggregates.neighbour_links(placed, "score - score_b"), 2)
     assert "Join" not in plan(found)
     assert {r.lineup: tuple(r)[1:] for r in found.collect()} == {1: (3, None, 2.0, 1, 1), 2: (2, 2.5, 3.0, 1, 1), 3: (2, None, None, 0, 1)}
+
+
+def test_measurements_read_a_bundle_once(spark):
+    rows = [(1, 4.0, 2.0, 90.0), (2, 0.0, 1.0, None), (3, 0.0, 0.0, 0.0), (4, 1.0, 3.0, 10.0), (5, -1.0, None, 10.0)]
+    bundles = spark.createDataFrame(rows, "row int, goals double, keep double, minutes double")
+    measures = [rating.Measure("g90", ["goals"], "per90"), rating.Measure("k", ["keep", "goals"], "%"), rating.Measure("s", ["goals", "keep", "keep"], "%", "share")]
+    found = rating.provider_measurements(bundles, measures, ["row"])
+    assert "Union" not in plan(found)
+    got = {(r.row, r.key): (r.value, r.denominator, r.status) for r in found.collect()}
+    assert got == {
+        (1, "g90"): (4.0, 90.0, "observed"), (1, "k"): (50.0, 4.0, "observed"), (1, "s"): (4.0, 4.0, "observed"),
+        (3, "g90"): (None, 0.0, "zero_exposure"), (3, "k"): (None, 0.0, "not_applicable_zero_attempts"),
+        (4, "g90"): (9.0, 10.0, "observed"), (4, "k"): (None, 1.0, "invalid"), (4, "s"): (1.0, 6.0, "observed"), (5, "g90"): (None, 10.0, "invalid"),
+    }
