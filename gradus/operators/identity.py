@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -42,38 +42,32 @@ def multi_report_join(
     return checked.drop(*[c for c in checked.columns if c.startswith("_")]), repeated
 
 
-def assemble_appearances(players: DataFrame, advanced: DataFrame, shots: DataFrame) -> DataFrame:
+def assemble_appearances(reports: DataFrame) -> DataFrame:
     """Appearances (match, player) with the raw value before the advanced one.
 
     A match with a team mismatch, impossible minutes, or events of nobody who played is rejected whole.
+    ``reports``: (match, player, report, team, minutes, touches, xg), the rows of the reports ``players``, ``advanced``
+    and ``shots`` in one frame, so that they meet in one aggregate instead of joins.
     """
-    key = ["match", "player"]
-    adv = advanced.selectExpr("match", "player", "team AS adv_team", "minutes AS adv_minutes", "touches AS adv_touches")
-    shot = shots.groupBy(*key).agg(
-        F.count("*").alias("shots"), F.sum("xg").alias("xg"), F.min("team").alias("shot_lo"), F.max("team").alias("shot_hi")
+    of = lambda report, call, column: f"{call}(CASE WHEN report = '{report}' THEN {column} END)"
+    sides = reports.groupBy("match", "player").agg(
+        *[F.expr(f"count_if(report = '{r}') AS in_{r}") for r in ("players", "advanced", "shots")],
+        F.expr(f"{of('players', 'min', 'team')} AS team"),
+        F.expr(f"coalesce({of('players', 'sum', 'minutes')}, {of('advanced', 'sum', 'minutes')}) AS minutes"),
+        F.expr(f"coalesce({of('players', 'sum', 'touches')}, {of('advanced', 'sum', 'touches')}) AS touches"),
+        F.expr(f"{of('advanced', 'min', 'team')} AS adv_team"),
+        F.expr(f"coalesce({of('shots', 'sum', 'xg')}, 0D) AS xg"),
+        F.expr(f"{of('shots', 'min', 'team')} AS shot_lo"),
+        F.expr(f"{of('shots', 'max', 'team')} AS shot_hi"),
     )
-    rows = (
-        players.join(adv, key, "left")
-        .join(shot, key, "left")
-        .selectExpr(
-            "match",
-            "player",
-            "team",
-            "coalesce(minutes, adv_minutes) AS minutes",
-            "coalesce(touches, adv_touches) AS touches",
-            "coalesce(shots, 0) AS shots",
-            "coalesce(xg, 0D) AS xg",
-            "coalesce(adv_team <> team, false) OR coalesce(shot_lo <> team OR shot_hi <> team, false) AS mismatch",
-        )
-        .withColumn("bad", F.expr("mismatch OR NOT coalesce(minutes > 0 AND minutes <= 130, false)"))
-    )
-    strangers = (
-        adv.select(*key).unionByName(shot.select(*key)).join(players.select(*key), key, "left_anti").select("match")
+    stranger = "(in_players = 0 OR player IS NULL) AND in_advanced + in_shots > 0"
+    mismatch = "coalesce(adv_team <> team, false) OR coalesce(shot_lo <> team OR shot_hi <> team, false)"
+    bad = F.expr(f"{stranger} OR (in_players > 0 AND ({mismatch} OR NOT coalesce(minutes > 0 AND minutes <= 130, false)))")
+    return (
+        sides.withColumn("rejected", F.bool_or(bad).over(Window.partitionBy("match")))
+        .where("in_players > 0")
+        .select("match", "player", "team", "minutes", "touches", F.col("in_shots").alias("shots"), "xg", "rejected")
     )
-    rejected = rows.where("bad").select("match").unionByName(strangers).distinct()
-    return rows.join(rejected.withColumn("rejected", F.lit(True)), "match", "left").withColumn(
-        "rejected", F.coalesce("rejected", F.lit(False))
-    ).drop("mismatch", "bad")
 
 
 def scoped_shots(shots: DataFrame, fixtures: DataFrame, totals: DataFrame, entity: str, tolerance: float = 1e-5) -> DataFrame:

@@ -60,15 +60,9 @@ rej AS (SELECT match FROM j WHERE bad UNION SELECT match FROM (SELECT match, pla
 SELECT match, player, team, minutes, round(touches, 2) AS touches, shots, round(xg, 2) AS xg, match IN (SELECT match FROM rej) AS rejected FROM j""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    app = appearances(spark, sf)
-    key = ["match", "player"]
-    players = app.where("flag <> 'R' OR slot < 4").groupBy(*key).agg(
-        F.min("team").alias("team"), F.sum("minutes").alias("minutes"), F.expr("sum(CASE WHEN tax > 0 THEN price END) AS touches")
-    )
-    advanced = app.where("flag = 'A'").groupBy(*key).agg(
-        F.min("team").alias("team"), F.sum("minutes").alias("minutes"), F.sum("price").alias("touches")
-    )
-    out = J.assemble_appearances(players, advanced, app.where("flag = 'R'"))
+    kinds = "IF(flag <> 'R' OR slot < 4, 'players', NULL), IF(flag = 'A', 'advanced', NULL), IF(flag = 'R', 'shots', NULL)"
+    rows = appearances(spark, sf).selectExpr("match", "player", "team", "minutes", "price", "tax", "xg", f"explode(array_compact(array({kinds}))) AS report")
+    out = J.assemble_appearances(rows.withColumn("touches", F.expr("CASE WHEN report <> 'players' OR tax > 0 THEN price END")))
     return out.withColumn("touches", F.round("touches", 2)).withColumn("xg", F.round("xg", 2))
 
 

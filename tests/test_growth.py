@@ -130,3 +130,18 @@ def test_measurements_read_a_bundle_once(spark):
         (3, "g90"): (None, 0.0, "zero_exposure"), (3, "k"): (None, 0.0, "not_applicable_zero_attempts"),
         (4, "g90"): (9.0, 10.0, "observed"), (4, "k"): (None, 1.0, "invalid"), (4, "s"): (1.0, 6.0, "observed"), (5, "g90"): (None, 10.0, "invalid"),
     }
+
+
+def test_appearances_meet_their_reports_in_one_grouping(spark):
+    rows = [
+        (1, "a", "players", 7, 60.0, 5.0, 0.1), (1, "a", "players", 7, 30.0, None, 0.1), (1, "a", "advanced", 7, 80.0, 9.0, 0.1), (1, "a", "shots", 7, 1.0, 1.0, 0.5),
+        (2, "a", "players", 7, 90.0, None, 0.1), (2, "a", "advanced", 8, 90.0, 3.0, 0.1), (2, "b", "players", 7, 10.0, 2.0, 0.1),
+        (3, "a", "players", 7, 90.0, 1.0, 0.1), (3, "x", "shots", 7, 1.0, 1.0, 0.2), (4, "a", "players", 7, 131.0, 1.0, 0.1), (5, "a", "players", 7, 130.0, 1.0, 0.1),
+    ]
+    reports = spark.createDataFrame(rows, "match int, player string, report string, team int, minutes double, touches double, xg double")
+    found = J.assemble_appearances(reports)
+    assert "Join" not in plan(found)
+    assert {tuple(r) for r in found.collect()} == {
+        (1, "a", 7, 90.0, 5.0, 1, 0.5, False), (2, "a", 7, 90.0, 3.0, 0, 0.0, True), (2, "b", 7, 10.0, 2.0, 0, 0.0, True),
+        (3, "a", 7, 90.0, 1.0, 0, 0.0, True), (4, "a", 7, 131.0, 1.0, 0, 0.0, True), (5, "a", 7, 130.0, 1.0, 0, 0.0, False),
+    }
