@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.status import ratio_status, scalar_status
@@ -155,17 +155,28 @@ def match_statistics(df: DataFrame, key: Sequence[str], match: str, body: str) -
     percentage; 0 of 0 is not applicable.
     """
     own = list(dict.fromkeys([*key, match]))
-    rows = members(df, own, body, "").withColumn("entity", text_at("item", "player.id")).where("entity IS NOT NULL")
-    groups = members(rows, [*own, "entity"], "item", "stats").withColumnRenamed("place", "part").withColumnRenamed("item", "inner")
-    held = F.try_variant_get(F.try_parse_json("inner"), "$.stats", "map<string,variant>")
-    entries = groups.select(*own, "entity", F.explode(held).alias("name", "entry")).select(
-        *own, "entity",
-        F.coalesce(F.try_variant_get("entry", "$.key", "string"), F.lit("unnamed")).alias("stat"),
-        *[F.try_variant_get("entry", f"$.stat.{c}", "string").alias(c) for c in ("type", "value", "total")],
-        *[(F.schema_of_variant(F.try_variant_get("entry", f"$.stat.{c}", "variant"))).alias(f"{c}_kind") for c in ("type", "value", "total")],
-    ).persist()
-    played = entries.where("stat = 'minutes_played' AND try_cast(value AS double) > 0").select(*own, "entity").distinct()
-    entries = entries.join(played, [*own, "entity"], "left_semi")
+    # Reports are dealt before they are parsed, a small file may hold many; each is parsed once and its players kept.
+    dealt = df.select(*own, body).repartition(match)
+    rows = dealt.select(*own, F.explode(F.try_variant_get(F.try_parse_json(body), "$", "array<variant>")).alias("v"))
+    empty = F.expr("cast(array() AS array<struct<stat string, type string, value string, total string, type_kind string, value_kind string, total_kind string>>)")
+
+    def statistic(entry: Column) -> Column:
+        return F.struct(
+            F.coalesce(F.try_variant_get(entry, "$.key", "string"), F.lit("unnamed")).alias("stat"),
+            *[F.try_variant_get(entry, f"$.stat.{c}", "string").alias(c) for c in ("type", "value", "total")],
+            *[F.schema_of_variant(F.try_variant_get(entry, f"$.stat.{c}", "variant")).alias(f"{c}_kind") for c in ("type", "value", "total")],
+        )
+
+    named = F.transform(
+        F.try_variant_get("v", "$.stats", "array<variant>"),
+        lambda g: F.transform(F.map_values(F.try_variant_get(g, "$.stats", "map<string,variant>")), statistic),
+    )
+    who = F.to_json(F.struct(F.try_variant_get("v", "$.player", "variant").alias("player"), F.try_variant_get("v", "$.team_id", "variant").alias("team_id")))
+    seen = rows.select(*own, F.try_variant_get("v", "$.player.id", "string").alias("entity"), who.alias("who"), F.coalesce(F.flatten(F.array_compact(named)), empty).alias("held")).where("entity IS NOT NULL")
+    # A player of a match has a row or two.
+    anywhere = F.bool_or(F.expr("exists(held, e -> coalesce(e.stat = 'minutes_played' AND try_cast(e.value AS double) > 0, false))")).over(Window.partitionBy(*own, "entity"))
+    played = seen.withColumn("played", anywhere).where("played").select(*own, "entity", "who", "held").persist()
+    entries = played.select(*own, "entity", F.inline("held"))
     number = lambda c: F.col(c).try_cast("double")
     fraction = F.col("type") == "fractionWithPercentage"
     both = finite(number("value")) & finite(number("total")) & ~F.col("value_kind").isin("STRING") & ~F.col("total_kind").isin("STRING")
@@ -185,10 +196,7 @@ def match_statistics(df: DataFrame, key: Sequence[str], match: str, body: str) -
     nothing = F.when(sound, "numeric").when(both, F.coalesce(ratio_status(number("value"), number("total")), F.when(wrong, "invalid"), F.lit("missing"))).otherwise("missing")
     parts.append(part("calculated_percentage", F.when(sound, (F.lit(100.0) * number("value") / number("total")).cast("string")), nothing, F.lit("metric"), fraction))
     stats = entries.select(*own, "entity", F.explode(F.array_compact(F.array(*parts))).alias("p")).select(*own, "entity", "p.*")
-    about = flatten_json(
-        rows.join(played, [*own, "entity"], "left_semi").select(*own, "entity", F.to_json(F.struct(F.try_variant_get(F.try_parse_json("item"), "$.player", "variant").alias("player"), F.try_variant_get(F.try_parse_json("item"), "$.team_id", "variant").alias("team_id"))).alias("who")),
-        [*own, "entity"], "who", kinds=True,
-    )
+    about = flatten_json(played.select(*own, "entity", "who"), [*own, "entity"], "who", kinds=True)
     identity = about.select(*own, "entity", F.concat(F.lit("metadata."), "path").alias("field"), F.lit("identity").alias("kind"), "value", scalar_status(F.col("value"), F.col("kind")).alias("status"))
     return stats.withColumn("scope", F.lit("appearance")).unionByName(identity.withColumn("scope", F.lit("identity"))).select(
         *key, "entity", F.col(match).cast("string").alias("sample"), "field", "kind", "scope", "value", "status"

@@ -145,3 +145,15 @@ def test_appearances_meet_their_reports_in_one_grouping(spark):
         (1, "a", 7, 90.0, 5.0, 1, 0.5, False), (2, "a", 7, 90.0, 3.0, 0, 0.0, True), (2, "b", 7, 10.0, 2.0, 0, 0.0, True),
         (3, "a", 7, 90.0, 1.0, 0, 0.0, True), (4, "a", 7, 131.0, 1.0, 0, 0.0, True), (5, "a", 7, 130.0, 1.0, 0, 0.0, False),
     }
+
+
+def test_match_reports_are_dealt_and_parsed_once(spark):
+    minutes = '{"key": "minutes_played", "stat": {"type": "integer", "value": %d}}'
+    body = f'[{{"player": {{"id": "a"}}, "team_id": 4, "stats": [{{"stats": {{"m": {minutes % 0}}}}}]}}, {{"player": {{"id": "a"}}, "team_id": 5, "stats": [{{}}, {{"stats": {{"m": {minutes % 9}}}}}]}}, {{"player": {{"id": "b"}}, "stats": null}}]'
+    docs = spark.createDataFrame([(1, body), (2, "[]")], "m long, body string")
+    found = nested.match_statistics(docs, [], "m", "body")
+    assert sorted((r.entity, r.field, r.value) for r in found.collect()) == [
+        ("a", "metadata.player.id", "a"), ("a", "metadata.player.id", "a"), ("a", "metadata.team_id", "4"), ("a", "metadata.team_id", "5"),
+        ("a", "stats.minutes_played.type", "integer"), ("a", "stats.minutes_played.type", "integer"), ("a", "stats.minutes_played.value", "0"), ("a", "stats.minutes_played.value", "9"),
+    ]
+    assert "InMemoryRelation" in plan(found) and "Join" not in plan(found)
