@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.status import feature_value
@@ -355,12 +355,8 @@ SELECT t.lineup, completeness, team_rating, team_familiarity, coalesce(scored_li
 FROM t LEFT JOIN l ON t.lineup = l.lineup""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    # Lines are dealt by lineup once; the least player of a slot and the links follow in the same order.
-    lines = load(spark, sf, "lineitem").selectExpr("l_orderkey AS lineup", "l_linenumber AS slot", "l_suppkey AS player").repartition("lineup")
-    least = Window.partitionBy("lineup", "slot").orderBy("player")
     scored = (
-        lines.withColumn("_first", F.row_number().over(least))
-        .where("_first = 1")
+        lineups(spark, sf)
         .join(load(spark, sf, "supplier"), F.expr("player = s_suppkey"))
         .selectExpr("lineup", "slot", "player", "CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS score")
     )
