@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gradus.config import RoleSpec
 from gradus.operators import aggregates
 from gradus.operators import identity as J
-from gradus.operators import rating, recruit
+from gradus.operators import quality, rating, recruit
 from gradus.sources import nested, pages
 
 
@@ -157,3 +157,14 @@ def test_match_reports_are_dealt_and_parsed_once(spark):
         ("a", "stats.minutes_played.type", "integer"), ("a", "stats.minutes_played.type", "integer"), ("a", "stats.minutes_played.value", "0"), ("a", "stats.minutes_played.value", "9"),
     ]
     assert "InMemoryRelation" in plan(found) and "Join" not in plan(found)
+
+
+def test_lineup_rules_repeat_a_line_twice(spark):
+    rows = [(1, 1, "k"), (1, 2, "a"), (1, 3, "b"), (2, 1, "a"), (2, 1, "k"), (2, 3, "k"), (3, 1, "k"), (3, 2, None), (3, 4, "zz"), (4, None, "k"), (4, 2, "a"), (4, 3, "b")]
+    lineups = spark.createDataFrame(rows, "lineup int, slot int, player string")
+    squad = spark.createDataFrame([("k", True), ("a", False), ("b", False)], "player string, keeper boolean")
+    found = quality.lineup_problems(lineups, squad, [1, 2, 3], 1)
+    assert "Expand" not in plan(found)
+    assert {r.lineup: r.problems for r in found.collect()} == {
+        2: "slots;repeated player;keeper exchange", 3: "slots;unknown player;repeated player", 4: "slots"
+    }
