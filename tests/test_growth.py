@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gradus.config import RoleSpec
 from gradus.operators import aggregates
 from gradus.operators import identity as J
-from gradus.operators import quality, rating, recruit
+from gradus.operators import quality, rating, recruit, research
 from gradus.sources import nested, pages
 
 
@@ -168,3 +168,16 @@ def test_lineup_rules_repeat_a_line_twice(spark):
     assert {r.lineup: r.problems for r in found.collect()} == {
         2: "slots;repeated player;keeper exchange", 3: "slots;unknown player;repeated player", 4: "slots"
     }
+
+
+def test_boosted_trees_learn_from_cells(spark, monkeypatch):
+    seen = []
+    fit = research.GBTClassifier.fit
+    monkeypatch.setattr(research.GBTClassifier, "fit", lambda self, df: seen.append((df.count(), df.agg(F.sum("rows")).first()[0])) or fit(self, df))
+    folds = spark.range(1200).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'train' WHEN id % 3 = 1 THEN 'validation' ELSE 'test' END AS fold", "double(id % 5) AS x", "double(id % 2) AS z", "int((id % 5 >= 3) = (id % 2 = 0)) AS goal"
+    )
+    scores, _, fitted = research.train_models(folds, ["x", "z"], "goal", trees=12, step=0.5, epochs=5)
+    assert seen == [(10, 400.0)]
+    brier = {(r.model, r.fold): r.brier for r in scores.collect()}
+    assert brier["boosted_trees", "test"] < 0.01 < brier["logistic", "test"]
