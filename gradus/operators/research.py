@@ -27,15 +27,16 @@ FITTED_ROWS = 40_000
 BINS = 32
 
 
-def _prepared(features: Sequence[str]) -> list:
+def _prepared(features: Sequence[str], wide: Sequence[str]) -> list:
+    """``wide`` are binned for the trees; features of few values keep them, so that no rare value is lost in a bin."""
     filled = [f"{f}_filled" for f in features]
-    binned = [f"{f}_bin" for f in features]
+    bins = [QuantileDiscretizer(numBuckets=BINS, inputCols=[f"{f}_filled" for f in wide], outputCols=[f"{f}_bin" for f in wide])] if wide else []
     return [
         Imputer(strategy="median", inputCols=list(features), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True),
-        QuantileDiscretizer(numBuckets=BINS, inputCols=filled, outputCols=binned),
-        VectorAssembler(inputCols=binned, outputCol="bins"),
+        *bins,
+        VectorAssembler(inputCols=[f"{f}_bin" if f in wide else f"{f}_filled" for f in features], outputCol="bins"),
     ]
 
 
@@ -50,7 +51,8 @@ def train_models(
     """
     data = folds.select("fold", F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]).persist()
     train = data.where("fold = 'train'")
-    prepare = Pipeline(stages=_prepared(features)).fit(train)
+    wide = [f for f in features if train.select(f).distinct().limit(BINS + 1).count() > BINS]
+    prepare = Pipeline(stages=_prepared(features, wide)).fit(train)
     many = train.count()
     ready = prepare.transform(train).select("label", "features", "bins").repartition(max(1, -(-many // FITTED_ROWS))).persist()
     cells = cut(ready.groupBy("label", "bins").agg(F.count("*").cast("double").alias("rows")))

@@ -181,3 +181,11 @@ def test_boosted_trees_learn_from_cells(spark, monkeypatch):
     assert seen == [(10, 400.0)]
     brier = {(r.model, r.fold): r.brier for r in scores.collect()}
     assert brier["boosted_trees", "test"] < 0.01 < brier["logistic", "test"]
+
+
+def test_boosted_trees_see_a_rare_value(spark):
+    folds = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'train' WHEN id % 3 = 1 THEN 'validation' ELSE 'test' END AS fold", "double(id * 7919 % 3000) AS x", "double(id < 30) AS z", "int(id < 30) AS goal"
+    )
+    scores, _, _ = research.train_models(folds, ["x", "z"], "goal", trees=8, step=0.5, epochs=3)
+    assert max(r.brier for r in scores.collect() if r.model == "boosted_trees") < 0.001
