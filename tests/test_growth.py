@@ -24,6 +24,14 @@ def test_names_of_references_stand_in_no_plan(spark):
     assert list(rows["row"].cells) == ["<p>", "a&b"]
 
 
+def test_pieces_are_not_joined_with_the_names_nor_decoded_to_be_kept(spark):
+    pages_ = spark.createDataFrame([(1, '<a href="/x?a=1&amp;b=2">t&eacute;t &bogus; &#65;</a><option value="v">o</option>')], "k long, html string")
+    found = pages.extract(pages_, "k", "html").where("kind IN ('link', 'option')")
+    assert "Join" not in plan(found)
+    assert all("transform" not in line for line in plan(found).splitlines() if "Filter" in line)
+    assert {(r.kind, r.value, r.text) for r in found.collect()} == {("link", "/x?a=1&b=2", "tét &bogus; A"), ("option", "v", "o")}
+
+
 def test_embedded_json_walks_a_page_once(spark):
     text = '<script id="D" type="x">{"a": "}]\\"", "s": [1, {"b": 2}]} tail</script>'
     cut_off = '<script id="D">{"a": [1, 2}</script>'
