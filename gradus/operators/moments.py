@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, unfold
 from .standardize import EPSILON
 
 #: A composite whose spread is below this share of its weights has none: the rest is rounding of the algebra.
@@ -40,8 +40,8 @@ def moments(rows: DataFrame, keys: Sequence[str], slots: int) -> DataFrame:
     n, keys = range(slots), list(keys)
     ready = rows.selectExpr(*keys, *[f"{c}{i}" for i in n for c in "vw"], *[f"IF(v{i} IS NULL, NULL, n{i} / (n{i} + k{i})) AS r{i}" for i in n])
     ready = ready.selectExpr("*", *[f"r{i} * v{i} AS x{i}" for i in n])
-    pairs = ", ".join(f"named_struct('pair', '{name}', 'a', {a}, 'b', {b})" for name, a, b in _pairs(slots))
-    each_pair = ready.selectExpr(*keys, f"inline(array({pairs}))").where("a IS NOT NULL OR pair = 'v0'")
+    pairs = [f"named_struct('pair', '{name}', 'a', {a}, 'b', {b})" for name, a, b in _pairs(slots)]
+    each_pair = unfold(ready, keys, pairs).where("a IS NOT NULL OR pair = 'v0'")
     return each_pair.groupBy(*keys, "pair").agg(
         F.count("*").alias("n"), F.avg("a").alias("one"), F.avg("b").alias("other"), F.covar_pop("a", "b").alias("cov"), F.min("a").alias("low"), F.max("a").alias("high"), F.max("b").alias("weight")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Model
 from ..functions.status import rating
-from ..session import cut
+from ..session import cut, unfold
 from .lookup import beside_cohort
 from .ordered import running
 from .rating import overall_of, registered
@@ -32,13 +32,13 @@ def _long(rows: DataFrame, model: Model | Mapping[str, Model], keep: Sequence[st
     """One row per (subject, ability, feature): its slot's columns, named without their number, and the registry's."""
     models, slots = registered(model)
     fields = ["v", "n", "k", "w", *extra]
-    items = ", ".join(f"named_struct('slot', {i}, " + ", ".join(f"'{c}', {c}{i}" for c in fields) + ")" for i in range(slots))
+    items = [f"named_struct('slot', {i}, " + ", ".join(f"'{c}', {c}{i}" for c in fields) + ")" for i in range(slots)]
     table = F.broadcast(_slots(model, rows.sparkSession, "_position"))  # as long as the registry
     on = (F.col("ability") == F.col("_ability")) & (F.col("slot") == F.col("_slot"))
     if "" not in models:
         on &= F.col(position) == F.col("_position")
     table = table.withColumnsRenamed({"ability": "_ability", "slot": "_slot"})
-    return rows.selectExpr(*keep, f"inline(array({items}))").join(table, on).drop("_position", "_ability", "_slot", "slot")
+    return unfold(rows, keep, items).join(table, on).drop("_position", "_ability", "_slot", "slot")
 
 
 def feature_views(

@@ -197,3 +197,22 @@ def test_boosted_trees_see_a_rare_value(spark):
     )
     scores, _, _ = research.train_models(folds, ["x", "z"], "goal", trees=8, step=0.5, epochs=3)
     assert max(r.brier for r in scores.collect() if r.model == "boosted_trees") < 0.001
+
+
+def test_structs_of_many_fields_are_projected_once_and_not_made_by_a_generator(spark):
+    from gradus.config import Ability, Feature, Model
+    from gradus.operators.moments import moments
+
+    model = Model((Feature("goals90", "goals"), Feature("shots90", "shots")), (Ability("A", 0.6, {"goals90": 0.5, "shots90": 0.5}), Ability("B", 0.4, {"shots90": 1.0})), 900, 1)
+    df = spark.createDataFrame([(1, "ST", 900.0, 5.0, 10.0), (2, "ST", 900.0, None, 10.0)], "player int, position string, minutes double, goals double, shots double")
+    rows = rating.ability_rows(df, model, ["player", "position"], "minutes")
+    sums = moments(rows.where("eligible"), ["position", "ability"], 2)
+    for made in (rows, sums):
+        text = plan(made)
+        assert "inline(array(" not in text and "size(" not in text
+        assert "Generate inline" in text
+    # Of the code of a stage no method is longer than the JVM compiles, else it runs as split projections.
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+    got = {(r.player, r.ability): (r.eligible, r.w0, r.w1) for r in rows.collect()}
+    assert got == {(1, "A"): (True, 0.5, 0.5), (1, "B"): (True, 1.0, 0.0), (2, "A"): (True, 0.0, 1.0), (2, "B"): (True, 1.0, 0.0)}
+    assert {(r.ability, r.n) for r in sums.where("pair = 'v0'").collect()} == {("A", 2), ("B", 2)}
