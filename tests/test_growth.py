@@ -216,3 +216,16 @@ def test_structs_of_many_fields_are_projected_once_and_not_made_by_a_generator(s
     got = {(r.player, r.ability): (r.eligible, r.w0, r.w1) for r in rows.collect()}
     assert got == {(1, "A"): (True, 0.5, 0.5), (1, "B"): (True, 1.0, 0.0), (2, "A"): (True, 0.0, 1.0), (2, "B"): (True, 1.0, 0.0)}
     assert {(r.ability, r.n) for r in sums.where("pair = 'v0'").collect()} == {("A", 2), ("B", 2)}
+
+
+def test_entities_of_a_recommendation_are_read_once(spark):
+    from gradus.plans import recruit as plans
+    from gradus.plans.bindings import entities
+
+    sf = "/root/testdata/sf0.001"
+    for made in (plans.briefs, plans.metrics):
+        spark.catalog.clearCache()
+        rows = made(spark, sf)
+        assert entities(spark, sf).storageLevel.useMemory
+        assert "InMemoryRelation" in rows._jdf.queryExecution().withCachedData().toString()
+    spark.catalog.clearCache()
