@@ -229,3 +229,24 @@ def test_entities_of_a_recommendation_are_read_once(spark):
         assert entities(spark, sf).storageLevel.useMemory
         assert "InMemoryRelation" in rows._jdf.queryExecution().withCachedData().toString()
     spark.catalog.clearCache()
+
+
+def test_rows_of_pages_are_not_broadcast_however_small_their_files(spark, tmp_path):
+    html = (
+        '</table><table><p>no row</p></table><table><tr><th>Player</th><th>Goals</th></tr><tr><td>A</td><td>0<table><tr><td>in</td></tr></table></td></tr>'
+        "<tr><td>B</td></tr></table></table><table><tr><td>open</td></tr>"
+    )
+    made = [(1, "s", "p", "l", html, "d1"), (2, "s", "p", "l", html, "d1"), (3, "s", "p", "m", html.replace("A", "C"), "d2"), (None, "s", "p", "l", html, "d3"), (4, "s", "p", "l", None, "d4")]
+    spark.createDataFrame(made, "k long, source string, page string, league string, html string, digest string").write.parquet(f"{tmp_path}/pages")
+    stored = spark.read.parquet(f"{tmp_path}/pages")
+    elements = pages.extract(stored, "k", "html")
+    rows = {(r.k, r.table_no, r.row_no): (list(r.cells), list(r.headings)) for r in elements.where("kind = 'row'").collect()}
+    head = ["Player", "Goals"]
+    assert {at[1:]: found for at, found in rows.items() if at[0] == 1} == {(1, 0): (["in"], ["in"]), (2, 0): (head, head), (2, 1): (["A", "0"], head), (2, 2): (["B"], head)}
+    assert {at[0] for at in rows} == {1, 2, 3} and len(rows) == 12
+    found = pages.table_inventory(elements, stored.drop("html"), "k")
+    run = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in run and run.count("posexplode") == 1
+    assert {(r.field, r.league, r.records, r.numeric, r.zero, r.categorical, r.invalid) for r in found.collect()} == {
+        (f"p.{field}", league, 2, zero, zero, 1 - zero, 1) for league in "lm" for field, zero in (("Player", 0), ("Goals", 1))
+    }
